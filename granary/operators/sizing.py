@@ -1,0 +1,18 @@
+"""Broadcasting only what has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 100_000
+
+
+def at_most(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether a frame has no more than ``rows`` rows; stops counting beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_when(small: bool, df: DataFrame) -> DataFrame:
+    """Hint a broadcast for a side whose bound was checked, else leave it to Spark."""
+    return F.broadcast(df) if small else df
