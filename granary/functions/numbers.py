@@ -60,10 +60,10 @@ def present(df):
     """Decimals as doubles after rounding to at most four digits, for reports."""
     shown = []
     for field in df.schema.fields:
-        kind = field.dataType.simpleString()
-        col = F.col(f"`{field.name}`")
-        if kind.startswith("decimal"):
-            scale = min(field.dataType.scale, 4)
-            col = F.round(col, scale).cast("double").alias(field.name)
-        shown.append(col)
-    return df.select(*shown)
+        name = f"`{field.name}`"
+        if field.dataType.typeName() == "decimal":
+            digits = min(field.dataType.scale, 4)
+            shown.append(f"CAST(round({name}, {digits}) AS DOUBLE) AS {name}")
+        else:
+            shown.append(name)
+    return df.selectExpr(*shown)

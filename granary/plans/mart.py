@@ -25,6 +25,8 @@ from granary.plans.lines import (
 )
 from granary.sources.tables import PlanningTables
 
+_RATE = "storage_cost_per_pallet_per_day"
+
 COMPARISON_COLUMNS = (
     "scenario_id",
     "scenario_code",
@@ -71,15 +73,20 @@ def scenario_comparison(
     rows = dimension_lines(t, family_level).join(
         site_costs(t.logistics_cost_fact, cost_grain), "site_id", "left"
     )
-    cost = storage_cost(F.col("forecast_quantity"), F.col("storage_cost_per_pallet_per_day"))
+    cost = storage_cost(F.col("forecast_quantity"), F.col(_RATE))
     return rows.withColumn("projected_warehousing_cost", cost).select(*COMPARISON_COLUMNS)
 
 
 def scenario_kpis(
     t: PlanningTables, cost_grain: str = "zone", as_of: Column | None = None
 ) -> DataFrame:
-    """Headline figures per scenario."""
-    rate = F.coalesce(F.col("storage_cost_per_pallet_per_day"), dec(DEFAULT_STORAGE_RATE))
+    """Headline figures per scenario.
+
+    Two lean passes: the distinct counts, which repeat each line once per
+    counted column, see one row per forecast, and only the storage cost sees
+    one row per rate. Their results, a row per scenario each, are merged.
+    """
+    rate = F.coalesce(F.col(_RATE), dec(DEFAULT_STORAGE_RATE))
     keys = (
         "scenario_id",
         "scenario_code",
@@ -87,8 +94,8 @@ def scenario_kpis(
         "scenario_type",
         "is_official_baseline",
     )
-    sums = (
-        forecast_lines(t, ("storage_cost_per_pallet_per_day",), cost_grain)
+    volume = (
+        forecast_lines(t, (), cost_grain)
         .groupBy(*keys)
         .agg(
             F.countDistinct("product_id").alias("product_count"),
@@ -96,11 +103,23 @@ def scenario_kpis(
             weighted_sum(F.col("forecast_quantity")).alias("total_forecast_quantity"),
             weighted_sum(F.col("total_revenue")).alias("total_forecasted_revenue"),
             weighted_sum(F.col("total_cost")).alias("total_forecasted_cost"),
+        )
+    )
+    storage = (
+        forecast_lines(t, (_RATE,), cost_grain)
+        .groupBy(*keys)
+        .agg(
             weighted_sum(storage_cost(F.col("forecast_quantity"), rate)).alias(
                 "total_warehousing_cost"
-            ),
+            )
         )
     )
+    figures = [c for c in (*volume.columns, *storage.columns) if c not in keys]
+    sums = (
+        volume.unionByName(storage, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(*[F.max(c).alias(c) for c in figures])
+    )
     margin = F.col("total_forecasted_revenue") - F.col("total_forecasted_cost")
     return sums.select(
         *keys,

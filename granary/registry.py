@@ -195,7 +195,7 @@ over_tables("submit_version_receipt", lambda t: _submit(t).receipt)
 
 @query
 def submit_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The write-back fed with JSON arrays, one per order, instead of a table."""
+    """The write-back fed with JSON arrays, one per line item, instead of a table."""
     t = driver_tables(spark, sf_dir)
     line = F.struct(
         F.col("l_partkey").alias("PRODUCT_ID"),
@@ -207,10 +207,8 @@ def submit_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 1, "SUPPLY").alias("FORECAST_TYPE"),
         F.lit("0.85").alias("CONFIDENCE_LEVEL"),
     )
-    payloads = (
-        read_driver_table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.to_json(F.collect_list(line)).alias("payload"))
+    payloads = read_driver_table(spark, sf_dir, "lineitem").select(
+        F.to_json(F.array(line)).alias("payload")
     )
     change = writeback.submit_forecast_version(
         t.demand_forecast_versions, writeback.parse_updates(payloads), 3, "planner", as_of()
@@ -366,13 +364,20 @@ over_tables(
     dims=["area", "quarter"],
     filters=["baseline_only"],
 )
-over_tables(
-    "all_metrics",
-    metrics.metric_query,
-    metrics=list(metrics.COMPARISON.metrics),
-    dims=["scenario_code", "region", "fiscal_quarter"],
-    filters=["q4_only"],
-)
+
+
+def _all_metrics(t: PlanningTables) -> DataFrame:
+    rows = metrics.metric_query(
+        t,
+        metrics=list(metrics.COMPARISON.metrics),
+        dims=["scenario_code", "region", "fiscal_quarter"],
+        filters=["q4_only"],
+    )
+    ratios = ("gross_margin_percentage", "average_confidence")
+    return rows.withColumns({c: F.round(c, 6) for c in ratios})
+
+
+over_tables("all_metrics", _all_metrics)
 over_tables(
     "metric_facts",
     metrics.metric_query,

@@ -4,23 +4,42 @@ Nations become sites, parts products, suppliers work centers, and line items of
 July to December become monthly demand, which three scenarios scale. Capacities
 and rates follow from key arithmetic, so every number can be recomputed in SQL.
 Some keys also get a superseded row, so that reading only current rows matters.
+
+The mapping is a set of SQL projections; the planning code itself never sees
+the benchmark tables.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.constants import BASELINE, PLAN_YEAR, Q4_PUSH
-from granary.functions.calendar import fiscal_month_name, fiscal_quarter
-from granary.functions.numbers import dec
+from granary.constants import BASELINE, FISCAL_MONTHS, PLAN_YEAR, Q4_PUSH
 from granary.schemas import columns_of
 from granary.sources.tables import PlanningTables
 
 AS_OF = "2024-09-01 00:00:00"
 EARLIER = "2024-06-01 00:00:00"
-# Part types in the order that numbers the leaf categories.
-PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+# The columns of the benchmark tables.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id bigint, text string",
+}
 
 # Scenario id, code, name, type, official baseline.
 SCENARIOS = (
@@ -28,12 +47,19 @@ SCENARIOS = (
     (2, Q4_PUSH, "Q4 Marketing Push", "MARKETING_PUSH", False),
     (3, "CONSERVATIVE", "Conservative Estimate", "CONSERVATIVE", False),
 )
-# Scenario id, Q3 factor, Q4 factor, confidence, current version.
-DEMAND_RULES = (
-    (1, "1.00", "1.00", "0.95", True),
-    (2, "1.00", "1.30", "0.85", True),
-    (3, "0.90", "0.90", "0.75", True),
-    (2, "1.10", "1.10", "0.50", False),
+# Place, scenario id, Q3 factor, Q4 factor, confidence, current version.
+DEMAND_RULES = """array(
+    named_struct('place', 0, 'id', 1, 'q3', 1.00, 'q4', 1.00, 'sure', 0.95, 'live', true),
+    named_struct('place', 1, 'id', 2, 'q3', 1.00, 'q4', 1.30, 'sure', 0.85, 'live', true),
+    named_struct('place', 2, 'id', 3, 'q3', 0.90, 'q4', 0.90, 'sure', 0.75, 'live', true),
+    named_struct('place', 3, 'id', 2, 'q3', 1.10, 'q4', 1.10, 'sure', 0.50, 'live', false))"""
+_MONTHS = "array(" + ", ".join(f"'{m}'" for m in FISCAL_MONTHS) + ")"
+
+# Part types in alphabetical order number the leaf categories of a brand.
+_BRAND = "CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT)"
+_LEAF = (
+    f"(1000 + {_BRAND} * 10 + array_position("
+    "array('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'), p_type))"
 )
 
 
@@ -42,222 +68,190 @@ def as_of() -> Column:
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _shape(df: DataFrame, table: str) -> DataFrame:
     """Declared columns in declared order; what is not supplied is null."""
-    have = set(df.columns)
-    stamps = {"created_by_user": F.lit("system"), "created_timestamp": as_of()}
-    return df.select(
-        *[
-            (F.col(n) if n in have else stamps.get(n, F.lit(None))).cast(kind).alias(n)
-            for n, kind in columns_of(table).items()
-        ]
+    stamps = {"created_by_user": "'system'", "created_timestamp": f"'{AS_OF}'"}
+    have = {**stamps, **{c: c for c in df.columns}}
+    return df.selectExpr(
+        *[f"CAST({have.get(n, 'NULL')} AS {kind}) AS {n}" for n, kind in columns_of(table).items()]
     )
 
 
-def _with_history(df: DataFrame, has_old: Column) -> DataFrame:
+def _with_history(df: DataFrame, has_old: str) -> DataFrame:
     """Mark rows current and add a superseded twin where the condition holds."""
-    flags = F.when(has_old, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    return df.withColumn("is_current_flag", F.explode(flags)).withColumns(
-        {
-            "valid_from_timestamp": F.when(F.col("is_current_flag"), F.lit(AS_OF)).otherwise(
-                F.lit(EARLIER)
-            ),
-            "valid_to_timestamp": F.when(~F.col("is_current_flag"), F.lit(AS_OF)),
-        }
+    return df.selectExpr(
+        "*", f"explode(if({has_old}, array(true, false), array(true))) AS is_current_flag"
+    ).selectExpr(
+        "*",
+        f"if(is_current_flag, '{AS_OF}', '{EARLIER}') AS valid_from_timestamp",
+        f"if(is_current_flag, NULL, '{AS_OF}') AS valid_to_timestamp",
     )
 
 
-def _leaf_category(brand: Column, kind: Column) -> Column:
-    number = F.regexp_extract(brand, r"(\d+)$", 1).cast("bigint")
-    place = F.array_position(F.array(*[F.lit(t) for t in PART_TYPES]), kind)
-    return 1000 + number * 10 + place
-
-
 def site(nation: DataFrame, region: DataFrame) -> DataFrame:
-    key = F.col("n_nationkey")
-    plant = key % 5 == 0
-    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        key.alias("site_id"),
-        F.concat(F.when(plant, "PLT-").otherwise("WH-"), key.cast("string")).alias("site_code"),
-        F.concat("n_name", F.when(plant, F.lit(" Plant")).otherwise(" Distribution Center")).alias(
-            "site_name"
-        ),
-        F.when(plant, "PLANT").otherwise("WAREHOUSE").alias("site_type"),
-        F.col("r_name").alias("region"),
-        F.col("n_name").alias("country"),
-        F.lit("ACTIVE").alias("operating_status"),
-        (1000 + key * 10).alias("capacity_metric"),
-        F.when(plant, "UNITS_PER_MONTH").otherwise("PALLETS").alias("capacity_unit_of_measure"),
+    rows = nation.join(region, F.expr("n_regionkey = r_regionkey")).selectExpr(
+        "n_nationkey AS site_id",
+        "concat(if(n_nationkey % 5 = 0, 'PLT-', 'WH-'), n_nationkey) AS site_code",
+        "concat(n_name, if(n_nationkey % 5 = 0, ' Plant', ' Distribution Center')) AS site_name",
+        "if(n_nationkey % 5 = 0, 'PLANT', 'WAREHOUSE') AS site_type",
+        "r_name AS region",
+        "n_name AS country",
+        "'ACTIVE' AS operating_status",
+        "1000 + n_nationkey * 10 AS capacity_metric",
+        "if(n_nationkey % 5 = 0, 'UNITS_PER_MONTH', 'PALLETS') AS capacity_unit_of_measure",
     )
-    rows = _with_history(rows, F.col("site_id") % 4 == 0)
-    return _shape(rows, "site")
+    return _shape(_with_history(rows, "site_id % 4 = 0"), "site")
 
 
 def product_category(part: DataFrame) -> DataFrame:
     """Three levels: everything, brand, part type within a brand."""
-    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("bigint")
-
-    def level(depth: int, key: Column, code: Column, name: Column, parent: Column) -> Column:
-        return F.struct(
-            key.cast("bigint").alias("product_category_id"),
-            code.alias("product_category_code"),
-            name.alias("category_name"),
-            parent.cast("bigint").alias("parent_category_id"),
-            F.lit(depth).alias("category_level"),
-        )
-
-    leaf = F.concat_ws(" ", "p_brand", "p_type")
-    brand = F.col("p_brand")
     rows = (
         part.select("p_brand", "p_type")
         .distinct()
-        .select(
-            F.explode(
-                F.array(
-                    level(1, F.lit(1), F.lit("ALL"), F.lit("All Products"), F.lit(None)),
-                    level(2, 10 + number, brand, brand, F.lit(1)),
-                    level(3, _leaf_category(brand, F.col("p_type")), leaf, leaf, 10 + number),
-                )
-            ).alias("row")
+        .selectExpr(
+            f"""inline(array(
+                named_struct('product_category_id', 1L, 'product_category_code', 'ALL',
+                             'parent_category_id', CAST(NULL AS BIGINT), 'category_level', 1),
+                named_struct('product_category_id', 10 + {_BRAND},
+                             'product_category_code', p_brand,
+                             'parent_category_id', 1L, 'category_level', 2),
+                named_struct('product_category_id', {_LEAF},
+                             'product_category_code', concat(p_brand, ' ', p_type),
+                             'parent_category_id', 10 + {_BRAND}, 'category_level', 3)))"""
         )
-        .select("row.*")
         .distinct()
+        .selectExpr(
+            "*",
+            "if(category_level = 1, 'All Products', product_category_code) AS category_name",
+        )
     )
-    return _shape(_with_history(rows, F.lit(False)), "product_category")
+    return _shape(_with_history(rows, "false"), "product_category")
 
 
 def product(part: DataFrame) -> DataFrame:
-    price = F.col("p_retailprice").cast("decimal(18,4)")
-    rows = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("product_code"),
-        F.col("p_name").alias("product_name"),
-        F.lit("FINISHED_GOOD").alias("product_type"),
-        F.when(F.col("p_size") % 10 == 0, "DISCONTINUED")
-        .otherwise("ACTIVE")
-        .alias("product_status"),
-        _leaf_category(F.col("p_brand"), F.col("p_type")).alias("product_category_id"),
-        price.alias("unit_price"),
-        (price * dec("0.6", "decimal(2,1)")).cast("decimal(18,4)").alias("unit_cost"),
+    rows = part.selectExpr(
+        "p_partkey AS product_id",
+        "concat('P-', p_partkey) AS product_code",
+        "p_name AS product_name",
+        "'FINISHED_GOOD' AS product_type",
+        "if(p_size % 10 = 0, 'DISCONTINUED', 'ACTIVE') AS product_status",
+        f"{_LEAF} AS product_category_id",
+        "CAST(p_retailprice AS DECIMAL(18,4)) AS unit_price",
+        "CAST(CAST(p_retailprice AS DECIMAL(18,4)) * 0.6 AS DECIMAL(18,4)) AS unit_cost",
     )
-    rows = _with_history(rows, F.col("product_id") % 10 == 0)
-    return _shape(rows, "product")
+    return _shape(_with_history(rows, "product_id % 10 = 0"), "product")
 
 
 def work_center(supplier: DataFrame) -> DataFrame:
-    key = F.col("s_suppkey")
-    kinds = F.array(F.lit("ASSEMBLY"), F.lit("FABRICATION"), F.lit("PACKAGING"))
-    rows = supplier.select(
-        key.alias("work_center_id"),
-        F.concat(F.lit("WC-"), key.cast("string")).alias("work_center_code"),
-        F.concat(F.lit("Line "), key.cast("string")).alias("work_center_name"),
-        F.element_at(kinds, (key % 3 + 1).cast("int")).alias("work_center_type"),
-        F.col("s_nationkey").alias("site_id"),
-        (key % 20 + 5).alias("capacity_per_hour"),
-        F.when(key % 2 == 0, 16).otherwise(24).alias("hours_per_day"),
-        F.when(key % 2 == 0, 2).otherwise(3).alias("available_shifts"),
-        F.when(key % 7 != 0, (80 + key % 20) * dec("0.01", "decimal(3,2)")).alias(
-            "efficiency_factor"
-        ),
+    rows = supplier.selectExpr(
+        "s_suppkey AS work_center_id",
+        "concat('WC-', s_suppkey) AS work_center_code",
+        "concat('Line ', s_suppkey) AS work_center_name",
+        "element_at(array('ASSEMBLY', 'FABRICATION', 'PACKAGING'), CAST(s_suppkey % 3 + 1 AS INT))"
+        " AS work_center_type",
+        "s_nationkey AS site_id",
+        "s_suppkey % 5 + 1 AS capacity_per_hour",
+        "if(s_suppkey % 2 = 0, 16, 24) AS hours_per_day",
+        "if(s_suppkey % 2 = 0, 2, 3) AS available_shifts",
+        "if(s_suppkey % 7 <> 0, (80 + s_suppkey % 20) * 0.01, NULL) AS efficiency_factor",
     )
-    rows = _with_history(rows, F.col("work_center_id") % 6 == 0)
-    return _shape(rows, "work_center")
+    return _shape(_with_history(rows, "work_center_id % 6 = 0"), "work_center")
 
 
 def _zones(nation: DataFrame) -> DataFrame:
     """One to three zones per warehouse nation."""
     return (
-        nation.where(F.col("n_nationkey") % 5 != 0)
-        .select(
-            F.col("n_nationkey").cast("bigint").alias("site_id"),
-            F.explode(F.expr("sequence(1, n_nationkey % 3 + 1)")).alias("place"),
+        nation.where("n_nationkey % 5 <> 0")
+        .selectExpr(
+            "CAST(n_nationkey AS BIGINT) AS site_id",
+            "explode(sequence(1, n_nationkey % 3 + 1)) AS place",
         )
-        .withColumn("warehouse_zone_id", F.col("site_id") * 100 + F.col("place"))
+        .selectExpr("*", "site_id * 100 + place AS warehouse_zone_id")
     )
 
 
 def warehouse_zone(nation: DataFrame) -> DataFrame:
-    zone, place = F.col("warehouse_zone_id"), F.col("place")
-    kinds = F.array(F.lit("STANDARD"), F.lit("HIGH_VALUE"), F.lit("COLD_STORAGE"))
-    biggest = F.when(zone % 17 == 3, 0).otherwise(500 + zone * 37 % 1100)
-    rows = _zones(nation).select(
-        "warehouse_zone_id",
-        F.concat(F.lit("Z-"), zone.cast("string")).alias("zone_code"),
-        F.concat(F.lit("Zone "), place.cast("string")).alias("zone_name"),
-        "site_id",
-        F.element_at(kinds, place).alias("zone_type"),
-        F.lit("AMBIENT").alias("zone_temperature_control"),
-        biggest.alias("max_capacity_pallets"),
-        F.floor(biggest * (50 + zone % 45) / 100).alias("current_occupancy_pallets"),
+    rows = (
+        _zones(nation)
+        .selectExpr(
+            "*",
+            "if(warehouse_zone_id % 17 = 3, 0, 500 + warehouse_zone_id * 37 % 1100)"
+            " AS max_capacity_pallets",
+        )
+        .selectExpr(
+            "warehouse_zone_id",
+            "concat('Z-', warehouse_zone_id) AS zone_code",
+            "concat('Zone ', place) AS zone_name",
+            "site_id",
+            "element_at(array('STANDARD', 'HIGH_VALUE', 'COLD_STORAGE'), place) AS zone_type",
+            "'AMBIENT' AS zone_temperature_control",
+            "max_capacity_pallets",
+            "max_capacity_pallets * (50 + warehouse_zone_id % 45) div 100"
+            " AS current_occupancy_pallets",
+        )
     )
-    return _shape(_with_history(rows, F.col("warehouse_zone_id") % 8 == 0), "warehouse_zone")
+    return _shape(_with_history(rows, "warehouse_zone_id % 8 = 0"), "warehouse_zone")
 
 
 def logistics_cost_fact(nation: DataFrame) -> DataFrame:
-    zone = F.col("warehouse_zone_id")
-    cent = dec("0.01", "decimal(3,2)")
     rows = (
         _zones(nation)
-        .where(zone % 13 != 5)
-        .select(
-            zone.alias("logistics_cost_id"),
+        .where("warehouse_zone_id % 13 <> 5")
+        .selectExpr(
+            "warehouse_zone_id AS logistics_cost_id",
             "site_id",
             "warehouse_zone_id",
-            ((144 + zone * 7 % 200) * cent).alias("storage_cost_per_pallet_per_day"),
-            ((15 + zone % 20) * cent).alias("transport_cost_per_unit"),
-            ((356 + zone % 300) * cent).alias("handling_cost_per_pallet"),
-            ((350 + F.col("site_id") * 10) * cent).alias("overflow_penalty_rate"),
-            F.when(F.col("site_id") % 2 == 0, 85).otherwise(90).alias(
-                "overflow_penalty_threshold_pct"
-            ),
-            F.lit("2024-01-01").alias("effective_date"),
-            F.lit("2024-12-31").alias("expiry_date"),
-            F.concat(F.lit("Vendor "), F.col("site_id").cast("string")).alias("vendor_name"),
-            F.concat(F.lit("3PL-"), zone.cast("string")).alias("contract_reference"),
+            "(144 + warehouse_zone_id * 7 % 200) * 0.01 AS storage_cost_per_pallet_per_day",
+            "(15 + warehouse_zone_id % 20) * 0.01 AS transport_cost_per_unit",
+            "(356 + warehouse_zone_id % 300) * 0.01 AS handling_cost_per_pallet",
+            "(350 + site_id * 10) * 0.01 AS overflow_penalty_rate",
+            "if(site_id % 2 = 0, 85, 90) AS overflow_penalty_threshold_pct",
+            "'2024-01-01' AS effective_date",
+            "'2024-12-31' AS expiry_date",
+            "concat('Vendor ', site_id) AS vendor_name",
+            "concat('3PL-', warehouse_zone_id) AS contract_reference",
         )
     )
-    return _shape(_with_history(rows, F.col("warehouse_zone_id") % 9 == 0), "logistics_cost_fact")
+    return _shape(_with_history(rows, "warehouse_zone_id % 9 = 0"), "logistics_cost_fact")
 
 
 def scenario_definition(spark: SparkSession, region: DataFrame) -> DataFrame:
     """The three planning scenarios and one empty custom one per region."""
     fixed = spark.createDataFrame(
-        list(SCENARIOS),
+        [(*row, None) for row in SCENARIOS],
         "scenario_id bigint, scenario_code string, scenario_name string, "
-        "scenario_type string, is_official_baseline boolean",
-    ).withColumn("parent_scenario_id", F.lit(None).cast("bigint"))
-    custom = region.select(
-        (100 + F.col("r_regionkey")).cast("bigint").alias("scenario_id"),
-        F.concat(F.lit("CUSTOM_"), F.col("r_regionkey").cast("string")).alias("scenario_code"),
-        F.concat(F.lit("Plan for "), F.col("r_name")).alias("scenario_name"),
-        F.lit("CUSTOM").alias("scenario_type"),
-        F.lit(False).alias("is_official_baseline"),
-        F.lit(1).cast("bigint").alias("parent_scenario_id"),
+        "scenario_type string, is_official_baseline boolean, parent_scenario_id bigint",
     )
-    rows = fixed.unionByName(custom).withColumns(
-        {
-            "scenario_description": F.concat(F.lit("About "), F.col("scenario_name")),
-            "version_number": F.lit(1),
-        }
+    custom = region.selectExpr(
+        "CAST(100 + r_regionkey AS BIGINT) AS scenario_id",
+        "concat('CUSTOM_', r_regionkey) AS scenario_code",
+        "concat('Plan for ', r_name) AS scenario_name",
+        "'CUSTOM' AS scenario_type",
+        "false AS is_official_baseline",
+        "1L AS parent_scenario_id",
+    )
+    rows = fixed.unionByName(custom).selectExpr(
+        "*", "concat('About ', scenario_name) AS scenario_description", "1 AS version_number"
     )
     return _shape(rows, "scenario_definition")
 
 
 def monthly_sales(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """Units sold per product, nation and fiscal month (July to December)."""
-    month = F.month("l_shipdate")
     return (
-        lineitem.where(month >= 7)
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(
-            F.col("l_partkey").alias("product_id"),
-            F.col("s_nationkey").cast("bigint").alias("site_id"),
-            (month - 6).alias("ordinal"),
+        lineitem.where("month(l_shipdate) >= 7")
+        .join(supplier, F.expr("l_suppkey = s_suppkey"))
+        .selectExpr(
+            "l_partkey AS product_id",
+            "CAST(s_nationkey AS BIGINT) AS site_id",
+            "month(l_shipdate) AS m",
+            "CAST(l_quantity AS DECIMAL(8,2)) AS sold",
         )
-        .agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(14,2)").alias("units"))
+        .groupBy("product_id", "site_id", "m")
+        .agg(F.expr("CAST(sum(sold) AS DECIMAL(14,2)) AS units"))
     )
 
 
@@ -269,72 +263,52 @@ def demand_forecast_versions(
     The sales are summed before they meet the prices, so that a best-seller
     reaches the join as a few rows per task; the rules are a fixed array.
     """
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(scenario).cast("bigint").alias("scenario_id"),
-                dec(q3, "decimal(3,2)").alias("q3"),
-                dec(q4, "decimal(3,2)").alias("q4"),
-                dec(confidence, "decimal(5,2)").alias("confidence_level"),
-                F.lit(current).alias("is_current_version"),
-                F.lit(place).alias("place"),
-            )
-            for place, (scenario, q3, q4, confidence, current) in enumerate(DEMAND_RULES)
-        ]
-    )
-    prices = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_retailprice").cast("decimal(18,4)").alias("unit_revenue"),
+    prices = part.selectExpr(
+        "p_partkey AS product_id", "CAST(p_retailprice AS DECIMAL(18,4)) AS unit_revenue"
     )
-    month = F.col("ordinal") + 6
-    factor = F.when(F.col("ordinal") <= 3, F.col("rule.q3")).otherwise(F.col("rule.q4"))
-    stamp = F.when(F.col("rule.is_current_version"), AS_OF).otherwise(EARLIER)
     rows = (
         monthly_sales(lineitem, supplier)
         .join(prices, "product_id")
-        .withColumn("rule", F.explode(rules))
-        .select(
-            (
-                ((F.col("product_id") * 32 + F.col("site_id")) * 16 + month) * 4
-                + F.col("rule.place")
-            ).alias("demand_forecast_id"),
+        .selectExpr("*", f"explode({DEMAND_RULES}) AS rule")
+        .selectExpr(
+            "((product_id * 32 + site_id) * 16 + m) * 4 + rule.place AS demand_forecast_id",
             "product_id",
             "site_id",
-            "rule.scenario_id",
-            F.make_date(F.lit(PLAN_YEAR), month, F.lit(1)).alias("forecast_date"),
-            F.lit("2024-06-30").alias("forecast_creation_date"),
-            (F.col("units") * factor).cast("decimal(18,4)").alias("forecast_quantity"),
-            F.lit("DEMAND").alias("forecast_type"),
-            F.lit("HISTORY").alias("forecast_method"),
-            F.lit("MONTHLY").alias("forecast_horizon"),
-            "rule.confidence_level",
-            F.concat(
-                F.lit("FY24-"), F.upper(F.substring(fiscal_month_name(F.col("ordinal")), 1, 3))
-            ).alias("fiscal_period"),
-            fiscal_month_name(F.col("ordinal")).alias("fiscal_month"),
-            fiscal_quarter(F.col("ordinal")).alias("fiscal_quarter"),
-            F.lit(PLAN_YEAR).alias("fiscal_year"),
+            "rule.id AS scenario_id",
+            f"make_date({PLAN_YEAR}, m, 1) AS forecast_date",
+            "'2024-06-30' AS forecast_creation_date",
+            "CAST(units * if(m < 10, rule.q3, rule.q4) AS DECIMAL(18,4)) AS forecast_quantity",
+            "'DEMAND' AS forecast_type",
+            "'HISTORY' AS forecast_method",
+            "'MONTHLY' AS forecast_horizon",
+            "rule.sure AS confidence_level",
+            f"element_at({_MONTHS}, m - 6) AS fiscal_month",
+            "if(m < 10, 'Q3', 'Q4') AS fiscal_quarter",
+            f"{PLAN_YEAR} AS fiscal_year",
             "unit_revenue",
-            stamp.alias("version_timestamp"),
-            "rule.is_current_version",
+            f"if(rule.live, '{AS_OF}', '{EARLIER}') AS version_timestamp",
+            "rule.live AS is_current_version",
+        )
+        .selectExpr(
+            "*",
+            "concat('FY24-', upper(left(fiscal_month, 3))) AS fiscal_period",
+            "forecast_quantity * unit_revenue AS total_revenue",
         )
-        .withColumn("total_revenue", F.col("forecast_quantity") * F.col("unit_revenue"))
     )
     return _shape(rows, "demand_forecast_versions")
 
 
 def inventory_balance(part: DataFrame) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    rows = part.select(
-        (key + 1).alias("inventory_balance_id"),
-        key.alias("product_id"),
-        (key % 25).alias("site_id"),
-        F.when(key % 25 % 5 != 0, key % 25 * 100 + 1).alias("warehouse_zone_id"),
-        F.lit("2024-09-01").alias("balance_date"),
-        (size * 30).alias("quantity_on_hand"),
-        (size * 4).alias("quantity_reserved"),
-        (size * 26).alias("quantity_available"),
-        F.lit("EACH").alias("unit_of_measure"),
+    rows = part.selectExpr(
+        "p_partkey + 1 AS inventory_balance_id",
+        "p_partkey AS product_id",
+        "p_partkey % 25 AS site_id",
+        "if(p_partkey % 5 <> 0, p_partkey % 25 * 100 + 1, NULL) AS warehouse_zone_id",
+        "'2024-09-01' AS balance_date",
+        "p_size * 30 AS quantity_on_hand",
+        "p_size * 4 AS quantity_reserved",
+        "p_size * 26 AS quantity_available",
+        "'EACH' AS unit_of_measure",
     )
     return _shape(rows, "inventory_balance")
 
@@ -342,42 +316,38 @@ def inventory_balance(part: DataFrame) -> DataFrame:
 def driver_tables(spark: SparkSession, sf_dir: str) -> PlanningTables:
     """All nine planning tables as lazy DataFrames over the given Parquet."""
 
+    @cache
     def read(name: str) -> DataFrame:
         return read_driver_table(spark, sf_dir, name)
 
-    nation, region, part, supplier = map(read, ("nation", "region", "part", "supplier"))
     return PlanningTables(
-        product_category=product_category(part),
-        product=product(part),
-        site=site(nation, region),
-        work_center=work_center(supplier),
-        warehouse_zone=warehouse_zone(nation),
-        scenario_definition=scenario_definition(spark, region),
-        demand_forecast_versions=demand_forecast_versions(read("lineitem"), supplier, part),
-        logistics_cost_fact=logistics_cost_fact(nation),
-        inventory_balance=inventory_balance(part),
+        product_category=lambda: product_category(read("part")),
+        product=lambda: product(read("part")),
+        site=lambda: site(read("nation"), read("region")),
+        work_center=lambda: work_center(read("supplier")),
+        warehouse_zone=lambda: warehouse_zone(read("nation")),
+        scenario_definition=lambda: scenario_definition(spark, read("region")),
+        demand_forecast_versions=lambda: demand_forecast_versions(
+            read("lineitem"), read("supplier"), read("part")
+        ),
+        logistics_cost_fact=lambda: logistics_cost_fact(read("nation")),
+        inventory_balance=lambda: inventory_balance(read("part")),
     )
 
 
 def documents(df: DataFrame) -> DataFrame:
     """Documents with a path whose name tells type, vendor and region."""
-    key = F.col("doc_id").cast("string")
-    names = F.array(
-        F.concat(F.lit("northeast_3pl_contract_"), key, F.lit(".pdf")),
-        F.concat(F.lit("Warehouse_capacity_SLA_"), key, F.lit(".PDF")),
-        F.concat(F.lit("sop_meeting_minutes_"), key, F.lit(".docx")),
-        F.concat(F.lit("acme_west_"), key, F.lit(".pdf")),
-        F.concat(F.lit("acme_contract_notes_"), key, F.lit(".txt")),
-        F.concat(F.lit("report_"), key, F.lit(".pdf")),
-    )
-    folder = F.when(F.col("doc_id") % 7 == 0, F.lit("contracts")).otherwise(F.col("source"))
-    return df.select(
-        F.col("doc_id").alias("document_id"),
-        F.concat_ws("/", folder, F.get(names, (F.col("doc_id") % 6).cast("int"))).alias(
-            "relative_path"
-        ),
-        F.lit("2024-01-01").cast("date").alias("effective_date"),
-        F.when(F.col("doc_id") % 2 == 0, F.lit("2024-12-31").cast("date")).alias("expiry_date"),
+    return df.selectExpr(
+        "doc_id AS document_id",
+        """concat_ws('/', if(doc_id % 7 = 0, 'contracts', source), element_at(array(
+            concat('northeast_3pl_contract_', doc_id, '.pdf'),
+            concat('Warehouse_capacity_SLA_', doc_id, '.PDF'),
+            concat('sop_meeting_minutes_', doc_id, '.docx'),
+            concat('acme_west_', doc_id, '.pdf'),
+            concat('acme_contract_notes_', doc_id, '.txt'),
+            concat('report_', doc_id, '.pdf')), CAST(doc_id % 6 + 1 AS INT))) AS relative_path""",
+        "DATE'2024-01-01' AS effective_date",
+        "if(doc_id % 2 = 0, DATE'2024-12-31', NULL) AS expiry_date",
         "text",
     )
 
@@ -387,77 +357,59 @@ def submissions(events: DataFrame) -> DataFrame:
 
     Works on a batch and on a stream.
     """
-    key = F.col("event_id")
-    ordinal = key % 6 + 1
-    quantity = F.col("value").cast("decimal(18,4)")
-    price = (F.col("user_id") % 50 + 10).cast("decimal(18,4)")
-    return events.select(
-        key.alias("demand_forecast_id"),
-        key.alias("line_id"),
-        F.col("user_id").alias("product_id"),
-        (key % 25).alias("site_id"),
-        (F.col("user_id") % 3 + 1).alias("scenario_id"),
-        F.make_date(F.lit(PLAN_YEAR), (ordinal + 6).cast("int"), F.lit(1)).alias("forecast_date"),
-        quantity.alias("forecast_quantity"),
-        F.lit("DEMAND").alias("forecast_type"),
-        F.lit("0.90").alias("confidence_level"),
-        fiscal_month_name(ordinal).alias("fiscal_month"),
-        fiscal_quarter(ordinal).alias("fiscal_quarter"),
-        F.lit(PLAN_YEAR).alias("fiscal_year"),
-        price.alias("unit_revenue"),
-        (quantity * price).alias("total_revenue"),
-        F.date_trunc("day", F.col("ts")).alias("version_timestamp"),
+    return events.selectExpr(
+        "event_id AS demand_forecast_id",
+        "event_id AS line_id",
+        "user_id AS product_id",
+        "event_id % 25 AS site_id",
+        "user_id % 3 + 1 AS scenario_id",
+        f"make_date({PLAN_YEAR}, CAST(event_id % 6 + 7 AS INT), 1) AS forecast_date",
+        "CAST(value AS DECIMAL(18,4)) AS forecast_quantity",
+        "'DEMAND' AS forecast_type",
+        "0.90 AS confidence_level",
+        f"element_at({_MONTHS}, CAST(event_id % 6 + 1 AS INT)) AS fiscal_month",
+        "if(event_id % 6 < 3, 'Q3', 'Q4') AS fiscal_quarter",
+        f"{PLAN_YEAR} AS fiscal_year",
+        "CAST(user_id % 50 + 10 AS DECIMAL(18,4)) AS unit_revenue",
+        "CAST(value AS DECIMAL(18,4)) * (user_id % 50 + 10) AS total_revenue",
+        "date_trunc('day', ts) AS version_timestamp",
     )
 
 
 def product_text(part: DataFrame) -> DataFrame:
     """Parts as the text of a products file, with nulls, quotes and bad ids."""
-    key = F.col("p_partkey")
-    price = F.col("p_retailprice").cast("decimal(18,2)")
-    return part.select(
-        F.when(key % 50 == 49, F.concat(F.lit("x"), key.cast("string")))
-        .otherwise(key.cast("string"))
-        .alias("PRODUCT_ID"),
-        F.concat(F.lit("P-"), key.cast("string")).alias("Product_Code"),
-        F.col("p_name").alias("PRODUCT_NAME"),
-        F.concat(F.lit('size "'), F.col("p_size").cast("string"), F.lit('", '), F.col("p_type")).alias(
-            "PRODUCT_DESCRIPTION_SHORT"
-        ),
-        F.lit("FINISHED_GOOD").alias("PRODUCT_TYPE"),
-        F.when(F.col("p_size") % 5 == 0, "null").otherwise("ACTIVE").alias("PRODUCT_STATUS"),
-        _leaf_category(F.col("p_brand"), F.col("p_type")).cast("string").alias(
-            "PRODUCT_CATEGORY_ID"
-        ),
-        price.cast("string").alias("UNIT_PRICE"),
-        F.when(F.col("p_size") % 7 == 0, "NULL")
-        .when(F.col("p_size") % 7 == 1, "n/a")
-        .otherwise((price * dec("0.6", "decimal(2,1)")).cast("string"))
-        .alias("UNIT_COST"),
+    return part.selectExpr(
+        "concat(if(p_partkey % 50 = 49, 'x', ''), p_partkey) AS PRODUCT_ID",
+        "concat('P-', p_partkey) AS Product_Code",
+        "p_name AS PRODUCT_NAME",
+        "concat('size \"', p_size, '\", ', p_type) AS PRODUCT_DESCRIPTION_SHORT",
+        "'FINISHED_GOOD' AS PRODUCT_TYPE",
+        "if(p_size % 5 = 0, 'null', 'ACTIVE') AS PRODUCT_STATUS",
+        f"CAST({_LEAF} AS STRING) AS PRODUCT_CATEGORY_ID",
+        "CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING) AS UNIT_PRICE",
+        "CASE p_size % 7 WHEN 0 THEN 'NULL' WHEN 1 THEN 'n/a'"
+        " ELSE CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 0.6 AS STRING) END AS UNIT_COST",
     )
 
 
 def forecast_text(lineitem: DataFrame) -> DataFrame:
     """Line items as the text of a forecast file; every quantity ends in .5."""
-    order, line = F.col("l_orderkey"), F.col("l_linenumber")
-    date = F.date_format("l_shipdate", "yyyy-MM-dd")
-    columns = {
-        "DEMAND_FORECAST_ID": (order * 8 + line).cast("string"),
-        "PRODUCT_ID": F.col("l_partkey").cast("string"),
-        "SITE_ID": (F.col("l_suppkey") % 25).cast("string"),
-        "FORECAST_DATE": F.when(line == 7, F.lit("2024-13-01")).otherwise(date),
-        "FORECAST_CREATION_DATE": F.lit("NULL"),
-        "FORECAST_QUANTITY": (
-            F.col("l_quantity").cast("decimal(12,2)") + dec("0.5", "decimal(2,1)")
-        ).cast("string"),
-        "FORECAST_TYPE": F.lit("DEMAND"),
-        "FORECAST_METHOD": F.lit("HISTORY"),
-        "FORECAST_HORIZON": F.lit("MONTHLY"),
-        "CONFIDENCE_LEVEL": F.lit("0.85"),
-        "SCENARIO_ID": (line % 3 + 1).cast("string"),
-        "FISCAL_PERIOD": F.lit(""),
-        "FISCAL_MONTH": F.date_format("l_shipdate", "MMMM"),
-        "FISCAL_QUARTER": F.concat(F.lit("Q"), F.quarter("l_shipdate").cast("string")),
-        "FISCAL_YEAR": F.year("l_shipdate").cast("string"),
-        "UNIT_REVENUE": F.col("l_extendedprice").cast("decimal(12,2)").cast("string"),
-    }
-    return lineitem.select(*[c.alias(n) for n, c in columns.items()])
+    return lineitem.selectExpr(
+        "CAST(l_orderkey * 8 + l_linenumber AS STRING) AS DEMAND_FORECAST_ID",
+        "CAST(l_partkey AS STRING) AS PRODUCT_ID",
+        "CAST(l_suppkey % 25 AS STRING) AS SITE_ID",
+        "if(l_linenumber = 7, '2024-13-01', date_format(l_shipdate, 'yyyy-MM-dd'))"
+        " AS FORECAST_DATE",
+        "'NULL' AS FORECAST_CREATION_DATE",
+        "CAST(CAST(l_quantity AS DECIMAL(12,2)) + 0.5 AS STRING) AS FORECAST_QUANTITY",
+        "'DEMAND' AS FORECAST_TYPE",
+        "'HISTORY' AS FORECAST_METHOD",
+        "'MONTHLY' AS FORECAST_HORIZON",
+        "'0.85' AS CONFIDENCE_LEVEL",
+        "CAST(l_linenumber % 3 + 1 AS STRING) AS SCENARIO_ID",
+        "'' AS FISCAL_PERIOD",
+        "date_format(l_shipdate, 'MMMM') AS FISCAL_MONTH",
+        "concat('Q', quarter(l_shipdate)) AS FISCAL_QUARTER",
+        "CAST(year(l_shipdate) AS STRING) AS FISCAL_YEAR",
+        "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING) AS UNIT_REVENUE",
+    )

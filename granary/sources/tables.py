@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.schemas import columns_of, struct_of
+from granary.schemas import ATOMIC, columns_of, struct_of
+
+Source = DataFrame | Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class PlanningTables:
-    """The nine atomic tables as lazy DataFrames."""
-
-    product_category: DataFrame
-    product: DataFrame
-    site: DataFrame
-    work_center: DataFrame
-    warehouse_zone: DataFrame
-    scenario_definition: DataFrame
-    demand_forecast_versions: DataFrame
-    logistics_cost_fact: DataFrame
-    inventory_balance: DataFrame
-
-    @classmethod
-    def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+    """The nine atomic tables as attributes, each resolved on first use.
+
+    A table may be given as a function, so that a query describes only the
+    tables it reads.
+    """
+
+    def __init__(self, **sources: Source) -> None:
+        unknown = sorted(set(sources) - set(ATOMIC))
+        if unknown:
+            raise TypeError(f"no such planning tables: {unknown}")
+        self._sources = dict(sources)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        sources = self.__dict__.get("_sources", {})
+        if name not in sources:
+            raise AttributeError(name)
+        if not isinstance(sources[name], DataFrame):
+            sources[name] = sources[name]()
+        return sources[name]
+
+    @staticmethod
+    def names() -> list[str]:
+        return list(ATOMIC)
 
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in self.names()]
 
-    def with_(self, **changed: DataFrame) -> PlanningTables:
+    def with_(self, **changed: Source) -> PlanningTables:
         """The same set with some tables replaced."""
-        return replace(self, **changed)
+        return PlanningTables(**{**self._sources, **changed})
 
 
 PARTITIONED_BY = {"demand_forecast_versions": ("scenario_id",)}
@@ -63,4 +73,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_tables(spark: SparkSession, root: str) -> PlanningTables:
     """All nine stored tables as lazy scans."""
-    return PlanningTables(**{n: read_table(spark, root, n) for n in PlanningTables.names()})
+    return PlanningTables(
+        **{n: partial(read_table, spark, root, n) for n in PlanningTables.names()}
+    )

@@ -38,7 +38,7 @@ BASE: dict[str, str] = {
                'Line ' || s_suppkey AS work_center_name,
                ['ASSEMBLY','FABRICATION','PACKAGING'][s_suppkey % 3 + 1] AS work_center_type,
                CAST(s_nationkey AS BIGINT) AS site_id,
-               CAST(s_suppkey % 20 + 5 AS DECIMAL(18,4)) AS capacity_per_hour,
+               CAST(s_suppkey % 5 + 1 AS DECIMAL(18,4)) AS capacity_per_hour,
                CAST(CASE WHEN s_suppkey % 2 = 0 THEN 16 ELSE 24 END AS DECIMAL(8,2)) AS hours_per_day,
                CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END AS available_shifts,
                CASE WHEN s_suppkey % 7 <> 0
@@ -318,3 +318,932 @@ BUILDUP = """
           WINDOW w AS (PARTITION BY scenario_id ORDER BY {step}))"""
 ORACLES["inventory_buildup"] = sql(BUILDUP.format(step="fiscal_month"))
 ORACLES["inventory_buildup_fiscal"] = sql(BUILDUP.format(step="ordinal"))
+
+# Executive dashboard ---------------------------------------------------------
+
+ORACLES["planning_stats"] = sql(
+    f"""
+    SELECT count(DISTINCT scenario_code) AS scenarios, count(DISTINCT product_id) AS products,
+           count(DISTINCT site_id) AS sites, {d4("sum(forecast_quantity)", "total_forecast")}
+    FROM comparison"""
+)
+SUMMARY = f"""
+    SELECT scenario_code, scenario_name, fiscal_quarter,
+           {d4("sum(forecast_quantity)", "total_demand")},
+           {d2("sum(total_revenue)", "total_revenue")},
+           count(DISTINCT product_id) AS product_count, count(DISTINCT site_id) AS site_count
+    FROM {{rows}} GROUP BY ALL"""
+ORACLES["scenario_summary"] = sql(SUMMARY.format(rows="comparison"))
+ORACLES["scenario_summary_site_avg"] = sql(SUMMARY.format(rows="line"))
+
+SITE_COST = """
+    SELECT scenario_code, scenario_name, site_name, demand, storage_cost, capacity_threshold,
+           overflow_rate,
+           CASE WHEN CAST(demand AS DOUBLE) - 10000.0 * capacity_threshold / 100 > 0
+                THEN round((CAST(demand AS DOUBLE) - 10000.0 * capacity_threshold / 100)
+                           / 10 * overflow_rate * 30, 2)
+                ELSE CAST(0 AS DOUBLE) END AS overflow_cost
+    FROM (SELECT scenario_code, scenario_name, site_name, sum(forecast_quantity) AS demand,
+                 sum(projected_warehousing_cost) AS storage_cost,
+                 CAST(sum(overflow_penalty_threshold_pct) AS DOUBLE)
+                   / count(overflow_penalty_threshold_pct) AS capacity_threshold,
+                 CAST(sum(overflow_penalty_rate) AS DOUBLE)
+                   / count(overflow_penalty_rate) AS overflow_rate
+          FROM comparison WHERE fiscal_quarter IN ('Q3', 'Q4') GROUP BY ALL)"""
+ORACLES["warehouse_cost"] = sql(
+    f"""
+    SELECT scenario_code, scenario_name, site_name, {d4("demand", "demand")},
+           {d2("storage_cost", "storage_cost")}, capacity_threshold, overflow_rate, overflow_cost
+    FROM site_cost""",
+    site_cost=SITE_COST,
+)
+DEMAND_BY_MONTH = f"""
+    SELECT scenario_code, fiscal_month, fiscal_quarter,
+           {d4("sum(forecast_quantity)", "total_demand")},
+           {d2("sum(total_revenue)", "total_revenue")}, ordinal AS month_order
+    FROM comparison GROUP BY scenario_code, fiscal_month, fiscal_quarter, ordinal"""
+ORACLES["monthly_demand"] = sql(DEMAND_BY_MONTH)
+ORACLES["monthly_demand_report"] = sql(DEMAND_BY_MONTH + "\n    ORDER BY scenario_code, ordinal")
+ORACLES["demand_preview_rows"] = sql(
+    DEMAND_BY_MONTH + "\n    ORDER BY scenario_code, fiscal_month LIMIT 10"
+)
+ORACLES["available_scenarios"] = sql(
+    """
+    SELECT DISTINCT scenario_id, scenario_code, scenario_name, is_official_baseline
+    FROM scenario WHERE scenario_code IN (SELECT scenario_code FROM line)"""
+)
+ORACLES["headline_kpis"] = sql(
+    """
+    SELECT base_demand, other_demand,
+           round((other_demand - base_demand) / base_demand * 100, 2) AS demand_delta_pct,
+           base_cost, other_cost, other_overflow,
+           round((other_cost - base_cost) / base_cost * 100, 2) AS cost_delta_pct,
+           round((other_cost - base_cost) / base_cost * 100, 2) > 15 AS cost_alert
+    FROM (SELECT
+             CAST(sum(demand) FILTER (scenario_code = 'BASELINE') AS DOUBLE) AS base_demand,
+             CAST(sum(demand) FILTER (scenario_code = 'Q4_PUSH') AS DOUBLE) AS other_demand,
+             round(CAST(sum(storage_cost) FILTER (scenario_code = 'BASELINE') AS DOUBLE)
+                   + round(sum(overflow_cost) FILTER (scenario_code = 'BASELINE'), 2), 2)
+               AS base_cost,
+             round(CAST(sum(storage_cost) FILTER (scenario_code = 'Q4_PUSH') AS DOUBLE)
+                   + round(sum(overflow_cost) FILTER (scenario_code = 'Q4_PUSH'), 2), 2)
+               AS other_cost,
+             round(sum(overflow_cost) FILTER (scenario_code = 'Q4_PUSH'), 2) AS other_overflow
+          FROM site_cost)""",
+    site_cost=SITE_COST,
+)
+_CELLS = ",\n           ".join(
+    f"round(coalesce(sum({value}) FILTER (scenario_code = '{code}'), 0), 0)"
+    f" AS {code.lower()}_{name}"
+    for code in ("BASELINE", "Q4_PUSH", "CONSERVATIVE")
+    for name, value in (
+        ("storage_cost", "CAST(storage_cost AS DOUBLE)"),
+        ("overflow_cost", "overflow_cost"),
+        ("total_warehouse_cost", "CAST(storage_cost AS DOUBLE) + overflow_cost"),
+    )
+)
+ORACLES["cost_matrix"] = sql(
+    f"""
+    SELECT site_name, {_CELLS},
+           round(sum(CAST(storage_cost AS DOUBLE) + overflow_cost), 0) AS all_scenarios
+    FROM site_cost GROUP BY site_name""",
+    site_cost=SITE_COST,
+)
+MATRIX = """
+    SELECT fiscal_month, ordinal AS month_order,
+           CAST(sum(forecast_quantity) FILTER (scenario_code = 'BASELINE') AS DOUBLE)
+             AS "BASELINE",
+           CAST(sum(forecast_quantity) FILTER (scenario_code = 'Q4_PUSH') AS DOUBLE) AS "Q4_PUSH",
+           CAST(sum(forecast_quantity) FILTER (scenario_code = 'CONSERVATIVE') AS DOUBLE)
+             AS "CONSERVATIVE"
+    FROM comparison GROUP BY fiscal_month, ordinal"""
+ORACLES["demand_matrix"] = sql(MATRIX)
+ORACLES["demand_increase"] = sql(
+    """
+    SELECT fiscal_month, month_order, round(increase, 4) AS increase_pct,
+           CASE WHEN month_order > 3
+                THEN round(avg(increase) FILTER (month_order > 3) OVER (), 4) END
+             AS q4_mean_increase_pct
+    FROM (SELECT *, ("Q4_PUSH" - "BASELINE") / "BASELINE" * 100 AS increase FROM matrix)""",
+    matrix=MATRIX,
+)
+ORACLES["bottleneck_site"] = sql(
+    """
+    SELECT site_name, overflow_cost FROM site_cost WHERE scenario_code = 'Q4_PUSH'
+    ORDER BY overflow_cost DESC, site_name LIMIT 1""",
+    site_cost=SITE_COST,
+)
+ORACLES["cost_verdict"] = sql(
+    f"""
+    SELECT {d2("b.storage", "base_cost")}, {d2("o.storage", "other_cost")},
+           CASE WHEN o.storage > b.storage THEN 'HIGHER' ELSE 'LOWER' END AS verdict
+    FROM kpis b, (SELECT * FROM kpis) o
+    WHERE b.scenario_code = 'BASELINE' AND o.scenario_code = 'Q4_PUSH'""",
+    kpis=KPIS.format(rates="cost"),
+)
+
+# Capacity --------------------------------------------------------------------
+
+ORACLES["capacity_by_line"] = sql(
+    """
+    SELECT site_name, work_center_name, CAST(max_daily_capacity AS DOUBLE) AS max_daily_capacity,
+           CAST(max_monthly_capacity AS DOUBLE) AS max_monthly_capacity,
+           CAST(hours_per_day AS DOUBLE) AS hours_per_day,
+           CAST(efficiency_factor AS DOUBLE) AS efficiency_factor
+    FROM capacity"""
+)
+STATUS = f"""
+    SELECT site_name, zone_name, max_capacity_pallets, current_occupancy_pallets, zone_type,
+           CAST(storage_rate AS DOUBLE) AS storage_cost,
+           CAST(overflow_penalty_threshold_pct AS DOUBLE) AS capacity_threshold_percent,
+           CAST(overflow_penalty_rate AS DOUBLE) AS overflow_cost_factor,
+           {half_up("(current_occupancy_pallets * 100)", "max_capacity_pallets", 1)}
+             AS utilization_pct
+    FROM zone_full"""
+BANDED = """
+    SELECT *, CASE WHEN utilization_pct >= 90 THEN 'danger' WHEN utilization_pct >= 80
+                   THEN 'warning' ELSE 'ok' END AS band
+    FROM status"""
+ORACLES["zone_status"] = sql(BANDED, status=STATUS)
+ORACLES["zones_at_risk"] = sql(BANDED + " WHERE utilization_pct >= 80", status=STATUS)
+ORACLES["site_capacity"] = sql(
+    """
+    SELECT site_name, CAST(sum(max_monthly_capacity) AS DOUBLE) AS max_monthly_capacity,
+           CAST(sum(max_daily_capacity) AS DOUBLE) AS max_daily_capacity
+    FROM capacity GROUP BY site_name"""
+)
+ORACLES["total_capacity"] = sql(
+    """
+    SELECT CAST(sum(max_daily_capacity) AS DOUBLE) AS daily_capacity,
+           CAST(sum(max_monthly_capacity) AS DOUBLE) AS monthly_capacity
+    FROM capacity"""
+)
+ORACLES["warehouse_totals"] = sql(
+    """
+    SELECT CAST(sum(max_capacity_pallets) AS BIGINT) AS total_capacity_pallets,
+           CAST(sum(current_occupancy_pallets) AS BIGINT) AS current_occupancy_pallets
+    FROM zone_full WHERE site_type = 'WAREHOUSE'"""
+)
+ORACLES["capacity_overview"] = sql(
+    f"""
+    SELECT (SELECT CAST(sum(max_monthly_capacity) AS DOUBLE) FROM capacity)
+             AS monthly_production_capacity,
+           CAST(sum(max_capacity_pallets) AS BIGINT) AS total_capacity_pallets,
+           CAST(sum(current_occupancy_pallets) AS BIGINT) AS occupied_pallets,
+           {half_up("(sum(current_occupancy_pallets) * 100)", "sum(max_capacity_pallets)", 1)}
+             AS utilization_pct,
+           count(DISTINCT CASE WHEN utilization_pct > 80 THEN site_name END) AS sites_at_risk
+    FROM status""",
+    status=STATUS,
+)
+VERSUS = f"""
+    SELECT fiscal_month, fiscal_quarter, scenario_code, ordinal AS month_order,
+           CAST(demand AS DOUBLE) AS total_demand, CAST(cap AS DOUBLE) AS total_capacity,
+           CAST(cap - demand AS DOUBLE) AS gap,
+           {half_up("((cap - demand) * 1000000)", "CAST(cap * 10000 AS BIGINT)")} AS gap_pct
+    FROM (SELECT fiscal_month, fiscal_quarter, scenario_code, ordinal,
+                 CAST(sum(forecast_quantity) AS DECIMAL(20,4)) AS demand,
+                 (SELECT CAST(sum(max_monthly_capacity) AS DECIMAL(20,4)) FROM capacity) AS cap
+          FROM comparison GROUP BY ALL)"""
+ORACLES["demand_vs_capacity"] = sql(VERSUS)
+ORACLES["capacity_shortfalls"] = sql(
+    VERSUS + "\n    WHERE scenario_code = 'Q4_PUSH' AND cap < demand"
+)
+
+# Scenario builder ------------------------------------------------------------
+
+ORACLES["builder_scenarios"] = sql(
+    """
+    SELECT scenario_id, scenario_code, scenario_name,
+           'About ' || scenario_name AS scenario_description, is_official_baseline
+    FROM scenario ORDER BY is_official_baseline DESC, scenario_name"""
+)
+ORACLES["builder_products"] = sql(
+    """
+    SELECT DISTINCT product_id, product_name, product_family AS category_name FROM product"""
+)
+ORACLES["builder_sites"] = sql("SELECT DISTINCT site_id, site_name, site_code FROM site")
+ORACLES["forecast_detail"] = sql(
+    """
+    SELECT demand_forecast_id, product_id, product_name, site_id, site_name, forecast_date,
+           CAST(forecast_quantity AS DOUBLE) AS forecast_quantity, scenario_id, scenario_code
+    FROM line"""
+)
+ORACLES["scenario_detail"] = sql(
+    """
+    SELECT product_name, site_name, fiscal_month, fiscal_quarter,
+           CAST(forecast_quantity AS DOUBLE) AS forecast_quantity,
+           CAST(total_revenue AS DOUBLE) AS total_revenue
+    FROM comparison WHERE scenario_id = 2"""
+)
+ORACLES["scenario_month_totals"] = sql(
+    f"""
+    SELECT fiscal_month, fiscal_quarter, {d4("sum(forecast_quantity)", "forecast_quantity")},
+           {d2("sum(total_revenue)", "total_revenue")}, ordinal AS month_order
+    FROM comparison WHERE scenario_id = 2 GROUP BY fiscal_month, fiscal_quarter, ordinal"""
+)
+PREVIEW = """
+    SELECT fiscal_quarter, CAST(count(*) AS BIGINT) AS affected_rows,
+           CAST(sum(forecast_quantity) AS DOUBLE) AS current_total,
+           CAST({projected} AS DOUBLE) AS projected_total
+    FROM {rows} WHERE scenario_id = 2 {filter} GROUP BY fiscal_quarter"""
+ORACLES["preview_percent"] = sql(
+    PREVIEW.format(
+        projected="round(sum(forecast_quantity) * 1.15, 4)", rows="comparison", filter=""
+    )
+)
+ORACLES["preview_units"] = sql(
+    PREVIEW.format(
+        projected="sum(forecast_quantity) + 100",
+        rows="comparison",
+        filter="AND fiscal_quarter = 'Q4'",
+    )
+)
+ORACLES["preview_units_per_row"] = sql(
+    PREVIEW.format(projected="sum(forecast_quantity + 100)", rows="line", filter="")
+)
+ORACLES["preview_totals"] = sql(
+    """
+    SELECT current_total, projected_total,
+           round((projected_total - current_total) / current_total * 100, 2) AS change_pct
+    FROM (SELECT CAST(sum(forecast_quantity) AS DOUBLE) AS current_total,
+                 CAST(round(sum(forecast_quantity) * 1.15, 4) AS DOUBLE) AS projected_total
+          FROM comparison WHERE scenario_id = 2)"""
+)
+
+# Write-back ------------------------------------------------------------------
+
+BY_VERSION = """
+    SELECT scenario_id, is_current_version, forecast_method, forecast_type, updated_by_user,
+           count(*) AS row_count, count(DISTINCT demand_forecast_id) AS ids,
+           max(demand_forecast_id) AS last_id,
+           CAST(round(sum(forecast_quantity), 4) AS DOUBLE) AS quantity,
+           CAST(round(sum(total_revenue), 2) AS DOUBLE) AS revenue, count(fiscal_month) AS months
+    FROM changed GROUP BY ALL"""
+STORED = """
+    SELECT demand_forecast_id, product_id, site_id, scenario_id, forecast_quantity,
+           CAST(forecast_quantity * unit_revenue AS DECIMAL(18,2)) AS total_revenue,
+           unit_revenue, forecast_date, fiscal_month, fiscal_quarter, is_current_version,
+           'HISTORY' AS forecast_method, 'DEMAND' AS forecast_type,
+           CAST(NULL AS VARCHAR) AS updated_by_user
+    FROM versions"""
+_KEEP = "demand_forecast_id, scenario_id, forecast_quantity, total_revenue, fiscal_month"
+SUBMITTED = """
+    SELECT demand_forecast_id, scenario_id, forecast_quantity, total_revenue, fiscal_month,
+           is_current_version AND scenario_id <> {target} AS is_current_version,
+           forecast_method, forecast_type,
+           CASE WHEN scenario_id = {target} AND is_current_version THEN 'planner' END
+             AS updated_by_user
+    FROM stored
+    UNION ALL {fresh}"""
+RESUBMITTED = """
+    SELECT (SELECT max(demand_forecast_id) FROM stored)
+             + row_number() OVER (ORDER BY product_id, site_id, forecast_date),
+           2, q, CAST({counted} * unit_revenue AS DECIMAL(18,2)), fiscal_month, TRUE,
+           'MANUAL_ADJUSTMENT', 'DEMAND', NULL
+    FROM (SELECT *, CAST(forecast_quantity * 1.07 AS DECIMAL(18,4)) AS q FROM stored
+          WHERE scenario_id = 2 AND is_current_version)"""
+ORACLES["submit_version"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=SUBMITTED.format(
+        target=2, fresh=RESUBMITTED.format(counted="CAST(q AS DECIMAL(18,0))")
+    ),
+)
+ORACLES["submit_version_declared"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=SUBMITTED.format(target=2, fresh=RESUBMITTED.format(counted="q")),
+)
+ORACLES["submit_version_receipt"] = sql(
+    """
+    SELECT 'SUCCESS' AS status, count(*) AS rows_superseded, count(*) AS rows_inserted,
+           CAST(2 AS BIGINT) AS scenario_id, TIMESTAMP '2024-09-01' AS version_timestamp,
+           'planner' AS submitted_by
+    FROM forecast WHERE scenario_id = 2"""
+)
+ORACLES["submit_json_payload"] = sql(
+    BY_VERSION + " HAVING scenario_id = 3",
+    stored=STORED,
+    changed=SUBMITTED.format(
+        target=3,
+        fresh="""
+    SELECT (SELECT max(demand_forecast_id) FROM stored) + row_number() OVER (
+             ORDER BY l_partkey, l_suppkey % 25, CAST(l_shipdate AS DATE), l_quantity),
+           3, CAST(l_quantity + 0.5 AS DECIMAL(18,4)),
+           CAST(CAST(l_quantity + 1 AS DECIMAL(18,0)) * 2.25 AS DECIMAL(18,2)),
+           monthname(l_shipdate), TRUE, 'MANUAL_ADJUSTMENT',
+           CASE WHEN l_linenumber = 1 THEN 'SUPPLY' ELSE 'DEMAND' END, NULL
+    FROM lineitem""",
+    ),
+)
+ORACLES["dense_key_allocation"] = """
+    SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey,
+           CAST((SELECT max(o_orderkey) FROM orders) + row_number() OVER (
+             ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey) AS BIGINT) AS "key"
+    FROM lineitem"""
+COPIED = """
+    SELECT demand_forecast_id, scenario_id, forecast_quantity, total_revenue, fiscal_month,
+           is_current_version, forecast_method, forecast_type, updated_by_user
+    FROM stored
+    UNION ALL
+    SELECT (SELECT max(demand_forecast_id) FROM stored)
+             + row_number() OVER (ORDER BY demand_forecast_id),
+           (SELECT max(scenario_id) + 1 FROM scenario), forecast_quantity, {columns}
+    FROM stored WHERE scenario_id = 2 AND is_current_version"""
+ORACLES["copy_scenario"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=COPIED.format(
+        columns="total_revenue, fiscal_month, TRUE, forecast_method, forecast_type, NULL"
+    ),
+)
+ORACLES["copy_scenario_minimal"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=COPIED.format(columns="NULL, NULL, TRUE, NULL, 'Copied', NULL"),
+)
+ORACLES["copy_scenario_definitions"] = sql(
+    """
+    SELECT scenario_id, scenario_code, scenario_name,
+           'About ' || scenario_name AS scenario_description, scenario_type,
+           is_official_baseline, CAST(1 AS BIGINT) AS version_number, parent_scenario_id
+    FROM scenario
+    UNION ALL
+    SELECT (SELECT max(scenario_id) + 1 FROM scenario), 'SHORTAGE_Q4', 'Supply Shortage Q4',
+           'Copy of ' || scenario_name, 'CUSTOM', FALSE, 1, 2
+    FROM scenario WHERE scenario_id = 2"""
+)
+ORACLES["copy_scenario_receipt"] = sql(
+    """
+    SELECT '{"status":"SUCCESS","new_scenario_id":'
+           || (SELECT max(scenario_id) + 1 FROM scenario)
+           || ',"new_scenario_code":"SHORTAGE_Q4","source_scenario_id":2,"forecasts_copied":'
+           || count(*) || ',"created_by":"planner"}' AS receipt
+    FROM forecast WHERE scenario_id = 2"""
+)
+ADJUSTED = """
+    SELECT demand_forecast_id, scenario_id,
+           CASE WHEN hit THEN CAST({moved} AS DECIMAL(18,4)) ELSE forecast_quantity END
+             AS forecast_quantity,
+           {revenue} AS total_revenue, fiscal_month, is_current_version, forecast_method,
+           forecast_type, CASE WHEN hit THEN 'planner' END AS updated_by_user
+    FROM (SELECT *, scenario_id = 2 AND is_current_version AND {hit} AS hit FROM stored)"""
+ORACLES["adjust_percent"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=ADJUSTED.format(
+        moved="forecast_quantity * 1.15",
+        revenue="total_revenue",
+        hit="month(forecast_date) IN (10, 11, 12)",
+    ),
+)
+ORACLES["adjust_units"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=ADJUSTED.format(
+        moved="forecast_quantity + 100",
+        revenue="CASE WHEN hit THEN CAST((forecast_quantity + 100) * unit_revenue "
+        "AS DECIMAL(18,2)) ELSE total_revenue END",
+        hit="TRUE",
+    ),
+)
+ORACLES["adjust_filtered"] = sql(
+    BY_VERSION,
+    stored=STORED,
+    changed=ADJUSTED.format(
+        moved="forecast_quantity * 0.90",
+        revenue="total_revenue",
+        hit="site_id = 6 AND product_id IN (SELECT product_id FROM product "
+        "WHERE product_family = 'Brand#7 PROMO')",
+    ),
+)
+ORACLES["upsert_products"] = sql(
+    """
+    SELECT is_current_flag, updated_by_user, created_by_user, count(*) AS row_count,
+           CAST(sum(unit_price) AS DOUBLE) AS price,
+           count(DISTINCT product_id) AS products, count(valid_to) AS closed
+    FROM (
+        SELECT product_id, unit_price, FALSE AS is_current_flag, 1 AS valid_to,
+               CAST(NULL AS VARCHAR) AS updated_by_user, 'system' AS created_by_user
+        FROM product WHERE product_id % 10 = 0
+        UNION ALL
+        SELECT product_id, unit_price, TRUE, NULL, NULL, 'system' FROM product
+        WHERE product_id % 3 <> 0 OR product_id % 30 = 0
+        UNION ALL
+        SELECT product_id, unit_price, FALSE, 1, 'planner', 'system' FROM product
+        WHERE product_id % 3 = 0 AND product_id % 30 <> 0
+        UNION ALL
+        SELECT product_id, unit_price + 5, TRUE, NULL, NULL, 'planner' FROM product
+        WHERE product_id % 3 = 0)
+    GROUP BY ALL"""
+)
+
+# Build plan ------------------------------------------------------------------
+# The oracle solves each plan by a backward and a forward recursion over the six
+# months, written out, instead of running sums and maxima.
+
+_DEMANDS = ",\n           ".join(
+    f"CAST(floor(coalesce(sum(q) FILTER (ordinal = {m}), 0)) AS BIGINT) AS d{m}"
+    for m in range(1, 7)
+)
+_SAFETY = ", ".join(
+    f"CAST(floor(d{m + 1} * 0.15) AS BIGINT) AS s{m}" if m < 6 else "0 AS s6" for m in range(1, 7)
+)
+
+
+def plan_oracle(keys: str, rows: str, limits: str, extra_from: str = "") -> dict[str, str]:
+    """CTEs from monthly demand to the solved plan."""
+    ctes = {
+        "monthly": f"SELECT {keys}, {_DEMANDS} FROM {rows} GROUP BY {keys}",
+        "limited": f"SELECT m.*, {limits} FROM monthly m {extra_from}",
+        "safe": f"SELECT *, {_SAFETY}, 0 AS r6 FROM limited",
+    }
+    previous = "safe"
+    for m in range(5, 0, -1):
+        ctes[f"back{m}"] = (
+            f"SELECT *, greatest(s{m}, r{m + 1} + d{m + 1} - capacity) AS r{m} FROM {previous}"
+        )
+        previous = f"back{m}"
+    for m in range(1, 7):
+        before = "initial_inventory" if m == 1 else f"i{m - 1}"
+        ctes[f"forth{m}"] = (
+            f"SELECT *, greatest(r{m}, {before} - d{m}) AS i{m},"
+            f" greatest(r{m}, {before} - d{m}) - {before} + d{m} AS p{m} FROM {previous}"
+        )
+        previous = f"forth{m}"
+    fits = " AND ".join(
+        f"p{m} BETWEEN 0 AND capacity AND i{m} >= s{m} AND i{m} BETWEEN 0 AND max_inventory"
+        for m in range(1, 7)
+    )
+    ctes["solved"] = f"SELECT *, {fits} AS ok FROM {previous}"
+    cells = ", ".join(
+        f"{{'period': {m}, 'demand': d{m}, 'safety': s{m}, 'made': p{m}, 'held': i{m}}}"
+        for m in range(1, 7)
+    )
+    ctes["cells"] = (
+        f"SELECT {keys}, capacity, max_inventory, initial_inventory, ok,"
+        f" unnest([{cells}]) AS c FROM solved"
+    )
+    ctes["plan"] = f"""
+        SELECT {keys}, c.period AS period, c.demand AS demand, capacity, max_inventory,
+               initial_inventory, CAST(c.safety AS BIGINT) AS safety_stock,
+               CASE WHEN ok THEN 'Optimal' ELSE 'Infeasible' END AS status,
+               CASE WHEN ok THEN c.made END AS production,
+               CASE WHEN ok THEN c.held END AS ending_inventory,
+               CASE WHEN ok THEN CAST(c.made AS DOUBLE) END AS production_cost,
+               CASE WHEN ok THEN CAST(c.held * 0.22 AS DOUBLE) END AS storage_cost
+        FROM cells"""
+    return ctes
+
+
+PUSHED = "(SELECT *, forecast_quantity AS q FROM {rows} WHERE scenario_id IN (1, 2))"
+LIMITS = """
+    SELECT (SELECT CAST(floor(sum(max_monthly_capacity)) AS BIGINT) FROM capacity) AS capacity,
+           CAST(floor(sum(max_capacity_pallets) * 10 * 0.87) AS BIGINT) AS max_inventory,
+           CAST(sum(current_occupancy_pallets) * 10 AS BIGINT) AS initial_inventory
+    FROM zone_full WHERE site_type = 'WAREHOUSE'"""
+ORACLES["plan_limits"] = sql(LIMITS)
+ORACLES["network_plan"] = sql(
+    "SELECT * FROM plan",
+    net=LIMITS,
+    **plan_oracle(
+        "scenario_id, scenario_code",
+        PUSHED.format(rows="comparison"),
+        "capacity, max_inventory, initial_inventory",
+        "CROSS JOIN net",
+    ),
+)
+ORACLES["site_plans"] = sql(
+    "SELECT * FROM plan",
+    made="SELECT site_id, CAST(floor(sum(max_monthly_capacity)) AS BIGINT) AS capacity "
+    "FROM capacity GROUP BY site_id",
+    stock="""SELECT site_id,
+                    CAST(floor(sum(max_capacity_pallets) * 10 * 0.87) AS BIGINT) AS most,
+                    CAST(sum(current_occupancy_pallets) * 10 AS BIGINT) AS held
+             FROM zone GROUP BY site_id""",
+    **plan_oracle(
+        "scenario_id, scenario_code, site_id",
+        PUSHED.format(rows="comparison"),
+        "coalesce(capacity, 0) AS capacity, coalesce(most, 0) AS max_inventory, "
+        "coalesce(held, 0) AS initial_inventory",
+        "LEFT JOIN made USING (site_id) LEFT JOIN stock USING (site_id)",
+    ),
+)
+_SUM6 = "(" + " + ".join(f"d{m}" for m in range(1, 7)) + ")"
+PRODUCT_PLAN = plan_oracle(
+    "scenario_id, scenario_code, product_id",
+    PUSHED.format(rows="line"),
+    f"{_SUM6} * 11 // 60 AS capacity, {_SUM6} * 2 // 6 AS max_inventory, "
+    f"{_SUM6} // 12 AS initial_inventory",
+)
+ORACLES["product_plans"] = sql("SELECT * FROM plan", **PRODUCT_PLAN)
+SCHEDULE = f"""
+    SELECT scenario_id, scenario_code, product_id, period, {MONTHS}[period] AS fiscal_month,
+           CASE WHEN period <= 3 THEN 'Q3' ELSE 'Q4' END AS fiscal_quarter, demand,
+           production AS recommended_production, ending_inventory, capacity,
+           coalesce({half_up("(production * 100)", "capacity", 1)}, 0)
+             AS capacity_utilization_pct,
+           coalesce({half_up("(ending_inventory * 100)", "max_inventory", 1)}, 0)
+             AS warehouse_utilization_pct,
+           production_cost, storage_cost,
+           CAST(sum(CAST(production AS DECIMAL(18,2)) + CAST(ending_inventory * 0.22
+                    AS DECIMAL(18,2))) OVER (PARTITION BY scenario_id, product_id
+                                             ORDER BY period) AS DOUBLE) AS cumulative_cost
+    FROM plan WHERE status = 'Optimal'"""
+ORACLES["plan_schedule"] = sql("SELECT * FROM schedule", **PRODUCT_PLAN, schedule=SCHEDULE)
+ORACLES["plan_summary"] = sql(
+    """
+    SELECT scenario_id, scenario_code, product_id, max(cumulative_cost) AS total_cost,
+           max(ending_inventory) AS peak_inventory,
+           round(avg(capacity_utilization_pct), 4) AS mean_capacity_utilization_pct,
+           first(fiscal_month ORDER BY recommended_production DESC, period)
+             AS peak_production_month,
+           first(fiscal_month ORDER BY ending_inventory DESC, period) AS peak_inventory_month,
+           max(warehouse_utilization_pct) < 100 AS overflow_avoided
+    FROM schedule GROUP BY scenario_id, scenario_code, product_id""",
+    **PRODUCT_PLAN,
+    schedule=SCHEDULE,
+)
+ORACLES["stored_build_plan"] = sql(
+    """
+    SELECT scenario_name, fiscal_month, fiscal_quarter, 'LP_v1.0_20240901' AS model_version,
+           count(*) AS row_count, CAST(sum(recommended_production) AS DOUBLE) AS quantity,
+           CAST(sum(ending_inventory) AS DOUBLE) AS inventory,
+           CAST(sum(CAST(recommended_production AS DECIMAL(18,2))
+                    + CAST(ending_inventory * 0.22 AS DECIMAL(18,2))) AS DOUBLE) AS cost,
+           CAST(0.95 AS DOUBLE) AS confidence
+    FROM schedule JOIN scenario USING (scenario_id) GROUP BY ALL""",
+    **PRODUCT_PLAN,
+    schedule=SCHEDULE,
+)
+
+# Metrics ---------------------------------------------------------------------
+
+ORACLES["warehousing_cost_october"] = sql(
+    f"""
+    SELECT scenario_code, {d2("sum(projected_warehousing_cost)", "total_warehousing_cost")}
+    FROM comparison WHERE fiscal_month = 'October' GROUP BY scenario_code"""
+)
+ORACLES["margin_impact"] = sql(
+    f"""
+    SELECT scenario_code, {d4("revenue - cost", "total_gross_margin")},
+           {d2("storage", "total_warehousing_cost")},
+           {d4("revenue - cost - storage", "net_margin_after_storage")}
+    FROM kpis""",
+    kpis=KPIS.format(rates="cost"),
+)
+ORACLES["margin_percentages"] = sql(
+    f"""
+    SELECT scenario_code, {d4("revenue - cost", "total_gross_margin")},
+           {half_up("((revenue - cost) * 100)", "revenue")} AS gross_margin_pct
+    FROM kpis""",
+    kpis=KPIS.format(rates="cost"),
+)
+ORACLES["revenue_by_family"] = sql(
+    f"""
+    SELECT scenario_code, product_family, {d2("sum(total_revenue)", "total_forecasted_revenue")}
+    FROM comparison GROUP BY ALL"""
+)
+ORACLES["regional_storage"] = sql(
+    f"""
+    SELECT scenario_code, fiscal_month,
+           {d2("sum(projected_warehousing_cost)", "total_warehousing_cost")}
+    FROM comparison WHERE region = 'ASIA' GROUP BY ALL"""
+)
+ORACLES["overflow_risk"] = sql(
+    """
+    SELECT zone_name, site_name, region, projected_utilization_pct FROM utilisation
+    WHERE scenario_code = 'Q4_PUSH' AND is_overflow_risk""",
+    projected=PROJECTED.format(units="demand"),
+    utilisation=UTILISATION,
+)
+ORACLES["region_quarter_demand"] = sql(
+    f"""
+    SELECT region, fiscal_quarter, {d4("sum(forecast_quantity)", "total_forecasted_quantity")}
+    FROM comparison WHERE scenario_code = 'BASELINE' GROUP BY ALL"""
+)
+ORACLES["all_metrics"] = sql(
+    f"""
+    SELECT scenario_code, region, fiscal_quarter,
+           {d2("sum(total_revenue)", "total_forecasted_revenue")},
+           {d4("sum(forecast_quantity)", "total_forecasted_quantity")},
+           {d2("sum(projected_warehousing_cost)", "total_warehousing_cost")},
+           {d4("sum(gross_margin)", "total_gross_margin")},
+           round(CAST(sum(gross_margin) AS DOUBLE) / CAST(sum(total_revenue) AS DOUBLE) * 100, 6)
+             AS gross_margin_percentage,
+           round(CAST(sum(confidence_level) AS DOUBLE) / count(confidence_level), 6)
+             AS average_confidence,
+           {d4("sum(gross_margin) - sum(projected_warehousing_cost)",
+               "net_margin_after_warehousing")}
+    FROM comparison WHERE fiscal_quarter = 'Q4' GROUP BY ALL"""
+)
+ORACLES["metric_facts"] = sql(
+    f"""
+    SELECT product_id, site_code, forecast_date,
+           CAST(forecast_quantity AS DOUBLE) AS forecast_quantity,
+           {d4("gross_margin", "gross_margin")},
+           CAST(projected_warehousing_cost AS DOUBLE) AS projected_warehousing_cost,
+           CAST(confidence_level AS DOUBLE) AS confidence_level
+    FROM comparison WHERE scenario_code = 'Q4_PUSH' AND fiscal_month = 'October'"""
+)
+
+# Quality ---------------------------------------------------------------------
+
+ORACLES["table_profile"] = sql(
+    """
+    SELECT 'product_category' AS table_name,
+           (SELECT count(*) FROM leaf) + (SELECT count(DISTINCT p_brand) FROM part) + 1
+             AS row_count
+    UNION ALL SELECT 'product', count(*) + count(*) FILTER (p_partkey % 10 = 0) FROM part
+    UNION ALL SELECT 'site', count(*) + count(*) FILTER (n_nationkey % 4 = 0) FROM nation
+    UNION ALL SELECT 'work_center', count(*) + count(*) FILTER (s_suppkey % 6 = 0) FROM supplier
+    UNION ALL SELECT 'warehouse_zone', count(*) + count(*) FILTER (warehouse_zone_id % 8 = 0)
+              FROM zone
+    UNION ALL SELECT 'scenario_definition', count(*) FROM scenario
+    UNION ALL SELECT 'demand_forecast_versions', count(*) FROM versions
+    UNION ALL SELECT 'logistics_cost_fact', count(*) + count(*) FILTER (warehouse_zone_id % 9 = 0)
+              FROM cost
+    UNION ALL SELECT 'inventory_balance', count(*) FROM part"""
+)
+ORACLES["catalog_profile"] = sql(
+    """
+    SELECT 'SCENARIO_COMPARISON_V' AS table_name, 'SOP_LOGISTICS' AS schema_name,
+           'VIEW' AS object_type, 'Main fact table for scenario analysis' AS description,
+           count(*) AS row_count FROM comparison
+    UNION ALL SELECT 'DT_SCENARIO_KPI_SUMMARY', 'SOP_LOGISTICS', 'DYNAMIC TABLE',
+                     'Aggregated KPIs by scenario', count(DISTINCT scenario_id) FROM line
+    UNION ALL SELECT 'WAREHOUSE_UTILIZATION_PROJECTION', 'SOP_LOGISTICS', 'VIEW',
+                     'Warehouse capacity projections', count(*) FROM projected
+    UNION ALL SELECT 'INVENTORY_BUILDUP_CURVE', 'SOP_LOGISTICS', 'VIEW',
+                     'Time-series inventory positions', count(*)
+              FROM (SELECT DISTINCT scenario_id, fiscal_month FROM forecast)""",
+    projected=PROJECTED.format(units="demand"),
+)
+ORACLES["expectations"] = sql(
+    """
+    SELECT *, row_count >= min_rows AS passed FROM (
+        SELECT 'home_planning_stats' AS query_name, 'Home page planning statistics' AS description,
+               CAST(1 AS BIGINT) AS min_rows, CAST(1 AS BIGINT) AS row_count
+        UNION ALL SELECT 'exec_scenario_summary', 'Scenario summary by quarter', 1, count(*)
+        FROM (SELECT DISTINCT scenario_code, fiscal_quarter FROM line)
+        UNION ALL SELECT 'exec_warehouse_cost', 'Warehouse costs by scenario and site', 1, count(*)
+        FROM (SELECT DISTINCT scenario_code, site_name FROM line)
+        UNION ALL SELECT 'exec_monthly_demand', 'Monthly demand by scenario', 19, count(*)
+        FROM (SELECT DISTINCT scenario_code, fiscal_month FROM line))"""
+)
+_CHECKS = {
+    "PRIMARY KEY": (
+        "product_category.product_category_id product.product_id site.site_id "
+        "work_center.work_center_id warehouse_zone.warehouse_zone_id "
+        "scenario_definition.scenario_id logistics_cost_fact.logistics_cost_id "
+        "inventory_balance.inventory_balance_id"
+    ),
+    "NOT NULL": (
+        "product_category.product_category_id product.product_id site.site_id "
+        "work_center.work_center_id warehouse_zone.warehouse_zone_id "
+        "scenario_definition.scenario_id demand_forecast_versions.demand_forecast_id "
+        "logistics_cost_fact.logistics_cost_id inventory_balance.inventory_balance_id"
+    ),
+    "FOREIGN KEY": (
+        "product_category.parent_category_id product.product_category_id work_center.site_id "
+        "warehouse_zone.site_id scenario_definition.parent_scenario_id "
+        "demand_forecast_versions.site_id demand_forecast_versions.scenario_id "
+        "logistics_cost_fact.site_id logistics_cost_fact.warehouse_zone_id "
+        "inventory_balance.product_id inventory_balance.site_id "
+        "inventory_balance.warehouse_zone_id"
+    ),
+    "ALLOWED VALUES": (
+        "product.product_type product.product_status site.site_type site.operating_status "
+        "work_center.work_center_type warehouse_zone.zone_type scenario_definition.scenario_type"
+    ),
+}
+_CLEAN = ",\n           ".join(
+    "('{}', '{}', '{}')".format(kind, *name.split("."))
+    for kind, names in _CHECKS.items()
+    for name in names.split()
+)
+ORACLES["constraint_report"] = sql(
+    f"""
+    SELECT constraint_type, table_name, column_name, CAST(0 AS BIGINT) AS violations
+    FROM (VALUES {_CLEAN}) AS clean(constraint_type, table_name, column_name)
+    UNION ALL
+    SELECT unnest(['PRIMARY KEY', 'FOREIGN KEY', 'ALLOWED VALUES']), 'demand_forecast_versions',
+           unnest(['demand_forecast_id', 'product_id', 'forecast_type']), count(*)
+    FROM versions WHERE site_id = 3"""
+)
+ORACLES["golden_checks"] = sql(
+    """
+    SELECT query_name, status, CAST(rows AS BIGINT) AS missing_rows,
+           CAST(rows AS BIGINT) AS unexpected_rows
+    FROM (SELECT 'same' AS query_name, 'PASSED' AS status, 0 AS rows
+          UNION ALL SELECT 'open', 'NOT_RUN', 0
+          UNION ALL SELECT 'changed', 'FAILED', (
+              SELECT sum(n) FROM (
+                  SELECT greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0)) AS n
+                  FROM (SELECT product_id, forecast_quantity AS q, count(*) AS n FROM versions
+                        WHERE site_id = 3 GROUP BY ALL) a
+                       FULL JOIN (SELECT product_id, forecast_quantity + 1 AS q, count(*) AS n
+                                  FROM versions WHERE site_id = 3 GROUP BY ALL) b
+                       USING (product_id, q))))"""
+)
+DOCUMENT = """
+    SELECT doc_id AS document_id, DATE '2024-01-01' AS effective_date,
+           CASE WHEN doc_id % 2 = 0 THEN DATE '2024-12-31' END AS expiry_date, text,
+           CASE WHEN doc_id % 7 = 0 THEN 'contracts' ELSE source END AS folder,
+           CASE doc_id % 6 WHEN 0 THEN 'northeast_3pl_contract_' || doc_id || '.pdf'
+                WHEN 1 THEN 'Warehouse_capacity_SLA_' || doc_id || '.PDF'
+                WHEN 2 THEN 'sop_meeting_minutes_' || doc_id || '.docx'
+                WHEN 3 THEN 'acme_west_' || doc_id || '.pdf'
+                WHEN 4 THEN 'acme_contract_notes_' || doc_id || '.txt'
+                ELSE 'report_' || doc_id || '.pdf' END AS file_name
+    FROM documents"""
+ORACLES["text_lengths"] = sql(
+    """
+    SELECT 'text' AS column_name, count(*) FILTER (length(text) > 16000) AS violations
+    FROM document
+    UNION ALL
+    SELECT 'relative_path', count(*) FILTER (length(folder || '/' || file_name) > 30)
+    FROM document""",
+    document=DOCUMENT,
+)
+
+# Documents -------------------------------------------------------------------
+
+CLASSIFIED = """
+    SELECT document_id, effective_date, expiry_date, folder || '/' || file_name AS file_path,
+           file_name,
+           CASE document_id % 6 WHEN 0 THEN 'CONTRACT' WHEN 1 THEN 'SLA'
+                WHEN 2 THEN 'MEETING_MINUTES' ELSE 'OTHER' END AS document_type,
+           CASE document_id % 6 WHEN 0 THEN 'Northeast 3PL' WHEN 3 THEN 'ACME Logistics'
+                ELSE 'Unknown' END AS vendor_name,
+           CASE document_id % 6 WHEN 0 THEN 'Northeast' WHEN 3 THEN 'West'
+                ELSE 'National' END AS region
+    FROM document WHERE document_id % 6 <> 4"""
+ORACLES["classified_documents"] = sql(CLASSIFIED, document=DOCUMENT)
+ORACLES["classified_documents_deploy"] = sql(
+    """
+    SELECT document_id, effective_date, expiry_date, folder || '/' || file_name AS file_path,
+           file_name,
+           CASE WHEN folder = 'contracts' OR document_id % 6 = 0 THEN 'CONTRACT'
+                WHEN document_id % 6 = 1 THEN 'SLA' ELSE 'OTHER' END AS document_type,
+           CASE WHEN document_id % 6 = 0 THEN 'Northeast 3PL' ELSE 'National' END AS vendor_name,
+           CASE WHEN document_id % 6 = 0 THEN 'Northeast' ELSE 'National' END AS region
+    FROM document WHERE document_id % 6 NOT IN (2, 4)""",
+    document=DOCUMENT,
+)
+CHUNK = """
+    SELECT document_id, folder, file_name, i // 500 + 1 AS chunk_index,
+           array_to_string(words[i + 1 : i + 500], ' ') AS chunk_text
+    FROM (SELECT document_id, folder, file_name, words,
+                 unnest(range(0, len(words), 500)) AS i
+          FROM (SELECT document_id, folder, file_name,
+                       regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS words
+                FROM document))"""
+ORACLES["document_chunks"] = sql(
+    """
+    SELECT document_id, chunk_index, chunk_text, CAST(1 AS BIGINT) AS page_number,
+           row_number() OVER (ORDER BY document_id, chunk_index) AS chunk_id
+    FROM chunk""",
+    document=DOCUMENT,
+    chunk=CHUNK,
+)
+ORACLES["document_chunks_whole"] = sql(
+    """
+    SELECT document_id, folder || '/' || d.file_name AS relative_path,
+           CAST(1 AS BIGINT) AS chunk_index, text AS chunk_text,
+           CAST(1 AS BIGINT) AS page_number,
+           row_number() OVER (ORDER BY document_id) AS chunk_id, c.file_name, file_path,
+           document_type, vendor_name, region, c.effective_date, c.expiry_date
+    FROM document d JOIN classified c USING (document_id)""",
+    document=DOCUMENT,
+    classified=CLASSIFIED,
+)
+
+
+def search_ctes(corpus: str) -> dict[str, str]:
+    """BM25 over a corpus of chunks, with the benchmark texts as queries."""
+    return {
+        "document": DOCUMENT,
+        "chunk": CHUNK,
+        "corpus": corpus,
+        "token": """
+            SELECT chunk_id, t AS term
+            FROM (SELECT chunk_id, unnest(regexp_split_to_array(lower(chunk_text),
+                                                                '[^\\p{L}\\p{N}]+')) AS t
+                  FROM corpus) WHERE t <> ''""",
+        "lengths": """
+            SELECT chunk_id, count(term) AS n
+            FROM corpus LEFT JOIN token USING (chunk_id) GROUP BY chunk_id""",
+        "asked": """
+            SELECT DISTINCT query_id, term
+            FROM (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text),
+                                                     '[^\\p{L}\\p{N}]+')) AS term FROM benchmark)
+            WHERE term <> ''""",
+        "posting": """
+            SELECT chunk_id, term, count(*) AS tf FROM token
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL""",
+        "stats": "SELECT count(*) AS chunks, avg(n) AS mean_length FROM lengths",
+        "weights": """
+            SELECT term, ln(1 + ((SELECT chunks FROM stats) - count(*) + 0.5)
+                                / (count(*) + 0.5)) AS idf
+            FROM posting GROUP BY term""",
+        "scored": """
+            SELECT query_id, chunk_id, round(sum(
+                     idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean_length))), 6) AS score
+            FROM asked JOIN posting USING (term) JOIN weights USING (term)
+                 JOIN lengths USING (chunk_id) CROSS JOIN stats
+            GROUP BY ALL""",
+        "ranked": """
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+                                              ORDER BY score DESC, chunk_id) AS INT) AS "rank"
+            FROM scored""",
+    }
+
+
+_KEYED = """
+    SELECT document_id || '#' || chunk_index AS chunk_id, folder,
+           folder || '/' || file_name AS relative_path, chunk_text FROM chunk"""
+ORACLES["search"] = sql(
+    """
+    SELECT query_id, "rank", chunk_id, score, relative_path, chunk_text
+    FROM ranked JOIN corpus USING (chunk_id) WHERE "rank" <= 5""",
+    **search_ctes(_KEYED),
+)
+ORACLES["search_filtered"] = sql(
+    """
+    SELECT query_id, "rank", chunk_id, score, relative_path
+    FROM ranked JOIN corpus USING (chunk_id) WHERE "rank" <= 2""",
+    **search_ctes(_KEYED + " WHERE folder = 'contracts'"),
+)
+ORACLES["stream_search"] = sql(
+    """SELECT query_id, chunk_id, score, "rank" FROM ranked WHERE "rank" <= 5""",
+    **search_ctes(_KEYED),
+)
+
+# Ingest ----------------------------------------------------------------------
+
+INGESTED = """
+    SELECT p_partkey AS product_id, 'P-' || p_partkey AS product_code, p_name AS product_name,
+           'size "' || p_size || '", ' || p_type AS product_description_short,
+           'FINISHED_GOOD' AS product_type,
+           CASE WHEN p_size % 5 <> 0 THEN 'ACTIVE' END AS product_status,
+           leaf_id AS product_category_id,
+           CAST({price} AS DOUBLE) AS unit_price,
+           CASE WHEN p_size % 7 > 1 THEN CAST({cost} AS DOUBLE) END AS unit_cost,
+           TRUE AS is_current_flag, 'system' AS created_by_user
+    FROM part JOIN leaf USING (p_brand, p_type) WHERE p_partkey % 50 <> 49"""
+ORACLES["ingest_products"] = sql(
+    INGESTED.format(
+        price="CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(18,0))",
+        cost="CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 0.6 AS DECIMAL(18,0))",
+    )
+)
+ORACLES["ingest_products_declared"] = sql(
+    INGESTED.format(
+        price="CAST(p_retailprice AS DECIMAL(18,4))",
+        cost="CAST(p_retailprice AS DECIMAL(18,2)) * 0.6",
+    )
+)
+ORACLES["ingest_forecasts"] = """
+    SELECT CAST(l_linenumber % 3 + 1 AS BIGINT) AS scenario_id, year(l_shipdate) AS fiscal_year,
+           monthname(l_shipdate) AS fiscal_month, 'Q' || quarter(l_shipdate) AS fiscal_quarter,
+           count(*) AS row_count, count(*) FILTER (l_linenumber <> 7) AS dated,
+           CAST(0 AS BIGINT) AS periods,
+           CAST(sum(CAST(l_quantity AS DECIMAL(12,0)) + 1) AS DOUBLE) AS quantity,
+           CAST(count(*) AS DOUBLE) AS confidence,
+           CAST(sum((CAST(l_quantity AS DECIMAL(12,0)) + 1) * CAST(CAST(l_extendedprice
+                AS DECIMAL(12,2)) AS DECIMAL(12,0))) AS DOUBLE) AS revenue
+    FROM lineitem GROUP BY ALL"""
+ORACLES["raw_reload"] = """
+    SELECT 2 * count(*) AS row_count, CAST(0 AS BIGINT) AS named, 'append' AS mode FROM part
+    UNION ALL
+    SELECT count(*), 0, 'overwrite' FROM part"""
+ORACLES["stored_tables"] = ORACLES["scenario_kpis"]
+
+# Streaming -------------------------------------------------------------------
+
+EVENT_LINES = f"""
+    SELECT event_id, user_id AS product_id, event_id % 25 AS site_id,
+           user_id % 3 + 1 AS scenario_id, date_trunc('day', ts) AS version_timestamp,
+           CAST(value AS DECIMAL(18,4)) AS forecast_quantity,
+           CAST(CAST(value AS DECIMAL(18,4)) * (user_id % 50 + 10) AS DECIMAL(18,2))
+             AS total_revenue,
+           {MONTHS}[event_id % 6 + 1] AS fiscal_month,
+           date_trunc('day', ts) = max(date_trunc('day', ts)) OVER (PARTITION BY user_id % 3)
+             AS is_current_version
+    FROM events"""
+ORACLES["stream_versions"] = sql(
+    f"""
+    SELECT scenario_id, is_current_version, CAST(version_timestamp AS TIMESTAMP)
+             AS version_timestamp, count(*) AS row_count,
+           {d4("sum(forecast_quantity)", "quantity")}, count(DISTINCT product_id) AS products
+    FROM event_line GROUP BY ALL""",
+    event_line=EVENT_LINES,
+)
+ORACLES["stream_kpis"] = sql(
+    KPI_COLUMNS,
+    event_line=EVENT_LINES,
+    forecast="SELECT * FROM event_line WHERE is_current_version",
+    kpis=KPIS.format(rates="cost"),
+)
