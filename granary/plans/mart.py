@@ -231,7 +231,12 @@ def warehouse_utilization(t: PlanningTables, allocation: str = "full") -> DataFr
     )
     units = F.col("units") * F.col("_zones") * F.col("_scenarios")
     if allocation == "capacity_share":
-        units = units * F.col("max_capacity_pallets") / F.col("_site_capacity")
+        # narrow operands leave the quotient twelve digits
+        units = (
+            units.cast("decimal(20,4)")
+            * F.col("max_capacity_pallets").cast("decimal(9,0)")
+            / F.col("_site_capacity").cast("decimal(10,0)")
+        )
     rows = rows.withColumn("projected_units", units.cast("decimal(28,4)"))
 
     # Everything below counts tenths of a pallet (units), so no digit is lost.

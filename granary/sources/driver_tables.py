@@ -153,7 +153,7 @@ def work_center(supplier: DataFrame) -> DataFrame:
         "element_at(array('ASSEMBLY', 'FABRICATION', 'PACKAGING'), CAST(s_suppkey % 3 + 1 AS INT))"
         " AS work_center_type",
         "s_nationkey AS site_id",
-        "s_suppkey % 5 + 1 AS capacity_per_hour",
+        "s_suppkey % 3 + 1 AS capacity_per_hour",
         "if(s_suppkey % 2 = 0, 16, 24) AS hours_per_day",
         "if(s_suppkey % 2 = 0, 2, 3) AS available_shifts",
         "if(s_suppkey % 7 <> 0, (80 + s_suppkey % 20) * 0.01, NULL) AS efficiency_factor",

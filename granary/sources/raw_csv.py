@@ -78,7 +78,7 @@ def with_source_file(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def rejected_rows(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The text of rows whose field count differs from the header's."""
+    """Key and text of the rows whose field count differs from the header's."""
     names = raw_columns(table)
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]]
@@ -87,11 +87,12 @@ def rejected_rows(spark: SparkSession, folder: str, table: str) -> DataFrame:
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(f"{folder}/*{RAW_FILES[table]}")
     )
     return rows.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_corrupt_record").alias("line")
+        F.col(names[0]).alias("key"), F.col("_corrupt_record").alias("line")
     )
 
 

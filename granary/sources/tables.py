@@ -68,7 +68,8 @@ def write_tables(tables: PlanningTables, root: str, mode: str = "overwrite") ->
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One stored table under its declared schema."""
-    return spark.read.schema(struct_of(columns_of(name))).parquet(f"{root}/{name}")
+    columns = columns_of(name)
+    return spark.read.schema(struct_of(columns)).parquet(f"{root}/{name}").select(*columns)
 
 
 def read_tables(spark: SparkSession, root: str) -> PlanningTables:

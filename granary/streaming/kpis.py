@@ -55,8 +55,7 @@ def kpi_stream(
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        path = store_batch(batch, batch_id, root)
-        refresh_kpis(t, root, batch.sparkSession.read.parquet(path), as_of)
+        refresh_kpis(t, root, store_batch(batch, batch_id, root), as_of)
 
     writer = (
         submission(submissions)

@@ -34,11 +34,14 @@ def submission(df: DataFrame) -> DataFrame:
     )
 
 
-def store_batch(batch: DataFrame, batch_id: int, root: str) -> str:
-    """Write one micro-batch to its own folder; replaying it changes nothing."""
+def store_batch(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
+    """Write one micro-batch to its own folder; replaying it changes nothing.
+
+    Returns the stored rows, so that a second use does not read the source again.
+    """
     path = f"{root}/versions/batch_id={batch_id}"
     batch.write.mode("overwrite").partitionBy("scenario_id").parquet(path)
-    return path
+    return batch.sparkSession.read.schema(struct_of(SUBMISSION)).parquet(path)
 
 
 def read_versions(spark: SparkSession, root: str) -> DataFrame:

@@ -38,7 +38,7 @@ BASE: dict[str, str] = {
                'Line ' || s_suppkey AS work_center_name,
                ['ASSEMBLY','FABRICATION','PACKAGING'][s_suppkey % 3 + 1] AS work_center_type,
                CAST(s_nationkey AS BIGINT) AS site_id,
-               CAST(s_suppkey % 5 + 1 AS DECIMAL(18,4)) AS capacity_per_hour,
+               CAST(s_suppkey % 3 + 1 AS DECIMAL(18,4)) AS capacity_per_hour,
                CAST(CASE WHEN s_suppkey % 2 = 0 THEN 16 ELSE 24 END AS DECIMAL(8,2)) AS hours_per_day,
                CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END AS available_shifts,
                CASE WHEN s_suppkey % 7 <> 0
