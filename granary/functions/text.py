@@ -13,10 +13,7 @@ def file_name(path: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The whitespace-separated words of a text, none for blank text."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, r"\s+")
-    )
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def terms(text: Column) -> Column:

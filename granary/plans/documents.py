@@ -94,14 +94,17 @@ def chunk_documents(
     if target_tokens < 1:
         raise ValueError("target_tokens must be positive")
     split = docs.withColumn("_words", words(F.col("text"))).drop("text")
-    starts = F.sequence(F.lit(1), F.size("_words"), F.lit(target_tokens))
+    last = F.greatest(F.size("_words"), F.lit(1))
+    starts = F.sequence(F.lit(1), last, F.lit(target_tokens))
     pieces = F.transform(
         starts, lambda s: F.array_join(F.slice("_words", s, F.lit(target_tokens)), " ")
     )
     kept = [c for c in docs.columns if c != "text"]
+    # The outer form keeps Spark from cutting every text twice, once to see
+    # whether there is anything to explode.
     return (
-        split.where(F.size("_words") > 0)
-        .select(*kept, F.posexplode(pieces).alias("_place", "chunk_text"))
+        split.select(*kept, F.posexplode_outer(pieces).alias("_place", "chunk_text"))
+        .where(F.col("chunk_text") != "")
         .select(
             *kept,
             (F.col("_place") + 1).cast("bigint").alias("chunk_index"),

@@ -28,38 +28,38 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def index_chunks(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The term counts of every chunk: key, length, and (term, tf) pairs.
+    """Key, length and term counts of every chunk, as one row.
 
     A row-local operation: sorting the terms puts equal ones next to each
-    other, so a count is the distance between the places where a term starts.
+    other, so ``first`` and ``next`` are where a term and its successor start,
+    and their distance is the count.
     """
-    prepared = chunks.select(key, F.array_sort(terms(F.col("chunk_text"))).alias("_terms"))
-    size = F.size("_terms")
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda i: (i == 1)
-        | (F.get("_terms", i - 1) != F.get("_terms", F.greatest(i - 2, F.lit(0)))),
-    )
-    located = prepared.select(
-        key,
-        size.cast("bigint").alias("chunk_length"),
+    ordered = F.sort_array(terms(F.col("chunk_text")))
+    prepared = chunks.select(key, ordered.alias("_terms"))
+    starts = F.transform(
         "_terms",
-        F.when(size > 0, starts).otherwise(F.array().cast("array<int>")).alias("_starts"),
-    )
-    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(size + 1))
-    pairs = F.zip_with(
-        F.col("_starts"),
-        F.slice(ends, F.lit(1), F.size("_starts")),
-        lambda start, end: F.struct(
-            F.get("_terms", start - 1).alias("term"), (end - start).cast("bigint").alias("tf")
+        lambda term, i: F.when(
+            (i == 0) | (term != F.get("_terms", F.greatest(i - 1, F.lit(0)))), i
         ),
     )
-    return located.select(key, "chunk_length", pairs.alias("counts"))
+    located = prepared.select(key, "_terms", F.array_compact(starts).alias("_first"))
+    groups = F.size("_first")
+    following = F.concat(F.slice("_first", F.lit(2), groups), F.array(F.size("_terms")))
+    zipped = F.arrays_zip(
+        F.array_distinct("_terms").alias("term"),
+        F.col("_first").alias("first"),
+        F.slice(following, F.lit(1), groups).alias("next"),
+    )
+    return located.select(
+        key, F.size("_terms").cast("bigint").alias("chunk_length"), zipped.alias("counts")
+    )
 
 
 def postings(index: DataFrame, key: str = "chunk_id") -> DataFrame:
     """One row per chunk and term: key, length, term, tf."""
-    return index.select(key, "chunk_length", F.inline("counts"))
+    return index.select(key, "chunk_length", F.inline("counts")).select(
+        key, "chunk_length", "term", (F.col("next") - F.col("first")).cast("bigint").alias("tf")
+    )
 
 
 def search_index(

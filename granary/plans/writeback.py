@@ -63,19 +63,22 @@ class ScenarioCopy(NamedTuple):
 def parse_updates(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Rows of a JSON array column, one per element, typed strictly.
 
-    Keys are upper case. A value of the wrong type raises, a missing key or a
-    JSON null is null.
+    Keys are upper case. Malformed JSON and values of the wrong type raise, a
+    missing key or a JSON null is null. Each payload is parsed once, to text
+    fields that are then cast.
     """
-    elements = payloads.select(
-        F.explode(F.expr(f"CAST(parse_json(`{column}`) AS ARRAY<VARIANT>)")).alias("element")
-    )
-    return elements.select(
-        *[
-            F.variant_get("element", f"$.{name.upper()}", kind).alias(name)
-            for name, kind in UPDATE_FIELDS.items()
-        ]
+    element = ", ".join(f"{name.upper()} string" for name in UPDATE_FIELDS)
+    parsed = F.from_json(column, f"array<struct<{element}>>", {"mode": "FAILFAST"})
+    elements = payloads.select(F.explode_outer(parsed).alias("element")).where(
+        F.col("element").isNotNull()
     )
 
+    def typed(name: str, kind: str) -> Column:
+        text = F.col(f"element.{name.upper()}")
+        return (text.cast("decimal(38,0)") if kind == "bigint" else text).cast(kind)
+
+    return elements.select(*[typed(n, k).alias(n) for n, k in UPDATE_FIELDS.items()])
+
 
 def _shape(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Forecast rows in table order from columns, overrides and nulls."""

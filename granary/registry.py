@@ -159,7 +159,7 @@ def _by_version(forecasts: DataFrame) -> DataFrame:
         "scenario_id", "is_current_version", "forecast_method", "forecast_type", "updated_by_user"
     ).agg(
         F.count("*").alias("row_count"),
-        F.countDistinct("demand_forecast_id").alias("ids"),
+        F.sum(F.col("demand_forecast_id").cast("decimal(28,0)")).alias("id_sum"),
         F.max("demand_forecast_id").alias("last_id"),
         F.sum("forecast_quantity").alias("quantity"),
         F.sum("total_revenue").alias("revenue"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from granary.operators.sizing import at_most, broadcast_when
 from granary.plans.mart import scenario_kpis
 from granary.sources.tables import PlanningTables
 from granary.streaming.versions import (
@@ -28,8 +29,9 @@ def refresh_kpis(
     Both the versions and the KPI table are partitioned by scenario, so reading
     and replacing stay within the touched partitions.
     """
+    ids = touched.select("scenario_id").distinct()
     versions = read_versions(touched.sparkSession, root).join(
-        touched.select("scenario_id").distinct(), "scenario_id", "left_semi"
+        broadcast_when(at_most(ids), ids), "scenario_id", "left_semi"
     )
     tables = t.with_(demand_forecast_versions=as_forecasts(current_lines(versions)))
     (

@@ -52,7 +52,7 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
     """The stored index: one row per chunk with its term counts."""
     schema = (
         "chunk_id string, chunk_length bigint, "
-        "counts array<struct<term:string,tf:bigint>>, batch_id bigint"
+        "counts array<struct<term:string,first:int,next:int>>, batch_id bigint"
     )
     return spark.read.schema(schema).parquet(f"{root}/index").drop("batch_id")
 

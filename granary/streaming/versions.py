@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from granary.operators.sizing import at_most, broadcast_when
 from granary.schemas import ATOMIC, EXTRA, columns_of, struct_of
 
 # A submitted line: the forecast columns, its version, and an id that a source
@@ -50,18 +51,24 @@ def read_versions(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/versions")
 
 
-def current_lines(versions: DataFrame) -> DataFrame:
-    """The lines of each scenario's latest version, each line once.
+def latest_versions(versions: DataFrame) -> DataFrame:
+    """The latest timestamp of every scenario, broadcast if checked to be few.
 
-    The latest timestamps are one row per scenario, summed up map-side, so the
-    join back is against a list as short as the scenario table.
+    Without the hint a scenario that holds a third of the lines would be
+    shuffled as one key; beyond the bound Spark splits such keys at run time.
     """
-    heads = versions.groupBy("scenario_id").agg(
-        F.max("version_timestamp").alias("version_timestamp")
-    )
-    return versions.join(heads, ["scenario_id", "version_timestamp"]).dropDuplicates(
-        ["scenario_id", "version_timestamp", "line_id"]
-    )
+    heads = versions.groupBy("scenario_id").agg(F.max("version_timestamp").alias("_head"))
+    return broadcast_when(at_most(heads), heads)
+
+
+def _each_once(lines: DataFrame) -> DataFrame:
+    return lines.dropDuplicates(["scenario_id", "version_timestamp", "line_id"])
+
+
+def current_lines(versions: DataFrame) -> DataFrame:
+    """The lines of each scenario's latest version, each line once."""
+    joined = versions.join(latest_versions(versions), "scenario_id")
+    return _each_once(joined.where("version_timestamp = _head").drop("_head"))
 
 
 def as_forecasts(lines: DataFrame, flag: Column | None = None) -> DataFrame:
@@ -80,9 +87,7 @@ def as_forecasts(lines: DataFrame, flag: Column | None = None) -> DataFrame:
 
 def version_history(versions: DataFrame) -> DataFrame:
     """Every submitted line as a forecast row, flagged by whether it is current."""
-    lines = versions.dropDuplicates(["scenario_id", "version_timestamp", "line_id"])
-    heads = versions.groupBy("scenario_id").agg(F.max("version_timestamp").alias("_head"))
-    joined = lines.join(heads, "scenario_id")
+    joined = _each_once(versions).join(latest_versions(versions), "scenario_id")
     return as_forecasts(joined, F.col("version_timestamp").eqNullSafe(F.col("_head")))
 
 

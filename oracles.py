@@ -575,7 +575,7 @@ ORACLES["preview_totals"] = sql(
 
 BY_VERSION = """
     SELECT scenario_id, is_current_version, forecast_method, forecast_type, updated_by_user,
-           count(*) AS row_count, count(DISTINCT demand_forecast_id) AS ids,
+           count(*) AS row_count, CAST(sum(demand_forecast_id) AS DOUBLE) AS id_sum,
            max(demand_forecast_id) AS last_id,
            CAST(round(sum(forecast_quantity), 4) AS DOUBLE) AS quantity,
            CAST(round(sum(total_revenue), 2) AS DOUBLE) AS revenue, count(fiscal_month) AS months
