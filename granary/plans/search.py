@@ -85,12 +85,13 @@ def search_index(
     weighted = wanted.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
     length = F.col("chunk_length") / corpus["mean_length"]
     tf = F.col("tf")
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+    saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
     return (
         postings(index, key)
+        .select(key, "term", saturated.alias("saturated"))
         .join(broadcast_when(small, weighted), "term")
         .groupBy("query_id", key)
-        .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
+        .agg(F.round(F.sum(F.col("idf") * F.col("saturated")), SCORE_DIGITS).alias("score"))
     )
 
 

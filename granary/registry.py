@@ -506,33 +506,33 @@ def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("document_id", "relative_path", "text")
-    chunks = documents.chunk_documents(docs).withColumn(
+def _search_chunks(docs: DataFrame) -> DataFrame:
+    return documents.chunk_documents(docs).withColumn(
         "chunk_id", F.concat_ws("#", "document_id", "chunk_index")
     )
-    return chunks.withColumn("region", F.element_at(F.split("relative_path", "/"), 1))
 
 
 @query
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best chunks for every benchmark passage."""
-    hits = searching.search_chunks(
-        _search_corpus(spark, sf_dir), _benchmark_queries(spark, sf_dir)
-    )
+    docs = _documents(spark, sf_dir).select("document_id", "relative_path", "text")
+    hits = searching.search_chunks(_search_chunks(docs), _benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "chunk_id", "score", "relative_path", "chunk_text")
 
 
 @query
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two best chunks for every benchmark passage within one folder."""
+    """The two best chunks for every passage among one vendor's contracts."""
+    docs = documents.classify_documents(_documents(spark, sf_dir)).drop(
+        "effective_date", "expiry_date"
+    )
     hits = searching.search_chunks(
-        _search_corpus(spark, sf_dir),
+        _search_chunks(docs),
         _benchmark_queries(spark, sf_dir),
-        {"region": "contracts"},
+        {"document_type": "CONTRACT", "vendor_name": "Northeast 3PL", "region": "Northeast"},
         k=2,
     )
-    return hits.select("query_id", "rank", "chunk_id", "score", "relative_path")
+    return hits.select("query_id", "rank", "chunk_id", "score", "file_path")
 
 
 # Ingest ----------------------------------------------------------------------

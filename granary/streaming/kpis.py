@@ -27,7 +27,8 @@ def refresh_kpis(
     """Recompute the KPI rows of the touched scenarios and replace only those.
 
     Both the versions and the KPI table are partitioned by scenario, so reading
-    and replacing stay within the touched partitions.
+    and replacing stay within the touched partitions. A scenario that lost all
+    its valid lines is replaced by an empty row, which readers skip.
     """
     ids = touched.select("scenario_id").distinct()
     versions = read_versions(touched.sparkSession, root).join(
@@ -35,7 +36,7 @@ def refresh_kpis(
     )
     tables = t.with_(demand_forecast_versions=as_forecasts(current_lines(versions)))
     (
-        scenario_kpis(tables, as_of=as_of)
+        ids.join(scenario_kpis(tables, as_of=as_of), "scenario_id", "left")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("scenario_id")
@@ -69,5 +70,5 @@ def kpi_stream(
 
 def read_kpis(spark: SparkSession, root: str) -> DataFrame:
     """The maintained KPI table."""
-    df = spark.read.parquet(f"{root}/kpis")
+    df = spark.read.parquet(f"{root}/kpis").where(F.col("scenario_code").isNotNull())
     return df.withColumn("scenario_id", F.col("scenario_id").cast("bigint"))

@@ -1172,9 +1172,9 @@ ORACLES["search"] = sql(
 )
 ORACLES["search_filtered"] = sql(
     """
-    SELECT query_id, "rank", chunk_id, score, relative_path
+    SELECT query_id, "rank", chunk_id, score, relative_path AS file_path
     FROM ranked JOIN corpus USING (chunk_id) WHERE "rank" <= 2""",
-    **search_ctes(_KEYED + " WHERE folder = 'contracts'"),
+    **search_ctes(_KEYED + " WHERE file_name LIKE 'northeast_3pl_contract%'"),
 )
 ORACLES["stream_search"] = sql(
     """SELECT query_id, chunk_id, score, "rank" FROM ranked WHERE "rank" <= 5""",

@@ -318,9 +318,13 @@ def test_kpi_stream_equals_batch_and_touches_only_its_scenarios(spark, tables, t
             _stream(spark, folder), tables, root, str(tmp_path / "checkpoint"), now, as_of()
         ).awaitTermination()
 
-    _lines(spark, "2024-09-01", 5.0).write.parquet(folder)
+    _lines(spark, "2024-09-01", 5.0).withColumn(
+        "product_id", F.col("product_id").cast("int")
+    ).write.parquet(folder)
     run()
-    _lines(spark, "2024-09-02", 6.0, scenario=3, first=10).write.mode("append").parquet(folder)
+    _lines(spark, "2024-09-02", 6.0, scenario=3, first=10).withColumn(
+        "product_id", F.col("product_id").cast("int")
+    ).write.mode("append").parquet(folder)
     untouched = [f for f in tmp_path.glob("store/kpis/scenario_id=2/*.parquet")]
     run()
     assert [f for f in tmp_path.glob("store/kpis/scenario_id=2/*.parquet")] == untouched
@@ -330,6 +334,11 @@ def test_kpi_stream_equals_batch_and_touches_only_its_scenarios(spark, tables, t
     )
     stream = kpi_jobs.read_kpis(spark, root).select(*batch.columns)
     assert stream.count() == 2 and stream.exceptAll(batch).isEmpty()
+    # a version of nothing but unknown products takes its scenario's row away
+    lost = _lines(spark, "2024-09-03", 1.0, scenario=3, first=20)
+    lost.withColumn("product_id", F.lit(999)).write.mode("append").parquet(folder)
+    run()
+    assert [r["scenario_id"] for r in kpi_jobs.read_kpis(spark, root).collect()] == [2]
 
 
 def test_index_stream_equals_batch(spark, tmp_path):
