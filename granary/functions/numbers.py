@@ -57,13 +57,13 @@ def utilisation_band(pct: Column) -> Column:
 
 
 def present(df):
-    """Decimals as doubles after rounding to at most four digits, for reports."""
+    """Decimals as doubles, rounded first where they have over four digits."""
     shown = []
     for field in df.schema.fields:
-        name = f"`{field.name}`"
+        name = value = f"`{field.name}`"
         if field.dataType.typeName() == "decimal":
-            digits = min(field.dataType.scale, 4)
-            shown.append(f"CAST(round({name}, {digits}) AS DOUBLE) AS {name}")
-        else:
-            shown.append(name)
+            if field.dataType.scale > 4:
+                value = f"round({value}, 4)"
+            value = f"CAST({value} AS DOUBLE)"
+        shown.append(f"{value} AS {name}")
     return df.selectExpr(*shown)

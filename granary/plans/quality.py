@@ -46,14 +46,14 @@ CATALOG = (
 )
 
 
-def catalog_profile(frames: Mapping[str, DataFrame]) -> DataFrame:
+def catalog_profile(frames: Mapping[str, DataFrame], schema: str = "MART") -> DataFrame:
     """Row counts and descriptions of the metric layer's tables."""
     return _union(
         [
             _counted(
                 frames[entry.name],
                 table_name=F.lit(entry.name),
-                schema_name=F.lit("SOP_LOGISTICS"),
+                schema_name=F.lit(schema),
                 object_type=F.lit(entry.object_type),
                 description=F.lit(entry.description),
             )

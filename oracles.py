@@ -968,14 +968,14 @@ ORACLES["table_profile"] = sql(
 )
 ORACLES["catalog_profile"] = sql(
     """
-    SELECT 'SCENARIO_COMPARISON_V' AS table_name, 'SOP_LOGISTICS' AS schema_name,
+    SELECT 'SCENARIO_COMPARISON_V' AS table_name, 'MART' AS schema_name,
            'VIEW' AS object_type, 'Main fact table for scenario analysis' AS description,
            count(*) AS row_count FROM comparison
-    UNION ALL SELECT 'DT_SCENARIO_KPI_SUMMARY', 'SOP_LOGISTICS', 'DYNAMIC TABLE',
+    UNION ALL SELECT 'DT_SCENARIO_KPI_SUMMARY', 'MART', 'DYNAMIC TABLE',
                      'Aggregated KPIs by scenario', count(DISTINCT scenario_id) FROM line
-    UNION ALL SELECT 'WAREHOUSE_UTILIZATION_PROJECTION', 'SOP_LOGISTICS', 'VIEW',
+    UNION ALL SELECT 'WAREHOUSE_UTILIZATION_PROJECTION', 'MART', 'VIEW',
                      'Warehouse capacity projections', count(*) FROM projected
-    UNION ALL SELECT 'INVENTORY_BUILDUP_CURVE', 'SOP_LOGISTICS', 'VIEW',
+    UNION ALL SELECT 'INVENTORY_BUILDUP_CURVE', 'MART', 'VIEW',
                      'Time-series inventory positions', count(*)
               FROM (SELECT DISTINCT scenario_id, fiscal_month FROM forecast)""",
     projected=PROJECTED.format(units="demand"),
