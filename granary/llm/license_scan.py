@@ -42,6 +42,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "apache2.header": ("Licensed under the Apache License, Version 2.0 (the \"License\");",),
     "apache2.comply": ("you may not use this file except in compliance with the License.",),
     "apache2.copy": (
+        "You may obtain a copy of the License at",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
@@ -128,8 +129,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     *((spdx, (f"named.{spdx}",)) for spdx in NAMED),
     *((spdx, (f"tag.{spdx}",)) for spdx in TAGGED),
 )
-#: Ends of sentences: the mark and the white space after it.
-ENDS = r"([.!?;])[ \t\r\n]+"
+#: Ends of sentences: a mark and the white space after it, or a blank line.
+ENDS = r"([.!?;])[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 _MARK = "\u0001"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm.license_scan import RULES, hint_pattern, known_sentences
+from granary.llm.license_scan import ENDS, RULES, hint_pattern, known_sentences
 
 _EXACT = """
 SELECT doc_id,
@@ -73,7 +73,7 @@ WITH known(sentence, id) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
 sentences AS (
     SELECT r, generate_subscripts(x, 1) AS k, unnest(x) AS sentence
-    FROM (SELECT r, string_split(regexp_replace(body, '([.!?;])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)) AS x
+    FROM (SELECT r, string_split(regexp_replace(body, {_text(ENDS)}, '\1' || chr(1), 'g'), chr(1)) AS x
           FROM docs WHERE regexp_matches(lower(body), {_text(hint_pattern(known_sentences()))}))
 ), whole AS (
     SELECT r, k, sentence, id FROM sentences LEFT JOIN known ON known.sentence = {norm.format("sentences.sentence")}

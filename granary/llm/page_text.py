@@ -25,7 +25,9 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-CONTAINERS = frozenset("article main section div td body center blockquote".split())
+#: The page itself is the outermost container, so text outside a body counts too.
+ROOT = "page"
+CONTAINERS = frozenset(f"article main section div td body center blockquote {ROOT}".split())
 SEMANTIC = frozenset("article main".split())
 # An open p is closed by these, an open element of the key by its values.
 CLOSES_P = BLOCKS - frozenset("html body".split()) - frozenset("tbody td tfoot th thead tr".split())
@@ -53,13 +55,12 @@ _WORDS = re.compile(r"[a-z]+")
 
 @dataclass
 class Element:
-    """An open or closed element; ``score`` sums the text of its paragraphs."""
+    """An element of a page; its path has the block elements around it."""
 
     tag: str
     path: str
     hidden: bool
     parent: Element | None
-    score: float = 0.0
 
 
 @dataclass
@@ -67,7 +68,6 @@ class Page:
     """The visible blocks of a page in order, each with the element it is in."""
 
     blocks: list[tuple[Element, str]] = field(default_factory=list)
-    elements: list[Element] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -115,8 +115,9 @@ def _inside(element: Element | None, tags: frozenset[str]) -> bool:
 
 def parse(source: str) -> Page:
     """Blocks of visible text of a page, however badly its tags are closed."""
+    root = Element(ROOT, ROOT, False, None)
     page = Page()
-    stack: list[Element] = []
+    stack = [root]
     text: list[str] = []
 
     def flush() -> None:
@@ -124,11 +125,11 @@ def parse(source: str) -> Page:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                owner = next((e for e in reversed(stack) if e.tag in BLOCKS), None)
-                page.blocks.append((owner or _root(page, stack), block))
+                owner = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
+                page.blocks.append((owner, block))
 
     def pop(tags: frozenset[str], stops: frozenset[str] = CONTAINERS) -> None:
-        for at in range(len(stack) - 1, -1, -1):
+        for at in range(len(stack) - 1, 0, -1):
             if stack[at].tag in tags:
                 flush()
                 del stack[at:]
@@ -140,10 +141,10 @@ def parse(source: str) -> Page:
     while at < len(source):
         found = _TOKEN.search(source, at)
         if not found:
-            if not (stack and stack[-1].hidden):
+            if not stack[-1].hidden:
                 text.append(source[at:])
             break
-        hidden = bool(stack) and stack[-1].hidden
+        hidden = stack[-1].hidden
         if not hidden and found.start() > at:
             text.append(source[at : found.start()])
         at = found.end()
@@ -153,7 +154,7 @@ def parse(source: str) -> Page:
         if closing:
             if tag in BLOCKS and not hidden:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if tag in BLOCKS and not hidden:
                         flush()
@@ -171,17 +172,15 @@ def parse(source: str) -> Page:
             pop(frozenset(["p"]))
         if tag in CLOSES:
             pop(CLOSES[tag], CONTAINERS | {"ul", "ol", "dl", "table"})
-        hidden = bool(stack) and stack[-1].hidden
+        hidden = stack[-1].hidden
         if tag in VOID:
             continue
-        parent = stack[-1] if stack else None
+        parent = stack[-1]
         step = _step(tag, attributes) if tag in BLOCKS else ""
-        path = f"{parent.path}>{step}" if parent and step else step or (parent.path if parent else "")
+        path = f"{parent.path}>{step}" if step else parent.path
         element = Element(tag, path, hidden or _noisy(tag, attributes, parent), parent)
         if not found[3].rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
             stack.append(element)
-            if tag in BLOCKS:
-                page.elements.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.start() if end else len(source)
@@ -189,12 +188,6 @@ def parse(source: str) -> Page:
     return page
 
 
-def _root(page: Page, stack: list[Element]) -> Element:
-    if not page.elements or page.elements[0].parent is not None or page.elements[0].tag != "html":
-        page.elements.insert(0, Element("html", "html", False, None))
-    return page.elements[0]
-
-
 def score(page: Page) -> dict[str, float]:
     """Score of each candidate path: a block's characters count fully for the
     container around its paragraph and half for the next one out."""
