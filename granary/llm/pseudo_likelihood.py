@@ -19,7 +19,7 @@ REACH = 2
 SIDE = 64
 PAD = SIDE * SIDE
 EMBEDDING, HIDDEN = 16, 32
-BATCH = 8192
+BATCH = 16384
 RATE = 0.1
 _MEMORY = 600_000
 _SHAPES = {
@@ -82,38 +82,40 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | both sides) of each row."""
-        _, inner = self.hidden(context)
-        klass, member = np.divmod(target, SIDE)
-        found = _log_softmax(inner @ self.klass)[np.arange(len(target)), klass].astype(np.float64)
-        for rows in _by_class(klass):
-            logits = _log_softmax(inner[rows] @ self.member[klass[rows[0]]])
-            found[rows] += logits[np.arange(len(rows)), member[rows]]
+        order, klass, member, runs = _by_class(target)
+        _, inner = self.hidden(context[order])
+        sure = _log_softmax(inner @ self.klass)[np.arange(len(order)), klass]
+        for first, end in runs:
+            logits = _log_softmax(inner[first:end] @ self.member[klass[first]])
+            sure[first:end] += logits[np.arange(end - first), member[first:end]]
+        found = np.empty(len(order))
+        found[order] = sure
         return found
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
         """Of the mean negative log probability."""
         out = Network(np.zeros_like(self.flat))
-        n = len(target)
+        order, klass, member, runs = _by_class(target)
+        context, n = context[order], np.float32(len(order))
         seen, inner = self.hidden(context)
-        klass, member = np.divmod(target, SIDE)
-        error = np.exp(_log_softmax(inner @ self.klass))
-        error[np.arange(n), klass] -= 1
+        error = _softmax(inner @ self.klass)
+        error[np.arange(len(order)), klass] -= 1
         error /= n
         out.klass[:] = inner.T @ error
         back = error @ self.klass.T
-        for rows in _by_class(klass):
-            own, weights = inner[rows], self.member[klass[rows[0]]]
-            error = np.exp(_log_softmax(own @ weights))
-            error[np.arange(len(rows)), member[rows]] -= 1
+        for first, end in runs:
+            own, weights = inner[first:end], self.member[klass[first]]
+            error = _softmax(own @ weights)
+            error[np.arange(end - first), member[first:end]] -= 1
             error /= n
-            out.member[klass[rows[0]]] = own.T @ error
-            back[rows] += error @ weights.T
+            out.member[klass[first]] = own.T @ error
+            back[first:end] += error @ weights.T
         back = back[:, :HIDDEN] * (1 - inner[:, :HIDDEN] ** 2)
         out.into[:], out.bias[:] = seen.T @ back, back.sum(axis=0)
-        words, order = context.reshape(-1), np.argsort(context, axis=None, kind="stable")
-        firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
-        steps = (back @ self.into.T).reshape(-1, EMBEDDING)[order]
-        out.embed[words[order][firsts]] = np.add.reduceat(steps, firsts, axis=0)
+        words, places = context.reshape(-1), np.argsort(context.astype(np.uint16), axis=None, kind="stable")
+        firsts = np.flatnonzero(np.diff(words[places], prepend=-1))
+        steps = (back @ self.into.T).reshape(-1, EMBEDDING)[places]
+        out.embed[words[places][firsts]] = np.add.reduceat(steps, firsts, axis=0)
         return out
 
 
@@ -122,42 +124,45 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _by_class(klass: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of each class that occurs."""
-    order = np.argsort(klass, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(klass[order])) + 1) if len(order) else []
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    shares = np.exp(logits - logits.max(axis=1, keepdims=True))
+    shares /= shares.sum(axis=1, keepdims=True)
+    return shares
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """An order that brings classes together, with classes, members and runs in it."""
+    order = np.argsort((target // SIDE).astype(np.uint8), kind="stable")
+    klass, member = np.divmod(target[order], SIDE)
+    ends = [*np.flatnonzero(np.diff(klass)) + 1, len(klass)] if len(klass) else []
+    return order, klass, member, list(zip([0, *ends[:-1]], ends))
 
 
 def windows(texts: Iterable[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``context, target, text number`` of every word, in batches.
 
     Texts are laid end to end with padding between them, so a window sees its own
-    text only; a text longer than a batch is read over its whole length.
+    text only; a text longer than a batch is cut into several.
     """
-    stream, owners = [PAD] * REACH, [-1] * REACH
+    pad = np.full(REACH, PAD, dtype=np.int32)
+    parts, numbers, size = [pad], [], 0
     for number, ids in enumerate(texts):
-        for at in range(0, len(ids), BATCH):
-            part = ids[at : at + BATCH]
-            stream += part
-            owners += [number] * len(part)
-            if at + BATCH < len(ids):
-                if len(stream) > BATCH:
-                    yield from _cut(stream + ids[at + BATCH : at + BATCH + REACH], owners)
-                    stream, owners = stream[-REACH:], [-1] * REACH
-        stream += [PAD] * REACH
-        owners += [-1] * REACH
-        if len(stream) > BATCH:
-            yield from _cut(stream, owners)
-            stream, owners = [PAD] * REACH, [-1] * REACH
-    yield from _cut(stream, owners)
-
-
-def _cut(stream: list[int], owners: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    ids, owner = np.array(stream + [PAD] * REACH), np.array(owners)
-    places = np.flatnonzero(owner >= 0)
+        parts += (np.array(ids, dtype=np.int32), pad)
+        numbers.append(number)
+        size += len(ids)
+        if size >= BATCH:
+            yield from _cut(parts, numbers)
+            parts, numbers, size = [pad], [], 0
+    yield from _cut(parts, numbers)
+
+
+def _cut(parts: list[np.ndarray], numbers: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    ids = np.concatenate(parts)
+    owner = np.repeat(np.array(numbers, dtype=np.int32), [len(x) for x in parts[1::2]])
+    places = np.flatnonzero(ids != PAD)
     for at in range(0, len(places), BATCH):
         some = places[at : at + BATCH]
-        yield ids[some[:, None] + _OFFSETS], ids[some], owner[some]
+        yield ids[some[:, None] + _OFFSETS], ids[some], owner[at : at + BATCH]
 
 
 _WEIGHTS = pa.schema([("place", pa.int32()), ("value", pa.float64()), ("weight", pa.float64())])
