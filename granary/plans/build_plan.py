@@ -196,15 +196,16 @@ def build_plan_rows(
 ) -> DataFrame:
     """The schedule as rows of the build-plan table, without plan ids.
 
-    Product and work center are the lowest current ids, placeholders for a plan
-    that covers the whole network.
+    A product or work center that the schedule has is kept. Where it has none,
+    the plan covers the whole network and the lowest current id stands in.
     """
-    product = current_rows(t.product).agg(F.min("product_id")).scalar()
-    line = current_rows(t.work_center).agg(F.min("work_center_id")).scalar()
+    stand_ins = {
+        "product_id": current_rows(t.product).agg(F.min("product_id")).scalar(),
+        "work_center_id": current_rows(t.work_center).agg(F.min("work_center_id")).scalar(),
+    }
     version = F.concat(F.lit(f"{MODEL_NAME}_"), F.date_format(as_of, "yyyyMMdd"))
     values = {
-        "product_id": product,
-        "work_center_id": line,
+        **{k: v for k, v in stand_ins.items() if k not in scheduled.columns},
         "production_week": first_of_month(year, F.col("period")),
         "recommended_quantity": F.col("recommended_production"),
         "current_capacity_available": F.col("capacity"),
@@ -235,36 +236,47 @@ def _last_plan_id(spark: SparkSession, path: str) -> int:
         raise
 
 
-def write_build_plan(rows: DataFrame, path: str) -> DataFrame:
-    """Replace the plans of the scenarios in ``rows`` and return the stored table.
-
-    The table is partitioned by scenario and only the partitions that get rows
-    are overwritten, which is the delete-then-insert of the reference without
-    touching other scenarios. Fewer stored rows than written ones raise.
+def write_build_plan(
+    rows: DataFrame, path: str, scenarios: DataFrame | None = None
+) -> DataFrame:
+    """Replace the plans of the asked scenarios and return the stored table.
+
+    ``scenarios`` names them in ``scenario_id``; without it they are those of
+    ``rows``. The table is partitioned by scenario and only their partitions are
+    overwritten, which is the delete-then-insert of the reference without touching
+    others. An asked scenario without rows, as after an infeasible plan, gets a
+    marker row that readers skip, so its old plan goes. Ids follow all columns,
+    so they are the same in every run. A scenario that holds another number of
+    rows than was written raises.
     """
     spark = rows.sparkSession
-    numbered = dense_ids(
-        rows,
-        ("scenario_id", "production_week", "product_id"),
-        "plan_id",
-        _last_plan_id(spark, path),
-    )
+    order = [n for n in ("scenario_id", "production_week", "product_id") if n in rows.columns]
+    order += [n for n in BUILD_PLAN if n not in (*order, "plan_id")]
+    numbered = dense_ids(rows, order, "plan_id", _last_plan_id(spark, path)).select(*BUILD_PLAN)
+    placed = numbered
+    if scenarios is not None:
+        missing = scenarios.select(F.col("scenario_id").cast("bigint")).distinct().join(
+            numbered.select("scenario_id").distinct(), "scenario_id", "left_anti"
+        )
+        placed = numbered.unionByName(missing, allowMissingColumns=True)
     (
-        numbered.select(*BUILD_PLAN)
-        .write.mode("overwrite")
+        placed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("scenario_id")
         .parquet(path)
     )
     stored = read_build_plan(spark, path)
-    written, found = numbered.count(), stored.count()
-    if found < written:
-        raise RuntimeError(f"wrote {written} plan rows but the table holds {found}")
+    written = numbered.groupBy("scenario_id").agg(F.count("*").alias("written"))
+    found = stored.groupBy("scenario_id").agg(F.count("*").alias("found"))
+    lost = written.join(found, "scenario_id", "left").where("found IS NULL OR found <> written")
+    if not lost.isEmpty():
+        raise RuntimeError(f"plan rows written and found differ: {lost.first()}")
     return stored
 
 
 def read_build_plan(spark: SparkSession, path: str) -> DataFrame:
     """The stored build-plan table."""
-    return spark.read.schema(struct_of(BUILD_PLAN)).parquet(path).select(*BUILD_PLAN)
+    stored = spark.read.schema(struct_of(BUILD_PLAN)).parquet(path)
+    return stored.select(*BUILD_PLAN).where(F.col("plan_id").isNotNull())
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import terms
 from granary.operators.durable import durable
-from granary.operators.sizing import at_most, broadcast_when
 
 K1 = 1.2
 B = 0.75
@@ -63,15 +62,16 @@ def postings(index: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def search_index(
-    index: DataFrame, queries: DataFrame, small: bool, key: str = "chunk_id"
+    index: DataFrame, queries: DataFrame, key: str = "chunk_id"
 ) -> DataFrame:
     """BM25 score of every chunk that shares a term with a query.
 
-    ``small`` says that the queries were checked to be few. The terms of a chunk
-    stay in one task, so the scores are summed there before they are shuffled.
+    The terms of a chunk stay in one task where Spark broadcasts the queries'
+    terms by their measured size, so the scores are summed there before the
+    shuffle.
     """
     wanted = query_terms(queries)
-    asked = broadcast_when(small, wanted.select("term").distinct())
+    asked = wanted.select("term").distinct()
     frequency = (
         postings(index, key).join(asked, "term", "left_semi").groupBy("term").agg(
             F.count("*").alias("df")
@@ -89,7 +89,7 @@ def search_index(
     return (
         postings(index, key)
         .select(key, "term", saturated.alias("saturated"))
-        .join(broadcast_when(small, weighted), "term")
+        .join(weighted, "term")
         .groupBy("query_id", key)
         .agg(F.round(F.sum(F.col("idf") * F.col("saturated")), SCORE_DIGITS).alias("score"))
     )
@@ -118,8 +118,7 @@ def search_chunks(
     corpus = chunks
     for column, value in (filters or {}).items():
         corpus = corpus.where(F.col(column) == value)
-    small = at_most(queries)
     index = durable(index_chunks(corpus))
-    ranked = top_k(search_index(index, queries, small), k)
+    ranked = top_k(search_index(index, queries), k)
     shown = [c for c in corpus.columns if c != "chunk_id"]
-    return corpus.select("chunk_id", *shown).join(broadcast_when(small, ranked), "chunk_id")
+    return corpus.select("chunk_id", *shown).join(ranked, "chunk_id")

@@ -235,8 +235,8 @@ def _copy(t: PlanningTables, mode: str) -> writeback.ScenarioCopy:
         t.scenario_definition,
         t.demand_forecast_versions,
         2,
-        "SHORTAGE_Q4",
-        "Supply Shortage Q4",
+        "RESIN_GAP",
+        "Resin gap in autumn",
         "planner",
         as_of(),
         mode=mode,
@@ -347,6 +347,39 @@ def stored_build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stored_product_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the plans of two scenarios, ask one of them again without a feasible
+    plan, and read back every row that remains, by product."""
+    t = driver_tables(spark, sf_dir)
+    path = scratch_path(spark, "product-plans")
+    rows = build_plan.build_plan_rows(t, _product_schedule(t), as_of())
+    build_plan.write_build_plan(rows.where(F.col("scenario_id") == 2), path)
+    build_plan.write_build_plan(rows.where(F.col("scenario_id") != 2), path)
+    asked = rows.where(F.col("scenario_id") != 2).select("scenario_id").distinct()
+    stored = build_plan.write_build_plan(rows.limit(0), path, asked)
+    return present(
+        stored.select(
+            F.col("plan_id").alias("plan_rank"),
+            "scenario_id",
+            "product_id",
+            "fiscal_month",
+            F.col("recommended_quantity").alias("quantity"),
+            F.col("projected_inventory").alias("inventory"),
+        )
+    )
+
+
+over_tables(
+    "all_units",
+    lambda t: present(
+        t.demand_forecast_versions.where(
+            (F.col("scenario_id") == 1) & F.col("is_current_version")
+        ).agg(F.sum("forecast_quantity").alias("units"))
+    ),
+)
+
+
 # Metrics ---------------------------------------------------------------------
 
 over_tables("warehousing_cost_october", metrics.warehousing_cost_october)
@@ -402,16 +435,16 @@ over_tables(
 )
 EXPECTATIONS = [
     quality.Expectation(
-        "home_planning_stats", dashboards.planning_stats, "Home page planning statistics", 1
+        "table_totals", dashboards.planning_stats, "Totals over all planning tables", 1
     ),
     quality.Expectation(
-        "exec_scenario_summary", dashboards.scenario_summary, "Scenario summary by quarter", 1
+        "quarter_totals", dashboards.scenario_summary, "Demand, revenue and cost of each quarter", 1
     ),
     quality.Expectation(
-        "exec_warehouse_cost", dashboards.warehouse_cost, "Warehouse costs by scenario and site", 1
+        "site_storage", dashboards.warehouse_cost, "Storage cost of each site in each scenario", 1
     ),
     quality.Expectation(
-        "exec_monthly_demand", dashboards.monthly_demand, "Monthly demand by scenario", 19
+        "month_totals", dashboards.monthly_demand, "Units of each month in each scenario", 19
     ),
 ]
 over_tables("expectations", quality.run_expectations, expectations=EXPECTATIONS)

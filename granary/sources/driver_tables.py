@@ -1,7 +1,7 @@
 """The benchmark's star-schema tables mapped to the planning model.
 
-Nations become sites, parts products, suppliers work centers, and line items of
-July to December become monthly demand, which three scenarios scale. Capacities
+Nations become sites, parts products, suppliers work centers, and line items
+monthly demand in July to December, which three scenarios scale. Capacities
 and rates follow from key arithmetic, so every number can be recomputed in SQL.
 Some keys also get a superseded row, so that reading only current rows matters.
 
@@ -220,10 +220,15 @@ def logistics_cost_fact(nation: DataFrame) -> DataFrame:
 
 def scenario_definition(spark: SparkSession, region: DataFrame) -> DataFrame:
     """The three planning scenarios and one empty custom one per region."""
-    fixed = spark.createDataFrame(
-        [(*row, None) for row in SCENARIOS],
-        "scenario_id bigint, scenario_code string, scenario_name string, "
-        "scenario_type string, is_official_baseline boolean, parent_scenario_id bigint",
+    # An expression over one row has a size estimate, unlike local data from Python,
+    # so the few scenarios are broadcast and the fact stays where it is.
+    rows = ", ".join(
+        f"struct({i}L, '{code}', '{name}', '{kind}', {str(official).lower()}, CAST(NULL AS BIGINT))"
+        for i, code, name, kind, official in SCENARIOS
+    )
+    fixed = spark.range(1).selectExpr(
+        f"inline(array({rows})) AS (scenario_id, scenario_code, scenario_name, scenario_type, "
+        "is_official_baseline, parent_scenario_id)"
     )
     custom = region.selectExpr(
         "CAST(100 + r_regionkey AS BIGINT) AS scenario_id",
@@ -240,14 +245,16 @@ def scenario_definition(spark: SparkSession, region: DataFrame) -> DataFrame:
 
 
 def monthly_sales(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Units sold per product, nation and fiscal month (July to December)."""
+    """Units sold per product, nation and fiscal month (July to December).
+
+    Every line item counts: January to June fall on July to December too.
+    """
     return (
-        lineitem.where("month(l_shipdate) >= 7")
-        .join(supplier, F.expr("l_suppkey = s_suppkey"))
+        lineitem.join(supplier, F.expr("l_suppkey = s_suppkey"))
         .selectExpr(
             "l_partkey AS product_id",
             "CAST(s_nationkey AS BIGINT) AS site_id",
-            "month(l_shipdate) AS m",
+            "(month(l_shipdate) - 1) % 6 + 7 AS m",
             "CAST(l_quantity AS DECIMAL(8,2)) AS sold",
         )
         .groupBy("product_id", "site_id", "m")

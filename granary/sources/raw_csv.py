@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,23 +14,71 @@ from granary.schemas import RAW_FILES, RAW_METADATA, raw_columns
 _METADATA_TYPES = ("string", "bigint", "timestamp_ntz")
 
 
-def read_csv(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
-    """Comma-separated files with a header, every column as text.
+_BAD = "_corrupt_record"
+
 
-    ``file_name`` may also name a folder of part files.
-    The columns are those of the header, which all matching files must share.
-    Short rows are padded with nulls and surplus fields are cut; the null
-    spellings become nulls.
+def _headers(spark: SparkSession, pattern: str) -> list[tuple[list[str], list[str]]]:
+    """Column names and paths of the files that match, one entry per header.
+
+    First lines are found by one aggregate over the first split of each file.
     """
+    lines = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [
+        (spark.read.option("header", True).option("escape", '"').csv(row["paths"][0]).columns, row["paths"])
+        for row in groups.orderBy("header").collect()
+    ]
+
+
+def _rows(
+    spark: SparkSession, columns: list[str], paths: list[str], multi_line: bool
+) -> DataFrame:
+    """Files of one header as text columns; rows of another width keep their line."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _BAD]])
     read = (
-        spark.read.option("header", True)
+        spark.read.schema(schema)
+        .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .option("enforceSchema", False)
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", _BAD)
     )
-    df = read.csv(f"{folder}/*{file_name}")
-    return df.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return read.csv(paths)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """The data columns, trimmed of the null spellings."""
+    return df.select(
+        *[blank_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns if c != _BAD]
+    )
+
+
+def read_csv(
+    spark: SparkSession, folder: str, file_name: str, multi_line: bool = False
+) -> DataFrame:
+    """Comma-separated files with a header, every column as text.
+
+    ``file_name`` may also name a folder of part files. Columns are matched by the
+    header of each file, ignoring case; one that a file lacks is null there. Short
+    rows are padded with nulls and surplus fields are cut; the null spellings
+    become nulls. ``multi_line`` allows line breaks inside quotes, at the price
+    that a file can't be split over tasks.
+    """
+    parts = [
+        _named(_rows(spark, columns, paths, multi_line))
+        for columns, paths in _headers(spark, f"{folder}/*{file_name}")
+    ]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def match_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -47,13 +97,15 @@ def load_raw(
     folder: str,
     table: str,
     loaded_at: Column | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One raw table from its file, with the load metadata columns.
 
     File name and row number stay null, as a load that matches columns by name
     leaves them; :func:`with_source_file` fills the name where it is wanted.
     """
-    raw = match_columns(read_csv(spark, folder, RAW_FILES[table]), raw_columns(table))
+    found = read_csv(spark, folder, RAW_FILES[table], multi_line)
+    raw = match_columns(found, raw_columns(table))
     stamp = F.current_timestamp() if loaded_at is None else loaded_at
     values = (F.lit(None), F.lit(None), stamp)
     return raw.select(
@@ -62,38 +114,31 @@ def load_raw(
     )
 
 
-def with_source_file(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The raw rows with the name of the file each one came from."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in raw_columns(table)])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .csv(f"{folder}/*{RAW_FILES[table]}")
-    )
-    return rows.select(
-        *[blank_to_null(F.col(c)).alias(c) for c in raw_columns(table)],
-        F.col("_metadata.file_name").alias("_source_file_name"),
-    )
-
-
-def rejected_rows(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Key and text of the rows whose field count differs from the header's."""
-    names = raw_columns(table)
-    schema = T.StructType(
-        [T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]]
-    )
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .csv(f"{folder}/*{RAW_FILES[table]}")
-    )
-    return rows.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col(names[0]).alias("key"), F.col("_corrupt_record").alias("line")
-    )
+def with_source_file(
+    spark: SparkSession, folder: str, table: str, multi_line: bool = False
+) -> DataFrame:
+    """The raw rows, matched by name, with the file each one came from."""
+    parts = []
+    for columns, paths in _headers(spark, f"{folder}/*{RAW_FILES[table]}"):
+        rows = _rows(spark, columns, paths, multi_line)
+        source = F.col("_metadata.file_name").alias("_source_file_name")
+        cells = [blank_to_null(F.col(f"`{c}`")).alias(c) for c in columns]
+        named = rows.select(*cells, source)
+        parts.append(match_columns(named, [*raw_columns(table), "_source_file_name"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rejected_rows(
+    spark: SparkSession, folder: str, table: str, multi_line: bool = False
+) -> DataFrame:
+    """Key and text of the rows whose field count differs from their file's header."""
+    key = raw_columns(table)[0]
+    parts = []
+    for columns, paths in _headers(spark, f"{folder}/*{RAW_FILES[table]}"):
+        rows = _rows(spark, columns, paths, multi_line).where(F.col(_BAD).isNotNull())
+        cells = rows.select(*[F.col(f"`{c}`").alias(c) for c in columns], F.col(_BAD).alias("line"))
+        parts.append(match_columns(cells, [key, "line"]).withColumnRenamed(key, "key"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def append_raw(df: DataFrame, root: str, table: str, mode: str = "append") -> None:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from granary.operators.sizing import at_most, broadcast_when
 from granary.plans.mart import scenario_kpis
 from granary.sources.tables import PlanningTables
 from granary.streaming.versions import (
@@ -31,9 +30,7 @@ def refresh_kpis(
     its valid lines is replaced by an empty row, which readers skip.
     """
     ids = touched.select("scenario_id").distinct()
-    versions = read_versions(touched.sparkSession, root).join(
-        broadcast_when(at_most(ids), ids), "scenario_id", "left_semi"
-    )
+    versions = read_versions(touched.sparkSession, root).join(ids, "scenario_id", "left_semi")
     tables = t.with_(demand_forecast_versions=as_forecasts(current_lines(versions)))
     (
         ids.join(scenario_kpis(tables, as_of=as_of), "scenario_id", "left")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from granary.operators.sizing import at_most
 from granary.plans.documents import chunk_documents
 from granary.plans.search import MAX_RESULTS, index_chunks, search_index, top_k
 from granary.streaming.versions import start
@@ -62,4 +61,4 @@ def search_stored(
 ) -> DataFrame:
     """The best ``k`` chunks per query from the stored index."""
     index = read_index(spark, root)
-    return top_k(search_index(index, queries, at_most(queries)), k)
+    return top_k(search_index(index, queries), k)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from granary.operators.sizing import at_most, broadcast_when
 from granary.schemas import ATOMIC, EXTRA, columns_of, struct_of
 
 # A submitted line: the forecast columns, its version, and an id that a source
@@ -52,13 +51,12 @@ def read_versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """The latest timestamp of every scenario, broadcast if checked to be few.
+    """The latest timestamp of every scenario.
 
-    Without the hint a scenario that holds a third of the lines would be
-    shuffled as one key; beyond the bound Spark splits such keys at run time.
+    One row per scenario: adaptive execution broadcasts it by its measured size
+    and splits a scenario with many lines beyond that.
     """
-    heads = versions.groupBy("scenario_id").agg(F.max("version_timestamp").alias("_head"))
-    return broadcast_when(at_most(heads), heads)
+    return versions.groupBy("scenario_id").agg(F.max("version_timestamp").alias("_head"))
 
 
 def _each_once(lines: DataFrame) -> DataFrame:

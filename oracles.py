@@ -82,10 +82,9 @@ BASE: dict[str, str] = {
         FROM region""",
     "sales": """
         SELECT l_partkey AS product_id, CAST(s_nationkey AS BIGINT) AS site_id,
-               month(l_shipdate) AS m,
+               (month(l_shipdate) - 1) % 6 + 7 AS m,
                CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS units
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-        WHERE month(l_shipdate) BETWEEN 7 AND 12
         GROUP BY ALL""",
     "rules": """
         SELECT * FROM (VALUES
@@ -670,7 +669,7 @@ ORACLES["copy_scenario_definitions"] = sql(
            is_official_baseline, CAST(1 AS BIGINT) AS version_number, parent_scenario_id
     FROM scenario
     UNION ALL
-    SELECT (SELECT max(scenario_id) + 1 FROM scenario), 'SHORTAGE_Q4', 'Supply Shortage Q4',
+    SELECT (SELECT max(scenario_id) + 1 FROM scenario), 'RESIN_GAP', 'Resin gap in autumn',
            'Copy of ' || scenario_name, 'CUSTOM', FALSE, 1, 2
     FROM scenario WHERE scenario_id = 2"""
 )
@@ -678,7 +677,7 @@ ORACLES["copy_scenario_receipt"] = sql(
     """
     SELECT '{"status":"SUCCESS","new_scenario_id":'
            || (SELECT max(scenario_id) + 1 FROM scenario)
-           || ',"new_scenario_code":"SHORTAGE_Q4","source_scenario_id":2,"forecasts_copied":'
+           || ',"new_scenario_code":"RESIN_GAP","source_scenario_id":2,"forecasts_copied":'
            || count(*) || ',"created_by":"planner"}' AS receipt
     FROM forecast WHERE scenario_id = 2"""
 )
@@ -877,6 +876,19 @@ ORACLES["stored_build_plan"] = sql(
     **PRODUCT_PLAN,
     schedule=SCHEDULE,
 )
+ORACLES["stored_product_plans"] = sql(
+    """
+    SELECT row_number() OVER (ORDER BY scenario_id, make_date(2024, period, 1), product_id) AS plan_rank,
+           scenario_id, product_id, fiscal_month,
+           CAST(recommended_production AS DOUBLE) AS quantity,
+           CAST(ending_inventory AS DOUBLE) AS inventory
+    FROM schedule WHERE scenario_id = 2""",
+    **PRODUCT_PLAN,
+    schedule=SCHEDULE,
+)
+ORACLES["all_units"] = """
+    SELECT CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS units
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""
 
 # Metrics ---------------------------------------------------------------------
 
@@ -983,13 +995,13 @@ ORACLES["catalog_profile"] = sql(
 ORACLES["expectations"] = sql(
     """
     SELECT *, row_count >= min_rows AS passed FROM (
-        SELECT 'home_planning_stats' AS query_name, 'Home page planning statistics' AS description,
+        SELECT 'table_totals' AS query_name, 'Totals over all planning tables' AS description,
                CAST(1 AS BIGINT) AS min_rows, CAST(1 AS BIGINT) AS row_count
-        UNION ALL SELECT 'exec_scenario_summary', 'Scenario summary by quarter', 1, count(*)
+        UNION ALL SELECT 'quarter_totals', 'Demand, revenue and cost of each quarter', 1, count(*)
         FROM (SELECT DISTINCT scenario_code, fiscal_quarter FROM line)
-        UNION ALL SELECT 'exec_warehouse_cost', 'Warehouse costs by scenario and site', 1, count(*)
+        UNION ALL SELECT 'site_storage', 'Storage cost of each site in each scenario', 1, count(*)
         FROM (SELECT DISTINCT scenario_code, site_name FROM line)
-        UNION ALL SELECT 'exec_monthly_demand', 'Monthly demand by scenario', 19, count(*)
+        UNION ALL SELECT 'month_totals', 'Units of each month in each scenario', 19, count(*)
         FROM (SELECT DISTINCT scenario_code, fiscal_month FROM line))"""
 )
 _CHECKS = {

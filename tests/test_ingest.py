@@ -172,3 +172,17 @@ def test_numbers(spark):
     ).first()
     assert row["month"] == D("4335.37") and row["week"] == D("1011.59")
     assert (row["nan"], row["inf"], row["null"], row["fine"]) == (0.0, 1.5, 0.0, 2.0)
+
+
+def test_columns_match_by_the_header_of_each_file(spark, tmp_path):
+    (tmp_path / "a_sites.csv").write_text('SITE_NAME,SITE_ID,REGION\nNorth,1,X\n"two\nlines",2,Y\n')
+    (tmp_path / "b_sites.csv").write_text("site_id,region,site_name\n3,Z,South\n4,Z\n")
+    folder = str(tmp_path)
+    named = raw_csv.with_source_file(spark, folder, "site", multi_line=True).collect()
+    assert sorted((r.site_id, r.site_name, r.region, r._source_file_name) for r in named if r.site_name) == [
+        ("1", "North", "X", "a_sites.csv"), ("2", "two\nlines", "Y", "a_sites.csv"), ("3", "South", "Z", "b_sites.csv"),
+    ]
+    loaded = raw_csv.load_raw(spark, folder, "site", multi_line=True).collect()
+    assert sorted((r.site_id, r.region) for r in loaded) == [("1", "X"), ("2", "Y"), ("3", "Z"), ("4", "Z")]
+    bad = raw_csv.rejected_rows(spark, folder, "site", multi_line=True).collect()
+    assert [(r.key, r.line) for r in bad] == [("4", "4,Z")]

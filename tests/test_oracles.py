@@ -7,13 +7,14 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as contract
+from granary.registry import QUERIES
 from granary.sources.driver_tables import SCHEMAS, read_driver_table
+from oracles import ORACLES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 FORBIDDEN = ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups")
 
 

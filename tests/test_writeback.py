@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from granary.operators.current import current_rows, current_versions, scd2_upsert
 from granary.operators.keys import dense_ids, next_id
 from granary.operators.pairs import every_pair
-from granary.operators.sizing import at_most
 from granary.plans import writeback
 from granary.sources.driver_tables import as_of
 
@@ -229,10 +228,6 @@ def test_every_pair(spark):
     assert every_pair(left, right.where("b > 9")).count() == 0
 
 
-def test_size_check(spark):
-    assert at_most(spark.range(10), 10) and not at_most(spark.range(11), 10)
-
-
 def test_new_scenario_ids_grow(spark):
     t = make_tables(spark, scenario_definition=SCENARIOS[:1])
     copy = writeback.create_scenario_copy(
