@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import duckdb
+
 import corpus_pipeline
+from granary.llm.oracles import ORACLES
 from granary.llm.quality_rules import BASE, RULES, Text, first_rejection
 from granary.llm.queries import QUERIES
 from .conftest import texts
@@ -42,3 +45,15 @@ def test_stages_take_odd_rows(spark, odd_table):
 
 def test_one_query_per_operator():
     assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+
+
+def test_sql_gives_the_same_rows(spark):
+    duck = duckdb.connect()
+    folder = "/root/testdata/sf0.001"
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in ORACLES.items():
+        found = QUERIES[name](spark, folder)
+        expected = duck.execute(sql)
+        columns = [c[0] for c in expected.description]
+        assert sorted(columns) == sorted(found.columns)
+        assert Counter(map(tuple, found.select(*columns).collect())) == Counter(expected.fetchall())
