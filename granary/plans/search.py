@@ -26,22 +26,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def index_chunks(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Key, length and term counts of every chunk, as one row.
+def index_chunks(chunks: DataFrame, *keep: str) -> DataFrame:
+    """Key (or the columns to ``keep``), length and term counts of every chunk.
 
     A row-local operation: sorting the terms puts equal ones next to each
     other, so ``first`` and ``next`` are where a term and its successor start,
     and their distance is the count.
     """
+    keep = keep or ("chunk_id",)
     ordered = F.sort_array(terms(F.col("chunk_text")))
-    prepared = chunks.select(key, ordered.alias("_terms"))
+    prepared = chunks.select(*keep, ordered.alias("_terms"))
     starts = F.transform(
         "_terms",
         lambda term, i: F.when(
             (i == 0) | (term != F.get("_terms", F.greatest(i - 1, F.lit(0)))), i
         ),
     )
-    located = prepared.select(key, "_terms", F.array_compact(starts).alias("_first"))
+    located = prepared.select(*keep, "_terms", F.array_compact(starts).alias("_first"))
     groups = F.size("_first")
     following = F.concat(F.slice("_first", F.lit(2), groups), F.array(F.size("_terms")))
     zipped = F.arrays_zip(
@@ -50,7 +51,7 @@ def index_chunks(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
         F.slice(following, F.lit(1), groups).alias("next"),
     )
     return located.select(
-        key, F.size("_terms").cast("bigint").alias("chunk_length"), zipped.alias("counts")
+        *keep, F.size("_terms").cast("bigint").alias("chunk_length"), zipped.alias("counts")
     )
 
 

@@ -1,8 +1,17 @@
-"""A search index that follows new documents."""
+"""A search index that follows new, changed and deleted documents.
+
+Every micro-batch is one folder of two append-only tables, overwritten when the
+batch is replayed: the versions that arrived, a few bytes each, and the chunks
+with text, attributes and term counts. Which version of a document is live is
+derived: the highest ``version``, then the latest batch. A change therefore
+rewrites nothing; :func:`compact_index` drops what is no longer live.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,20 +20,61 @@ from granary.plans.search import MAX_RESULTS, index_chunks, search_index, top_k
 from granary.streaming.versions import start
 
 TARGET_LAG = {"processingTime": "1 minute"}
+_VERSIONS = "document_id string, version bigint, deleted boolean, batch_id bigint"
+_INDEX = (
+    "document_id string, version bigint, chunk_id string, chunk_text string, "
+    "attributes map<string,string>, chunk_length bigint, "
+    "counts array<struct<term:string,first:int,next:int>>, batch_id bigint"
+)
+
+
+def _arrivals(batch: DataFrame, batch_id: int, attributes: Sequence[str]) -> DataFrame:
+    """One row per document of a batch: its highest version, then the greatest text."""
+
+    def given(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in batch.columns else default
+
+    pairs = [part for a in attributes for part in (F.lit(a), F.col(a).cast("string"))]
+    rows = batch.select(
+        F.col("document_id").cast("string").alias("document_id"),
+        given("version", F.lit(batch_id)).cast("bigint").alias("version"),
+        given("deleted", F.lit(False)).alias("deleted"),
+        "text",
+        F.create_map(*pairs).cast("map<string,string>").alias("attributes"),
+    )
+    place = F.struct("version", "deleted", "text")
+    return (
+        rows.groupBy("document_id")
+        .agg(F.max_by(F.struct("version", "deleted", "text", "attributes"), place).alias("_row"))
+        .select("document_id", "_row.*")
+    )
 
 
 def index_batch(
-    batch: DataFrame, batch_id: int, root: str, mode: str, target_tokens: int
+    batch: DataFrame,
+    batch_id: int,
+    root: str,
+    mode: str,
+    target_tokens: int,
+    attributes: Sequence[str] = (),
 ) -> None:
     """Chunk and index one micro-batch of documents into its own folder.
 
     A chunk is identified by its document and place, so that batches need no
-    common counter.
+    common counter. The versions are written last: a batch that failed between
+    the two tables has chunks that no version names.
     """
-    chunks = chunk_documents(batch, mode, target_tokens)
+    arrived = _arrivals(batch, batch_id, attributes)
+    chunks = chunk_documents(arrived.where(~F.col("deleted")), mode, target_tokens)
     key = F.concat_ws("#", "document_id", "chunk_index")
-    index = index_chunks(chunks.withColumn("chunk_id", key))
+    index = index_chunks(
+        chunks.withColumn("chunk_id", key),
+        "document_id", "version", "chunk_id", "chunk_text", "attributes",
+    )
     index.write.mode("overwrite").parquet(f"{root}/index/batch_id={batch_id}")
+    arrived.select("document_id", "version", "deleted").write.mode("overwrite").parquet(
+        f"{root}/versions/batch_id={batch_id}"
+    )
 
 
 def index_stream(
@@ -34,31 +84,88 @@ def index_stream(
     trigger: dict = TARGET_LAG,
     mode: str = "tokens",
     target_tokens: int = 500,
+    attributes: Sequence[str] = (),
 ) -> StreamingQuery:
     """Keep the index below ``root`` up to date with a stream of documents.
 
-    ``documents`` has ``document_id`` and ``text``.
+    ``documents`` has ``document_id`` and ``text``; a document sent again
+    replaces what was sent before. An optional ``version`` orders the versions
+    (else later batches win), an optional ``deleted`` takes a document away, and
+    the columns named by ``attributes`` are kept for filters.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch, batch_id, root, mode, target_tokens)
+        index_batch(batch, batch_id, root, mode, target_tokens, attributes)
 
     writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land)
     return start(writer, trigger)
 
 
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
+
+
+def _live(versions: DataFrame) -> DataFrame:
+    """``document_id, live``: the version and batch in force, null when deleted."""
+    newest = F.max_by(F.struct("version", "batch_id", "deleted"), F.struct("version", "batch_id"))
+    return versions.groupBy("document_id").agg(newest.alias("_last")).select(
+        "document_id", F.when(~F.col("_last.deleted"), F.col("_last.batch_id")).alias("live")
+    )
+
+
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """The stored index: one row per chunk with its term counts."""
-    schema = (
-        "chunk_id string, chunk_length bigint, "
-        "counts array<struct<term:string,first:int,next:int>>, batch_id bigint"
+    """The live chunks: document, chunk id, text, attributes and term counts.
+
+    Only the versions, a few bytes each, are grouped. The chunks meet the
+    superseded versions alone, which :func:`compact_index` keeps few, and
+    adaptive execution broadcasts them by their measured size.
+    """
+    versions = _versions(spark, root)
+    stale = (
+        versions.join(_live(versions), "document_id")
+        .where(~F.col("batch_id").eqNullSafe(F.col("live")))
+        .select("document_id", "batch_id")
     )
-    return spark.read.schema(schema).parquet(f"{root}/index").drop("batch_id")
+    index = spark.read.schema(_INDEX).parquet(f"{root}/index")
+    return index.join(stale, ["document_id", "batch_id"], "left_anti").drop("batch_id", "version")
+
+
+def compact_index(spark: SparkSession, root: str, target: str) -> None:
+    """Write the live state of the index below ``root`` as one batch of ``target``.
+
+    Deleted documents keep their version, so that an older one that arrives late
+    stays away. The stream goes on with ``target`` and its old checkpoint; it
+    must be stopped meanwhile. What is read is never overwritten.
+    """
+    versions = _versions(spark, root)
+    last = versions.agg(F.max("batch_id")).first()[0] or 0
+    newest = F.struct("version", "batch_id")
+    kept = versions.groupBy("document_id").agg(
+        F.max("version").alias("version"), F.max_by("deleted", newest).alias("deleted")
+    )
+    live = _live(versions).where("live IS NOT NULL").withColumnRenamed("live", "batch_id")
+    index = spark.read.schema(_INDEX).parquet(f"{root}/index")
+    index.join(live, ["document_id", "batch_id"], "left_semi").drop("batch_id").write.parquet(
+        f"{target}/index/batch_id={last}"
+    )
+    kept.write.parquet(f"{target}/versions/batch_id={last}")
 
 
 def search_stored(
-    spark: SparkSession, root: str, queries: DataFrame, k: int = MAX_RESULTS
+    spark: SparkSession,
+    root: str,
+    queries: DataFrame,
+    k: int = MAX_RESULTS,
+    filters: dict[str, str] | None = None,
 ) -> DataFrame:
-    """The best ``k`` chunks per query from the stored index."""
-    index = read_index(spark, root)
-    return top_k(search_index(index, queries), k)
+    """The best ``k`` live chunks per query with their text and attributes.
+
+    ``filters`` are equality conditions on the stored attributes; they narrow the
+    corpus before it is scored.
+    """
+    corpus = read_index(spark, root)
+    for name, value in (filters or {}).items():
+        corpus = corpus.where(F.col("attributes")[name] == value)
+    ranked = top_k(search_index(corpus, queries), k)
+    shown = corpus.select("chunk_id", "document_id", "chunk_text", "attributes")
+    return shown.join(ranked, "chunk_id")

@@ -1193,6 +1193,9 @@ ORACLES["stream_search"] = sql(
     **search_ctes(_KEYED),
 )
 
+ORACLES["stream_search_updates"] = ORACLES["search"]
+ORACLES["stream_search_filtered"] = ORACLES["search_filtered"]
+
 # Ingest ----------------------------------------------------------------------
 
 INGESTED = """

@@ -355,6 +355,27 @@ def test_index_stream_equals_batch(spark, tmp_path):
     assert {int(r["chunk_id"].split("#")[0]): r["score"] for r in hits} == brute_bm25("penalty notes")
 
 
+def test_index_takes_updates_and_deletes(spark, tmp_path):
+    root = str(tmp_path / "store")
+    sent = "document_id long, text string, version int, deleted boolean, region string"
+    batches = [
+        [(7, "alpha beta", 1, None, "West"), (8, "beta", 1, False, "East"), (9, None, 1, False, None)],
+        [(7, "gamma beta", 3, False, "West"), (7, "delta", 2, False, "West"), (8, "beta", 2, True, "East")],
+        [(7, "alpha late", 2, False, "West"), (8, "beta late", 1, False, "East")],
+    ]
+    for attempt in range(2):  # a replay changes nothing
+        for number, rows in enumerate(batches):
+            index_jobs.index_batch(
+                spark.createDataFrame(rows, sent), number, root, "tokens", 500, ["region"]
+            )
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "late")], "query_id int, query_text string")
+    index_jobs.compact_index(spark, root, f"{root}/small")
+    for folder in (root, f"{root}/small"):
+        hits = index_jobs.search_stored(spark, folder, asked).collect()
+        assert [(r["query_id"], r["chunk_id"], r["chunk_text"]) for r in hits] == [(2, "7#1", "gamma beta")]
+        assert index_jobs.search_stored(spark, folder, asked, filters={"region": "East"}).isEmpty()
+
+
 def test_streaming_defaults_match_the_refresh_targets():
     assert kpi_jobs.TARGET_LAG == {"processingTime": "5 minutes"}
     assert index_jobs.TARGET_LAG == {"processingTime": "1 minute"}
