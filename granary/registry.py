@@ -29,7 +29,7 @@ from granary.sources import raw_csv
 from granary.sources.atomic import to_atomic
 from granary.sources.driver_tables import as_of, driver_tables, read_driver_table
 from granary.sources.tables import PlanningTables, read_tables, write_tables
-from granary.streaming.kpis import kpi_stream, read_kpis
+from granary.streaming.kpis import kpi_stream, read_kpis, refresh_all_kpis
 from granary.streaming.search_index import compact_index, index_stream, search_stored
 from granary.streaming.versions import read_versions, version_history, version_stream
 
@@ -693,6 +693,22 @@ def stream_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(read_kpis(spark, root))
 
 
+@query
+def stream_kpis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KPI table of every scenario: one is submitted anew, then all rates rise."""
+    root = scratch_path(spark, "kpis")
+    t = driver_tables(spark, sf_dir)
+    refresh_all_kpis(spark, t, root, as_of())
+    pushed = _submission_stream(spark, sf_dir).where(F.col("scenario_id") == 2)
+    kpi_stream(
+        pushed, t, root, f"{root}/checkpoint", {"availableNow": True}, as_of()
+    ).awaitTermination()
+    rate = "storage_cost_per_pallet_per_day"
+    dearer = t.logistics_cost_fact.withColumn(rate, (F.col(rate) + 1).cast("decimal(18,4)"))
+    refresh_all_kpis(spark, t.with_(logistics_cost_fact=dearer), root, as_of())
+    return present(read_kpis(spark, root))
+
+
 @query
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search over an index built from a stream of documents."""

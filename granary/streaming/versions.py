@@ -21,6 +21,8 @@ SUBMISSION = {
     "version_timestamp": EXTRA["demand_forecast_versions"]["version_timestamp"],
     "line_id": "bigint",
 }
+# What names a version.
+HEAD = {"scenario_id": "bigint", "version_timestamp": "timestamp"}
 
 
 def submission(df: DataFrame) -> DataFrame:
@@ -37,17 +39,56 @@ def submission(df: DataFrame) -> DataFrame:
 def store_batch(batch: DataFrame, batch_id: int, root: str) -> DataFrame:
     """Write one micro-batch to its own folder; replaying it changes nothing.
 
-    Returns the stored rows, so that a second use does not read the source again.
+    The versions it holds, one row each, are written after the lines. Returns
+    the stored rows, so that a second use does not read the source again.
     """
     path = f"{root}/versions/batch_id={batch_id}"
     batch.write.mode("overwrite").partitionBy("scenario_id").parquet(path)
-    return batch.sparkSession.read.schema(struct_of(SUBMISSION)).parquet(path)
+    lines = batch.sparkSession.read.schema(struct_of(SUBMISSION)).parquet(path)
+    lines.select(*HEAD).distinct().write.mode("overwrite").parquet(
+        f"{root}/heads/batch_id={batch_id}"
+    )
+    return lines
 
 
 def read_versions(spark: SparkSession, root: str) -> DataFrame:
     """All submitted lines."""
-    schema = struct_of({**SUBMISSION, "batch_id": "bigint"})
-    return spark.read.schema(schema).parquet(f"{root}/versions")
+    return _read(spark, f"{root}/versions", {**SUBMISSION, "batch_id": "bigint"})
+
+
+def _read(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """A stored table, without rows as long as no batch has been written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], struct_of(columns))
+    return spark.read.schema(struct_of(columns)).parquet(path)
+
+
+def read_heads(spark: SparkSession, root: str) -> DataFrame:
+    """The latest version of every scenario and the batches that hold lines of it.
+
+    Derived from the stored versions, one row per scenario, version and batch;
+    no line is read.
+    """
+    known = _read(spark, f"{root}/heads", {**HEAD, "batch_id": "bigint"})
+    return known.join(latest_versions(known), "scenario_id").where(
+        "version_timestamp <=> _head"
+    ).drop("_head")
+
+
+def live_lines(spark: SparkSession, root: str, ids: DataFrame | None = None) -> DataFrame:
+    """The lines of the latest versions, of the scenarios ``ids`` or of all.
+
+    Lines are partitioned by batch and scenario, so the join with the heads
+    prunes the folders that it reads. Each line counts once, in whatever batches
+    it came.
+    """
+    heads = read_heads(spark, root)
+    if ids is not None:
+        heads = heads.join(ids, "scenario_id", "left_semi")
+    heads = heads.withColumnRenamed("version_timestamp", "_head")
+    joined = read_versions(spark, root).join(heads, ["scenario_id", "batch_id"])
+    return _each_once(joined.where("version_timestamp <=> _head").drop("_head"))
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:

@@ -1262,3 +1262,16 @@ ORACLES["stream_kpis"] = sql(
     forecast="SELECT * FROM event_line WHERE is_current_version",
     kpis=KPIS.format(rates="cost"),
 )
+ORACLES["stream_kpis_all"] = sql(
+    KPI_COLUMNS,
+    event_line=EVENT_LINES,
+    forecast="""
+        SELECT scenario_id, product_id, site_id, forecast_quantity, total_revenue, fiscal_month
+        FROM event_line WHERE is_current_version AND scenario_id = 2
+        UNION ALL
+        SELECT scenario_id, product_id, site_id, forecast_quantity, total_revenue, fiscal_month
+        FROM (SELECT *, CAST(forecast_quantity * unit_revenue AS DECIMAL(18,2)) AS total_revenue
+              FROM versions WHERE is_current_version AND scenario_id <> 2)""",
+    raised="SELECT * REPLACE (CAST(storage_rate + 1 AS DECIMAL(18,4)) AS storage_rate) FROM cost",
+    kpis=KPIS.format(rates="raised"),
+)

@@ -271,6 +271,33 @@ def test_search_equals_brute_force(spark):
 # Streams ---------------------------------------------------------------------
 
 
+def test_kpis_cover_untouched_scenarios_and_base_changes(spark, tables, tmp_path):
+    root = str(tmp_path / "store")
+
+    def stored():
+        found = kpi_jobs.read_kpis(spark, root).collect()
+        return {r["scenario_id"]: (r["total_forecast_quantity"], r["total_warehousing_cost"]) for r in found}
+
+    def batch(forecasts, t):
+        found = mart.scenario_kpis(t.with_(demand_forecast_versions=forecasts), as_of=as_of()).collect()
+        return {r["scenario_id"]: (r["total_forecast_quantity"], r["total_warehousing_cost"]) for r in found}
+
+    base = tables.demand_forecast_versions
+    kpi_jobs.refresh_all_kpis(spark, tables, root, as_of())
+    assert stored() == batch(base, tables) and set(stored()) == {1, 2}
+    sent = version_jobs.submission(_lines(spark, "2024-09-02", 5.0))
+    kpi_jobs.refresh_kpis(tables, root, version_jobs.store_batch(sent, 0, root), as_of())
+    late = version_jobs.submission(_lines(spark, "2024-09-01", 9.0))
+    kpi_jobs.refresh_kpis(tables, root, version_jobs.store_batch(late, 1, root), as_of())
+    both = base.where("scenario_id <> 2").unionByName(version_jobs.as_forecasts(sent))
+    assert stored() == batch(both, tables)
+    rate = "storage_cost_per_pallet_per_day"
+    dear = tables.with_(logistics_cost_fact=tables.logistics_cost_fact.withColumn(
+        rate, (F.col(rate) * 2).cast("decimal(18,4)")))
+    kpi_jobs.refresh_all_kpis(spark, dear, root, as_of())
+    assert stored() == batch(both, dear) and set(stored()) == {1, 2}
+
+
 def _lines(spark, version, quantity, scenario=2, first=1):
     return spark.createDataFrame(
         [(first + i, 10, 5, scenario, quantity, version) for i in range(3)],
