@@ -26,10 +26,13 @@ def scd2_upsert(
     key: Sequence[str],
     as_of: Column,
     user: str = "system",
+    latest_by: Sequence[str] = (),
 ) -> DataFrame:
     """Close the current row of every changed key and append its new version.
 
-    ``changes`` holds the business columns, one row per key. A key whose
+    ``changes`` holds the business columns, one row per key. Several rows of one
+    key raise unless ``latest_by`` names columns of ``changes`` whose greatest
+    values win (then the greatest attributes). A key whose
     attributes are unchanged is left alone, and so is a key that the changes do
     not mention. Both sides are shuffled once, on the key; the closed history
     is passed through without a join.
@@ -39,7 +42,15 @@ def scd2_upsert(
     is_live = F.coalesce(F.col("is_current_flag"), F.lit(False))
 
     held = target.where(is_live).select(*key, F.struct(*target.columns).alias("_held"))
-    incoming = changes.select(*key, F.struct(*key, *attributes).alias("_new"))
+    business = F.struct(*key, *attributes)
+    rank = F.struct(*latest_by, *attributes)
+    picked = F.max_by(business, rank) if latest_by else F.any_value(business)
+    repeated = F.lit("several changes of one key; name latest_by columns to pick one")
+    incoming = changes.groupBy(*key).agg(picked.alias("_new"), F.count("*").alias("_rows")).select(
+        *key,
+        (F.col("_new") if latest_by else F.when(F.col("_rows") == 1, F.col("_new")).otherwise(
+            F.raise_error(repeated))).alias("_new"),
+    )
     same = F.lit(True)
     for name in attributes:
         same = same & F.col(f"_held.{name}").eqNullSafe(F.col(f"_new.{name}"))

@@ -42,7 +42,9 @@ UPDATE_DEFAULTS = {
     "forecast_method": "MANUAL_ADJUSTMENT",
     "forecast_horizon": "MONTHLY",
 }
-_ID_ORDER = ("product_id", "site_id", "forecast_date", "forecast_quantity", "unit_revenue")
+_FIRST = ("product_id", "site_id", "forecast_date", "forecast_quantity", "unit_revenue")
+# All columns, so that only equal lines can tie.
+_ID_ORDER = (*_FIRST, *(n for n in UPDATE_FIELDS if n not in _FIRST))
 
 
 class VersionChange(NamedTuple):
@@ -64,13 +66,16 @@ def parse_updates(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Rows of a JSON array column, one per element, typed strictly.
 
     Keys are upper case. Malformed JSON and values of the wrong type raise, a
-    missing key or a JSON null is null. Each payload is parsed once, to text
+    missing key or a JSON null is null, a null element is a row of nulls; a null
+    payload or an empty array gives no row. Each payload is parsed once, to text
     fields that are then cast.
     """
     element = ", ".join(f"{name.upper()} string" for name in UPDATE_FIELDS)
     parsed = F.from_json(column, f"array<struct<{element}>>", {"mode": "FAILFAST"})
-    elements = payloads.select(F.explode_outer(parsed).alias("element")).where(
-        F.col("element").isNotNull()
+    # The outer form keeps Spark from parsing twice, once to see whether there is
+    # anything to explode.
+    elements = payloads.select(F.posexplode_outer(parsed).alias("place", "element")).where(
+        F.col("place").isNotNull()
     )
 
     def typed(name: str, kind: str) -> Column:
@@ -275,7 +280,8 @@ def adjust_forecast(
 
     The official baseline is read-only. ``category`` and ``site_id`` narrow the
     change; the reference offers both filters but applies neither, so leaving
-    them out matches it. Revenue stays as stored unless asked otherwise.
+    them out matches it. Revenue stays as stored unless asked otherwise. Only the
+    scenario's current rows meet the products; all others pass through.
     """
     _check_adjustment(pct, units)
     official = t.scenario_definition.where(
@@ -292,7 +298,9 @@ def adjust_forecast(
         hit = hit & in_quarter(F.col("forecast_date"), quarter)
     if site_id is not None:
         hit = hit & (F.col("site_id") == site_id)
-    columns = forecasts.columns
+    hit = F.coalesce(hit, F.lit(False))
+    untouched, lines = forecasts.where(~hit), forecasts.where(hit)
+    member = F.lit(True)
     if category is not None:
         members = (
             current_rows(t.product)
@@ -301,20 +309,20 @@ def adjust_forecast(
             .select("product_id", F.lit(True).alias("_member"))
             .distinct()
         )
-        forecasts = forecasts.join(members, "product_id", "left")
-        hit = hit & F.coalesce(F.col("_member"), F.lit(False))
+        lines = lines.join(members, "product_id", "left")
+        member = F.coalesce(F.col("_member"), F.lit(False))
 
     quantity = F.col("forecast_quantity")
     moved = quantity * _factor(pct) if units is None else quantity + dec(str(units))
     changes = {
-        "forecast_quantity": F.when(hit, moved.cast("decimal(18,4)")).otherwise(quantity),
-        "updated_by_user": F.when(hit, user).otherwise(F.col("updated_by_user")),
-        "updated_timestamp": F.when(hit, as_of).otherwise(F.col("updated_timestamp")),
+        "forecast_quantity": F.when(member, moved.cast("decimal(18,4)")).otherwise(quantity),
+        "updated_by_user": F.when(member, user).otherwise(F.col("updated_by_user")),
+        "updated_timestamp": F.when(member, as_of).otherwise(F.col("updated_timestamp")),
     }
     if recompute_revenue:
         revenue = (moved.cast("decimal(18,4)") * F.col("unit_revenue")).cast("decimal(18,2)")
-        changes["total_revenue"] = F.when(hit, revenue).otherwise(F.col("total_revenue"))
-    return forecasts.withColumns(changes).select(*columns)
+        changes["total_revenue"] = F.when(member, revenue).otherwise(F.col("total_revenue"))
+    return untouched.unionByName(lines.withColumns(changes).select(*forecasts.columns))
 
 
 def preview_adjustment(

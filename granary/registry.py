@@ -153,17 +153,14 @@ over_tables(
 # Write-back ------------------------------------------------------------------
 
 
-def _by_version(forecasts: DataFrame) -> DataFrame:
-    """A forecast table boiled down to checkable totals."""
-    return forecasts.groupBy(
-        "scenario_id", "is_current_version", "forecast_method", "forecast_type", "updated_by_user"
-    ).agg(
-        F.count("*").alias("row_count"),
-        F.sum(F.col("demand_forecast_id").cast("decimal(28,0)")).alias("id_sum"),
-        F.max("demand_forecast_id").alias("last_id"),
-        F.sum("forecast_quantity").alias("quantity"),
-        F.sum("total_revenue").alias("revenue"),
-        F.count("fiscal_month").alias("months"),
+def _versions(forecasts: DataFrame) -> DataFrame:
+    """Every row of a forecast table, as far as a write-back decides it."""
+    return present(
+        forecasts.select(
+            "demand_forecast_id", "scenario_id", "product_id", "site_id", "is_current_version",
+            "forecast_method", "forecast_type", "updated_by_user", "fiscal_month",
+            "forecast_quantity", "total_revenue",
+        )
     )
 
 
@@ -188,14 +185,14 @@ def _submit(t: PlanningTables, numeric: str = "scale0") -> writeback.VersionChan
     )
 
 
-over_tables("submit_version", lambda t: _by_version(_submit(t).forecasts))
-over_tables("submit_version_declared", lambda t: _by_version(_submit(t, "declared").forecasts))
+over_tables("submit_version", lambda t: _versions(_submit(t).forecasts))
+over_tables("submit_version_declared", lambda t: _versions(_submit(t, "declared").forecasts))
 over_tables("submit_version_receipt", lambda t: _submit(t).receipt)
 
 
 @query
 def submit_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The write-back fed with JSON arrays, one per line item, instead of a table."""
+    """The write-back fed with JSON arrays of one or two elements, some of them null."""
     t = driver_tables(spark, sf_dir)
     line = F.struct(
         F.col("l_partkey").alias("PRODUCT_ID"),
@@ -207,13 +204,20 @@ def submit_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 1, "SUPPLY").alias("FORECAST_TYPE"),
         F.lit("0.85").alias("CONFIDENCE_LEVEL"),
     )
+    more = line.withField("FORECAST_QUANTITY", F.col("l_quantity") + 1.5)
+    number = F.col("l_linenumber")
+    elements = (
+        F.when(number == 1, F.array(line, more))
+        .when(number == 2, F.array(F.lit(None), line))
+        .otherwise(F.array(line))
+    )
     payloads = read_driver_table(spark, sf_dir, "lineitem").select(
-        F.to_json(F.array(line)).alias("payload")
+        F.to_json(elements).alias("payload")
     )
     change = writeback.submit_forecast_version(
         t.demand_forecast_versions, writeback.parse_updates(payloads), 3, "planner", as_of()
     )
-    return present(_by_version(change.forecasts.where(F.col("scenario_id") == 3)))
+    return _versions(change.forecasts.where(F.col("scenario_id") == 3))
 
 
 @query
@@ -243,8 +247,8 @@ def _copy(t: PlanningTables, mode: str) -> writeback.ScenarioCopy:
     )
 
 
-over_tables("copy_scenario", lambda t: _by_version(_copy(t, "full").forecasts))
-over_tables("copy_scenario_minimal", lambda t: _by_version(_copy(t, "ui_minimal").forecasts))
+over_tables("copy_scenario", lambda t: _versions(_copy(t, "full").forecasts))
+over_tables("copy_scenario_minimal", lambda t: _versions(_copy(t, "ui_minimal").forecasts))
 over_tables(
     "copy_scenario_definitions",
     lambda t: _copy(t, "full").scenarios.select(
@@ -264,7 +268,7 @@ over_tables(
 
 
 def _adjusted(t: PlanningTables, **options) -> DataFrame:
-    return _by_version(writeback.adjust_forecast(t, 2, "planner", as_of(), **options))
+    return _versions(writeback.adjust_forecast(t, 2, "planner", as_of(), **options))
 
 
 over_tables("adjust_percent", _adjusted, pct=15, quarter="Q4")
@@ -292,11 +296,9 @@ def upsert_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     merged = scd2_upsert(t.product, changes, ["product_id"], as_of(), "planner")
     return present(
-        merged.groupBy("is_current_flag", "updated_by_user", "created_by_user").agg(
-            F.count("*").alias("row_count"),
-            F.sum("unit_price").alias("price"),
-            F.countDistinct("product_id").alias("products"),
-            F.count("valid_to_timestamp").alias("closed"),
+        merged.select(
+            "product_id", "unit_price", "is_current_flag", "updated_by_user", "created_by_user",
+            F.col("valid_to_timestamp").isNotNull().alias("closed"),
         )
     )
 
@@ -601,18 +603,15 @@ def ingest_products_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items as a forecast file, typed and summed by scenario and year."""
+    """All line items as a forecast file through RAW to ATOMIC."""
     text = driver.forecast_text(read_driver_table(spark, sf_dir, "lineitem"))
     raw = _raw(spark, text, "demand_forecast_versions")
     atomic = to_atomic(raw, "demand_forecast_versions", as_of())
     return present(
-        atomic.groupBy("scenario_id", "fiscal_year", "fiscal_month", "fiscal_quarter").agg(
-            F.count("*").alias("row_count"),
-            F.count("forecast_date").alias("dated"),
-            F.count("fiscal_period").alias("periods"),
-            F.sum("forecast_quantity").alias("quantity"),
-            F.sum("confidence_level").alias("confidence"),
-            F.sum("total_revenue").alias("revenue"),
+        atomic.select(
+            "demand_forecast_id", "scenario_id", "product_id", "site_id", "forecast_date",
+            "fiscal_year", "fiscal_month", "fiscal_quarter", "fiscal_period",
+            "forecast_quantity", "confidence_level", "total_revenue",
         )
     )
 
@@ -670,10 +669,9 @@ def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).awaitTermination()
     history = version_history(read_versions(spark, root))
     return present(
-        history.groupBy("scenario_id", "is_current_version", "version_timestamp").agg(
-            F.count("*").alias("row_count"),
-            F.sum("forecast_quantity").alias("quantity"),
-            F.countDistinct("product_id").alias("products"),
+        history.select(
+            "scenario_id", "is_current_version", "version_timestamp", "product_id", "site_id",
+            "fiscal_month", "forecast_quantity", "total_revenue",
         )
     )
 

@@ -572,13 +572,11 @@ ORACLES["preview_totals"] = sql(
 
 # Write-back ------------------------------------------------------------------
 
-BY_VERSION = """
-    SELECT scenario_id, is_current_version, forecast_method, forecast_type, updated_by_user,
-           count(*) AS row_count, CAST(sum(demand_forecast_id) AS DOUBLE) AS id_sum,
-           max(demand_forecast_id) AS last_id,
-           CAST(round(sum(forecast_quantity), 4) AS DOUBLE) AS quantity,
-           CAST(round(sum(total_revenue), 2) AS DOUBLE) AS revenue, count(fiscal_month) AS months
-    FROM changed GROUP BY ALL"""
+VERSIONS = f"""
+    SELECT demand_forecast_id, scenario_id, product_id, site_id, is_current_version,
+           forecast_method, forecast_type, updated_by_user, fiscal_month,
+           {d4("forecast_quantity", "forecast_quantity")}, {d2("total_revenue", "total_revenue")}
+    FROM changed"""
 STORED = """
     SELECT demand_forecast_id, product_id, site_id, scenario_id, forecast_quantity,
            CAST(forecast_quantity * unit_revenue AS DECIMAL(18,2)) AS total_revenue,
@@ -586,10 +584,9 @@ STORED = """
            'HISTORY' AS forecast_method, 'DEMAND' AS forecast_type,
            CAST(NULL AS VARCHAR) AS updated_by_user
     FROM versions"""
-_KEEP = "demand_forecast_id, scenario_id, forecast_quantity, total_revenue, fiscal_month"
 SUBMITTED = """
-    SELECT demand_forecast_id, scenario_id, forecast_quantity, total_revenue, fiscal_month,
-           is_current_version AND scenario_id <> {target} AS is_current_version,
+    SELECT demand_forecast_id, scenario_id, product_id, site_id, forecast_quantity,
+           total_revenue, fiscal_month, is_current_version AND scenario_id <> {target} AS is_current_version,
            forecast_method, forecast_type,
            CASE WHEN scenario_id = {target} AND is_current_version THEN 'planner' END
              AS updated_by_user
@@ -598,19 +595,19 @@ SUBMITTED = """
 RESUBMITTED = """
     SELECT (SELECT max(demand_forecast_id) FROM stored)
              + row_number() OVER (ORDER BY product_id, site_id, forecast_date),
-           2, q, CAST({counted} * unit_revenue AS DECIMAL(18,2)), fiscal_month, TRUE,
+           2, product_id, site_id, q, CAST({counted} * unit_revenue AS DECIMAL(18,2)), fiscal_month, TRUE,
            'MANUAL_ADJUSTMENT', 'DEMAND', NULL
     FROM (SELECT *, CAST(forecast_quantity * 1.07 AS DECIMAL(18,4)) AS q FROM stored
           WHERE scenario_id = 2 AND is_current_version)"""
 ORACLES["submit_version"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=SUBMITTED.format(
         target=2, fresh=RESUBMITTED.format(counted="CAST(q AS DECIMAL(18,0))")
     ),
 )
 ORACLES["submit_version_declared"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=SUBMITTED.format(target=2, fresh=RESUBMITTED.format(counted="q")),
 )
@@ -622,18 +619,24 @@ ORACLES["submit_version_receipt"] = sql(
     FROM forecast WHERE scenario_id = 2"""
 )
 ORACLES["submit_json_payload"] = sql(
-    BY_VERSION + " HAVING scenario_id = 3",
+    VERSIONS + " WHERE scenario_id = 3",
     stored=STORED,
     changed=SUBMITTED.format(
         target=3,
         fresh="""
     SELECT (SELECT max(demand_forecast_id) FROM stored) + row_number() OVER (
-             ORDER BY l_partkey, l_suppkey % 25, CAST(l_shipdate AS DATE), l_quantity),
-           3, CAST(l_quantity + 0.5 AS DECIMAL(18,4)),
-           CAST(CAST(l_quantity + 1 AS DECIMAL(18,0)) * 2.25 AS DECIMAL(18,2)),
-           monthname(l_shipdate), TRUE, 'MANUAL_ADJUSTMENT',
-           CASE WHEN l_linenumber = 1 THEN 'SUPPLY' ELSE 'DEMAND' END, NULL
-    FROM lineitem""",
+             ORDER BY p NULLS FIRST, s NULLS FIRST, d NULLS FIRST, q NULLS FIRST, kind),
+           3, p, s, CAST(q + 0.5 AS DECIMAL(18,4)),
+           CAST(CAST(q + 1 AS DECIMAL(18,0)) * 2.25 AS DECIMAL(18,2)),
+           monthname(d), TRUE, 'MANUAL_ADJUSTMENT', kind, NULL
+    FROM (SELECT l_partkey AS p, l_suppkey % 25 AS s, CAST(l_shipdate AS DATE) AS d,
+                 l_quantity AS q, CASE WHEN l_linenumber = 1 THEN 'SUPPLY' ELSE 'DEMAND' END AS kind
+          FROM lineitem
+          UNION ALL
+          SELECT l_partkey, l_suppkey % 25, CAST(l_shipdate AS DATE), l_quantity + 1, 'SUPPLY'
+          FROM lineitem WHERE l_linenumber = 1
+          UNION ALL
+          SELECT NULL, NULL, NULL, NULL, 'DEMAND' FROM lineitem WHERE l_linenumber = 2)""",
     ),
 )
 ORACLES["dense_key_allocation"] = """
@@ -642,23 +645,24 @@ ORACLES["dense_key_allocation"] = """
              ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey) AS BIGINT) AS "key"
     FROM lineitem"""
 COPIED = """
-    SELECT demand_forecast_id, scenario_id, forecast_quantity, total_revenue, fiscal_month,
-           is_current_version, forecast_method, forecast_type, updated_by_user
+    SELECT demand_forecast_id, scenario_id, product_id, site_id, forecast_quantity,
+           total_revenue, fiscal_month, is_current_version, forecast_method, forecast_type, updated_by_user
     FROM stored
     UNION ALL
     SELECT (SELECT max(demand_forecast_id) FROM stored)
              + row_number() OVER (ORDER BY demand_forecast_id),
-           (SELECT max(scenario_id) + 1 FROM scenario), forecast_quantity, {columns}
+           (SELECT max(scenario_id) + 1 FROM scenario), product_id, site_id, forecast_quantity,
+           {columns}
     FROM stored WHERE scenario_id = 2 AND is_current_version"""
 ORACLES["copy_scenario"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=COPIED.format(
         columns="total_revenue, fiscal_month, TRUE, forecast_method, forecast_type, NULL"
     ),
 )
 ORACLES["copy_scenario_minimal"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=COPIED.format(columns="NULL, NULL, TRUE, NULL, 'Copied', NULL"),
 )
@@ -682,14 +686,14 @@ ORACLES["copy_scenario_receipt"] = sql(
     FROM forecast WHERE scenario_id = 2"""
 )
 ADJUSTED = """
-    SELECT demand_forecast_id, scenario_id,
+    SELECT demand_forecast_id, scenario_id, product_id, site_id,
            CASE WHEN hit THEN CAST({moved} AS DECIMAL(18,4)) ELSE forecast_quantity END
              AS forecast_quantity,
            {revenue} AS total_revenue, fiscal_month, is_current_version, forecast_method,
            forecast_type, CASE WHEN hit THEN 'planner' END AS updated_by_user
     FROM (SELECT *, scenario_id = 2 AND is_current_version AND {hit} AS hit FROM stored)"""
 ORACLES["adjust_percent"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=ADJUSTED.format(
         moved="forecast_quantity * 1.15",
@@ -698,7 +702,7 @@ ORACLES["adjust_percent"] = sql(
     ),
 )
 ORACLES["adjust_units"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=ADJUSTED.format(
         moved="forecast_quantity + 100",
@@ -708,7 +712,7 @@ ORACLES["adjust_units"] = sql(
     ),
 )
 ORACLES["adjust_filtered"] = sql(
-    BY_VERSION,
+    VERSIONS,
     stored=STORED,
     changed=ADJUSTED.format(
         moved="forecast_quantity * 0.90",
@@ -719,9 +723,8 @@ ORACLES["adjust_filtered"] = sql(
 )
 ORACLES["upsert_products"] = sql(
     """
-    SELECT is_current_flag, updated_by_user, created_by_user, count(*) AS row_count,
-           CAST(sum(unit_price) AS DOUBLE) AS price,
-           count(DISTINCT product_id) AS products, count(valid_to) AS closed
+    SELECT product_id, CAST(unit_price AS DOUBLE) AS unit_price, is_current_flag,
+           updated_by_user, created_by_user, valid_to IS NOT NULL AS closed
     FROM (
         SELECT product_id, unit_price, FALSE AS is_current_flag, 1 AS valid_to,
                CAST(NULL AS VARCHAR) AS updated_by_user, 'system' AS created_by_user
@@ -733,9 +736,9 @@ ORACLES["upsert_products"] = sql(
         SELECT product_id, unit_price, FALSE, 1, 'planner', 'system' FROM product
         WHERE product_id % 3 = 0 AND product_id % 30 <> 0
         UNION ALL
-        SELECT product_id, unit_price + 5, TRUE, NULL, NULL, 'planner' FROM product
-        WHERE product_id % 3 = 0)
-    GROUP BY ALL"""
+        SELECT CASE WHEN product_id % 30 = 0 THEN product_id + 10000000 ELSE product_id END,
+               unit_price + 5, TRUE, NULL, NULL, 'planner' FROM product
+        WHERE product_id % 3 = 0)"""
 )
 
 # Build plan ------------------------------------------------------------------
@@ -1221,15 +1224,17 @@ ORACLES["ingest_products_declared"] = sql(
     )
 )
 ORACLES["ingest_forecasts"] = """
-    SELECT CAST(l_linenumber % 3 + 1 AS BIGINT) AS scenario_id, year(l_shipdate) AS fiscal_year,
-           monthname(l_shipdate) AS fiscal_month, 'Q' || quarter(l_shipdate) AS fiscal_quarter,
-           count(*) AS row_count, count(*) FILTER (l_linenumber <> 7) AS dated,
-           CAST(0 AS BIGINT) AS periods,
-           CAST(sum(CAST(l_quantity AS DECIMAL(12,0)) + 1) AS DOUBLE) AS quantity,
-           CAST(count(*) AS DOUBLE) AS confidence,
-           CAST(sum((CAST(l_quantity AS DECIMAL(12,0)) + 1) * CAST(CAST(l_extendedprice
-                AS DECIMAL(12,2)) AS DECIMAL(12,0))) AS DOUBLE) AS revenue
-    FROM lineitem GROUP BY ALL"""
+    SELECT l_orderkey * 8 + l_linenumber AS demand_forecast_id,
+           CAST(l_linenumber % 3 + 1 AS BIGINT) AS scenario_id, l_partkey AS product_id,
+           l_suppkey % 25 AS site_id,
+           CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS forecast_date,
+           year(l_shipdate) AS fiscal_year, monthname(l_shipdate) AS fiscal_month,
+           'Q' || quarter(l_shipdate) AS fiscal_quarter, CAST(NULL AS VARCHAR) AS fiscal_period,
+           CAST(CAST(l_quantity AS DECIMAL(12,0)) + 1 AS DOUBLE) AS forecast_quantity,
+           CAST(1 AS DOUBLE) AS confidence_level,
+           CAST((CAST(l_quantity AS DECIMAL(12,0)) + 1) * CAST(CAST(l_extendedprice
+                AS DECIMAL(12,2)) AS DECIMAL(12,0)) AS DOUBLE) AS total_revenue
+    FROM lineitem"""
 ORACLES["raw_reload"] = """
     SELECT 2 * count(*) AS row_count, CAST(0 AS BIGINT) AS named, 'append' AS mode FROM part
     UNION ALL
@@ -1250,10 +1255,11 @@ EVENT_LINES = f"""
     FROM events"""
 ORACLES["stream_versions"] = sql(
     f"""
-    SELECT scenario_id, is_current_version, CAST(version_timestamp AS TIMESTAMP)
-             AS version_timestamp, count(*) AS row_count,
-           {d4("sum(forecast_quantity)", "quantity")}, count(DISTINCT product_id) AS products
-    FROM event_line GROUP BY ALL""",
+    SELECT scenario_id, is_current_version,
+           CAST(version_timestamp AS TIMESTAMP) AS version_timestamp, product_id, site_id,
+           fiscal_month, {d4("forecast_quantity", "forecast_quantity")},
+           {d2("total_revenue", "total_revenue")}
+    FROM event_line""",
     event_line=EVENT_LINES,
 )
 ORACLES["stream_kpis"] = sql(

@@ -197,6 +197,23 @@ def test_scd2_upsert(spark, tables):
     assert current_rows(again).count() == 3
 
 
+def test_scd2_takes_one_change_per_key(spark, tables):
+    two = [{**PRODUCTS[0], "unit_cost": "200"}, {**PRODUCTS[0], "unit_cost": "210"}]
+    changes = table(spark, "product", two).drop("is_current_flag")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        scd2_upsert(tables.product, changes, ["product_id"], as_of()).collect()
+    dated = changes.withColumn("sent", -F.col("unit_cost"))
+    merged = scd2_upsert(tables.product, dated, ["product_id"], as_of(), latest_by=["sent"])
+    costs = {r["is_current_flag"]: r["unit_cost"] for r in merged.where("product_id = 10").collect()}
+    assert costs == {False: D("180"), True: D("200")} and merged.count() == 3
+
+
+def test_null_elements_are_rows_of_nulls(spark):
+    found = parsed(spark, '[null, {"PRODUCT_ID": 1}]').collect()
+    assert sorted((r["product_id"] is None, r["site_id"]) for r in found) == [(False, None), (True, None)]
+    assert parsed(spark, "[]").isEmpty() and parsed(spark, None).isEmpty()
+
+
 def test_scd2_null_to_value_is_a_change(spark):
     target = table(spark, "site", [{"site_id": "1", "site_name": "a"}])
     changes = table(spark, "site", [{"site_id": "1", "site_name": "a", "region": "West"}])
