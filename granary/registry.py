@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.numbers import dec, present
+from granary.functions.numbers import dec, present, safe_number
 from granary.operators.current import current_rows, scd2_upsert
 from granary.operators.durable import scratch_path
 from granary.operators.keys import dense_ids, next_id
@@ -26,7 +26,7 @@ from granary.plans import search as searching
 from granary.schemas import ATOMIC, RAW_FILES
 from granary.sources import driver_tables as driver
 from granary.sources import raw_csv
-from granary.sources.atomic import to_atomic
+from granary.sources.atomic import to_atomic, transform_raw_to_atomic
 from granary.sources.driver_tables import as_of, driver_tables, read_driver_table
 from granary.sources.tables import PlanningTables, read_tables, write_tables
 from granary.streaming.kpis import kpi_stream, read_kpis, refresh_all_kpis
@@ -616,6 +616,87 @@ def ingest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stage(folder: str, table: str, rows: DataFrame) -> None:
+    """A table as two text files whose headers differ in order and case."""
+    key = F.col(next(iter(ATOMIC[table])))
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in ATOMIC[table]])
+    turned = [F.col(c).alias(c.upper()) for c in reversed(text.columns)]
+    for name, part in (("a", text.where(key % 2 == 0)), ("b", text.where(key % 2 != 0).select(*turned))):
+        part.write.option("header", True).option("escape", '"').csv(
+            f"{folder}/{name}_{RAW_FILES[table]}"
+        )
+
+
+def _current(t: PlanningTables, table: str) -> DataFrame:
+    rows = getattr(t, table)
+    flag = [c for c in ("is_current_flag", "is_current_version") if c in rows.columns]
+    return rows.where(flag[0]) if flag else rows
+
+
+def _ingest(table: str, numeric: str = "declared", multi_line: bool = False, **changed: str) -> Query:
+    """A query that sends the current rows of a table through text files, RAW and ATOMIC."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_path(spark, "stage")
+        rows = _current(driver_tables(spark, sf_dir), table)
+        _stage(folder, table, rows.withColumns({c: F.expr(e) for c, e in changed.items()}))
+        raw = raw_csv.load_raw(spark, folder, table, as_of(), multi_line)
+        return present(to_atomic(raw, table, as_of(), numeric).select(*ATOMIC[table]))
+
+    return run
+
+
+QUERIES["ingest_categories"] = _ingest("product_category")
+QUERIES["ingest_sites"] = _ingest("site", "scale0")
+QUERIES["ingest_work_centers"] = _ingest("work_center")
+QUERIES["ingest_zones"] = _ingest("warehouse_zone", "scale0")
+# Booleans in words, line breaks in quotes.
+QUERIES["ingest_scenarios"] = _ingest(
+    "scenario_definition",
+    multi_line=True,
+    is_official_baseline="if(is_official_baseline, 'on', 'no')",
+    scenario_description="concat('About\n\"', scenario_name, '\"')",
+)
+QUERIES["ingest_costs"] = _ingest("logistics_cost_fact")
+QUERIES["ingest_inventory"] = _ingest("inventory_balance", "scale0")
+
+
+def _stage_all(spark: SparkSession, sf_dir: str) -> str:
+    folder = scratch_path(spark, "stage")
+    t = driver_tables(spark, sf_dir)
+    for table in RAW_FILES:
+        _stage(folder, table, _current(t, table))
+    return folder
+
+
+@query
+def staged_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each raw table after all nine files were loaded."""
+    folder = _stage_all(spark, sf_dir)
+    return raw_csv.load_staged_data(spark, folder, scratch_path(spark, "raw"))
+
+
+@query
+def ingest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine files through RAW to ATOMIC, and the KPI table from what was stored."""
+    raw, root = scratch_path(spark, "raw"), scratch_path(spark, "atomic")
+    raw_csv.load_staged_data(spark, _stage_all(spark, sf_dir), raw)
+    transform_raw_to_atomic(spark, raw, root, as_of(), "declared")
+    return present(_kpis(read_tables(spark, root)))
+
+
+@query
+def usable_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values with null, NaN and infinite ones replaced by zero."""
+    events = read_driver_table(spark, sf_dir, "events")
+    value, kind = F.col("value"), F.col("event_id") % 5
+    broken = (
+        F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit(float("nan")))
+        .when(kind == 2, -F.lit(float("inf"))).otherwise(value)
+    )
+    return events.select("event_id", safe_number(broken).alias("value"))
+
+
 @query
 def raw_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loading a file twice: appended rows double, overwritten rows do not."""

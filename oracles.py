@@ -1235,6 +1235,89 @@ ORACLES["ingest_forecasts"] = """
            CAST((CAST(l_quantity AS DECIMAL(12,0)) + 1) * CAST(CAST(l_extendedprice
                 AS DECIMAL(12,2)) AS DECIMAL(12,0)) AS DOUBLE) AS total_revenue
     FROM lineitem"""
+ORACLES["ingest_categories"] = sql(
+    """
+    SELECT CAST(1 AS BIGINT) AS product_category_id, 'ALL' AS product_category_code,
+           'All Products' AS category_name, CAST(NULL AS VARCHAR) AS category_description,
+           CAST(NULL AS BIGINT) AS parent_category_id, CAST(1 AS BIGINT) AS category_level
+    UNION ALL
+    SELECT DISTINCT (leaf_id - 1000) // 10 + 10, p_brand, p_brand, NULL, 1, 2 FROM leaf
+    UNION ALL
+    SELECT leaf_id, p_brand || ' ' || p_type, p_brand || ' ' || p_type, NULL,
+           (leaf_id - 1000) // 10 + 10, 3
+    FROM leaf"""
+)
+ORACLES["ingest_sites"] = sql(
+    """
+    SELECT site_id, site_code, site_name, site_type, region,
+           CAST(NULL AS VARCHAR) AS address_line_1, CAST(NULL AS VARCHAR) AS city,
+           CAST(NULL AS VARCHAR) AS state_province, n_name AS country,
+           'ACTIVE' AS operating_status, CAST(1000 + site_id * 10 AS DOUBLE) AS capacity_metric,
+           CASE site_type WHEN 'PLANT' THEN 'UNITS_PER_MONTH' ELSE 'PALLETS' END
+             AS capacity_unit_of_measure
+    FROM site JOIN nation ON n_nationkey = site_id"""
+)
+ORACLES["ingest_work_centers"] = sql(
+    """
+    SELECT work_center_id, work_center_code, work_center_name,
+           CAST(NULL AS VARCHAR) AS work_center_description, work_center_type, site_id,
+           CAST(capacity_per_hour AS DOUBLE) AS capacity_per_hour,
+           CAST(hours_per_day AS DOUBLE) AS hours_per_day,
+           CAST(available_shifts AS BIGINT) AS available_shifts,
+           CAST(efficiency_factor AS DOUBLE) AS efficiency_factor
+    FROM work_center"""
+)
+ORACLES["ingest_zones"] = sql(
+    """
+    SELECT warehouse_zone_id, zone_code, zone_name, site_id, zone_type,
+           'AMBIENT' AS zone_temperature_control, max_capacity_pallets, current_occupancy_pallets
+    FROM zone"""
+)
+ORACLES["ingest_scenarios"] = sql(
+    """
+    SELECT scenario_id, scenario_code, scenario_name,
+           'About' || chr(10) || '"' || scenario_name || '"' AS scenario_description,
+           scenario_type, is_official_baseline, 'system' AS created_by_user
+    FROM scenario"""
+)
+ORACLES["ingest_costs"] = sql(
+    """
+    SELECT logistics_cost_id, site_id, warehouse_zone_id,
+           CAST(storage_rate AS DOUBLE) AS storage_cost_per_pallet_per_day,
+           CAST((15 + warehouse_zone_id % 20) * 0.01 AS DOUBLE) AS transport_cost_per_unit,
+           CAST((356 + warehouse_zone_id % 300) * 0.01 AS DOUBLE) AS handling_cost_per_pallet,
+           CAST(overflow_penalty_rate AS DOUBLE) AS overflow_penalty_rate,
+           CAST(overflow_penalty_threshold_pct AS DOUBLE) AS overflow_penalty_threshold_pct,
+           DATE '2024-01-01' AS effective_date, DATE '2024-12-31' AS expiry_date,
+           'Vendor ' || site_id AS vendor_name, '3PL-' || warehouse_zone_id AS contract_reference
+    FROM cost"""
+)
+ORACLES["ingest_inventory"] = """
+    SELECT p_partkey + 1 AS inventory_balance_id, p_partkey AS product_id,
+           p_partkey % 25 AS site_id,
+           CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 25 * 100 + 1 END AS warehouse_zone_id,
+           DATE '2024-09-01' AS balance_date, CAST(p_size * 30 AS DOUBLE) AS quantity_on_hand,
+           CAST(p_size * 4 AS DOUBLE) AS quantity_reserved,
+           CAST(p_size * 26 AS DOUBLE) AS quantity_available, 'EACH' AS unit_of_measure
+    FROM part"""
+ORACLES["staged_load"] = sql(
+    """
+    SELECT 'product_category_stage' AS table_name,
+           (SELECT count(*) FROM leaf) + (SELECT count(DISTINCT p_brand) FROM part) + 1
+             AS row_count
+    UNION ALL SELECT 'product_stage', count(*) FROM part
+    UNION ALL SELECT 'site_stage', count(*) FROM nation
+    UNION ALL SELECT 'work_center_stage', count(*) FROM supplier
+    UNION ALL SELECT 'warehouse_zone_stage', count(*) FROM zone
+    UNION ALL SELECT 'scenario_definition_stage', count(*) FROM scenario
+    UNION ALL SELECT 'demand_forecast_versions_stage', count(*) FROM forecast
+    UNION ALL SELECT 'logistics_cost_fact_stage', count(*) FROM cost
+    UNION ALL SELECT 'inventory_balance_stage', count(*) FROM part"""
+)
+ORACLES["ingest_all"] = ORACLES["scenario_kpis"]
+ORACLES["usable_values"] = """
+    SELECT event_id, CASE WHEN event_id % 5 > 2 THEN coalesce(value, 0) ELSE 0 END AS value
+    FROM events"""
 ORACLES["raw_reload"] = """
     SELECT 2 * count(*) AS row_count, CAST(0 AS BIGINT) AS named, 'append' AS mode FROM part
     UNION ALL
