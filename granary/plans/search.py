@@ -2,7 +2,8 @@
 
 Terms are counted inside each chunk's row by array functions, so building the
 index moves no data; the index is written once and read by the passes that need
-document frequencies and scores.
+document frequencies and scores. What the queries ask is a written table too, so
+Spark knows its size and broadcasts it where that is small.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import terms
-from granary.operators.durable import durable
+from granary.operators.durable import written
 
 K1 = 1.2
 B = 0.75
@@ -67,11 +68,12 @@ def search_index(
 ) -> DataFrame:
     """BM25 score of every chunk that shares a term with a query.
 
-    The terms of a chunk stay in one task where Spark broadcasts the queries'
-    terms by their measured size, so the scores are summed there before the
-    shuffle.
+    The index is partitioned by chunk, so that, where Spark broadcasts the
+    queries' terms by their measured size, the scores of a chunk are summed and
+    ranked in its task: no pair of query and chunk is shuffled but each task's
+    best. With more terms than that, both sides meet by term.
     """
-    wanted = query_terms(queries)
+    wanted = written(query_terms(queries), "query-terms")
     asked = wanted.select("term").distinct()
     frequency = (
         postings(index, key).join(asked, "term", "left_semi").groupBy("term").agg(
@@ -83,12 +85,13 @@ def search_index(
     ).scalar()
     half = F.lit(0.5)
     idf = F.log(1 + (corpus["chunks"] - F.col("df") + half) / (F.col("df") + half))
-    weighted = wanted.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
+    weights = wanted.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
+    weighted = written(weights, "query-weights")
     length = F.col("chunk_length") / corpus["mean_length"]
     tf = F.col("tf")
     saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
     return (
-        postings(index, key)
+        postings(index.repartition(key), key)
         .select(key, "term", saturated.alias("saturated"))
         .join(weighted, "term")
         .groupBy("query_id", key)
@@ -119,7 +122,7 @@ def search_chunks(
     corpus = chunks
     for column, value in (filters or {}).items():
         corpus = corpus.where(F.col(column) == value)
-    index = durable(index_chunks(corpus))
-    ranked = top_k(search_index(index, queries), k)
+    index = written(index_chunks(corpus), "index")
+    ranked = written(top_k(search_index(index, queries), k), "ranked")
     shown = [c for c in corpus.columns if c != "chunk_id"]
     return corpus.select("chunk_id", *shown).join(ranked, "chunk_id")

@@ -368,6 +368,19 @@ def test_kpi_stream_equals_batch_and_touches_only_its_scenarios(spark, tables, t
     assert [r["scenario_id"] for r in kpi_jobs.read_kpis(spark, root).collect()] == [2]
 
 
+def test_scores_are_summed_and_limited_before_the_shuffle(spark, tmp_path):
+    chunks = spark.createDataFrame([(str(i), text) for i, text, _ in CHUNKS], "chunk_id string, chunk_text string")
+    index_chunks(chunks).write.parquet(str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "penalty notes")], "query_id int, query_text string")
+    scores = searching.search_index(spark.read.parquet(str(tmp_path / "index")), queries)
+    plan = searching.top_k(scores)._jdf.queryExecution().sparkPlan().toString()
+    physical = searching.top_k(scores)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", physical)
+    assert [m.split("#")[0] for m in moved] == ["query_id", "chunk_id"]
+    assert all("," not in re.sub(r"#\d+L?, \d+$", "", m) for m in moved)
+
+
 def test_index_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame(
         [(i, text) for i, text, _ in CHUNKS], "document_id long, text string"
