@@ -18,8 +18,8 @@ from granary.operators.current import current_rows, current_versions
 from granary.operators.pairs import every_pair
 from granary.plans.lines import (
     COST_COLUMNS,
+    cost_profile,
     dimension_lines,
-    forecast_lines,
     site_costs,
     weighted_sum,
 )
@@ -80,13 +80,12 @@ def scenario_comparison(
 def scenario_kpis(
     t: PlanningTables, cost_grain: str = "zone", as_of: Column | None = None
 ) -> DataFrame:
-    """Headline figures per scenario.
+    """Headline figures per scenario, in one pass over the forecasts.
 
-    Two lean passes: the distinct counts, which repeat each line once per
-    counted column, see one row per forecast, and only the storage cost sees
-    one row per rate. Their results, a row per scenario each, are merged.
+    The rates of a site are an array in its one row, and the storage cost is
+    summed inside the line, so that no line repeats per rate.
     """
-    rate = F.coalesce(F.col(_RATE), dec(DEFAULT_STORAGE_RATE))
+    default = dec(DEFAULT_STORAGE_RATE)
     keys = (
         "scenario_id",
         "scenario_code",
@@ -94,32 +93,38 @@ def scenario_kpis(
         "scenario_type",
         "is_official_baseline",
     )
-    volume = (
-        forecast_lines(t, (), cost_grain)
+    rates = (
+        cost_profile(t.logistics_cost_fact, (_RATE,), cost_grain)
+        .withColumn(_RATE, F.coalesce(F.col(_RATE), default))
+        .groupBy("site_id")
+        .agg(
+            F.collect_list(F.struct(F.col(_RATE).alias("rate"), "copies")).alias("_rates"),
+            F.sum("copies").alias("copies"),
+        )
+    )
+    quantity = F.col("forecast_quantity")
+
+    def add(total: Column, r: Column) -> Column:
+        return (total + storage_cost(quantity, r["rate"]) * r["copies"]).cast("decimal(38,2)")
+
+    none = F.lit("0").cast("decimal(38,2)")
+    stored = F.coalesce(
+        F.aggregate("_rates", none, add), storage_cost(quantity, default).cast("decimal(38,2)")
+    )
+    sums = (
+        dimension_lines(t)
+        .join(rates, "site_id", "left")
+        .withColumns({"copies": F.coalesce(F.col("copies"), F.lit(1)), "_stored": stored})
         .groupBy(*keys)
         .agg(
             F.countDistinct("product_id").alias("product_count"),
             F.countDistinct("site_id").alias("site_count"),
-            weighted_sum(F.col("forecast_quantity")).alias("total_forecast_quantity"),
+            weighted_sum(quantity).alias("total_forecast_quantity"),
             weighted_sum(F.col("total_revenue")).alias("total_forecasted_revenue"),
             weighted_sum(F.col("total_cost")).alias("total_forecasted_cost"),
+            F.sum("_stored").alias("total_warehousing_cost"),
         )
     )
-    storage = (
-        forecast_lines(t, (_RATE,), cost_grain)
-        .groupBy(*keys)
-        .agg(
-            weighted_sum(storage_cost(F.col("forecast_quantity"), rate)).alias(
-                "total_warehousing_cost"
-            )
-        )
-    )
-    figures = [c for c in (*volume.columns, *storage.columns) if c not in keys]
-    sums = (
-        volume.unionByName(storage, allowMissingColumns=True)
-        .groupBy(*keys)
-        .agg(*[F.max(c).alias(c) for c in figures])
-    )
     margin = F.col("total_forecasted_revenue") - F.col("total_forecasted_cost")
     return sums.select(
         *keys,

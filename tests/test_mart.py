@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.plans import build_plan, capacity, dashboards, mart
 from granary.plans.lines import COST_COLUMNS, forecast_lines
+from granary.sources.driver_tables import as_of
 
 
 def test_comparison_repeats_a_forecast_per_zone(tables):
@@ -227,3 +228,11 @@ def test_headline_without_the_scenarios(spark):
 def test_report_order_puts_nulls_last(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "x string")
     assert [r[0] for r in dashboards.in_report_order(df, "x").collect()] == ["a", "b", None]
+
+
+def test_kpis_read_the_forecasts_once(spark, tmp_path, tables):
+    path = str(tmp_path / "forecasts")
+    tables.demand_forecast_versions.write.parquet(path)
+    stored = tables.with_(demand_forecast_versions=spark.read.parquet(path))
+    plan = mart.scenario_kpis(stored, as_of=as_of())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
