@@ -85,6 +85,8 @@ over_tables("planning_stats", dashboards.planning_stats)
 over_tables("scenario_summary", dashboards.scenario_summary)
 over_tables("scenario_summary_site_avg", dashboards.scenario_summary, cost_grain="site_avg")
 over_tables("warehouse_cost", dashboards.warehouse_cost, site_capacity=BENCH_SITE_CAPACITY)
+over_tables("warehouse_cost_default", dashboards.warehouse_cost)
+over_tables("headline_kpis_default", dashboards.headline_kpis)
 over_tables("monthly_demand", dashboards.monthly_demand)
 over_tables("available_scenarios", dashboards.available_scenarios)
 over_tables("headline_kpis", dashboards.headline_kpis, site_capacity=BENCH_SITE_CAPACITY)

@@ -349,13 +349,14 @@ SITE_COST = """
                  CAST(sum(overflow_penalty_rate) AS DOUBLE)
                    / count(overflow_penalty_rate) AS overflow_rate
           FROM comparison WHERE fiscal_quarter IN ('Q3', 'Q4') GROUP BY ALL)"""
-ORACLES["warehouse_cost"] = sql(
-    f"""
+# The same under the default capacity of a site, a million units.
+AT_DEFAULT = SITE_COST.replace("10000.0", "1000000.0")
+WAREHOUSE_COST = f"""
     SELECT scenario_code, scenario_name, site_name, {d4("demand", "demand")},
            {d2("storage_cost", "storage_cost")}, capacity_threshold, overflow_rate, overflow_cost
-    FROM site_cost""",
-    site_cost=SITE_COST,
-)
+    FROM site_cost"""
+ORACLES["warehouse_cost"] = sql(WAREHOUSE_COST, site_cost=SITE_COST)
+ORACLES["warehouse_cost_default"] = sql(WAREHOUSE_COST, site_cost=AT_DEFAULT)
 DEMAND_BY_MONTH = f"""
     SELECT scenario_code, fiscal_month, fiscal_quarter,
            {d4("sum(forecast_quantity)", "total_demand")},
@@ -371,8 +372,7 @@ ORACLES["available_scenarios"] = sql(
     SELECT DISTINCT scenario_id, scenario_code, scenario_name, is_official_baseline
     FROM scenario WHERE scenario_code IN (SELECT scenario_code FROM line)"""
 )
-ORACLES["headline_kpis"] = sql(
-    """
+HEADLINE = """
     SELECT base_demand, other_demand,
            round((other_demand - base_demand) / base_demand * 100, 2) AS demand_delta_pct,
            base_cost, other_cost, other_overflow,
@@ -388,9 +388,9 @@ ORACLES["headline_kpis"] = sql(
                    + round(sum(overflow_cost) FILTER (scenario_code = 'Q4_PUSH'), 2), 2)
                AS other_cost,
              round(sum(overflow_cost) FILTER (scenario_code = 'Q4_PUSH'), 2) AS other_overflow
-          FROM site_cost)""",
-    site_cost=SITE_COST,
-)
+          FROM site_cost)"""
+ORACLES["headline_kpis"] = sql(HEADLINE, site_cost=SITE_COST)
+ORACLES["headline_kpis_default"] = sql(HEADLINE, site_cost=AT_DEFAULT)
 _CELLS = ",\n           ".join(
     f"round(coalesce(sum({value}) FILTER (scenario_code = '{code}'), 0), 0)"
     f" AS {code.lower()}_{name}"
