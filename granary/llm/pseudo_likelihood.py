@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ready_workers, rows_of, text_bytes, to_batches
+from granary.llm.common import ready_workers, rows_of, stored, text_bytes, to_batches
 
 #: Words on each side that a prediction sees.
 REACH = 2
@@ -22,6 +23,8 @@ EMBEDDING, HIDDEN = 16, 32
 BATCH = 16384
 RATE = 0.1
 _MEMORY = 600_000
+#: Words whose counts every scoring task holds; the others' are joined.
+HEAD = 1 << 18
 _SHAPES = {
     "embed": (PAD + 1, EMBEDDING), "into": (2 * REACH * EMBEDDING, HIDDEN), "bias": (HIDDEN,),
     "klass": (HIDDEN + 1, SIDE), "member": (SIDE, HIDDEN + 1, SIDE),
@@ -30,21 +33,50 @@ _OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
 
 
 class WordIds:
-    """Hashed ids of a text's lower-cased words, remembered per worker."""
+    """Hashed ids of a text's lower-cased words, remembered per worker.
+
+    ``keys`` holds the remembered words' own keys: 64 bits of two hashes, the
+    lowest 12 being the id, so words of one id stay apart.
+    """
 
     def __init__(self) -> None:
         self.memory: dict[bytes, int] = {}
+        self.keys = np.empty(1 << 12, dtype=np.int64)
 
-    def __call__(self, data: bytes | None) -> list[int]:
+    def __call__(self, data: bytes | None) -> np.ndarray:
+        if len(self.memory) > _MEMORY:
+            self.memory.clear()
+        return self.ids(self.places(data))
+
+    def places(self, data: bytes | None) -> np.ndarray:
+        """Places of a text's words in the memory, for as long as it isn't cleared."""
         words = (data or b"").lower().split()
-        ids = list(map(self.memory.get, words))
-        if None in ids:
-            if len(self.memory) > _MEMORY:
-                self.memory.clear()
-            for k, known in enumerate(ids):
+        places = list(map(self.memory.get, words))
+        if None in places:
+            first, fresh = len(self.memory), []
+            for k, known in enumerate(places):
                 if known is None:
-                    ids[k] = self.memory[words[k]] = zlib.crc32(words[k]) % PAD
-        return ids
+                    places[k] = at = self.memory.setdefault(words[k], len(self.memory))
+                    if at == first + len(fresh):
+                        fresh.append(word_key(words[k]))
+            self.keys = lengthened(self.keys, first + len(fresh))
+            self.keys[first : first + len(fresh)] = np.array(fresh, dtype=np.uint64).view(np.int64)
+        return np.array(places, dtype=np.int64)
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        return (self.keys[places] & (PAD - 1)).astype(np.int32)
+
+
+def word_key(word: bytes) -> int:
+    """Unsigned 64 bits of a word: 52 of XXH3, and its id."""
+    return xxhash.xxh3_64_intdigest(word) >> 12 << 12 | zlib.crc32(word) % PAD
+
+
+def lengthened(values: np.ndarray, least: int) -> np.ndarray:
+    """``values``, with zeros behind them if there are fewer than ``least``."""
+    if len(values) >= least:
+        return values
+    return np.concatenate([values, np.zeros(max(least - len(values), len(values)), dtype=values.dtype)])
 
 
 @dataclass
@@ -165,82 +197,189 @@ def _cut(parts: list[np.ndarray], numbers: list[int]) -> Iterator[tuple[np.ndarr
         yield ids[some[:, None] + _OFFSETS], ids[some], owner[at : at + BATCH]
 
 
-_WEIGHTS = pa.schema([("place", pa.int32()), ("value", pa.float64()), ("weight", pa.float64())])
+_SUMS = pa.schema([("place", pa.int32()), ("word", pa.int64()), ("value", pa.float64()), ("weight", pa.float64())])
 
 
 def train(docs: DataFrame, rounds: int = 1, seed: int = 0) -> np.ndarray:
-    """Weights fitted on every document, by parallel descent and averaging.
+    """Weights fitted on every document, by parallel descent and averaging."""
+    return fitted(docs, rounds, seed)[0]
+
+
+def fitted(docs: DataFrame, rounds: int = 1, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """The network's weights, and ``word, n``: the key and count of every word.
 
     In each round every task starts from the common weights, goes once over all
     windows of its rows, and gives its weights, which are averaged by the number
-    of words behind them. What is shuffled grows with the number of tasks, so
-    with the corpus; what reaches the driver is one vector of fixed size.
+    of words behind them. The first round counts all words on the way; that table
+    grows with the corpus and stays distributed. What reaches the driver is one
+    vector of fixed size.
     """
+    if rounds < 1:
+        raise ValueError("training takes a round at least")
     ready_workers(docs.sparkSession)
     rows = text_bytes(docs)
-    current = Network.fresh(seed).flat
-    for _ in range(rounds):
+    current, counted = Network.fresh(seed).flat, None
+    for turn in range(rounds):
         common = docs.sparkSession.sparkContext.broadcast(current)
 
-        def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fit(batches: Iterable[pa.RecordBatch], counting: bool = not turn) -> Iterator[pa.RecordBatch]:
             net, words, n = Network(common.value.copy()), WordIds(), 0
             squares = np.full_like(net.flat, 1e-6)
-            for context, target, _ in windows(words(data) for _, data in rows_of(batches)):
+            counts, ready = np.zeros(1 << 12), []
+
+            def give() -> None:
+                known = len(words.memory)
+                ready.extend(_sums(None, words.keys[:known], counts[:known], np.zeros(known)))
+                words.memory.clear()
+                counts[:] = 0
+
+            def texts() -> Iterator[np.ndarray]:
+                nonlocal counts
+                for _, data in rows_of(batches):
+                    if len(words.memory) > _MEMORY:
+                        give()
+                    places = words.places(data)
+                    counts = lengthened(counts, len(words.memory))
+                    np.add.at(counts, places, 1)
+                    yield words.ids(places)
+
+            for context, target, _ in windows(texts()):
                 step = net.gradient(context, target).flat
                 squares += step * step
                 net.flat -= RATE * step / np.sqrt(squares)
                 n += len(target)
-            for at in range(0, len(net.flat) if n else 0, 50_000):
-                part = net.flat[at : at + 50_000].astype(np.float64)
-                places = np.arange(at, at + len(part), dtype=np.int32)
-                columns = [pa.array(places), pa.array(part * n), pa.array(np.full(len(part), float(n)))]
-                yield pa.RecordBatch.from_arrays(columns, schema=_WEIGHTS)
-
-        averaged = (
-            rows.mapInArrow(fit, "place int, value double, weight double")
-            .groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value"))
-            .toArrow()
+                if counting:
+                    yield from ready
+                ready.clear()
+            give()
+            if counting:
+                yield from ready
+            if n:
+                yield from _sums(np.arange(len(net.flat)), None, net.flat.astype(np.float64) * n, np.full(len(net.flat), float(n)))
+
+        sums = stored(
+            rows.mapInArrow(fit, "place int, word bigint, value double, weight double")
+            .groupBy("place", "word").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")),
+            "fitted",
         )
+        averaged = sums.where("place IS NOT NULL").select("place", (F.col("value") / F.col("weight")).alias("value")).toArrow()
         if averaged.num_rows:
             current = np.zeros(Network.size(), dtype=np.float32)
             current[averaged["place"].to_numpy()] = averaged["value"].to_numpy()
-    return current
+        if counted is None:
+            counted = sums.where("place IS NULL").select("word", F.col("value").cast("bigint").alias("n"))
+    return current, counted
+
 
+def _sums(places: np.ndarray | None, words: np.ndarray | None, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(values[0]), 50_000):
+        size = len(values[0][at : at + 50_000])
+        columns = [
+            pa.nulls(size, field.type) if x is None else pa.array(x[at : at + size].astype(field.type.to_pandas_dtype()))
+            for x, field in zip((places, words, *values), _SUMS)
+        ]
+        yield pa.RecordBatch.from_arrays(columns, schema=_SUMS)
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
 
+def head_and_totals(words: DataFrame, most: int = HEAD) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The counts split by size: ``(tail, keys, counts, totals)``.
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    ``keys`` (ascending) and ``counts`` are the commonest words, at most ``most``;
+    ``tail`` has the others that were met more than once; ``totals`` the number of
+    words of each id.
+    """
+    level = F.floor(F.log2("n") * 8)
+    repeated = words.where("n > 1").withColumn("level", level)
+    room, least = most, 1 << 30
+    for r in sorted(repeated.groupBy("level").count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    head = repeated.where(F.col("level") >= least).select("word", "n").toArrow()
+    keys, counts = head["word"].to_numpy(), head["n"].to_numpy()
+    order = np.argsort(keys)
+    totals = np.zeros(PAD)
+    for r in words.groupBy(F.col("word").bitwiseAND(PAD - 1).alias("id")).agg(F.sum("n").alias("n")).collect():
+        totals[r["id"]] = r["n"]
+    return repeated.where(F.col("level") < least).select("word", "n"), keys[order], counts[order], totals
+
+
+_SCORES = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("tail", pa.list_(pa.int64()))]
+)
+
+
+def score(docs: DataFrame, weights: np.ndarray, words: DataFrame | None = None, head: int = HEAD) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_probability`` per row.
 
     The sum, over all words of the whole text, of the log probability of the word
-    given the two words on either side. Null and blank texts have 0 words, sum 0
-    and a null mean; repeated rows score alike (to rounding); an empty table gives
-    no rows; other columns are ignored.
+    given the two words on either side: that of its id by the network, and that of
+    the word among the words of its id by the counts ``words``. Of ``N`` words of
+    an id, one met ``n`` times has n / (N + 1), and all unmet words together
+    1 / (N + 1). The commonest words' counts are in every task; the others meet
+    theirs in a join of word keys. Without ``words`` ids alone are scored.
+
+    Null and blank texts have 0 words, sum 0 and a null mean; repeated rows score
+    alike (to rounding); an empty table gives no rows; other columns are ignored.
     """
     ready_workers(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    spark = docs.sparkSession
+    tail, *known = (None, None) if words is None else head_and_totals(words, head)
+    shared = spark.sparkContext.broadcast((weights, known))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words = Network(shared.value.copy()), WordIds()
+        vector, known = shared.value
+        net, words = Network(vector.copy()), WordIds()
+        shares, common, done = np.zeros(1 << 12), np.zeros(1 << 12, dtype=bool), 0
+        if len(known) > 1:
+            keys, counts, totals = known
+            ends, logs, spread = np.append(keys, 0), np.log(np.append(counts, 1)), np.log(totals + 1)
+
+        def look_up() -> None:
+            nonlocal shares, common, done
+            size = len(words.memory)
+            shares, common = lengthened(shares, size), lengthened(common, size)
+            fresh = words.keys[done:size]
+            at = np.searchsorted(keys, fresh)
+            met = (at < len(keys)) & (ends[at] == fresh)
+            shares[done:size] = np.where(met, logs[at], 0) - spread[fresh & (PAD - 1)]
+            common[done:size], done = met, size
 
         def scored() -> Iterator[tuple]:
+            nonlocal done
             rows = rows_of(batches)
             while group := [row for _, row in zip(range(128), rows)]:
-                texts = [words(data) for _, data in group]
-                sums = np.zeros(len(group))
-                for context, target, owner in windows(texts):
+                if len(words.memory) > _MEMORY:
+                    words.memory.clear()
+                    done = 0
+                places = [words.places(data) for _, data in group]
+                sums, rare = np.zeros(len(group)), [[]] * len(group)
+                for context, target, owner in windows(map(words.ids, places)):
                     sums += np.bincount(owner, net.log_probabilities(context, target), len(group))
-                yield from ((doc_id, len(t), float(s)) for (doc_id, _), t, s in zip(group, texts, sums))
+                if len(known) > 1:
+                    look_up()
+                    sums += [shares[p].sum() for p in places]
+                    rare = [words.keys[p[~common[p]]] for p in places]
+                yield from ((doc_id, len(p), float(s), r) for (doc_id, _), p, s, r in zip(group, places, sums, rare))
 
         return to_batches(scored(), _SCORES)
 
+    found = text_bytes(docs).mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, log_likelihood double, tail array<bigint>"
+    )
+    if tail is not None:
+        found = stored(found.withColumn("row", F.monotonically_increasing_id()), "scored")
+        shares = (
+            found.select("row", F.explode("tail").alias("word")).join(tail, "word")
+            .groupBy("row").agg(F.sum(F.log("n")).alias("share"))
+        )
+        found = found.drop("tail").join(shares, "row", "left").withColumn(
+            "log_likelihood", F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))
+        )
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return text_bytes(docs).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, log_likelihood double"
-    ).withColumn("mean_log_probability", mean)
+    return found.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_probability"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = 1, seed: int = 0) -> DataFrame:
     """Train on ``docs`` and score every row of it."""
-    return score(docs, train(docs, rounds, seed))
+    return score(docs, *fitted(docs, rounds, seed))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from granary.llm.page_text import best_path, host_paths, page_texts, parse, text_under
-from granary.llm.pseudo_likelihood import PAD, Network, WordIds, pseudo_likelihood, score, train, windows
+from granary.llm.pseudo_likelihood import PAD, Network, WordIds, fitted, pseudo_likelihood, score, train, windows
 from granary.llm.sharding import Node, even_tree, place, shard_documents, with_region
 from .conftest import texts
 
@@ -146,3 +146,22 @@ def test_odd_rows_are_scored(odd, none):
     assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((i, len((t or "").split())) for i, t in texts(odd))
     assert all((r.mean_log_probability is None) == (r.n_tokens == 0) and r.log_likelihood <= 0 for r in rows)
     assert pseudo_likelihood(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 18, 40, 0])
+def test_words_of_one_id_are_told_apart(spark, documents, most):
+    rare = next(w for w in (f"junk{k}" for k in range(100_000)) if zlib.crc32(w.encode()) % PAD == zlib.crc32(b"the") % PAD)
+    weights, words = fitted(documents)
+    counts = Counter(w for _, t in texts(documents) for w in (t or "").encode().lower().split())
+    assert Counter(r.n for r in words.collect()) == Counter(counts.values())
+    ids = Counter()
+    for w, n in counts.items():
+        ids[zlib.crc32(w) % PAD] += n
+    asked = [(1, "see the end"), (2, f"see {rare} end"), (3, None)] + [(10 + i, t) for i, t in texts(documents)[:20]]
+    docs = spark.createDataFrame(asked, "doc_id bigint, text string")
+    plain = {r.doc_id: r.log_likelihood for r in score(docs, weights).collect()}
+    found = {r.doc_id: r.log_likelihood for r in score(docs, weights, words, most).collect()}
+    for i, t in asked:
+        part = sum(np.log(max(counts[w], 1) / (ids[zlib.crc32(w) % PAD] + 1)) for w in (t or "").encode().lower().split())
+        assert found[i] == pytest.approx(plain[i] + part, abs=1e-3)
+    assert plain[1] == pytest.approx(plain[2], abs=1e-4) and found[1] > found[2] + 3
