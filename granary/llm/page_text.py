@@ -17,7 +17,7 @@ from granary.llm.common import quoted, ready_workers, rows_of, stored, to_batche
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 HIDDEN = frozenset(
-    "head script style noscript template iframe noembed noframes object svg math canvas audio video map "
+    "head title script style noscript template iframe noembed noframes object svg math canvas audio video map "
     "form input button select textarea label fieldset option datalist dialog nav aside footer menu".split()
 )
 BLOCKS = frozenset(
@@ -25,6 +25,8 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
+#: What may stand in a head; anything else ends one that is still open.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 #: The page itself is the outermost container, so text outside a body counts too.
 ROOT = "page"
 CONTAINERS = frozenset(f"article main section div td body center blockquote {ROOT}".split())
@@ -141,9 +143,11 @@ def parse(source: str) -> Page:
     while at < len(source):
         found = _TOKEN.search(source, at)
         if not found:
-            if not stack[-1].hidden:
+            if not stack[-1].hidden or stack[-1].tag == "head":
                 text.append(source[at:])
             break
+        if stack[-1].tag == "head" and source[at : found.start()].strip():
+            stack.pop()
         hidden = stack[-1].hidden
         if not hidden and found.start() > at:
             text.append(source[at : found.start()])
@@ -161,6 +165,9 @@ def parse(source: str) -> Page:
                     del stack[k:]
                     break
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
+            hidden = stack[-1].hidden
         if tag == "br" or tag == "wbr":
             if not hidden:
                 text.append(" " if tag == "br" else "")

@@ -92,6 +92,16 @@ def test_the_host_outvotes_a_misleading_page(spark):
     assert text_under(page, best_path(page)) == words.strip()
 
 
+@pytest.mark.parametrize(
+    "start", ["<html><head><title>x</title><body>", "<html><head><title>x</title><meta a=b>", "<title>x</title>", "<head><style>p {}</style><br>"]
+)
+def test_an_open_head_ends_where_the_body_begins(start):
+    for rest in ("<p>text", "text", "<div><p>text</div>"):
+        page = parse(start + rest)
+        assert text_under(page, best_path(page)) == "text"
+    assert parse("<head><title>x</title><script>y</script><link a=b> ").blocks == []
+
+
 def test_deep_and_unclosed_pages_end():
     page = parse("<div>" * 3000 + "deep" + "<b>" * 3000)
     assert text_under(page, best_path(page)) == "deep"
