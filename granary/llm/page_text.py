@@ -48,6 +48,13 @@ NOISE = frozenset(
 )
 KEEP = frozenset("article content main post entry story body text".split())
 
+#: Blocks that are parts of an article wherever they stand beside its text.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup blockquote figure figcaption p pre dl ul ol table".split())
+# A container beside the text is a part of the article from so many
+# characters and such a share of the text on, in a body from a larger share; text
+# is taken in if so much of it is article text.
+PART_CHARS, PART, PAGE_PART, PART_SHARE = 80, 0.05, 0.25, 0.66
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
@@ -63,13 +70,16 @@ class Element:
     path: str
     hidden: bool
     parent: Element | None
+    link: bool = False
 
 
 @dataclass
 class Page:
-    """The visible blocks of a page in order, each with the element it is in."""
+    """The visible blocks of a page in order, each with the element it is in, and
+    the characters of each that are in links."""
 
     blocks: list[tuple[Element, str]] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -121,14 +131,23 @@ def parse(source: str) -> Page:
     page = Page()
     stack = [root]
     text: list[str] = []
+    linked = 0
+
+    def add(part: str) -> None:
+        nonlocal linked
+        text.append(part)
+        linked += len(part) * stack[-1].link
 
     def flush() -> None:
+        nonlocal linked
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
                 owner = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
                 page.blocks.append((owner, block))
+                page.linked.append(linked)
+            linked = 0
 
     def pop(tags: frozenset[str], stops: frozenset[str] = CONTAINERS) -> None:
         for at in range(len(stack) - 1, 0, -1):
@@ -144,13 +163,13 @@ def parse(source: str) -> Page:
         found = _TOKEN.search(source, at)
         if not found:
             if not stack[-1].hidden or stack[-1].tag == "head":
-                text.append(source[at:])
+                add(source[at:])
             break
         if stack[-1].tag == "head" and source[at : found.start()].strip():
             stack.pop()
         hidden = stack[-1].hidden
         if not hidden and found.start() > at:
-            text.append(source[at : found.start()])
+            add(source[at : found.start()])
         at = found.end()
         closing, tag = found[1], (found[2] or "").lower()
         if not tag:
@@ -185,7 +204,7 @@ def parse(source: str) -> Page:
         parent = stack[-1]
         step = _step(tag, attributes) if tag in BLOCKS else ""
         path = f"{parent.path}>{step}" if step else parent.path
-        element = Element(tag, path, hidden or _noisy(tag, attributes, parent), parent)
+        element = Element(tag, path, hidden or _noisy(tag, attributes, parent), parent, tag == "a" or parent.link)
         if not found[3].rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
             stack.append(element)
         if tag in RAW:
@@ -211,7 +230,8 @@ def score(page: Page) -> dict[str, float]:
 
 def best_path(page: Page) -> str | None:
     """The page's own choice: its best-scored container, or the nearest article or
-    main element around it. Equal scores go to the smaller path."""
+    main element around it, or else the container around all parts of an article.
+    Equal scores go to the smaller path."""
     totals = score(page)
     if not totals:
         return None
@@ -220,6 +240,54 @@ def best_path(page: Page) -> str | None:
     for k in range(len(steps), 0, -1):
         if steps[k - 1].split(".")[0] in SEMANTIC:
             return ">".join(steps[:k])
+    return climbed(page, best)
+
+
+def climbed(page: Page, best: str) -> str:
+    """The outermost container whose text beside ``best`` is mostly article text.
+
+    Goes outwards while at least ``PART_SHARE`` of the characters that a container
+    adds are in headings, paragraphs, quotes and the like directly in it, or in
+    other containers that are long, no lists of links and large beside the text
+    so far; directly in a body, where a site's own boxes are, much larger.
+    """
+    chains = []
+    for element, _ in page.blocks:
+        chain, outer = [], element
+        while outer is not None:
+            if outer.tag in BLOCKS or outer.tag == ROOT:
+                chain.append(outer)
+            outer = outer.parent
+        chains.append(chain)
+    inside = [any(e.path == best for e in chain) for chain in chains]
+    around = next(chain for chain, within in zip(chains, inside) if within)
+    size = sum(len(block) for (_, block), within in zip(page.blocks, inside) if within)
+    at = next(k for k, e in enumerate(around) if e.path == best)
+    for outer in around[at + 1 :]:
+        if outer.tag not in CONTAINERS or all(inside):
+            continue
+        branches: dict[int, list] = {}
+        for k, chain in enumerate(chains):
+            if not inside[k] and (depth := next((d for d, e in enumerate(chain) if e.path == outer.path), None)) is not None:
+                branch = chain[depth - 1] if depth else None
+                found = branches.setdefault(id(branch), [branch, 0, 0, []])
+                found[1] += len(page.blocks[k][1])
+                found[2] += page.linked[k]
+                found[3].append(k)
+        added = sum(b[1] for b in branches.values())
+        if not added:
+            continue
+        least = max(PART_CHARS, size * (PAGE_PART if outer.tag in ("body", ROOT) else PART))
+        good = sum(
+            n for branch, n, links, _ in branches.values()
+            if links <= n / 3 and (branch is None or branch.tag in PARTS or branch.tag in CONTAINERS and n >= least)
+        )
+        if good < PART_SHARE * added:
+            break
+        best, size = outer.path, size + added
+        for *_, blocks in branches.values():
+            for k in blocks:
+                inside[k] = True
     return best
 
 
@@ -240,9 +308,12 @@ def text_under(page: Page, path: str | None) -> str:
     return "\n\n".join(block for element, block in page.blocks if within(element))
 
 
-_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("chars", pa.int64())])
+_VOTES = pa.schema([("host", pa.string()), ("vote", pa.string()), ("path", pa.string()), ("chars", pa.int64())])
 _TEXTS = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()),
+        ("own", pa.string()), ("own_text", pa.string()),
+    ]
 )
 
 
@@ -250,19 +321,26 @@ def _vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def votes() -> Iterator[tuple]:
         for host, source in rows_of(batches):
             page = parse(source or "")
-            path = best_path(page)
-            if path is not None:
-                yield host, path, len(text_under(page, path))
+            vote = best_path(page)
+            if vote is not None:
+                yield host, vote, vote, len(text_under(page, vote))
+                for path in score(page):
+                    if path != vote and not vote.startswith(f"{path}>"):
+                        yield host, vote, path, 0
 
     return to_batches(votes(), _VOTES)
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def texts() -> Iterator[tuple]:
-        for page_id, url, source, path in rows_of(batches):
+        for page_id, url, host, source, path in rows_of(batches):
             page = parse(source or "")
-            text = text_under(page, path) or text_under(page, best_path(page))
-            yield page_id, url, text, len(text)
+            own = best_path(page)
+            text, other = text_under(page, path), text_under(page, own)
+            if text and 2 * len(text) < len(other):
+                yield page_id, url, host, text, own, other
+            else:
+                yield page_id, url, host, text or other, None, None
 
     return to_batches(texts(), _TEXTS, 512)
 
@@ -274,40 +352,69 @@ def host_of(url: Column) -> Column:
     )
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """``(host, path)``: the path with most pages' votes per host.
+def host_votes(pages: DataFrame) -> DataFrame:
+    """``host, vote, path, votes, chars``: what the pages of a vote have.
 
-    Equal votes go to the path with more text, then to the smaller one. Votes are
-    counted in each task first, so a host with a third of all pages is a few rows.
+    The rows whose path is the vote count it; the others are containers of text
+    on pages with that vote, outside of it. Counted in each task first, so a host
+    with a third of all pages is a few rows.
     """
     ready_workers(pages.sparkSession)
     votes = pages.select(host_of(quoted("url").cast("string")).alias("host"), quoted("html").cast("string").alias("html"))
-    counted = votes.mapInArrow(_vote, "host string, path string, chars bigint").groupBy("host", "path").agg(
-        F.count("*").alias("votes"), F.sum("chars").alias("chars")
-    )
+    return votes.mapInArrow(_vote, "host string, vote string, path string, chars bigint").groupBy(
+        "host", "vote", "path"
+    ).agg(F.count("*").alias("votes"), F.sum("chars").alias("chars"))
+
+
+def winners(counted: DataFrame) -> DataFrame:
     rank = F.struct(-F.col("votes"), -F.col("chars"), F.col("path"))
-    return counted.groupBy("host").agg(F.min(rank).alias("best")).select("host", F.col("best.path").alias("path"))
+    best = counted.where("path = vote").groupBy("host").agg(F.min(rank).alias("best"))
+    return best.select("host", F.col("best.path").alias("path"))
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """``(host, path)``: the path with most pages' votes per host.
+
+    Equal votes go to the path with more text, then to the smaller one.
+    """
+    return winners(host_votes(pages))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     Each page is read by its host's path; a page without such an element falls
-    back on its own best container. Menus, headers, footers, sidebars, notices,
-    adverts, forms, comments, scripts and styles are left out; character
-    references are decoded, white space inside a block is one space, blocks are
-    joined by two line feeds. A null or empty html, or one without text, gives an
-    empty text; a null or odd url counts as the host ''. Repeated rows come back
-    repeated, an empty table gives no rows, other columns are ignored.
+    back on its own best container, and so does a page of another layout: one
+    whose own container has more than twice the text and isn't among what the
+    host's other pages have beside their articles. Menus, headers, footers,
+    sidebars, notices, adverts, forms, comments, scripts and styles are left out;
+    character references are decoded, white space inside a block is one space,
+    blocks are joined by two line feeds. A null or empty html, or one without
+    text, gives an empty text; a null or odd url counts as the host ''. Repeated
+    rows come back repeated, an empty table gives no rows, other columns are
+    ignored.
     """
-    paths = stored(host_paths(pages), "host-paths")
+    counted = stored(host_votes(pages), "host-votes")
+    paths = stored(winners(counted), "host-paths")
+    beside = stored(
+        counted.where("path <> vote").join(paths.withColumnRenamed("path", "vote"), ["host", "vote"])
+        .select("host", F.col("path").alias("own"), F.lit(True).alias("beside")),
+        "beside",
+    )
     rows = pages.select(
         quoted("page_id").cast("long").alias("page_id"),
         quoted("url").cast("string").alias("url"),
         quoted("html").cast("string").alias("html"),
     ).withColumn("host", host_of(F.col("url")))
-    return (
+    read = (
         rows.join(paths, "host", "left")
-        .select("page_id", "url", "html", "path")
-        .mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+        .select("page_id", "url", "host", "html", "path")
+        .mapInArrow(_extract, "page_id bigint, url string, host string, text string, own string, own_text string")
+    )
+    alone = F.concat(F.lit("\n"), F.xxhash64("page_id", "url").cast("string"))  # no path has a line feed
+    text = F.when(F.col("own_text").isNotNull() & F.col("beside").isNull(), F.col("own_text")).otherwise(F.col("text"))
+    return (
+        read.withColumn("own", F.coalesce("own", alone)).join(beside, ["host", "own"], "left")
+        .select("page_id", "url", text.alias("text"))
+        .withColumn("n_chars", F.char_length("text").cast("bigint"))
     )

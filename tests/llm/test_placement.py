@@ -92,6 +92,35 @@ def test_the_host_outvotes_a_misleading_page(spark):
     assert text_under(page, best_path(page)) == words.strip()
 
 
+LEAD, MUCH = "A lead sentence of the article. " * 6, "Many words of the article follow here. " * 50
+
+
+@pytest.mark.parametrize(
+    ("inner", "parts"),
+    [
+        ("<div id=main><h1>Title</h1><div class=lead>{0}</div><div class=text>{1}</div></div><div class=box>small</div>", "Title,0,1"),
+        ("<div class=page><div class=one><p>{1}</div><div class=two><h2>More</h2><p>{0}<p>{0}</div></div>", "1,More,0,0"),
+        ("<div><p>{0}<blockquote><p>{1}</blockquote><p>{0}</div>", "0,1,0"),
+        ("<h1>Title</h1><div><p>{1}</div>", "Title,1"),
+        ("<div class=x><p>{1}</div><div class=list><a href=a>{0}</a></div>", "1"),
+        ("<div class=x><p>{1}</div><div class=imprint>{0}</div>", "1"),
+    ],
+)
+def test_all_parts_of_an_article_stay(inner, parts):
+    page = parse("<body>" + inner.format(LEAD, MUCH))
+    named = {"0": LEAD.strip(), "1": MUCH.strip()}
+    assert text_under(page, best_path(page)) == "\n\n".join(named.get(x, x) for x in parts.split(","))
+
+
+def test_a_page_of_another_layout_keeps_its_article(spark):
+    usual = f"<body><div class=story><p>{MUCH}</div><div class=box><p>small</div>"
+    other = f"<body><div class=story><p>A teaser.</div><div class=feature><p>{MUCH}</div>"
+    rows = [(k, "http://h/", usual) for k in range(3)] + [(3, "http://h/", other), (4, "http://h/", other.replace("feature", "box"))]
+    found = page_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {**{k: MUCH.strip() for k in range(4)}, 4: "A teaser."}
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
 @pytest.mark.parametrize(
     "start", ["<html><head><title>x</title><body>", "<html><head><title>x</title><meta a=b>", "<title>x</title>", "<head><style>p {}</style><br>"]
 )
