@@ -47,6 +47,8 @@ NOISE = frozenset(
     "complementary contentinfo search login".split()
 )
 KEEP = frozenset("article content main post entry story body text".split())
+#: First words of names that tell of the layout, as in "has-sidebar".
+LAYOUT = frozenset("has with no without".split())
 
 #: Blocks that are parts of an article wherever they stand beside its text.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup blockquote figure figcaption p pre dl ul ol table".split())
@@ -71,6 +73,8 @@ class Element:
     hidden: bool
     parent: Element | None
     link: bool = False
+    #: Named by a noise word and an article word: no part of a container around it.
+    mixed: bool = False
 
 
 @dataclass
@@ -106,15 +110,26 @@ def _noisy(tag: str, attributes: dict[str, str], parent: Element | None) -> bool
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    if tag in ("body", "html") or tag in SEMANTIC:
-        return bool(NOISE & {"comment", "comments"} & set(_names(attributes)))
-    names = set(_names(attributes))
-    return bool(names & NOISE) and not names & KEEP or bool(names & {"comment", "comments"})
+    names, noise = _names(attributes)
+    if {"comment", "comments"} & names:
+        return True
+    return noise and tag not in ("body", "html") and not _mixed(tag, attributes)
+
 
+def _mixed(tag: str, attributes: dict[str, str]) -> bool:
+    names, noise = _names(attributes)
+    return noise and tag in BLOCKS and tag not in ("body", "html") and (tag in SEMANTIC or bool(names & KEEP))
 
-def _names(attributes: dict[str, str]) -> Iterator[str]:
+
+def _names(attributes: dict[str, str]) -> tuple[set[str], bool]:
+    """Words of an element's names, and whether a name has one of noise."""
+    names, noise = set(), False
     for key in ("class", "id", "role"):
-        yield from _WORDS.findall(attributes.get(key, ""))
+        for name in attributes.get(key, "").split():
+            words = _WORDS.findall(name)
+            names.update(words)
+            noise |= words[:1] != [] and words[0] not in LAYOUT and not NOISE.isdisjoint(words)
+    return names, noise
 
 
 def _inside(element: Element | None, tags: frozenset[str]) -> bool:
@@ -205,6 +220,7 @@ def parse(source: str) -> Page:
         step = _step(tag, attributes) if tag in BLOCKS else ""
         path = f"{parent.path}>{step}" if step else parent.path
         element = Element(tag, path, hidden or _noisy(tag, attributes, parent), parent, tag == "a" or parent.link)
+        element.mixed = not element.hidden and _mixed(tag, attributes)
         if not found[3].rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
             stack.append(element)
         if tag in RAW:
@@ -216,7 +232,8 @@ def parse(source: str) -> Page:
 
 def score(page: Page) -> dict[str, float]:
     """Score of each candidate path: a block's characters count fully for the
-    container around its paragraph and half for the next one out."""
+    container around its paragraph and half for the next one out, but not for one
+    around an element that is named as noise."""
     totals: dict[str, float] = {}
     for element, block in page.blocks:
         weight, outer = float(len(block)), element
@@ -224,6 +241,8 @@ def score(page: Page) -> dict[str, float]:
             if outer.tag in CONTAINERS:
                 totals[outer.path] = totals.get(outer.path, 0.0) + weight
                 weight /= 2
+            if outer.mixed:
+                break
             outer = outer.parent
     return totals
 
@@ -257,7 +276,7 @@ def climbed(page: Page, best: str) -> str:
         while outer is not None:
             if outer.tag in BLOCKS or outer.tag == ROOT:
                 chain.append(outer)
-            outer = outer.parent
+            outer = None if outer.mixed else outer.parent
         chains.append(chain)
     inside = [any(e.path == best for e in chain) for chain in chains]
     around = next(chain for chain, within in zip(chains, inside) if within)
@@ -292,7 +311,8 @@ def climbed(page: Page, best: str) -> str:
 
 
 def text_under(page: Page, path: str | None) -> str:
-    """Blocks inside all elements of the path, in page order."""
+    """Blocks inside all elements of the path, in page order, without those in
+    further elements that are named as noise."""
     if path is None:
         return ""
     inside: dict[int, bool] = {}
@@ -302,7 +322,7 @@ def text_under(page: Page, path: str | None) -> str:
             return False
         known = inside.get(id(element))
         if known is None:
-            known = inside[id(element)] = element.path == path or within(element.parent)
+            known = inside[id(element)] = element.path == path or not element.mixed and within(element.parent)
         return known
 
     return "\n\n".join(block for element, block in page.blocks if within(element))

@@ -112,6 +112,16 @@ def test_all_parts_of_an_article_stay(inner, parts):
     assert text_under(page, best_path(page)) == "\n\n".join(named.get(x, x) for x in parts.split(","))
 
 
+@pytest.mark.parametrize("name", ["post-related", "content-ad", "main-sidebar", "article-newsletter", "post-share", "text promo"])
+def test_noise_named_after_the_article_goes(name):
+    for box in (f"<div class='{name}'><p>{LEAD}</div>", f"<p id='{name}'>{LEAD}</p>", f"<article class='{name}'>{LEAD}</article>", f"<span class='{name}'>{LEAD}</span>"):
+        for around in ("article", "div class='content has-sidebar'", "div class='post-ad-free'", "div class='post no-ads'"):
+            page = parse(f"<body><{around}><p>{MUCH}</p>{box}<p class='text with-ads'>end</p></{around.split()[0]}>")
+            assert text_under(page, best_path(page)) == MUCH.strip() + "\n\nend"
+    page = parse(f"<div class='{name}'><p>{MUCH}</div>")
+    assert text_under(page, best_path(page)) == MUCH.strip()
+
+
 def test_a_page_of_another_layout_keeps_its_article(spark):
     usual = f"<body><div class=story><p>{MUCH}</div><div class=box><p>small</div>"
     other = f"<body><div class=story><p>A teaser.</div><div class=feature><p>{MUCH}</div>"
