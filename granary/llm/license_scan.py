@@ -133,6 +133,50 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 ENDS = r"([.!?;])[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 _MARK = "\u0001"
 
+# What the tables above, which the SQL shares, have no entry for.
+MORE_SENTENCES: dict[str, tuple[str, ...]] = {
+    "gpl.free": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "agpl.free": tuple(
+        start + "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        for start in ("", "This program is free software: ")
+    ),
+    "lgpl.free2": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",),
+    "lgpl.either21": ("either version 2.1 of the License, or (at your option) any later version.",),
+    "isc.grant": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "bsl1.short": ("Distributed under the Boost Software License, Version 1.0.",),
+}
+MORE_TAGGED = (
+    "GPL-2.0", "GPL-3.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-or-later", "BSL-1.0", "Zlib", "0BSD", "MIT-0", "EPL-1.0",
+    "EPL-2.0", "EUPL-1.2", "MPL-1.1", "CDDL-1.0", "Artistic-2.0", "PSF-2.0", "PostgreSQL", "WTFPL", "NCSA", "OFL-1.1",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "MIT OR Apache-2.0", "Apache-2.0 OR MIT", "Apache-2.0 WITH LLVM-exception",
+    "GPL-2.0 WITH Linux-syscall-note", "GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0-or-later WITH Linux-syscall-note",
+)
+ALL_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    *RULES,
+    ("AGPL-3.0-or-later", ("agpl.free", "gpl.hope")),
+    ("AGPL-3.0-or-later", ("agpl.free",)),
+    ("LGPL-2.1-or-later", ("lgpl.free2", "lgpl.either21")),
+    ("BSL-1.0", ("bsl1.short",)),
+    *((spdx, (f"tag.{spdx}",)) for spdx in MORE_TAGGED),
+)
+#: Replaced before texts are cut, so that commented lines read like plain ones:
+#: words that begin comments, closing marks, lines without a letter or digit, "+".
+CLEANED = (
+    (r"(?mdi)^[ \t]*(?:rem|dnl)(?=[ \t\r]|$)", ""),
+    (r"(?md)[ \t]*(?:\*+/|--+>)[ \t\r]*$", ""),
+    (r"(?md)^[^\p{L}\p{N}\n]+$", ""),
+    (r"(?i)(GPL-[0-9]\.[0-9])\+", "$1-or-later"),
+)
+#: Ends inside an unknown sentence: a colon before a new line or a list, and either
+#: side of a copyright line.
+COLON = r"(:)(?:[ \t\r]*\n|[ \t]+(?=\(?[0-9A-Za-z]{1,2}[.)]))"
+COPYRIGHT = (
+    r"(?md)^([^\p{L}\p{N}\n(©]*(?:(?i:spdx-filecopyrighttext:|copyright[ \t]*(?:\(c\)|[©:0-9])|\(c\)[ \t]*[0-9])|©|Copyright[ \t]+[A-Z])[^\n]*)$"
+)
+#: A list's marker before a sentence.
+ITEM = r"^[^\p{L}\p{N}]*[0-9A-Za-z]{1,2}[.)][ \t]+"
+
 
 def normal(sentence: str) -> str:
     """Lower-case ASCII letters and digits, everything else one space."""
@@ -153,6 +197,17 @@ def known_sentences() -> dict[str, str]:
     return known
 
 
+def all_sentences() -> dict[str, str]:
+    """``known_sentences`` and those that only this operator has."""
+    known = known_sentences()
+    forms = MORE_SENTENCES | {f"tag.{s}": (f"SPDX-License-Identifier: {s}", f"License-Identifier: {s}") for s in MORE_TAGGED}
+    for name, sentences in forms.items():
+        for sentence in sentences:
+            if re.search(ENDS, sentence) or known.setdefault(normal(sentence), name) != name:
+                raise ValueError(f"not one sentence, or known by another name: {sentence}")
+    return known
+
+
 def _normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
@@ -160,20 +215,29 @@ def _normal(sentence: Column) -> Column:
 def sentence_ids(text: Column, known: Mapping[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order, as an array.
 
-    A sentence ends with a mark and white space, so it may run over lines; one
-    that isn't known as a whole is looked up line by line, which finds notices
-    beside lines without a full stop.
+    A sentence ends with a mark and white space or at a blank line, commented or
+    not, so it may run over lines. One that isn't known as a whole is cut at its
+    colons and copyright lines, and a part that isn't known either is looked up
+    line by line, which finds notices beside lines without a full stop.
     """
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
     def found(sentence: Column) -> Column:
         return F.try_element_at(table, _normal(sentence))
 
-    def of(sentence: Column) -> Column:
-        whole = found(sentence)
+    def part(sentence: Column) -> Column:
+        whole = F.coalesce(found(sentence), found(F.regexp_replace(sentence, ITEM, "")))
         lines = F.transform(F.split(sentence, "\n"), found)
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
 
+    def of(sentence: Column) -> Column:
+        whole = found(sentence)
+        marked = F.regexp_replace(F.regexp_replace(sentence, COPYRIGHT, f"{_MARK}$1{_MARK}"), COLON, f"$1{_MARK}")
+        parts = F.flatten(F.transform(F.split(marked, _MARK), part))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(parts)
+
+    for pattern, plain in CLEANED:
+        text = F.regexp_replace(text, pattern, plain)
     cut = F.split(F.regexp_replace(text, ENDS, f"$1{_MARK}"), _MARK)
     return F.filter(F.flatten(F.transform(cut, of)), lambda x: x.isNotNull())
 
@@ -202,7 +266,7 @@ def _without(rest: Column, sequence: Column) -> Column:
     return F.replace(once, sequence, F.lit("|"))
 
 
-def license_scan(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
+def license_scan(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = ALL_RULES) -> DataFrame:
     """Licences of every row of ``docs``, by built-in functions alone.
 
     Returns ``doc_id, licenses, n_sentences, sentences, unresolved``: licences in
@@ -212,7 +276,7 @@ def license_scan(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = R
     plain texts give empty strings and 0; repeated rows come back repeated, an
     empty table gives no rows, other columns are ignored. One narrow pass.
     """
-    known = known_sentences()
+    known = all_sentences()
     text = F.coalesce(quoted("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
     hinted = F.lower(text).rlike(hint_pattern(known))

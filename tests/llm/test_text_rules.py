@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -102,6 +103,32 @@ def test_licences(spark, text, licenses, unresolved):
     assert (row.licenses, row.unresolved) == (licenses, unresolved)
 
 
+GPL = SENTENCES["gpl.free"][0].replace("software: ", "software:\n")
+BSD = f"Copyright 2001 Some Body\n{SENTENCES['bsd.use'][0]}\n1. {SENTENCES['bsd.source'][0]}\n2. {SENTENCES['bsd.binary'][0]}"
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses"),
+    [
+        (MIT, "MIT"),
+        (MIT.replace("\n\n", "\n"), "MIT"),
+        (f"Copyright (C) 2001 Some Body\n{GPL}\n{SENTENCES['gpl.hope'][0]}", "GPL-3.0-or-later"),
+        (f"Copyright (c) 2001 Some Body\n\n{SENTENCES['isc.grant'][0]}", "ISC"),
+        (BSD, "BSD-2-Clause"),
+        (BSD.replace("\n1.", " 1.").replace("2.", "(b)"), "BSD-2-Clause"),
+        ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0"),
+        ("SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1-or-later"),
+    ],
+)
+def test_commented_headers(spark, text, licenses):
+    lines = [y for x in text.split("\n") for y in (textwrap.wrap(x, 60) or [""])]
+    forms = ["\n".join(lines)] + ["\n".join([*first, *(f"{mark} {x}".rstrip() for x in lines)]) + last for mark, first, last in (
+        (" *", ["/*"], "\n */\nint main;"), ("#", ["#!/bin/sh"], "\ncode"), ("//", [], "\ncode"), ("REM", [], ""), ("", ["<!--"], "-->\n<p>")
+    )]
+    rows = license_scan(spark.createDataFrame(list(enumerate(forms)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.licenses, r.unresolved) for r in rows} == {k: (licenses, "") for k in range(len(forms))}
+
+
 def test_every_known_sentence_has_a_hint(odd, none):
     known = known_sentences()
     assert all(re.search(hint_pattern(known), s) for s in known) and "" not in known
