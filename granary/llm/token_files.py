@@ -9,6 +9,7 @@ from an empty model, so blocks are coded, lost and read independently.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -32,6 +33,9 @@ LANES = 1024
 _MAGIC = b"GTB1"
 _HEAD = struct.Struct("<4sIIII")
 _MEMORY = 600_000
+#: U+001C to U+001F are white space to str.split, and symbols to the tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WORDS = re.compile("[\\S\x1c-\x1f]+")
 
 
 def pack_block(first: int, pieces: Sequence[tuple[int | None, int, bool]], coded: bytes, count: int) -> bytes:
@@ -62,7 +66,7 @@ class WordMemory:
 
     The tokenizer's words never cross white space (it is dropped, and neither
     normalisation nor lower-casing looks over it), so a text's ids are those of
-    its white-space chunks in order.
+    its white-space chunks in order. Strings of special tokens are plain text.
     """
 
     def __init__(self, path: str):
@@ -71,7 +75,7 @@ class WordMemory:
         self.memory: dict[str, np.ndarray] = {}
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
-        words = [text.split() for text in texts]
+        words = [_WORDS.findall(text) if _SEPARATORS.search(text) else text.split() for text in texts]
         fresh = list({w for ws in words for w in ws if w not in self.memory})
         if len(self.memory) + len(fresh) > _MEMORY:
             self.memory.clear()

@@ -87,6 +87,13 @@ def test_files_return_all_ids_in_order(table, request, tmp_path):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("space", [*map(chr, range(33)), "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\ufeff"])
+def test_words_end_where_the_tokenizer_ends_them(space):
+    rows = [(0, f"alpha{space}beta {space} gamma{space}"), (1, space)]
+    found = token_files.word_memory(token_files.TOKENIZER).ids([t for _, t in rows])
+    assert [list(x) for x in found] == library_ids("word_bpe_49k.json", rows)
+
+
 ALPHABET = "ab ▁\n\té日𝒳<s></s>  the\x00́ \r.,"
 
 
