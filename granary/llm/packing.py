@@ -23,6 +23,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Partial pieces packed together in one task. More fill windows no better.
 TASK_PIECES = 16384
 _TASK_BITS = 40
+#: Sequence ids of full windows start here, above those of all packing tasks.
+FULL = 1 << 62
 _PIECES = pa.schema(
     [
         ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -129,10 +131,10 @@ def pack_documents(
 ) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece.
 
-    Overlong documents are cut into full windows, each a sequence of its own; the
-    rests are packed by best fit decreasing. Texts are tokenised once; only the
-    piece rows are shuffled, dealt out evenly whatever their ids, to as many
-    tasks as there are times ``task_pieces`` rests. ``sequence_id`` is unique over
+    Overlong documents are cut into full windows, each a sequence of its own,
+    numbered where they lie; the rests are packed by best fit decreasing. Texts
+    are tokenised once; only the rests' rows are shuffled, dealt out evenly
+    whatever their ids, to as many tasks as there are times ``task_pieces`` rests. ``sequence_id`` is unique over
     all tasks, ``offset`` counts from 0 without gaps inside a sequence.
 
     A null or empty text is one piece that holds the end id alone. Rows with a
@@ -140,8 +142,8 @@ def pack_documents(
     rows; other columns are ignored.
     """
     pieces = stored(token_pieces(docs, window, ranks_path, end_id), "pieces")
-    rests = pieces.where(F.col("length") < window).count()
-    tasks = max(1, -(-rests // task_pieces))
+    rests = pieces.where(F.col("length") < window)
+    tasks = max(1, -(-rests.count() // task_pieces))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         first = TaskContext.get().partitionId() << _TASK_BITS
@@ -156,10 +158,14 @@ def pack_documents(
             yield (*rows.pop(), first + sequence, offset)
 
     order = [F.col("length").desc(), "doc_id", "start", "ids_crc32", "doc_tokens"]
-    return (
-        pieces.repartition(tasks)
+    packed = (
+        rests.repartition(tasks)
         .sortWithinPartitions(*order)
         .mapInArrow(
             lambda b: to_batches(pack(b), _PACKED), f"{_PIECES_DDL}, sequence_id bigint, offset bigint"
         )
     )
+    full = pieces.where(F.col("length") == window).select(
+        "*", (F.monotonically_increasing_id() + F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    )
+    return full.union(packed)

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from granary.llm import token_files
-from granary.llm.packing import CapacityTree, best_fit, pack_documents
+from granary.llm.packing import FULL, CapacityTree, best_fit, pack_documents
 from granary.llm.piece_codec import MODEL, PieceCodec, encoded, piece_digests
 from granary.llm.range_coder import decode_blocks, encode_blocks
 from .conftest import texts
@@ -178,3 +178,10 @@ def test_packing_holds_every_id_once(table, request):
         assert at <= 1024
     if table == "documents":
         assert sum(map(len, ids)) > 0.93 * 1024 * len(sequences)
+
+
+def test_full_windows_skip_the_packing_tasks(odd):
+    found = pack_documents(odd.repartition(5), window=64).collect()
+    full = [r.sequence_id for r in found if r.length == 64]
+    assert len(full) > 1000 and len(set(full)) == len(full) and min(full) >= FULL
+    assert all(r.sequence_id < FULL for r in found if r.length < 64)
