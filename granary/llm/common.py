@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -72,6 +72,19 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in part.columns))
 
 
+def in_runs(items: Iterable, size_of: Callable[[object], int], most: int) -> Iterator[list]:
+    """Runs of consecutive items, each closed when its sizes reach ``most``."""
+    kept, size = [], 0
+    for item in items:
+        kept.append(item)
+        size += size_of(item)
+        if size >= most:
+            yield kept
+            kept, size = [], 0
+    if kept:
+        yield kept
+
+
 def to_batches(
     rows: Iterable[tuple], schema: pa.Schema, most: int = 8192
 ) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,92 @@ FROM judged
 """
 
 
+_CONTAMINATION = r"""
+WITH item AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+), sized AS (
+    SELECT item_id, words, least(len(words), 10) AS size FROM item WHERE len(words) > 0
+), placed AS (
+    SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM sized
+), wanted AS (
+    SELECT DISTINCT item_id, size, list_slice(words, p, p + size - 1) AS win FROM placed
+), doc AS (
+    SELECT doc_id, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), spots AS (
+    SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS p
+    FROM doc, (SELECT DISTINCT size FROM wanted) WHERE len(words) >= size
+), met AS (
+    SELECT r, p, size, item_id
+    FROM (SELECT r, p, size, list_slice(words, p, p + size - 1) AS win FROM spots) JOIN wanted USING (size, win)
+), hit AS (
+    SELECT r, count(DISTINCT p + k) AS n
+    FROM (SELECT DISTINCT r, p, size FROM met), range(0, 10) t(k) WHERE k < size GROUP BY r
+), named AS (
+    SELECT r, count(*) AS n, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS digest
+    FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
+       coalesce(named.n, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+_AUDIT = r"""
+WITH marks AS (
+    SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+    FROM labels GROUP BY doc_id
+), doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+    FROM documents
+), judged AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           len(words) < 50 AS a,
+           100 * len(list_distinct(words)) < 65 * len(words) AS b,
+           100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) AS c,
+           regexp_matches(body, '[#$%&*|]') AS d, e
+    FROM doc LEFT JOIN marks USING (doc_id)
+), counted AS (
+    SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic,
+           concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END,
+                  CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails
+    FROM judged GROUP BY ALL
+), letter AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+    FROM letter p JOIN letter q ON q.x <> p.x JOIN letter r ON r.x NOT IN (p.x, q.x)
+    JOIN letter s ON s.x NOT IN (p.x, q.x, r.x) JOIN letter t ON t.x NOT IN (p.x, q.x, r.x, s.x)
+), steps AS (
+    SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders
+), sums AS (
+    SELECT part, filter_order, step, substr(filter_order, step, 1) AS x,
+           translate(fails, substr(filter_order, 1, step), '') = fails AS passes,
+           translate(fails, substr(filter_order, 1, step - 1), '') = fails AS reached, fails, n, n_good, n_toxic
+    FROM counted, steps
+), audit AS (
+    SELECT part, filter_order, step, x,
+           coalesce(sum(n) FILTER (passes), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (reached AND NOT passes), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (NOT reached AND contains(fails, x)), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (fails = x), 0)::BIGINT AS unique_fails,
+           coalesce(sum(n_good) FILTER (reached AND NOT passes), 0)::BIGINT AS good_lost,
+           coalesce(sum(n_toxic) FILTER (reached AND NOT passes), 0)::BIGINT AS toxic_lost
+    FROM sums GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM audit
+"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -101,4 +187,6 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": _QUALITY,
     "op4_exact_dedup": _EXACT,
     "op7_license_scan": _licenses(),
+    "op11_contamination": _CONTAMINATION,
+    "op12_filter_audit": _AUDIT,
 }
