@@ -6,7 +6,6 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from granary.llm.packing import RANKS, encoder
 from granary.llm.piece_codec import MODEL, PieceCodec
 
 #: Text aligned together; bounds a task's memory and the size of a group below.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: A long text is cut into lanes of about this many characters.
 LANE_CHARS = 2048
 #: A group with more token pairs is reduced to its distinct ids first.
@@ -84,14 +83,14 @@ class TokenizerPair:
         self.pair_bits = self.b_bits + max(1, (self.a.n_vocab - 1).bit_length())
         self.cells, self.widths = _digits(max(self.a.n_vocab, len(codec.raw)))
 
-    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a lane's text, unless their bytes aren't a space and the text."""
         spaced = " " + text
         a, b = self.a.encode_ordinary(spaced), self.b.encode(text, num_threads=1)
         whole = spaced.encode()
         if self.a.decode_bytes(a) != whole or b"".join(map(self.b_raw.__getitem__, b)) != whole:
             return None
-        return a, b
+        return np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,7 +115,7 @@ class Groups:
 
     def __init__(self, lane, a_from, a_to, b_from, b_to):
         self.lane, self.a_from, self.b_from = lane, a_from, b_from
-        self.a_size, self.b_size = a_to - a_from, b_to - b_from
+        self.a_size, self.b_size = (a_to - a_from).astype(np.int64), (b_to - b_from).astype(np.int64)
 
 
 def lockstep(
@@ -136,7 +135,7 @@ def lockstep(
     """
     cuts, links = [], []
     lane = np.flatnonzero(a_to > a_from)
-    state = np.stack([lane, a_from[lane], b_from[lane], a_from[lane], b_from[lane], a_to[lane]])
+    state = np.stack([lane, a_from[lane], b_from[lane], a_from[lane], b_from[lane], a_to[lane]]).astype(np.int32)
     while state.shape[1]:
         at_a, at_b = state[1], state[2]
         end_a, end_b = a_ends[at_a], b_ends[at_b]
@@ -164,7 +163,7 @@ def _links(closed: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np
     """Links of the groups that a step closes, all pairs of each group's tokens."""
     lane, a_to, b_to, a_at, b_at = closed[:5]
     a_size, b_size = a_to - a_at, b_to - b_at
-    pairs = a_size * b_size
+    pairs = a_size.astype(np.int64) * b_size
     if pairs.max() == 1:
         return lane, a_ids[a_at], b_ids[b_at], pairs
     large = np.flatnonzero(pairs > WIDE)
@@ -183,11 +182,6 @@ def _links(closed: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np
     return tuple(np.concatenate(part) for part in zip(*found)) if len(found) > 1 else found[0]
 
 
-def _ranges(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    to = np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64)
-    return to - np.asarray(sizes, dtype=np.int64), to
-
-
 class AlignedTexts:
     """Tokens, groups and links of a run of texts."""
 
@@ -214,12 +208,14 @@ class AlignedTexts:
         self.n_links = self._per_doc(self.group_doc, self.groups.a_size * self.groups.b_size)
 
     @staticmethod
-    def _flat(lists: list[list[int]], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        first, last = _ranges([len(ids) for ids in lists])
-        ids = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(last[-1]) if lists else 0)
+    def _flat(lists: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        lengths = np.array([len(ids) for ids in lists], dtype=np.int64)
+        last = np.cumsum(lengths)
+        first = last - lengths
+        ids = np.concatenate([np.zeros(0, dtype=np.int32), *lists])
         ends = np.cumsum(sizes[ids])
-        before = np.concatenate([[0], ends])[first] if lists else first
-        return ids, first, last, ends - np.repeat(before, last - first)
+        before = np.concatenate([[0], ends])[first]
+        return ids, first, last, (ends - np.repeat(before, lengths)).astype(np.int32)
 
     def _per_doc(self, doc: np.ndarray, amounts: np.ndarray) -> np.ndarray:
         """Whole-number sums by document; ``doc`` is ascending."""
@@ -231,7 +227,7 @@ class AlignedTexts:
         """``document, pair, times`` of each distinct id pair of each document, sorted."""
         doc, a, b, times = self.links
         bits = self.pair.pair_bits
-        key = doc << bits | a << self.pair.b_bits | b
+        key = doc << bits | a.astype(np.int64) << self.pair.b_bits | b
         keys, counts = np.unique(key[times == 1], return_counts=True)
         if len(keys) < len(key) and (more := times > 1).any():
             both = np.concatenate([keys, key[more]])
@@ -290,23 +286,29 @@ def aligned_tokens(
     return text_bytes(docs).mapInArrow(_aligned_rows(ranks_path, model_path, chunk_bytes), _ALIGNED_DDL)
 
 
+def _chunk_rows(chunk: int, docs: list[tuple], pair: TokenizerPair) -> Iterator[tuple]:
+    """A row of each document, then one with the chunk's distinct pairs."""
+    found = AlignedTexts([text for _, text in docs], pair)
+    doc, linked, times = found.distinct_links()
+    found.links = None
+    pairs, places, n_docs = np.unique(linked, return_inverse=True, return_counts=True)
+    places, times = places.astype("<i4"), times.astype("<i8")
+    edges = np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
+    counts = zip(*(x.tolist() for x in (found.n_a, found.n_b, found.n_groups, found.n_links)))
+    for (doc_id, _), n, text, at, end in zip(docs, counts, found.group_texts(), edges, edges[1:]):
+        digest = hashlib.sha256(text).hexdigest() if n[0] else ""
+        yield (chunk, doc_id, *n, digest, places[at:end].tobytes(), times[at:end].tobytes(), None, None)
+    if len(pairs):
+        yield (chunk, *(None,) * 8, pairs, n_docs)
+
+
 def _linked_rows(ranks_path: str, model_path: str, chunk_bytes: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         pair = tokenizer_pair(ranks_path, model_path)
         task = TaskContext.get().partitionId() << 32
         runs = in_runs(rows_of(batches), lambda row: len(row[1] or b"") + 8, chunk_bytes)
         for chunk, docs in enumerate(runs, task):
-            found = AlignedTexts([text for _, text in docs], pair)
-            doc, linked, times = found.distinct_links()
-            pairs, places, n_docs = np.unique(linked, return_inverse=True, return_counts=True)
-            places, times = places.astype("<i4"), times.astype("<i8")
-            edges = np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
-            counts = zip(*(x.tolist() for x in (found.n_a, found.n_b, found.n_groups, found.n_links)))
-            for (doc_id, _), n, text, at, end in zip(docs, counts, found.group_texts(), edges, edges[1:]):
-                digest = hashlib.sha256(text).hexdigest() if n[0] else ""
-                yield (chunk, doc_id, *n, digest, places[at:end].tobytes(), times[at:end].tobytes(), None, None)
-            if len(pairs):
-                yield (chunk, *(None,) * 8, pairs, n_docs)
+            yield from _chunk_rows(chunk, docs, pair)
 
     return lambda batches: to_batches(rows(batches), _LINKED, 512)
 
