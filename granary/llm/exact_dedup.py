@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,24 +17,23 @@ def _text() -> Column:
     return F.coalesce(quoted("text").cast("string"), F.lit(""))
 
 
-def _row_number() -> Column:
-    """Tells repeated rows apart; the same in every scan of a stored table."""
-    return F.monotonically_increasing_id()
+def _doc_id() -> Column:
+    return quoted("doc_id").cast("long")
 
 
-def duplicate_decisions(docs: DataFrame) -> DataFrame:
-    """``row, keep_row, keep_id, group_size`` of the rows with an equal in ``docs``.
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, n``: how many rows of each doc_id hold a text that others hold too.
 
     Rows are grouped by length in bytes, those with company by a hash of their
     first characters, and only what is left by the SHA-256 of the whole text;
     the first two steps move a few numbers per row, never texts. Groups are
-    counted in each task before the shuffle. The joins have unique rows on the
+    counted in each task before the shuffle, and the join has unique rows on the
     right, so a group that holds a third of all rows is split by adaptive
-    execution.
+    execution. Rows are known by their values alone, so no step depends on how
+    the table is split when it is read again.
     """
     rows = docs.select(
-        _row_number().alias("row"),
-        quoted("doc_id").cast("long").alias("doc_id"),
+        _doc_id().alias("doc_id"),
         F.octet_length(_text()).alias("size"),
         F.xxhash64(F.left(_text(), F.lit(PREFIX_CHARS))).alias("start"),
         _text().alias("body"),
@@ -39,20 +41,18 @@ def duplicate_decisions(docs: DataFrame) -> DataFrame:
     heads = stored(rows.groupBy("size", "start").agg(F.count("*").alias("n")), "heads")
     sizes = heads.groupBy("size").agg(F.sum("n").alias("m")).where("m > 1").select("size")
     alike = stored(heads.where("n > 1").join(sizes, "size", "left_semi").drop("n"), "alike")
-    full = stored(
-        rows.join(alike, ["size", "start"], "left_semi").select(
-            "row", "doc_id", F.sha2("body", 256).alias("digest")
-        ),
-        "digests",
-    )
-    best = F.max(F.struct(F.col("doc_id"), F.col("row")))
-    groups = stored(
-        full.groupBy("digest").agg(best.alias("keep"), F.count("*").alias("group_size"))
+    full = rows.join(alike, ["size", "start"], "left_semi").select("doc_id", F.sha2("body", 256).alias("digest"))
+    return stored(full.groupBy("digest", "doc_id").agg(F.count("*").alias("n")), "digests")
+
+
+def _groups(repeated: DataFrame) -> DataFrame:
+    """One row per text with company: the doc_id that stays and how many rows have it."""
+    best = F.max(F.struct(F.col("doc_id"), F.col("n")))
+    return (
+        repeated.groupBy("digest").agg(best.alias("keep"), F.sum("n").alias("group_size"))
         .where("group_size > 1")
-        .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"),
-        "groups",
+        .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.n").alias("n_keep"), "group_size")
     )
-    return full.join(groups, "digest").select("row", "keep_row", "keep_id", "group_size")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -60,35 +60,66 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after no change; a null text counts as empty.
     Of equal texts the row with the largest doc_id stays (a null doc_id only if
-    there is no other; of rows repeated with that id, the last read), so exactly
-    one row of each group is kept. ``docs`` must be a table read, whose rows come
-    in the same order each time. An empty table gives no rows; other columns are
-    ignored.
+    there is no other; of rows repeated with that id, one), so exactly one row
+    of each group is kept. An empty table gives no rows; other columns are
+    ignored. Repeated rows are told apart by numbers that are written once.
     """
-    found = stored(duplicate_decisions(docs), "decisions")
-    rows = docs.select(
-        _row_number().alias("row"),
-        quoted("doc_id").cast("long").alias("doc_id"),
-        F.sha2(_text(), 256).alias("text_sha256"),
+    rows = stored(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            _doc_id().alias("doc_id"),
+            F.sha2(_text(), 256).alias("digest"),
+        ),
+        "rows",
+    )
+    groups = stored(_groups(repeated_texts(docs)), "groups")
+    several = groups.where("n_keep > 1").select("digest", F.col("keep_id").alias("doc_id"))
+    one = (
+        rows.join(several, (rows.digest == several.digest) & rows.doc_id.eqNullSafe(several.doc_id), "left_semi")
+        .groupBy("digest").agg(F.max("row").alias("keep_row"))
     )
+    found = rows.join(groups.join(one, "digest", "left"), "digest", "left")
     alone = F.col("group_size").isNull()
-    return rows.join(found, "row", "left").select(
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True))
+    return found.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        "text_sha256",
+        (alone | stays).alias("kept"),
+        F.col("digest").alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, one row of each group of equal texts."""
-    dropped = stored(
-        duplicate_decisions(docs).where("row <> keep_row").select("row"), "dropped"
+    """``docs`` with all its columns, one row of each group of equal texts.
+
+    The cases of ``exact_duplicates`` hold. Rows go by their values, so nothing
+    depends on the order or the splits in which ``docs`` is read: by doc_id
+    alone where one row has it, else by doc_id and digest. Of rows repeated
+    with the id that stays, one is taken by an aggregate.
+    """
+    repeated = repeated_texts(docs)
+    groups = stored(_groups(repeated), "groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    judged = stored(
+        repeated.join(groups, "digest").where(~stays | (F.col("n_keep") > 1)).select("doc_id", "digest", stays.alias("stays")),
+        "judged",
     )
-    name = free_name(docs, "_row")
-    return (
-        docs.withColumn(name, _row_number())
-        .join(dropped.withColumnRenamed("row", name), name, "left_anti")
-        .drop(name)
+    shared = stored(
+        docs.groupBy(_doc_id().alias("doc_id")).agg(F.count("*").alias("n"))
+        .where("n > 1 OR doc_id IS NULL").select("doc_id"),
+        "shared",
     )
+    doc_id, digest, gone = (free_name(docs, name) for name in ("_doc_id", "_digest", "_gone"))
+
+    def joined(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        named = which.select(*(F.col(c).alias(f"{gone}{k}") for k, c in enumerate(which.columns)))
+        keys = zip((doc_id, digest), named.columns)
+        return rows.join(named, reduce(and_, (quoted(a).eqNullSafe(quoted(b)) for a, b in keys)), how)
+
+    rows = docs.withColumn(doc_id, _doc_id())
+    by_id = joined(rows, judged.select("doc_id").unionAll(shared).distinct(), "left_anti")
+    by_text = joined(rows, shared, "left_semi").withColumn(digest, F.sha2(_text(), 256))
+    one = joined(by_text, judged.where("stays").drop("stays"), "left_semi").dropDuplicates([doc_id, digest])
+    several = joined(by_text, judged.drop("stays"), "left_anti").unionAll(one).drop(digest)
+    return by_id.unionAll(several).drop(doc_id)

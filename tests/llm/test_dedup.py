@@ -115,3 +115,38 @@ def test_exact_duplicates_equal_brute_force(table, request):
     left = drop_exact_duplicates(df)
     assert left.columns == df.columns
     assert Counter(t or "" for _, t in texts(left)) == Counter(dict.fromkeys(size, 1))
+
+
+def test_decisions_hold_when_the_table_is_split_anew(spark, tmp_path):
+    """Executors come and go: each step may read the same table in other splits."""
+    path = str(tmp_path / "documents.parquet")
+    rows = [(k % 400, f"text {k % 150}", f"x{k}") for k in range(900)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, note string").repartition(7).write.parquet(path)
+    setting = "spark.sql.leafNodeDefaultParallelism"
+    results = []
+    try:
+        for first, second in ((1, 8), (8, 2), (3, 3)):
+            spark.conf.set(setting, first)
+            left, found = (f(spark.read.parquet(path)) for f in (drop_exact_duplicates, exact_duplicates))
+            spark.conf.set(setting, second)
+            assert Counter(r.text for r in left.collect()) == Counter({f"text {k}": 1 for k in range(150)})
+            results.append((
+                sorted((r.doc_id, r.text) for r in left.collect()),
+                sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found.collect()),
+            ))
+    finally:
+        spark.conf.unset(setting)
+    assert results[0] == results[1] == results[2]
+    assert sum(row[3] for row in results[0][1]) == 150
+
+
+def test_one_of_a_hot_repeated_row_stays(spark):
+    rows = [(5, "hot", k) for k in range(500)] + [(4, "hot", 1), (None, "none", 1), (None, "none", 2), (6, "alone", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `n.x` int").repartition(6)
+    left = drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "none"), (5, "hot"), (6, "alone")]
+    found = exact_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == Counter(
+        {(5, 5, 501, True): 1, (5, 5, 501, False): 499, (4, 5, 501, False): 1, (None, None, 2, True): 1, (None, None, 2, False): 1, (6, 6, 1, True): 1}
+    )
