@@ -77,6 +77,11 @@ def scenario_comparison(
     return rows.withColumn("projected_warehousing_cost", cost).select(*COMPARISON_COLUMNS)
 
 
+KPI_KEYS = (
+    "scenario_id", "scenario_code", "scenario_name", "scenario_type", "is_official_baseline"
+)
+
+
 def scenario_kpis(
     t: PlanningTables, cost_grain: str = "zone", as_of: Column | None = None
 ) -> DataFrame:
@@ -86,13 +91,6 @@ def scenario_kpis(
     summed inside the line, so that no line repeats per rate.
     """
     default = dec(DEFAULT_STORAGE_RATE)
-    keys = (
-        "scenario_id",
-        "scenario_code",
-        "scenario_name",
-        "scenario_type",
-        "is_official_baseline",
-    )
     rates = (
         cost_profile(t.logistics_cost_fact, (_RATE,), cost_grain)
         .withColumn(_RATE, F.coalesce(F.col(_RATE), default))
@@ -115,7 +113,7 @@ def scenario_kpis(
         dimension_lines(t)
         .join(rates, "site_id", "left")
         .withColumns({"copies": F.coalesce(F.col("copies"), F.lit(1)), "_stored": stored})
-        .groupBy(*keys)
+        .groupBy(*KPI_KEYS)
         .agg(
             F.countDistinct("product_id").alias("product_count"),
             F.countDistinct("site_id").alias("site_count"),
@@ -125,9 +123,14 @@ def scenario_kpis(
             F.sum("_stored").alias("total_warehousing_cost"),
         )
     )
+    return kpi_columns(sums, as_of)
+
+
+def kpi_columns(sums: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The KPI table's columns from the counts and sums of each scenario."""
     margin = F.col("total_forecasted_revenue") - F.col("total_forecasted_cost")
     return sums.select(
-        *keys,
+        *KPI_KEYS,
         "product_count",
         "site_count",
         "total_forecast_quantity",

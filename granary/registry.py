@@ -29,6 +29,7 @@ from granary.sources import raw_csv
 from granary.sources.atomic import to_atomic, transform_raw_to_atomic
 from granary.sources.driver_tables import as_of, driver_tables, read_driver_table
 from granary.sources.tables import PlanningTables, read_tables, write_tables
+from granary.streaming import kpi_deltas
 from granary.streaming.kpis import kpi_stream, read_kpis, refresh_all_kpis
 from granary.streaming.search_index import compact_index, index_stream, search_stored
 from granary.streaming.versions import read_versions, version_history, version_stream
@@ -790,6 +791,55 @@ def stream_kpis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(read_kpis(spark, root))
 
 
+def _base_changes(t: PlanningTables) -> list[DataFrame]:
+    """All rows but some forecasts, then inserts, updates and deletes of every base table."""
+    forecasts, costs = t.demand_forecast_versions, t.logistics_cost_fact
+    late, dropped = F.col("demand_forecast_id") % 10 == 3, F.col("demand_forecast_id") % 11 == 5
+    dearer = t.product.where("product_id % 7 = 0")
+    withdrawn = t.product.where("product_id % 13 = 4")
+    raised = costs.where("site_id % 4 = 1")
+    rate = "storage_cost_per_pallet_per_day"
+    cautious = t.scenario_definition.where("scenario_id = 3")
+    return [
+        kpi_deltas.all_rows(t.with_(demand_forecast_versions=forecasts.where(~late))),
+        kpi_deltas.signed_rows("demand_forecast_versions", forecasts.where(late)).unionAll(
+            kpi_deltas.changed_rows(
+                "product", dearer, dearer.withColumn("unit_cost", F.col("unit_cost") + dec("1.25"))
+            )
+        ),
+        kpi_deltas.changed_rows(
+            "logistics_cost_fact", raised, raised.withColumn(rate, F.col(rate) + 1)
+        ).unionAll(kpi_deltas.signed_rows("demand_forecast_versions", forecasts.where(dropped), -1)),
+        kpi_deltas.signed_rows("site", t.site.where("site_id % 8 = 6"), -1)
+        .unionAll(
+            kpi_deltas.signed_rows("product", withdrawn.where("product_id % 7 <> 0"), -1)
+        )
+        .unionAll(
+            kpi_deltas.changed_rows(
+                "scenario_definition", cautious,
+                cautious.withColumn("scenario_name", F.lit("Cautious Estimate")),
+            )
+        ),
+    ]
+
+
+@query
+def stream_kpis_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KPI table that follows inserts, updates and deletes of every base table."""
+    root = scratch_path(spark, "kpi-changes")
+    for changes in _base_changes(driver_tables(spark, sf_dir)):
+        changes.coalesce(1).write.mode("append").parquet(f"{root}/incoming")
+    stream = (
+        spark.readStream.schema(spark.read.parquet(f"{root}/incoming").schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{root}/incoming")
+    )
+    kpi_deltas.change_stream(
+        stream, root, f"{root}/checkpoint", {"availableNow": True}
+    ).awaitTermination()
+    return present(kpi_deltas.read_followed_kpis(spark, root, as_of()))
+
+
 @query
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search over an index built from a stream of documents."""

@@ -1351,6 +1351,25 @@ ORACLES["stream_kpis"] = sql(
     forecast="SELECT * FROM event_line WHERE is_current_version",
     kpis=KPIS.format(rates="cost"),
 )
+ORACLES["stream_kpis_base"] = sql(
+    KPI_COLUMNS,
+    forecast="""
+        SELECT *, CAST(forecast_quantity * unit_revenue AS DECIMAL(18,2)) AS total_revenue
+        FROM versions WHERE is_current_version AND demand_forecast_id % 11 <> 5""",
+    product=f"""
+        SELECT * REPLACE (CAST(CASE WHEN product_id % 7 = 0 THEN unit_cost + 1.25 ELSE unit_cost END
+                               AS DECIMAL(18,4)) AS unit_cost)
+        FROM ({BASE["product"]}) WHERE product_id % 13 <> 4 OR product_id % 7 = 0""",
+    site=f"SELECT * FROM ({BASE['site']}) WHERE site_id % 8 <> 6",
+    scenario=f"""
+        SELECT * REPLACE (CASE WHEN scenario_id = 3 THEN 'Cautious Estimate' ELSE scenario_name END
+                          AS scenario_name)
+        FROM ({BASE["scenario"]})""",
+    raised="""
+        SELECT * REPLACE (CAST(CASE WHEN site_id % 4 = 1 THEN storage_rate + 1 ELSE storage_rate END
+                               AS DECIMAL(18,4)) AS storage_rate) FROM cost""",
+    kpis=KPIS.format(rates="raised"),
+)
 ORACLES["stream_kpis_all"] = sql(
     KPI_COLUMNS,
     event_line=EVENT_LINES,
