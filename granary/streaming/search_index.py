@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from granary.operators.durable import written
 from granary.plans.documents import chunk_documents
-from granary.plans.search import MAX_RESULTS, index_chunks, search_index, top_k
+from granary.plans.search import MAX_RESULTS, best_chunks, index_chunks
 from granary.streaming.versions import start
 
 TARGET_LAG = {"processingTime": "1 minute"}
@@ -167,6 +167,6 @@ def search_stored(
     corpus = read_index(spark, root)
     for name, value in (filters or {}).items():
         corpus = corpus.where(F.col("attributes")[name] == value)
-    ranked = written(top_k(search_index(corpus, queries), k), "ranked")
+    ranked = written(best_chunks(corpus, queries, k), "ranked")
     shown = corpus.select("chunk_id", "document_id", "chunk_text", "attributes")
     return shown.join(ranked, "chunk_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 import pytest
@@ -268,6 +269,40 @@ def test_search_equals_brute_force(spark):
     assert {r["chunk_id"] for r in only} == {2}
 
 
+def test_pruned_search_gives_the_best_of_all_scores(spark):
+    rng = random.Random(5)
+    pool = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(4000)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([0, 3, 40, 200]))) for _ in range(400)]
+    texts += texts[:40] + ["w1 w2 w1", "w1 w1 w2"] * 8  # ties
+    index = searching.written(
+        searching.index_chunks(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, chunk_text string")), "index"
+    )
+    asked = [" ".join(rng.choice(pool) for _ in range(n)) for n in (1, 2, 5, 30, 60)]
+    asked += [texts[7], texts[50], "w1 w2", "nothing of it", "", None, "w299 w298"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query_text string")
+    for k in (1, 5, 17):
+        found = searching.best_chunks(index, queries, k).select("query_id", "chunk_id", "score", "rank")
+        wanted = searching.top_k(searching.search_index(index, queries), k).select(*found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_few_pairs_reach_the_floor(spark):
+    rng = random.Random(6)
+    pool = [f"w{int(rng.paretovariate(0.9)) % 2000}" for _ in range(20000)]
+    texts = [" ".join(rng.choice(pool) for _ in range(120)) for _ in range(500)]
+    index = searching.written(
+        searching.index_chunks(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, chunk_text string")), "index"
+    )
+    queries = spark.createDataFrame([(k, texts[k][:200]) for k in range(20)], "query_id int, query_text string")
+    wanted = searching.query_terms(queries)
+    lists = searching.impacts(index, wanted.select("term").distinct())
+    bounds = searching.term_bounds(index, lists, wanted)
+    floors = searching.score_floors(lists, bounds, 5)
+    met = lists.join(bounds, "term").select("query_id", "chunk_id").distinct().count()
+    assert floors.count() == 20
+    assert searching.reachable(lists, bounds, floors).count() < met / 10
+
+
 # Streams ---------------------------------------------------------------------
 
 
