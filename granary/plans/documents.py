@@ -115,8 +115,8 @@ def chunk_documents(
 
 
 def number_chunks(chunks: DataFrame, start: Column | int = 0) -> DataFrame:
-    """Dense chunk ids in document order."""
-    return dense_ids(chunks, ("document_id", "chunk_index"), "chunk_id", start)
+    """Dense chunk ids in document order; no text is stored for it."""
+    return dense_ids(chunks, ("document_id", "chunk_index"), "chunk_id", start, "keys")
 
 
 def search_results(chunks: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -229,8 +229,25 @@ def test_dense_ids_with_a_hot_key(spark):
     assert [r["key"] for r in numbered] == list(range(101, 20_101))
 
 
+def test_dense_ids_store_keys_alone_and_come_again(spark):
+    df = spark.range(3000).selectExpr(
+        "id % 700 AS a", "IF(id % 5 = 0, NULL, id % 3) AS b", "id AS line", "repeat('wide', 50) AS text"
+    ).repartition(7)
+    numbered = dense_ids(df, ("a", "b"), "key", 10, "keys")
+    rows = [(r.key, r.a, r.b, r.line) for r in numbered.select("key", "a", "b", "line").collect()]
+    assert sorted(k for k, *_ in rows) == list(range(11, 3011))
+    order = [(a, b is not None, b or 0) for _, a, b, _ in sorted(rows)]
+    assert order == sorted(order)
+    # Any task may run again: a part of the result has the numbers of the whole.
+    part = numbered.where("a = 123").select("key", "a", "b", "line").collect()
+    assert {tuple(r) for r in part} == {r for r in rows if r[1] == 123}
+    kept = [line for line in numbered._jdf.queryExecution().analyzed().toString().splitlines() if "LogicalRDD" in line]
+    assert kept and not any("text" in line for line in kept)
+
+
 def test_dense_ids_of_nothing(spark):
-    assert dense_ids(spark.range(0), ("id",), "key").count() == 0
+    for store in ("rows", "keys"):
+        assert dense_ids(spark.range(0), ("id",), "key", 0, store).count() == 0
     empty = spark.range(0)
     assert spark.range(1).select(next_id(empty, "id")).first()[0] == 0
 
