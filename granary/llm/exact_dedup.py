@@ -118,7 +118,9 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
         return rows.join(named, reduce(and_, (quoted(a).eqNullSafe(quoted(b)) for a, b in keys)), how)
 
     rows = docs.withColumn(doc_id, _doc_id())
-    by_id = joined(rows, judged.select("doc_id").unionAll(shared).distinct(), "left_anti")
+    # Written, so that Spark plans with the ids' measured size.
+    ids = stored(judged.select("doc_id").unionAll(shared).distinct(), "ids")
+    by_id = joined(rows, ids, "left_anti")
     by_text = joined(rows, shared, "left_semi").withColumn(digest, F.sha2(_text(), 256))
     one = joined(by_text, judged.where("stays").drop("stays"), "left_semi").dropDuplicates([doc_id, digest])
     several = joined(by_text, judged.drop("stays"), "left_anti").unionAll(one).drop(digest)
