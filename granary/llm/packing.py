@@ -20,6 +20,8 @@ from granary.llm.common import ready_workers, rows_of, stored, text_bytes, to_ba
 WINDOW = 1024
 END_ID = 0
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# Fixed value: the special token of that vocabulary.
+SPECIAL = (("<|endoftext|>", 50256),)
 #: Partial pieces packed together in one task. More fill windows no better.
 TASK_PIECES = 16384
 _TASK_BITS = 40
@@ -36,16 +38,16 @@ _PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(ranks_path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file; strings of special tokens are plain text.
+def encoder(ranks_path: str, special: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+    """The byte-level BPE of a rank file, several times faster than tokenizers.
 
-    Gives the ids that the tokenizers library gives for the same vocabulary with
-    ``encode_special_tokens`` on, several times faster.
+    Gives that library's ids for the same vocabulary: those of its default where
+    the special tokens are named, else those with ``encode_special_tokens`` on.
     """
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special)
     )
 
 
@@ -102,18 +104,22 @@ def best_fit(lengths: Iterable[int], window: int) -> Iterator[tuple[int, int]]:
         yield sequence, window - capacity
 
 
-def token_pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str = RANKS, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str = RANKS, end_id: int = END_ID,
+                 special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """Each document's ids and the end id, cut into full windows and one rest.
 
     Rows are ``doc_id, start, length, ids_crc32, doc_tokens``; the ids themselves
-    stay in the task that made them.
+    stay in the task that made them. A string of a special token is its id. A null
+    or empty text has the end id alone, a long one as many pieces as it needs;
+    repeated rows are cut again, an empty table gives no rows, other columns are
+    ignored.
     """
     ready_workers(docs.sparkSession)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        encode = encoder(ranks_path).encode_to_numpy
+        encode = encoder(ranks_path, special).encode_to_numpy
         for doc_id, data in rows_of(batches):
-            ids = encode((data or b"").decode("utf-8", "replace"), disallowed_special=())
+            ids = encode((data or b"").decode("utf-8", "replace"), allowed_special="all")
             ids = np.append(ids, end_id).astype("<u4")
             for start in range(0, len(ids), window):
                 part = ids[start : start + window]

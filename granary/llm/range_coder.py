@@ -130,7 +130,7 @@ class Mixer:
 
 
 def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
-    """The alphabet and coded 32-bit words of each block of 1 to 8192 ids below 65536."""
+    """The alphabet and coded 32-bit words of each block of 1 to 8192 ids of 32 bits."""
     lengths = np.array([len(b) for b in blocks])
     lanes, steps = len(blocks), int(lengths.max(initial=0))
     if steps > MOST_IDS:
@@ -139,7 +139,7 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
     heads = []
     for k, block in enumerate(blocks):
         alphabet, ids[: len(block), k] = np.unique(block, return_inverse=True)
-        packed = zlib.compress(np.diff(alphabet, prepend=0).astype("<u2").tobytes(), 1)
+        packed = zlib.compress(np.diff(alphabet.astype(np.int64), prepend=0).astype("<u4").tobytes(), 1)
         heads.append(_HEAD.pack(len(packed)) + packed)
     mixer = Mixer(lanes)
     low = np.zeros(lanes, dtype=np.uint64)
@@ -183,7 +183,7 @@ def decode_blocks(coded: Sequence[bytes], lengths: Sequence[int]) -> list[np.nda
     alphabets = []
     for k, data in enumerate(coded):
         end = _HEAD.size + _HEAD.unpack_from(data)[0]
-        alphabets.append(np.cumsum(np.frombuffer(zlib.decompress(data[_HEAD.size : end]), dtype="<u2"), dtype=np.uint32))
+        alphabets.append(np.cumsum(np.frombuffer(zlib.decompress(data[_HEAD.size : end]), dtype="<u4"), dtype=np.uint32))
         words[k, : (len(data) - end) // 4] = np.frombuffer(data, dtype="<u4", offset=end)
     mixer = Mixer(lanes)
     span = np.full(lanes, np.iinfo(np.uint64).max, dtype=np.uint64)

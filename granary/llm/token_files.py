@@ -30,7 +30,7 @@ END_ID = 1
 BLOCK = MOST_IDS
 #: Blocks coded side by side, one per numpy lane.
 LANES = 1024
-_MAGIC = b"GTB1"
+_MAGIC = b"GTB2"
 _HEAD = struct.Struct("<4sIIII")
 _MEMORY = 600_000
 #: U+001C to U+001F are white space to str.split, and symbols to the tokenizer.
@@ -66,12 +66,12 @@ class WordMemory:
 
     The tokenizer's words never cross white space (it is dropped, and neither
     normalisation nor lower-casing looks over it), so a text's ids are those of
-    its white-space chunks in order. Strings of special tokens are plain text.
+    its white-space chunks in order. A string of a special token, which has no
+    white space, is that token's id, as the library has it by default.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memory: dict[str, np.ndarray] = {}
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:

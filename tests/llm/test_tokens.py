@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from granary.llm import token_files
-from granary.llm.packing import FULL, CapacityTree, best_fit, pack_documents
+from granary.llm.packing import FULL, RANKS, SPECIAL, CapacityTree, best_fit, encoder, pack_documents
 from granary.llm.piece_codec import MODEL, PieceCodec, encoded, piece_digests
 from granary.llm.range_coder import decode_blocks, encode_blocks
 from .conftest import texts
@@ -27,7 +27,6 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 def library_ids(name, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
 
 
@@ -35,6 +34,24 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+SPECIALS = ["<|endoftext|>", "<|startoftext|>", " ", "a", "B ", "<|", "|>", "<|endoftext", "\n", "\x1c", "é"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(SPECIALS), max_size=12))
+def test_special_strings_are_the_ids_of_the_library(parts):
+    text = "".join(parts)
+    words = token_files.word_memory(token_files.TOKENIZER).ids([text])
+    assert [list(x) for x in words] == library_ids("word_bpe_49k.json", [(0, text)])
+    found = encoder(RANKS, SPECIAL).encode(text, allowed_special="all")
+    assert [found] == library_ids("byte_bpe_50k.json", [(0, text)])
+
+
+def test_coder_takes_ids_of_32_bits():
+    ids = np.array([0, 70000, 5, 2**32 - 1, 70000], dtype="<u4")
+    assert list(decode_blocks(encode_blocks([ids]), [5])[0]) == list(ids)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 49407), min_size=1, max_size=300), min_size=1, max_size=6))
 def test_coder_round_trip(blocks):
