@@ -18,7 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 HIDDEN = frozenset(
     "head title script style noscript template iframe noembed noframes object svg math canvas audio video map "
-    "form input button select textarea label fieldset option datalist dialog nav aside footer menu".split()
+    "input button select textarea label fieldset option datalist dialog nav aside footer menu".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -47,8 +47,20 @@ NOISE = frozenset(
     "complementary contentinfo search login".split()
 )
 KEEP = frozenset("article content main post entry story body text".split())
-#: First words of names that tell of the layout, as in "has-sidebar".
+#: First words of names that tell of the layout, as in "has-sidebar", and last ones
+#: that tell of its state, as in "comments-open".
 LAYOUT = frozenset("has with no without".split())
+STATES = frozenset("open opened closed enabled disabled on off".split())
+#: Noise only outside an article, and never on a heading or beside an article word.
+HEADERS = frozenset("header masthead".split())
+HEADED = frozenset("article entry post story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose own rules hold inside: a slash closes a tag, a title is no page title.
+FOREIGN = frozenset("svg math".split())
+#: Open elements at most; a deeper one takes the innermost one's place.
+DEPTH = 256
+#: A form with at least this share of a page's characters is around the page.
+FORM_SHARE = 0.75
 
 #: Blocks that are parts of an article wherever they stand beside its text.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup blockquote figure figcaption p pre dl ul ol table".split())
@@ -57,9 +69,8 @@ PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup blockquote figure figcaption p pre d
 # is taken in if so much of it is article text.
 PART_CHARS, PART, PAGE_PART, PART_SHARE = 80, 0.05, 0.25, 0.66
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_MARK = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_STEP = re.compile(r"""=\s*["']|>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -75,6 +86,9 @@ class Element:
     link: bool = False
     #: Named by a noise word and an article word: no part of a container around it.
     mixed: bool = False
+    #: The outermost form around it, and whether it is in or is svg or math.
+    form: Element | None = None
+    foreign: bool = False
 
 
 @dataclass
@@ -104,32 +118,40 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 def _noisy(tag: str, attributes: dict[str, str], parent: Element | None) -> bool:
     if tag in HIDDEN:
         return True
-    if tag == "header" and not _inside(parent, SEMANTIC):
+    names, noise, comments, headed = _names(tag, attributes, parent)
+    if tag == "header" and not headed and not _inside(parent, SEMANTIC):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    names, noise = _names(attributes)
-    if {"comment", "comments"} & names:
-        return True
-    return noise and tag not in ("body", "html") and not _mixed(tag, attributes)
+    if tag in ("body", "html"):
+        return False
+    return comments or noise and not _mixed(tag, attributes, parent)
 
 
-def _mixed(tag: str, attributes: dict[str, str]) -> bool:
-    names, noise = _names(attributes)
+def _mixed(tag: str, attributes: dict[str, str], parent: Element | None) -> bool:
+    names, noise, _, _ = _names(tag, attributes, parent)
     return noise and tag in BLOCKS and tag not in ("body", "html") and (tag in SEMANTIC or bool(names & KEEP))
 
 
-def _names(attributes: dict[str, str]) -> tuple[set[str], bool]:
-    """Words of an element's names, and whether a name has one of noise."""
-    names, noise = set(), False
+def _names(tag: str, attributes: dict[str, str], parent: Element | None) -> tuple[set[str], bool, bool, bool]:
+    """Words of an element's names; whether a name has one of noise, one of reader
+    comments, and an article word beside a header word, as "entry-header" has."""
+    names, noise, comments, headed = set(), False, False, False
     for key in ("class", "id", "role"):
         for name in attributes.get(key, "").split():
-            words = _WORDS.findall(name)
-            names.update(words)
-            noise |= words[:1] != [] and words[0] not in LAYOUT and not NOISE.isdisjoint(words)
-    return names, noise
+            words = set(found := _WORDS.findall(name))
+            names |= words
+            if not found or found[0] in LAYOUT or len(found) > 1 and found[-1] in STATES:
+                continue
+            title = bool(words & HEADERS and words & HEADED)
+            headed |= title
+            if title or words & HEADERS and (tag in HEADINGS or _inside(parent, SEMANTIC)):
+                words -= HEADERS
+            noise |= not NOISE.isdisjoint(words)
+            comments |= not words.isdisjoint(("comment", "comments"))
+    return names, noise, comments, headed
 
 
 def _inside(element: Element | None, tags: frozenset[str]) -> bool:
@@ -140,6 +162,53 @@ def _inside(element: Element | None, tags: frozenset[str]) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page one after the other, in time linear in its length.
+
+    Quotes count behind an equals sign only. A quote that nothing closes ends with
+    its tag; once quotes have hidden the end of all tags that follow, they no
+    longer count. What follows the opening of a tag without an end is no text.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.missing: set[str] = set()
+        self.quotes = True
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name and attributes of the next tag; the
+        name is empty for comments and declarations, None means no further tag."""
+        found = _MARK.search(self.source, at)
+        if not found:
+            return None
+        if not found[2]:
+            mark = "-->" if found[0] == "<!--" else ">"
+            end = self.source.find(mark, found.end())
+            return found.start(), end + len(mark) if end >= 0 else len(self.source), False, "", ""
+        end = self._end(found.end())
+        if end < 0:
+            return found.start(), len(self.source), False, "", ""
+        return found.start(), end + 1, bool(found[1]), found[2].lower(), self.source[found.end() : end]
+
+    def _end(self, begin: int) -> int:
+        at = begin
+        while self.quotes:
+            step = _TAG_STEP.search(self.source, at)
+            if not step:
+                self.quotes = False
+                break
+            if step[0] == ">":
+                return step.start()
+            mark = step[0][-1]
+            close = -1 if mark in self.missing else self.source.find(mark, step.end())
+            if close < 0:
+                self.missing.add(mark)
+                at = step.end()
+            else:
+                at = close + 1
+        return self.source.find(">", begin)
+
+
 def parse(source: str) -> Page:
     """Blocks of visible text of a page, however badly its tags are closed."""
     root = Element(ROOT, ROOT, False, None)
@@ -147,6 +216,8 @@ def parse(source: str) -> Page:
     stack = [root]
     text: list[str] = []
     linked = 0
+    tags = Tags(source)
+    paths: dict[str, str] = {}
 
     def add(part: str) -> None:
         nonlocal linked
@@ -175,18 +246,18 @@ def parse(source: str) -> Page:
 
     at = 0
     while at < len(source):
-        found = _TOKEN.search(source, at)
-        if not found:
+        found = tags.after(at)
+        if found is None:
             if not stack[-1].hidden or stack[-1].tag == "head":
                 add(source[at:])
             break
-        if stack[-1].tag == "head" and source[at : found.start()].strip():
+        start, end, closing, tag, raw = found
+        if stack[-1].tag == "head" and source[at:start].strip():
             stack.pop()
         hidden = stack[-1].hidden
-        if not hidden and found.start() > at:
-            add(source[at : found.start()])
-        at = found.end()
-        closing, tag = found[1], (found[2] or "").lower()
+        if not hidden and start > at:
+            add(source[at:start])
+        at = end
         if not tag:
             continue
         if closing:
@@ -206,7 +277,7 @@ def parse(source: str) -> Page:
             if not hidden:
                 text.append(" " if tag == "br" else "")
             continue
-        attributes = _attributes(found[3])
+        attributes = _attributes(raw)
         if tag in BLOCKS and not hidden:
             flush()
         if tag in CLOSES_P:
@@ -216,18 +287,37 @@ def parse(source: str) -> Page:
         hidden = stack[-1].hidden
         if tag in VOID:
             continue
+        if len(stack) > DEPTH:
+            if stack[-1].tag in BLOCKS:
+                flush()
+            stack.pop()
         parent = stack[-1]
         step = _step(tag, attributes) if tag in BLOCKS else ""
         path = f"{parent.path}>{step}" if step else parent.path
+        path = paths.setdefault(path, path)
         element = Element(tag, path, hidden or _noisy(tag, attributes, parent), parent, tag == "a" or parent.link)
-        element.mixed = not element.hidden and _mixed(tag, attributes)
-        if not found[3].rstrip().endswith("/") or tag in BLOCKS or tag in RAW:
+        element.mixed = not element.hidden and _mixed(tag, attributes, parent)
+        element.form = parent.form or (element if tag == "form" else None)
+        element.foreign = parent.foreign or tag in FOREIGN
+        empty = raw.rstrip().endswith("/") and (element.foreign or tag not in BLOCKS and tag not in RAW)
+        if not empty:
             stack.append(element)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = end.start() if end else len(source)
+        if tag in RAW and not element.foreign:
+            close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            at = close.start() if close else len(source)
     flush()
-    return page
+    return _without_forms(page)
+
+
+def _without_forms(page: Page) -> Page:
+    """The page without the text of its forms, but for one around the page."""
+    sizes: dict[int, int] = {}
+    for element, block in page.blocks:
+        key = id(element.form) if element.form else 0
+        sizes[key] = sizes.get(key, 0) + len(block)
+    least = FORM_SHARE * sum(sizes.values())
+    kept = [k for k, (e, _) in enumerate(page.blocks) if not e.form or sizes[id(e.form)] >= least]
+    return Page([page.blocks[k] for k in kept], [page.linked[k] for k in kept])
 
 
 def score(page: Page) -> dict[str, float]:
@@ -351,13 +441,13 @@ def _vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return to_batches(votes(), _VOTES)
 
 
-def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterable[pa.RecordBatch], other_layout: float) -> Iterator[pa.RecordBatch]:
     def texts() -> Iterator[tuple]:
         for page_id, url, host, source, path in rows_of(batches):
             page = parse(source or "")
             own = best_path(page)
             text, other = text_under(page, path), text_under(page, own)
-            if text and 2 * len(text) < len(other):
+            if text and other_layout * len(text) < len(other):
                 yield page_id, url, host, text, own, other
             else:
                 yield page_id, url, host, text or other, None, None
@@ -400,13 +490,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return winners(host_votes(pages))
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
+def page_texts(pages: DataFrame, other_layout: float = 2.0) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     Each page is read by its host's path; a page without such an element falls
     back on its own best container, and so does a page of another layout: one
-    whose own container has more than twice the text and isn't among what the
-    host's other pages have beside their articles. Menus, headers, footers,
+    whose own container has over ``other_layout`` times the text and isn't among
+    what the host's other pages have beside their articles. A form's text counts
+    only where one form holds ``FORM_SHARE`` of a page's characters. Menus, headers, footers,
     sidebars, notices, adverts, forms, comments, scripts and styles are left out;
     character references are decoded, white space inside a block is one space,
     blocks are joined by two line feeds. A null or empty html, or one without
@@ -429,7 +520,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
     read = (
         rows.join(paths, "host", "left")
         .select("page_id", "url", "host", "html", "path")
-        .mapInArrow(_extract, "page_id bigint, url string, host string, text string, own string, own_text string")
+        .mapInArrow(lambda b: _extract(b, other_layout), "page_id bigint, url string, host string, text string, own string, own_text string")
     )
     alone = F.concat(F.lit("\n"), F.xxhash64("page_id", "url").cast("string"))  # no path has a line feed
     text = F.when(F.col("own_text").isNotNull() & F.col("beside").isNull(), F.col("own_text")).otherwise(F.col("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import Counter
 
@@ -141,6 +142,51 @@ def test_an_open_head_ends_where_the_body_begins(start):
     assert parse("<head><title>x</title><script>y</script><link a=b> ").blocks == []
 
 
+@pytest.mark.parametrize(
+    ("page", "parts"),
+    [
+        ("<body class='single comments-open'><article><h1>T</h1><p>{1}</article>", "T,1"),
+        ("<body class='comments'><div class='post no-comments'><p>{1}</div>", "1"),
+        ("<article class='post comments-closed'><p>{1}</article><article class='comment even'><p>{0}</article>", "1"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p>{1}</article>", "T,1"),
+        ("<div class=post><header class='post-header'><h1>T</h1></header><p>{1}</div>", "T,1"),
+        ("<article><div class='article-header'><h1>T</h1><p>{0}</div><p>{1}</article>", "T,0,1"),
+        ("<main><h1 class='page-header'>T</h1><p>{1}</main>", "T,1"),
+        ("<div class='main-header'><p>{0}</div><header class='masthead'>{0}</header><div class=x><p>{1}</div>", "1"),
+        ("<form id=f><div class=nav>x</div><div class=a><h1>T</h1><p>{1}</div><input name=a></form>", "T,1"),
+        ("<article><p>{1}</article><form><p>{0}</form>", "1"),
+        ("<article><p>{1}<form><p>{0}</form></article>", "1"),
+        ("<body><svg><title/><path d=x /></svg><article><p>{1}</article>", "1"),
+        ("<body><svg><title>Logo</title></svg><math><mi/></math><article><p>{1}</article>", "1"),
+        ("<article><p>{1}</p><a \"><p>end</p></article>", "1,end"),
+        ("<article><p>{1}</p><a href=\"x><p>end</p></article>", "1,end"),
+        ("<article><p title='a > b'>{1}</p><p>1 < 2 &lt; 3 <3</p></article>", "1,1 < 2 < 3 <3"),
+        ("<article><p>{1}</p><a href='x", "1"),
+    ],
+)
+def test_common_page_forms_keep_title_and_article(page, parts):
+    found = parse(page.format(LEAD, MUCH))
+    named = {"0": LEAD.strip(), "1": MUCH.strip()}
+    assert text_under(found, best_path(found)) == "\n\n".join(named.get(x, x) for x in parts.split(","))
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a ="', "<a x='", '<a x=">"', "<!", "<!--", "<?", "</p", "<a <", "= \"", "<a x= ", "<svg><title>", "<b>", "<div>", "<b></i>", "<b><div></div>"])
+def test_hostile_markup_takes_linear_time(unit):
+    began = time.perf_counter()
+    parse("<p>text" + unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
+def test_the_border_of_another_layout(spark):
+    usual = "<body><div class=story><p>" + "w" * 200 + "</div>"
+    rows = [(k, "http://h/", usual) for k in range(3)]
+    rows += [(3 + k, "http://h/", f"<body><div class=story><p>{'s' * 30}</div><div class=f{'xy'[k]}><p>{'o' * n}</div>") for k, n in enumerate((60, 61))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for other_layout, long in ((2.0, {4}), (1.9, {3, 4}), (2.1, set())):
+        found = {r.page_id: r.text for r in page_texts(pages, other_layout).collect()}
+        assert {k for k in (3, 4) if "o" in found[k]} == long
+
+
 def test_deep_and_unclosed_pages_end():
     page = parse("<div>" * 3000 + "deep" + "<b>" * 3000)
     assert text_under(page, best_path(page)) == "deep"
