@@ -144,7 +144,48 @@ MORE_SENTENCES: dict[str, tuple[str, ...]] = {
     "lgpl.either21": ("either version 2.1 of the License, or (at your option) any later version.",),
     "isc.grant": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "bsl1.short": ("Distributed under the Boost Software License, Version 1.0.",),
+    "apache2.title": (
+        "Apache License Version 2.0, January 2004",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "apache2.define": ("\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",),
+    "apache2.grant": ("Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",),
+    "gpl3.title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "lgpl3.title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "agpl3.title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "gpl2.title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "fsf.verbatim": ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",),
+    "gpl3.preamble": ("The GNU General Public License is a free, copyleft license for software and other kinds of works.",),
+    "agpl3.preamble": ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",),
+    "gpl2.preamble": ("The licenses for most software are designed to take away your freedom to share and change it.",),
+}
+# Names of licences in notices of any subject, by the identifier of
+# the notice; "License" may follow each.
+NOTICED = {
+    "mit.short": ("MIT", "MIT/X11", "Expat"),
+    "apache2.short": ("Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0"),
+    "gpl3.short": (
+        "GPLv3", "GPL v3", "GPL-3.0", "GPL 3.0", "GNU GPLv3", "GNU GPL v3", "GNU General Public License v3.0",
+        "GNU General Public License, version 3",
+    ),
+    "gpl2.short": ("GPLv2", "GPL v2", "GPL-2.0", "GNU GPLv2", "GNU General Public License v2.0", "GNU General Public License, version 2"),
+    "lgpl3.short": ("LGPLv3", "LGPL v3", "LGPL-3.0", "GNU LGPLv3", "GNU Lesser General Public License, version 3"),
+    "agpl3.short": ("AGPLv3", "AGPL v3", "AGPL-3.0", "GNU AGPLv3", "GNU Affero General Public License, version 3"),
+    "bsd2.short": ("BSD 2-Clause", "BSD-2-Clause", "2-clause BSD", "Simplified BSD"),
+    "bsd3.short": ("BSD 3-Clause", "BSD-3-Clause", "3-clause BSD", "New BSD", "Modified BSD"),
+    "mpl2.short": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "isc.short": ("ISC",),
+    "bsl1.short": ("Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0"),
 }
+#: Slots: normalised sentences whose names differ, and the one form of each.
+SLOTS = (
+    (r"^(?:neither )?the names? of .{1,300} (?:may|must|shall)(?: not)? be used to endorse or promote products derived from this software\b.*$", "slot endorse"),
+    (r"^(?:(?:this|the|our|all) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:dual )?(?:licensed|released|distributed|available|published|provided)(?: to you)? under (?:the )?(?:terms of )?(?:the )?(.{2,60}?)(?: licen[cs]e)?$", "slot under $1"),
+    (r"^(?:this|the|our|all) (?:[a-z0-9]+ ){1,4}(?:is|are) (.{2,60}) licensed$", "slot under $1"),
+)
+#: What every text with a slot sentence has.
+SLOT_HINTS = ("licen[cs]e", "endorse", "gpl")
 MORE_TAGGED = (
     "GPL-2.0", "GPL-3.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
     "LGPL-3.0", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-or-later", "BSL-1.0", "Zlib", "0BSD", "MIT-0", "EPL-1.0",
@@ -153,7 +194,16 @@ MORE_TAGGED = (
     "GPL-2.0 WITH Linux-syscall-note", "GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0-or-later WITH Linux-syscall-note",
 )
 ALL_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("Apache-2.0", ("apache2.title", "apache2.define", "apache2.grant")),
+    ("GPL-3.0", ("gpl3.title", "fsf.verbatim", "gpl3.preamble", "gpl.free", "gpl.hope")),
+    ("GPL-3.0", ("gpl3.title", "fsf.verbatim", "gpl3.preamble")),
+    ("AGPL-3.0", ("agpl3.title", "fsf.verbatim", "agpl3.preamble", "agpl.free", "gpl.hope")),
+    ("AGPL-3.0", ("agpl3.title", "fsf.verbatim", "agpl3.preamble")),
+    ("GPL-2.0", ("gpl2.title", "fsf.verbatim", "gpl2.preamble", "gpl.free2", "gpl.either2", "gpl.hope")),
+    ("GPL-2.0", ("gpl2.title", "fsf.verbatim", "gpl2.preamble")),
+    ("LGPL-3.0", ("lgpl3.title", "fsf.verbatim")),
     *RULES,
+    ("ISC", ("isc.short",)),
     ("AGPL-3.0-or-later", ("agpl.free", "gpl.hope")),
     ("AGPL-3.0-or-later", ("agpl.free",)),
     ("LGPL-2.1-or-later", ("lgpl.free2", "lgpl.either21")),
@@ -161,12 +211,14 @@ ALL_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     *((spdx, (f"tag.{spdx}",)) for spdx in MORE_TAGGED),
 )
 #: Replaced before texts are cut, so that commented lines read like plain ones:
-#: words that begin comments, closing marks, lines without a letter or digit, "+".
+#: words that begin comments, closing marks, lines without a letter or digit, "+",
+#: full stops of company names inside a sentence.
 CLEANED = (
     (r"(?mdi)^[ \t]*(?:rem|dnl)(?=[ \t\r]|$)", ""),
     (r"(?md)[ \t]*(?:\*+/|--+>)[ \t\r]*$", ""),
     (r"(?md)^[^\p{L}\p{N}\n]+$", ""),
     (r"(?i)(GPL-[0-9]\.[0-9])\+", "$1-or-later"),
+    (r"(?i)\b(inc|ltd|corp|co)\.(?=\s+(?:nor|and|or|may)\b)", "$1"),
 )
 #: Ends inside an unknown sentence: a colon before a new line or a list, and either
 #: side of a copyright line.
@@ -183,6 +235,14 @@ def normal(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
+def slotted(sentence: str) -> str:
+    """The normalised sentence with its names out, if it has the form of a slot."""
+    plain = normal(sentence)
+    for pattern, form in SLOTS:
+        plain = re.sub(pattern, form.replace("$", "\\"), plain)
+    return plain
+
+
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifier; each must be one sentence as texts are cut."""
     forms = dict(SENTENCES)
@@ -200,6 +260,8 @@ def known_sentences() -> dict[str, str]:
 def all_sentences() -> dict[str, str]:
     """``known_sentences`` and those that only this operator has."""
     known = known_sentences()
+    known["slot endorse"] = "bsd.name"
+    known |= {slotted(f"licensed under {n}"): name for name, names in NOTICED.items() for n in names}
     forms = MORE_SENTENCES | {f"tag.{s}": (f"SPDX-License-Identifier: {s}", f"License-Identifier: {s}") for s in MORE_TAGGED}
     for name, sentences in forms.items():
         for sentence in sentences:
@@ -215,6 +277,9 @@ def _normal(sentence: Column) -> Column:
 def sentence_ids(text: Column, known: Mapping[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order, as an array.
 
+    A sentence that isn't known word by word is looked up with its names out, so
+    "This code is MIT licensed." and any holder of a BSD text are found.
+
     A sentence ends with a mark and white space or at a blank line, commented or
     not, so it may run over lines. One that isn't known as a whole is cut at its
     colons and copyright lines, and a part that isn't known either is looked up
@@ -223,7 +288,10 @@ def sentence_ids(text: Column, known: Mapping[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
     def found(sentence: Column) -> Column:
-        return F.try_element_at(table, _normal(sentence))
+        plain = slot = _normal(sentence)
+        for pattern, form in SLOTS:
+            slot = F.regexp_replace(slot, pattern, form)
+        return F.coalesce(F.try_element_at(table, plain), F.when(slot.startswith("slot "), F.try_element_at(table, slot)))
 
     def part(sentence: Column) -> Column:
         whole = F.coalesce(found(sentence), found(F.regexp_replace(sentence, ITEM, "")))
@@ -279,7 +347,8 @@ def license_scan(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = A
     known = all_sentences()
     text = F.coalesce(quoted("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    hinted = F.lower(text).rlike(hint_pattern(known))
+    plain = {s: name for s, name in known.items() if not s.startswith("slot ")}
+    hinted = F.lower(text).rlike("|".join([hint_pattern(plain), *SLOT_HINTS]))
     ids = F.when(hinted, sentence_ids(text, known)).otherwise(none)
     found = docs.select(quoted("doc_id").cast("long").alias("doc_id"), ids.alias("ids")).select(
         "doc_id", "ids", F.when(F.size("ids") > 0, apply_rules(F.col("ids"), rules)).alias("state")

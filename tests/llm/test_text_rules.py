@@ -9,7 +9,7 @@ from collections import Counter
 
 import pytest
 
-from granary.llm.license_scan import SENTENCES, hint_pattern, known_sentences, license_scan
+from granary.llm.license_scan import MORE_SENTENCES, SENTENCES, hint_pattern, known_sentences, license_scan
 from granary.llm.quality_rules import BASE, RULES, Text, estimate_order, first_rejection, keep_good, ordered, quality_report
 from .conftest import texts
 
@@ -129,6 +129,38 @@ def test_commented_headers(spark, text, licenses):
     assert {r.doc_id: (r.licenses, r.unresolved) for r in rows} == {k: (licenses, "") for k in range(len(forms))}
 
 
+BSD3 = BSD + "\n3. Neither the name of {} may be used to endorse or promote products derived from this software without specific prior written permission."
+APACHE = "\n\n".join(
+    ["   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE",
+     "1. Definitions.", *MORE_SENTENCES["apache2.define"], "2. Grant of Copyright License. " + MORE_SENTENCES["apache2.grant"][0],
+     "END OF TERMS", SENTENCES["apache2.header"][0] + "\n" + SENTENCES["apache2.comply"][0] + "\n" + SENTENCES["apache2.copy"][2]]
+)
+GPL3 = "\n\n".join(
+    ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "Copyright (C) 2007 Somebody\n" + MORE_SENTENCES["fsf.verbatim"][0],
+     "Preamble", *MORE_SENTENCES["gpl3.preamble"], "How to Apply", GPL, *SENTENCES["gpl.hope"]]
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses"),
+    [
+        (BSD3.format("Google Inc. nor the names of its contributors"), "BSD-3-Clause"),
+        (BSD3.format("Acme, Ltd.\n   nor the names of its contributors"), "BSD-3-Clause"),
+        (BSD + "\n3. The names of its authors may not be used to endorse or promote products derived from this software.", "BSD-3-Clause"),
+        (BSD, "BSD-2-Clause"),
+        (APACHE, "Apache-2.0"),
+        (GPL3, "GPL-3.0"),
+        ("This code is MIT licensed.", "MIT"),
+        ("All source files are licensed under the terms of the BSD 3-Clause license. Enjoy.", "BSD-3-Clause"),
+        ("Our little library is available under GPLv3.", "GPL-3.0"),
+        ("The meeting is licensed under the fire code.", ""),
+    ],
+)
+def test_names_in_slots_and_whole_texts(spark, text, licenses):
+    row = license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (row.licenses, row.unresolved) == (licenses, "")
+
+
 def test_every_known_sentence_has_a_hint(odd, none):
     known = known_sentences()
     assert all(re.search(hint_pattern(known), s) for s in known) and "" not in known
