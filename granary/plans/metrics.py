@@ -201,12 +201,18 @@ def metric_query(
     facts: Sequence[str] = (),
     models: Mapping[str, TableModel] = MODELS,
     cost_grain: str = "zone",
+    order: Sequence[str] = (),
+    limit: int | None = None,
 ) -> DataFrame:
     """Metrics by dimensions, or the raw facts of a table.
 
-    Metrics are computed over weighted lines, and the cost columns that split a
-    forecast into several lines are joined only when a metric reads them. Facts
-    are row values and cannot be mixed with metrics.
+    Metrics of the comparison are computed over weighted lines, and the cost
+    columns that split a forecast into several lines are joined only when a metric
+    reads them; those of another table over its own rows. Facts are row values and
+    cannot be mixed with metrics. ``order`` names asked columns or their synonyms,
+    with `` desc`` behind those that fall; nulls sort last when rising and first
+    when falling. ``limit`` keeps the first rows of that order, as a top-k that
+    never sorts all rows in one task, and needs one.
     """
     if table not in models:
         raise KeyError(f"unknown table {table!r}")
@@ -224,7 +230,15 @@ def metric_query(
         for f in filters
     ]
 
-    if measures:
+    keys = [_sort_key(o, columns, [*measures, *values], model) for o in order]
+    if limit is not None and not keys:
+        raise ValueError("a limit needs an order")
+
+    def arranged(found: DataFrame) -> DataFrame:
+        found = found.orderBy(*keys) if keys else found
+        return found if limit is None else found.limit(limit)
+
+    if measures and table == "scenario_comparison":
         needed = sorted({c for m in measures for c in model.metrics[m].cost_columns})
         rows = forecast_lines(t, needed, cost_grain)
     elif table == "scenario_kpi":
@@ -234,8 +248,20 @@ def metric_query(
     for condition in conditions:
         rows = rows.where(condition)
     if values:
-        return rows.select(*columns, *values)
-    return rows.groupBy(*columns).agg(*[model.metrics[m].build().alias(m) for m in measures])
+        return arranged(rows.select(*columns, *values))
+    return arranged(rows.groupBy(*columns).agg(*[model.metrics[m].build().alias(m) for m in measures]))
+
+
+def _sort_key(
+    text: str, columns: Sequence[str], asked: Sequence[str], model: TableModel
+) -> Column:
+    """A sort order from ``name`` or ``name desc``, a column that was asked for."""
+    name, falls = text.strip(), False
+    for ending, down in ((" desc", True), (" asc", False)):
+        if name.lower().endswith(ending):
+            name, falls = name[: -len(ending)], down
+    found = model.resolve(name, (columns, asked), "order column")
+    return F.col(found).desc_nulls_first() if falls else F.col(found).asc_nulls_last()
 
 
 def warehousing_cost_october(t: PlanningTables) -> DataFrame:

@@ -938,6 +938,33 @@ ORACLES["region_quarter_demand"] = sql(
     SELECT region, fiscal_quarter, {d4("sum(forecast_quantity)", "total_forecasted_quantity")}
     FROM comparison WHERE scenario_code = 'BASELINE' GROUP BY ALL"""
 )
+ORACLES["top_families"] = sql(
+    f"""
+    SELECT scenario_code, product_family, {d2("sum(total_revenue)", "total_forecasted_revenue")},
+           {d4("sum(forecast_quantity)", "total_forecasted_quantity")}
+    FROM comparison GROUP BY ALL
+    ORDER BY sum(total_revenue) DESC NULLS FIRST, scenario_code, product_family NULLS LAST LIMIT 20"""
+)
+
+
+def _golden(name: str, oracle: str, status: str = "PASSED", differing: str = "false") -> str:
+    return f"""
+    SELECT '{name}' AS query_name, '{status}' AS status, count(*) AS row_count,
+           count(*) FILTER ({differing}) AS missing_rows,
+           count(*) FILTER ({differing}) AS unexpected_rows
+    FROM ({ORACLES[oracle]})"""
+
+
+ORACLES["golden_queries"] = " UNION ALL ".join(
+    [
+        _golden("warehousing_cost_by_scenario_october", "warehousing_cost_october"),
+        _golden("margin_impact_q4_push", "margin_percentages", "NOT_RUN"),
+        _golden("warehouse_overflow_risk", "overflow_risk"),
+        _golden("revenue_by_product_family", "revenue_by_family", "FAILED", "scenario_code = 'BASELINE'"),
+        _golden("margin_impact_comparison", "margin_impact"),
+        _golden("northeast_capacity_impact", "regional_storage"),
+    ]
+)
 ORACLES["all_metrics"] = sql(
     f"""
     SELECT scenario_code, region, fiscal_quarter,
@@ -1123,6 +1150,25 @@ ORACLES["document_chunks"] = sql(
     document=DOCUMENT,
     chunk=CHUNK,
 )
+ORACLES["document_load_twice"] = sql(
+    """
+    SELECT loads.k * (SELECT count(*) FROM classified) + row_number() OVER (PARTITION BY loads.k ORDER BY file_path)
+               AS document_id,
+           file_path, file_name, document_type, vendor_name, region, n_chunks, n_chars,
+           loads.k * (SELECT sum(n_chunks) FROM cut)
+               + coalesce(sum(n_chunks) OVER (PARTITION BY loads.k ORDER BY file_path
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1
+               + CASE WHEN n_chunks IS NULL THEN NULL ELSE 0 END AS first_chunk_id,
+           'Processed ' || (SELECT count(*) FROM classified) || ' files, created '
+               || 2 * (SELECT sum(n_chunks) FROM cut) || ' chunks' AS receipt
+    FROM classified LEFT JOIN cut USING (document_id) CROSS JOIN (SELECT unnest([0, 1]) AS k) loads""",
+    document=DOCUMENT,
+    chunk=CHUNK,
+    classified=CLASSIFIED,
+    cut="""
+    SELECT document_id, count(*) AS n_chunks, sum(length(chunk_text)) AS n_chars
+    FROM chunk WHERE document_id % 6 <> 4 GROUP BY document_id""",
+)
 ORACLES["document_chunks_whole"] = sql(
     """
     SELECT document_id, folder || '/' || d.file_name AS relative_path,
