@@ -682,6 +682,25 @@ def _stage(folder: str, table: str, rows: DataFrame) -> None:
         )
 
 
+@query
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with too few or too many fields of two product files with other headers."""
+    folder = scratch_path(spark, "stage")
+    parts = read_driver_table(spark, sf_dir, "part")
+    brand = F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand"))
+    surplus = F.when(F.col("p_partkey") % 7 == 0, F.lit("surplus"))
+    files = {
+        "product_id,product_name,product_code": ("p_partkey", "p_name", brand, surplus),
+        "product_name,product_id,product_code": ("p_name", "p_partkey", brand, surplus),
+    }
+    for number, (header, fields) in enumerate(files.items()):
+        lines = parts.where(F.col("p_partkey") % 2 == number).select(F.concat_ws(",", *fields).alias(header))
+        lines.write.option("header", True).option("sep", "\u0001").csv(f"{folder}/{number}_{RAW_FILES['product']}")
+    return raw_csv.rejected_rows(spark, folder, "product").withColumn(
+        "source_file", F.regexp_extract("source_file", "([0-9]_[^/]*)/[^/]*$", 1)
+    )
+
+
 def _current(t: PlanningTables, table: str) -> DataFrame:
     rows = getattr(t, table)
     flag = [c for c in ("is_current_flag", "is_current_version") if c in rows.columns]

@@ -131,13 +131,19 @@ def with_source_file(
 def rejected_rows(
     spark: SparkSession, folder: str, table: str, multi_line: bool = False
 ) -> DataFrame:
-    """Key and text of the rows whose field count differs from their file's header."""
+    """Key, text and file of the rows whose field count differs from their file's header.
+
+    Empty files have no row; a missing file raises, as in every load.
+    """
     key = raw_columns(table)[0]
     parts = []
     for columns, paths in _headers(spark, f"{folder}/*{RAW_FILES[table]}"):
         rows = _rows(spark, columns, paths, multi_line).where(F.col(_BAD).isNotNull())
-        cells = rows.select(*[F.col(f"`{c}`").alias(c) for c in columns], F.col(_BAD).alias("line"))
-        parts.append(match_columns(cells, [key, "line"]).withColumnRenamed(key, "key"))
+        source = F.col("_metadata.file_path").alias("source_file")
+        cells = rows.select(*[F.col(f"`{c}`").alias(c) for c in columns], F.col(_BAD).alias("line"), source)
+        parts.append(match_columns(cells, [key, "line", "source_file"]).withColumnRenamed(key, "key"))
+    if not parts:
+        return spark.createDataFrame([], "key string, line string, source_file string")
     return reduce(DataFrame.unionByName, parts)
 
 

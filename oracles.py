@@ -1303,6 +1303,12 @@ ORACLES["ingest_sites"] = sql(
              AS capacity_unit_of_measure
     FROM site JOIN nation ON n_nationkey = site_id"""
 )
+ORACLES["rejected_lines"] = """
+    SELECT CAST(p_partkey AS VARCHAR) AS key, (p_partkey % 2) || '_products.csv' AS source_file,
+           CASE p_partkey % 2 WHEN 0 THEN p_partkey || ',' || p_name ELSE p_name || ',' || p_partkey END
+               || CASE WHEN p_partkey % 5 <> 0 THEN ',' || p_brand ELSE '' END
+               || CASE WHEN p_partkey % 7 = 0 THEN ',surplus' ELSE '' END AS line
+    FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0)"""
 ORACLES["ingest_work_centers"] = sql(
     """
     SELECT work_center_id, work_center_code, work_center_name,

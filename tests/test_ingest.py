@@ -111,6 +111,9 @@ def test_rejected_rows_show_wrong_field_counts(spark, tmp_path):
     (tmp_path / "sites.csv").write_text(",".join(names) + f"\n{good}\n2,short\n")
     lines = raw_csv.rejected_rows(spark, str(tmp_path), "site").collect()
     assert [(r["key"], r["line"]) for r in lines] == [("2", "2,short")]
+    assert lines[0]["source_file"].endswith("/sites.csv")
+    (tmp_path / "products.csv").write_text("")
+    assert raw_csv.rejected_rows(spark, str(tmp_path), "product").count() == 0
 
 
 def test_append_doubles_and_overwrite_does_not(spark, folder, tmp_path):
