@@ -87,90 +87,107 @@ def run_expectations(t: PlanningTables, expectations: list[Expectation]) -> Data
     return _union([expect(e.build(t), e.name, e.min_rows, e.description) for e in expectations])
 
 
-def _findings(row: DataFrame, kind: str, table: str, columns: Mapping[str, str]) -> DataFrame:
-    """Turn one row of counts into report rows; ``columns`` maps name to count."""
-    entries = [
-        F.struct(
-            F.lit(kind).alias("constraint_type"),
-            F.lit(table).alias("table_name"),
-            F.lit(name).alias("column_name"),
-            F.coalesce(F.col(count), F.lit(0)).cast("bigint").alias("violations"),
-        )
-        for name, count in columns.items()
-    ]
-    return row.select(F.explode(F.array(*entries)).alias("finding")).select("finding.*")
+#: Slots of :func:`key_usage`: a key of a current row, or of an earlier version.
+_CURRENT, _EARLIER = 0, -1
+
+
+def _references_to(parent: str) -> list[tuple[str, str]]:
+    """The referring tables and columns of a parent; their place is their slot, from 1."""
+    return [(table, c) for table, c, name, _ in FOREIGN_KEYS if name == parent]
+
 
+def _lists_of(table: str) -> dict[str, tuple[str, ...]]:
+    return {c: allowed for (name, c), allowed in ALLOWED_VALUES.items() if name == table}
 
-def duplicate_keys(t: PlanningTables, table: str) -> DataFrame:
-    """Surplus rows per primary key (current rows of a versioned table)."""
+
+_MOST_REFERENCES = max(len(_references_to(table)) for table in PRIMARY_KEY)
+_MOST_LISTS = max(len(_lists_of(table)) for table in PRIMARY_KEY)
+
+
+def _uses(t: PlanningTables, table: str) -> DataFrame:
+    """What each row of one table says about keys: ``owner, value, slot``.
+
+    ``owner`` is the table whose key ``value`` is. A null key keeps its slot; a value
+    outside its list is a null value of the row's own table in a slot after the
+    references. One scan, and one row for each key, reference and breach.
+    """
     key = PRIMARY_KEY[table]
-    df = getattr(t, table)
-    if table in SCD_TABLES:
-        df = df.where(F.col("is_current_flag"))
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg((F.count("*") - 1).alias("surplus"))
-        .where(F.col("surplus") > 0)
-    )
+    current = F.col("is_current_flag") if table in SCD_TABLES else F.lit(True)
+    slots = [(table, F.col(key), F.when(current, _CURRENT).otherwise(_EARLIER))]
+    for name, c, parent, _ in FOREIGN_KEYS:
+        if name == table:
+            slot = _references_to(parent).index((table, c)) + 1
+            slots.append((parent, F.col(c), F.when(F.col(c).isNotNull(), slot)))
+    for place, (c, allowed) in enumerate(_lists_of(table).items(), _MOST_REFERENCES + 1):
+        slots.append((table, F.lit(None), F.when(~F.col(c).isin(*allowed), place)))
+    entries = [
+        F.struct(F.lit(owner).alias("owner"), value.cast("bigint").alias("value"), slot.alias("slot"))
+        for owner, value, slot in slots
+    ]
+    return getattr(t, table).select(F.inline(F.array(*entries))).where("slot IS NOT NULL")
 
 
-def orphans(t: PlanningTables, table: str) -> DataFrame:
-    """Foreign-key values without a parent and how many rows carry each.
+def key_usage(t: PlanningTables) -> DataFrame:
+    """Per table and key value: its rows, and how many rows refer to it.
 
-    One scan of the table counts the values of all its references, so the anti
-    join sees each value once however many rows share it.
+    ``owner, value, stored, rows, reference_1..`` with ``stored`` the rows of any
+    version, ``rows`` the current ones, and a count per referring column in the order
+    of :data:`FOREIGN_KEYS`; ``list_1..`` count breaches of value lists under the null
+    value. Every table is scanned once, and one aggregate brings keys and references
+    together; a value shared by many rows is counted before it is shuffled.
     """
-    references = [(c, parent, key) for name, c, parent, key in FOREIGN_KEYS if name == table]
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c, _, _ in references]
-    )
-    values = (
-        getattr(t, table)
-        .select(F.explode(pairs).alias("pair"))
-        .where(F.col("pair.value").isNotNull())
-        .groupBy("pair.column_name", "pair.value")
-        .agg(F.count("*").alias("row_count"))
+    slot = F.col("slot")
+    return (
+        _union([_uses(t, table) for table in PRIMARY_KEY])
+        .groupBy("owner", "value")
+        .agg(
+            F.count_if(slot <= _CURRENT).alias("stored"),
+            F.count_if(slot == _CURRENT).alias("rows"),
+            *[F.count_if(slot == k).alias(f"reference_{k}") for k in range(1, _MOST_REFERENCES + 1)],
+            *[F.count_if(slot == _MOST_REFERENCES + k).alias(f"list_{k}") for k in range(1, _MOST_LISTS + 1)],
+        )
     )
-    parents = _union(
-        [
-            getattr(t, parent).select(F.lit(c).alias("column_name"), F.col(key).alias("value"))
-            for c, parent, key in references
-        ]
-    ).distinct()
-    return values.join(parents, ["column_name", "value"], "left_anti")
 
 
 def constraint_report(t: PlanningTables) -> DataFrame:
     """Violations of every declared key, reference and value list.
 
-    Each table is scanned once for row checks, once for its key and once for
-    its references.
+    Surplus rows per key (current rows of a versioned table), rows without a key, rows
+    whose reference no row of any version has, and values outside their list; null
+    references and null values break nothing. One scan per table and one shuffle, of
+    distinct keys and references (:func:`key_usage`).
     """
+    real, lost = F.col("value").isNotNull(), F.col("stored") == 0
+    references = [f"reference_{k}" for k in range(1, _MOST_REFERENCES + 1)]
+    lists = [f"list_{k}" for k in range(1, _MOST_LISTS + 1)]
+    by_table = key_usage(t).groupBy("owner").agg(
+        F.sum(F.when(real, F.greatest(F.col("rows") - 1, F.lit(0)))).alias("surplus"),
+        F.sum(F.when(~real, F.col("stored"))).alias("missing"),
+        *[F.sum(F.when(lost, F.col(c))).alias(c) for c in references],
+        *[F.sum(c).alias(c) for c in lists],
+    )
     found = []
     for table, key in PRIMARY_KEY.items():
-        surplus = duplicate_keys(t, table).agg(F.sum("surplus").alias(key))
-        found.append(_findings(surplus, "PRIMARY KEY", table, {key: key}))
-
-        lists = {c: allowed for (name, c), allowed in ALLOWED_VALUES.items() if name == table}
-        row = getattr(t, table).agg(
-            F.count_if(F.col(key).isNull()).alias("_null_key"),
-            *[F.count_if(~F.col(c).isin(*allowed)).alias(c) for c, allowed in lists.items()],
+        found += [("PRIMARY KEY", table, key, table, "surplus"), ("NOT NULL", table, key, table, "missing")]
+        found += [("ALLOWED VALUES", table, c, table, at) for c, at in zip(_lists_of(table), lists)]
+        found += [("FOREIGN KEY", child, c, table, at) for (child, c), at in zip(_references_to(table), references)]
+    # One row, also of empty tables, as an aggregate without keys always has one.
+    row = by_table.agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("owner") == owner, F.col(count))), F.lit(0)).alias(f"_{k}")
+            for k, (*_, owner, count) in enumerate(found)
+        ]
+    )
+    entries = [
+        F.struct(
+            F.lit(kind).alias("constraint_type"),
+            F.lit(table).alias("table_name"),
+            F.lit(column).alias("column_name"),
+            F.col(f"_{k}").cast("bigint").alias("violations"),
         )
-        found.append(_findings(row, "NOT NULL", table, {key: "_null_key"}))
-        if lists:
-            found.append(_findings(row, "ALLOWED VALUES", table, {c: c for c in lists}))
-
-        references = [c for name, c, _, _ in FOREIGN_KEYS if name == table]
-        if references:
-            lost = orphans(t, table).agg(
-                *[
-                    F.sum(F.when(F.col("column_name") == c, F.col("row_count"))).alias(c)
-                    for c in references
-                ]
-            )
-            found.append(_findings(lost, "FOREIGN KEY", table, {c: c for c in references}))
-    return _union(found)
+        for k, (kind, table, column, *_) in enumerate(found)
+    ]
+    return row.select(F.inline(F.array(*entries)))
 
 
 def too_long(df: DataFrame, lengths: Mapping[str, int]) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from granary.plans import builder, dashboards, documents, mart, metrics, quality
 from granary.plans import search as searching
 from granary.plans.search import index_chunks, postings
+from granary.schemas import ALLOWED_VALUES, FOREIGN_KEYS, PRIMARY_KEY
 from granary.sources.driver_tables import as_of
+from granary.sources.tables import read_tables, write_tables
 from granary.streaming import kpis as kpi_jobs
 from granary.streaming import search_index as index_jobs
 from granary.streaming import versions as version_jobs
@@ -132,6 +134,42 @@ def test_constraints_find_each_kind(spark):
     }
 
 
+def test_earlier_versions_are_parents_but_no_duplicates(spark):
+    site = {"site_id": "3", "site_code": "S", "site_type": "PLANT", "operating_status": "ACTIVE"}
+    t = make_tables(
+        spark,
+        site=[site, {**site, "is_current_flag": "false"}, {**site, "site_id": "4", "is_current_flag": "false"}],
+        work_center=[
+            {"work_center_id": "1", "site_id": "3", "work_center_type": "ASSEMBLY"},
+            {"work_center_id": "2", "site_id": "4"},
+            {"work_center_id": "3", "site_id": "5"},
+            {"work_center_id": "4", "site_id": "5", "work_center_type": "ELSE"},
+            {"work_center_id": "5"},
+        ],
+    )
+    found = {k: n for k, n in _violations(t).items() if k[1] in ("site", "work_center")}
+    assert found == {
+        ("FOREIGN KEY", "work_center", "site_id"): 2,
+        ("ALLOWED VALUES", "work_center", "work_center_type"): 1,
+    }
+
+
+def test_constraints_of_empty_tables_are_all_listed_and_kept(spark):
+    t = make_tables(spark)
+    empty = t.with_(**{name: df.where("false") for name, df in t.items()})
+    found = quality.constraint_report(empty).collect()
+    listed = 2 * len(PRIMARY_KEY) + len(ALLOWED_VALUES) + len(FOREIGN_KEYS)
+    assert len(found) == listed and all(r["violations"] == 0 for r in found)
+
+
+def test_constraints_scan_each_stored_table_once(spark, tmp_path):
+    write_tables(make_tables(spark), str(tmp_path))
+    plan = quality.constraint_report(read_tables(spark, str(tmp_path)))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[.*\] parquet", text)) == len(PRIMARY_KEY)
+    assert "Join" not in text
+
+
 def test_golden_check_counts_multiset_differences(spark):
     def frame(*values):
         return spark.createDataFrame([(v,) for v in values], "v int")
