@@ -8,13 +8,14 @@ import heapq
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from granary.llm.common import ready_workers, rows_of, text_bytes, to_batches
+from granary.llm.common import in_runs, ready_workers, rows_of, text_bytes, to_batches
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
@@ -23,6 +24,14 @@ MEMORY = 600_000
 _PLACE_BITS = 40
 _PLACES = (1 << _PLACE_BITS) - 1
 _LONG = 64
+#: Agendas of chunks up to these lengths advance together.
+_WIDTHS = (4, 8, 12, 16, 24, 40, _LONG)
+_FEW = 64
+#: Bytes of texts that are looked up together.
+_RUN = 4 << 20
+_SYMBOL_BITS = 21
+_PAD = (1 << _SYMBOL_BITS) - 1
+_NO_PAIR = np.iinfo(np.int32).max
 #: A chunk starts with its spaces; no piece reaches over the start of a chunk.
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 _NORMAL, _UNKNOWN, _USER, _BYTE, _UNUSED = 1, 2, 4, 6, 5
@@ -55,6 +64,7 @@ class PieceCodec:
         place = {score: k for k, score in enumerate(scores)}
         self.ranks = {p.piece: place[p.score] for p in model.pieces if p.type == _NORMAL}
         self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == _NORMAL}
+        self._index_pairs(len(model.pieces))
         self.byte_ids = [0] * 256
         self.raw: list[bytes] = []
         for k, p in enumerate(model.pieces):
@@ -66,6 +76,104 @@ class PieceCodec:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.memory: dict[str, tuple[str, int, bytes]] = {}
 
+    def _index_pairs(self, n: int) -> None:
+        """Symbols as numbers: a piece's id, or ``n`` + its code point for another
+        character; ranks and pieces of all pairs of symbols that join to a piece."""
+        self.others = n
+        self.of_char = np.arange(n, n + 0x110000, dtype=np.int32)
+        for piece, k in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = k
+        pairs = []
+        for piece, k in self.ids.items():
+            for at in range(1, len(piece)):
+                left, right = self._symbol(piece[:at]), self._symbol(piece[at:])
+                if left is not None and right is not None:
+                    pairs.append((left << _SYMBOL_BITS | right, self.ranks[piece], k))
+        pairs.sort()
+        keys, ranks, pieces = np.array([*pairs, (np.iinfo(np.int64).max, _NO_PAIR, 0)], dtype=np.int64).T
+        self.pair_keys = np.ascontiguousarray(keys)
+        self.pair_ranks, self.pair_pieces = ranks.astype(np.int32), pieces.astype(np.int32)
+
+    def _symbol(self, text: str) -> int | None:
+        return int(self.of_char[ord(text)]) if len(text) == 1 else self.ids.get(text)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair of symbols; no rank where they join to none."""
+        keys = left.astype(np.int64) << _SYMBOL_BITS | right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NO_PAIR), self.pair_pieces[at]
+
+    def merge_all(self, chunks: list[str]) -> list[list[int]]:
+        """``merge`` of many chunks, in their order.
+
+        A chunk's agenda is a matrix row with the rank of each adjacent pair. In every
+        step each chunk joins its pair of best score, of equal scores the leftmost, and
+        looks up the two new pairs; chunks without a pair leave. Very long chunks, and
+        chunks that few others of their length join, have an agenda of their own.
+        """
+        found: list[list[int]] = [[]] * len(chunks)
+        lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        least = 0
+        for width in _WIDTHS:
+            places = np.flatnonzero((lengths > least) & (lengths <= width))
+            least = width
+            if len(places) < _FEW:
+                for k in places:
+                    found[k] = self.merge(chunks[k])
+                continue
+            for part in np.array_split(places, len(places) // 16384 + 1):
+                self._advance([chunks[k] for k in part], lengths[part], width, part.tolist(), found)
+        for k in np.flatnonzero(lengths > least):
+            found[k] = self.merge(chunks[k])
+        return found
+
+    def _advance(self, chunks: list[str], sizes: np.ndarray, width: int, places: list[int], found: list) -> None:
+        symbols = np.full((len(chunks), width + 1), _PAD, dtype=np.int32)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")
+        symbols[np.arange(width + 1) < sizes[:, None]] = self.of_char[points]
+        ranks, pieces = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        places_left = np.array(places, dtype=np.int64)
+        while len(symbols):
+            best = ranks.argmin(axis=1)
+            lane = np.arange(len(symbols))
+            live = ranks[lane, best] != _NO_PAIR
+            if not live.all():
+                done = ~live
+                for place, row in zip(places_left[done].tolist(), symbols[done].tolist()):
+                    found[place] = self._ids_of(row)
+                symbols, ranks, pieces = symbols[live], ranks[live], pieces[live]
+                places_left, best = places_left[live], best[live]
+                lane = np.arange(len(symbols))
+            if not len(symbols):
+                return
+            symbols[lane, best] = pieces[lane, best]
+            # The right symbol and the joined pair go; later ones move up by one.
+            columns = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, columns + (columns > best[:, None]), 1)
+            kept = columns[:-1] + (columns[:-1] >= best[:, None])
+            ranks, pieces = np.take_along_axis(ranks, kept, 1), np.take_along_axis(pieces, kept, 1)
+            for mine, at in ((lane, best), (lane[best > 0], best[best > 0] - 1)):
+                inside = at < ranks.shape[1]
+                mine, at = mine[inside], at[inside]
+                ranks[mine, at], pieces[mine, at] = self._pairs(symbols[mine, at], symbols[mine, at + 1])
+            if not ranks.shape[1]:
+                for place, row in zip(places_left.tolist(), symbols.tolist()):
+                    found[place] = self._ids_of(row)
+                return
+
+    def _ids_of(self, symbols: list[int]) -> list[int]:
+        """The row's ids up to its padding, with bytes for characters without a piece."""
+        if symbols[-1] == _PAD:
+            symbols = symbols[: symbols.index(_PAD)]
+        if max(symbols) < self.others:
+            return symbols
+        return [
+            k
+            for symbol in symbols
+            for k in ([symbol] if symbol < self.others else [self.byte_ids[b] for b in chr(symbol - self.others).encode()])
+        ]
+
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk: the adjacent pair of best score joins first, of equal
         scores the leftmost, until no pair is a piece.
@@ -136,7 +244,7 @@ class PieceCodec:
         """
         found = [list(map(self.memory.get, chunks)) for chunks in texts]
         fresh = list({c for chunks, f in zip(texts, found) if None in f for c, e in zip(chunks, f) if e is None})
-        ids = [self.merge(c) for c in fresh]
+        ids = self.merge_all(fresh)
         self.check(fresh, ids)
         new = {
             chunk: (",".join(map(str, own)), len(own), b"".join([self.raw[k] for k in own]))
@@ -191,17 +299,15 @@ def piece_digests(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         coder = codec(model_path)
 
         def coded() -> Iterator[tuple]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = list(rows_of([batch.slice(at, 256)]))
-                    texts = [coder.chunks((data or b"").decode("utf-8", "replace")) for _, data in rows]
-                    for (doc_id, _), found in zip(rows, coder.look_up(texts)):
-                        ids = ",".join([f[0] for f in found]).encode()
-                        text = coder.text(b"".join([f[2] for f in found])).encode()
-                        yield (
-                            doc_id, sum([f[1] for f in found]),
-                            hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(),
-                        )
+            for rows in in_runs(rows_of(batches), lambda row: len(row[1] or b"") + 64, _RUN):
+                texts = [coder.chunks((data or b"").decode("utf-8", "replace")) for _, data in rows]
+                for (doc_id, _), found in zip(rows, coder.look_up(texts)):
+                    ids = ",".join([f[0] for f in found]).encode()
+                    text = coder.text(b"".join([f[2] for f in found])).encode()
+                    yield (
+                        doc_id, sum([f[1] for f in found]),
+                        hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(),
+                    )
 
         return to_batches(coded(), _CODED)
 
