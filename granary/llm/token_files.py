@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm.common import ready_workers, rows_of, text_bytes, to_batches
+from granary.llm.crc_parts import moved
 from granary.llm.range_coder import MOST_IDS, decode_blocks, encode_blocks
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,8 +93,11 @@ def word_memory(path: str) -> WordMemory:
     return WordMemory(path)
 
 
-_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("ids", pa.int64()), ("data", pa.binary())])
-_BLOCKS_DDL = "shard int, block int, ids bigint, data binary"
+#: ``earlier``: ids of a block's first document that lie in blocks before it.
+_BLOCKS = pa.schema(
+    [("shard", pa.int32()), ("block", pa.int32()), ("ids", pa.int64()), ("earlier", pa.int64()), ("data", pa.binary())]
+)
+_BLOCKS_DDL = "shard int, block int, ids bigint, earlier bigint, data binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID,
@@ -103,13 +107,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     Rows are range-partitioned, so shard numbers follow the order; rows of one
     doc_id are ordered, and spread if need be, by their texts' hash. Null ids come
     first. A shard is a Spark partition: a lost task writes its files again, and
-    only whole ones are committed. Memory is bounded by ``lanes`` blocks.
+    only whole ones are committed. Memory is bounded by ``lanes`` blocks. A null text
+    counts as empty and has the end id alone; texts of any length are written whole,
+    repeated rows repeatedly; other columns are ignored, an empty table has no blocks.
     """
     ready_workers(docs.sparkSession)
 
-    def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+    def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, int]]:
         words = word_memory(tokenizer)
-        held, pieces, room = [], [], block
+        held, pieces, room, earlier = [], [], block, 0
         rows = rows_of(batches)
         while group := [row for _, row in zip(range(128), rows)]:
             texts = [(data or b"").decode("utf-8", "replace") for _, data in group]
@@ -122,17 +128,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                     pieces.append((doc_id, len(part), at == len(ids)))
                     room -= len(part)
                     if not room:
-                        yield pieces, np.concatenate(held)
+                        yield pieces, np.concatenate(held), earlier
                         held, pieces, room = [], [], block
+                        earlier = at if at < len(ids) else 0
         if held:
-            yield pieces, np.concatenate(held)
+            yield pieces, np.concatenate(held), earlier
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         source = blocks_of(batches)
         while group := [b for _, b in zip(range(lanes), source)]:
-            for (pieces, ids), coded in zip(group, encode_blocks([ids for _, ids in group])):
-                yield shard, number, len(ids), pack_block(first, pieces, coded, len(ids))
+            for (pieces, ids, earlier), coded in zip(group, encode_blocks([ids for _, ids, _ in group])):
+                yield shard, number, len(ids), earlier, pack_block(first, pieces, coded, len(ids))
                 number, first = number + 1, first + len(ids)
 
     rows = text_bytes(docs)
@@ -142,49 +149,53 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     placed.mapInArrow(lambda b: to_batches(code(b), _BLOCKS, 64), _BLOCKS_DDL).write.parquet(path)
 
 
-_DOCS = pa.schema(
-    [("shard", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+_PIECES = pa.schema(
+    [("shard", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int64())]
 )
 
 
 def read_tokens(files: DataFrame, lanes: int = LANES) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in block files.
 
-    Blocks of a shard are brought together and decoded in order; a document's
-    checksum runs over as many blocks as it has. ``start`` adds the sizes of
-    earlier shards, one number per shard, to the place in its own.
+    Blocks are decoded where they lie, in any order; one small row per piece is
+    shuffled, and a document's checksum is joined from those of its pieces. ``start``
+    adds the sizes of earlier shards, one number per shard, to the place in its own.
+    Files of no documents give no rows; a damaged block raises; further columns of
+    the files are ignored. Memory is bounded by ``lanes`` blocks.
     """
     ready_workers(files.sparkSession)
 
-    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(batches)
-        opened: int | None = None
-        place = n = crc = at = 0
         while group := [row for _, row in zip(range(lanes), rows)]:
-            blocks = [unpack_block(data) for _, _, _, data in group]
+            blocks = [unpack_block(data) for _, _, data in group]
             ids = decode_blocks([b[2] for b in blocks], [b[3] for b in blocks])
-            for (shard, _, _, _), (first, pieces, _, _), found in zip(group, blocks, ids):
-                if shard != opened:
-                    opened, n, crc = shard, 0, 0
+            found = []
+            for (shard, earlier, _), (first, pieces, _, _), block in zip(group, blocks, ids):
                 at = 0
-                for doc_id, length, ends in pieces:
-                    if not n:
-                        place = first + at
-                    crc = zlib.crc32(found[at : at + length].tobytes(), crc)
-                    n, at = n + length, at + length
-                    if ends:
-                        yield shard, doc_id, place, n, crc
-                        n = crc = 0
-
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = (
-        files.repartition(parts, "shard").sortWithinPartitions("shard", "block")
-        .mapInArrow(lambda b: to_batches(decode(b), _DOCS),
-                    "shard int, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
+                for doc_id, length, _ in pieces:
+                    part = block[at : at + length].tobytes()
+                    found.append((shard, first + at - earlier, doc_id, length, earlier + length, zlib.crc32(part)))
+                    at, earlier = at + length, 0
+            shards, places, doc_ids, sizes, ends, crcs = zip(*found)
+            parts = moved(crcs, -4 * np.array(ends, dtype=np.int64)).tolist()
+            yield from to_batches(zip(shards, places, doc_ids, sizes, parts), _PIECES)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, sizes = batch.column("part").to_numpy(), batch.column("n_tokens").to_numpy()
+            crcs = pa.array(moved(parts, 4 * sizes).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crcs], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    pieces = files.select("shard", "earlier", "data").mapInArrow(
+        decode, "shard int, place bigint, doc_id bigint, n bigint, part bigint"
     )
-    sizes = files.groupBy("shard").agg(F.sum("ids").alias("size"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("shard", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-    return docs.join(F.broadcast(shifts), "shard").select(
-        "doc_id", (F.col("place") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
+    docs = pieces.groupBy("shard", "place").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.bit_xor("part").alias("part")
     )
+    sizes = files.groupBy("shard").agg(F.sum("ids").alias("size"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    return docs.join(shifts, "shard").select(
+        "doc_id", (F.col("place") + F.col("before")).alias("start"), "n_tokens", "part"
+    ).mapInArrow(whole, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

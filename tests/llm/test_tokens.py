@@ -13,9 +13,11 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm import token_files
+from granary.llm.crc_parts import moved
 from granary.llm.packing import FULL, RANKS, SPECIAL, CapacityTree, best_fit, encoder, pack_documents
 from granary.llm.piece_codec import MODEL, PieceCodec, encoded, piece_digests
 from granary.llm.range_coder import decode_blocks, encode_blocks
@@ -104,6 +106,25 @@ def test_files_return_all_ids_in_order(table, request, tmp_path):
     assert keys == sorted(keys)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=6), st.integers(0, 1 << 40))
+def test_checksum_of_a_text_from_those_of_its_parts(parts, far):
+    ends = np.cumsum([len(p) for p in parts])
+    aligned = moved([zlib.crc32(p) for p in parts], -ends)
+    whole = moved([np.bitwise_xor.reduce(aligned)], ends[-1:])
+    assert whole[0] == zlib.crc32(b"".join(parts))
+    assert list(moved(moved(aligned, [far] * len(parts)), [-far] * len(parts))) == list(aligned)
+
+
+def test_blocks_are_read_in_any_order(documents, tmp_path):
+    spark = documents.sparkSession
+    token_files.write_tokens(documents, str(tmp_path / "t"), block=64, lanes=16)
+    files = spark.read.parquet(str(tmp_path / "t"))
+    mixed = files.withColumn("data_", F.lit(1)).repartition(13, F.xxhash64("shard", "block"))
+    want = token_files.read_tokens(files, lanes=16).collect()
+    assert files.where("earlier > 64").count() and Counter(token_files.read_tokens(mixed, lanes=5).collect()) == Counter(want)
+
+
 @pytest.mark.parametrize("space", [*map(chr, range(33)), "\x7f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\ufeff"])
 def test_words_end_where_the_tokenizer_ends_them(space):
     rows = [(0, f"alpha{space}beta {space} gamma{space}"), (1, space)]
@@ -111,6 +132,13 @@ def test_words_end_where_the_tokenizer_ends_them(space):
     assert [list(x) for x in found] == library_ids("word_bpe_49k.json", rows)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="ab▁\n\té日𝒳thelo", min_size=1, max_size=90), max_size=300))
+def test_agendas_side_by_side_merge_as_alone(chunks):
+    chunks = [chunk * n for chunk in chunks for n in (1, 2, 3)]
+    assert CODEC.merge_all(chunks) == [CODEC.merge(chunk) for chunk in chunks]
+
+
 ALPHABET = "ab ▁\n\té日𝒳<s></s>  the\x00́ \r.,"
 
 
