@@ -27,7 +27,7 @@ from granary.plans import (
 from granary.plans import search as searching
 from granary.schemas import ATOMIC, RAW_FILES
 from granary.sources import driver_tables as driver
-from granary.sources import raw_csv
+from granary.sources import load_ledger, raw_csv
 from granary.sources.atomic import to_atomic, transform_raw_to_atomic
 from granary.sources.driver_tables import as_of, driver_tables, read_driver_table
 from granary.sources.tables import PlanningTables, read_tables, write_tables
@@ -701,6 +701,25 @@ def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def second_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three product files in two loads, the second of which meets one known and one new file."""
+    folder, root = scratch_path(spark, "stage"), scratch_path(spark, "raw")
+    parts = read_driver_table(spark, sf_dir, "part")
+    for number in range(3):
+        lines = parts.where(F.col("p_partkey") % 3 == number)
+        cells = [F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")]
+        lines.coalesce(1).sortWithinPartitions("p_partkey").select(*cells).write.option("header", True).csv(
+            f"{folder}/{number}_{RAW_FILES['product']}"
+        )
+        if number:
+            load_ledger.load_new_files(spark, folder, root, "product")
+    return load_ledger.read_loads(spark, root, "product").select(
+        "product_id", "product_name", F.col("number").alias("load_number"),
+        F.col("_source_file_row_number").alias("row_number"),
+    )
+
+
 def _current(t: PlanningTables, table: str) -> DataFrame:
     rows = getattr(t, table)
     flag = [c for c in ("is_current_flag", "is_current_version") if c in rows.columns]

@@ -12,12 +12,12 @@ from granary.functions.casting import blank_to_null
 from granary.schemas import RAW_FILES, RAW_METADATA, raw_columns
 
 _METADATA_TYPES = ("string", "bigint", "timestamp_ntz")
-
+METADATA_DDL = ", ".join(f"{n} {k}" for n, k in zip(RAW_METADATA, _METADATA_TYPES))
 
 _BAD = "_corrupt_record"
 
 
-def _headers(spark: SparkSession, pattern: str) -> list[tuple[list[str], list[str]]]:
+def _headers(spark: SparkSession, pattern: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """Column names and paths of the files that match, one entry per header.
 
     First lines are found by one aggregate over the first split of each file.
@@ -128,6 +128,33 @@ def with_source_file(
     return reduce(DataFrame.unionByName, parts)
 
 
+def placed_rows(spark: SparkSession, paths: list[str], table: str, multi_line: bool = False) -> DataFrame:
+    """The raw rows of some files with their file's path and name, its split, and a line.
+
+    Lines count up within a split, from any start; they hold for one evaluation, so the
+    rows are to be written before they are looked at again.
+    """
+    place = [
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_source_file_name"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"),
+    ]
+    parts = []
+    for columns, files in _headers(spark, paths):
+        cells = [blank_to_null(F.col(f"`{c}`")).alias(c) for c in columns]
+        rows = _rows(spark, columns, files, multi_line).select(*cells, *place)
+        named = {c.strip().lower(): c for c in columns}
+        parts.append(
+            rows.select(
+                *[
+                    (F.col(f"`{named[n]}`") if n in named else F.lit(None)).cast("string").alias(n)
+                    for n in raw_columns(table)
+                ],
+                "_path", "_source_file_name", "_block", "_line",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rejected_rows(
     spark: SparkSession, folder: str, table: str, multi_line: bool = False
 ) -> DataFrame:

@@ -1309,6 +1309,11 @@ ORACLES["rejected_lines"] = """
                || CASE WHEN p_partkey % 5 <> 0 THEN ',' || p_brand ELSE '' END
                || CASE WHEN p_partkey % 7 = 0 THEN ',surplus' ELSE '' END AS line
     FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0)"""
+ORACLES["second_load"] = """
+    SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name,
+           CAST(CASE p_partkey % 3 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS load_number,
+           row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS row_number
+    FROM part"""
 ORACLES["ingest_work_centers"] = sql(
     """
     SELECT work_center_id, work_center_code, work_center_name,

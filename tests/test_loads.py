@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.plans import document_load, golden, metrics
+from granary.sources import load_ledger
 
 
 @pytest.fixture
@@ -141,3 +142,56 @@ def test_metrics_of_another_table_read_its_own_rows(tables):
     assert {(r.scenario_code, Decimal(r.revenue)) for r in rows} == {
         (r.scenario_code, Decimal(r.total_forecasted_revenue)) for r in facts
     }
+
+
+def _file(folder, name, rows, header="site_id,site_name"):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join([header, *rows]) + "\n")
+
+
+def _loads(spark, root):
+    rows = load_ledger.read_loads(spark, root, "site").collect()
+    return sorted((r.number, r._source_file_name, r._source_file_row_number, r.site_id, r.site_name) for r in rows)
+
+
+def test_only_new_or_changed_files_are_loaded(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "raw")
+    _file(folder, "a_sites.csv", ["1,x", "2,y", "2,y"])
+    _file(folder, "b_sites.csv", ["z,3"], "SITE_NAME,SITE_ID")
+    assert _loads(spark, root) == []
+    assert load_ledger.load_new_files(spark, str(folder), root, "site").count() == 2
+    first = [(1, "a_sites.csv", k, i, n) for k, i, n in ((1, "1", "x"), (2, "2", "y"), (3, "2", "y"))]
+    first.append((1, "b_sites.csv", 1, "3", "z"))
+    assert _loads(spark, root) == first
+    assert load_ledger.load_new_files(spark, str(folder), root, "site").count() == 0
+    _file(folder, "a_sites.csv", ["1,x", "2,w"])
+    assert load_ledger.load_new_files(spark, str(folder), root, "site").count() == 1
+    second = [(2, "a_sites.csv", 1, "1", "x"), (2, "a_sites.csv", 2, "2", "w")]
+    assert _loads(spark, root) == first + second
+    assert load_ledger.load_new_files(spark, str(folder), root, "site", force=True).count() == 2
+    assert len(_loads(spark, root)) == 9
+
+
+def test_rows_are_numbered_over_all_splits_of_a_file(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "raw")
+    _file(folder, "a_sites.csv", [f"{k},{'n' * (k % 50)}" for k in range(1, 3001)])
+    _file(folder, "b_sites.csv", [f"{k},b" for k in range(1, 20)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        load_ledger.load_new_files(spark, str(folder), root, "site")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = load_ledger.read_loads(spark, root, "site")
+    assert rows.where("site_id != _source_file_row_number").count() == 0 and rows.count() == 3019
+
+
+def test_a_load_that_fails_is_not_seen(spark, tmp_path, monkeypatch):
+    folder, root = tmp_path / "in", str(tmp_path / "raw")
+    _file(folder, "a_sites.csv", ["1,x"])
+    with monkeypatch.context() as broken:
+        broken.setattr(load_ledger.raw_csv, "placed_rows", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            load_ledger.load_new_files(spark, str(folder), root, "site")
+    assert _loads(spark, root) == []
+    load_ledger.load_new_files(spark, str(folder), root, "site")
+    assert len(_loads(spark, root)) == 1
