@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -930,6 +931,17 @@ def stream_kpis_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(kpi_deltas.read_followed_kpis(spark, root, as_of()))
 
 
+#: Batches in which the documents of a search stream arrive.
+ARRIVALS = 3
+
+
+def _arriving(rows: DataFrame, splits: int, folder: str, *keys: str) -> DataFrame:
+    """The rows as files, one per split and batch, and the stream of their batches."""
+    rows.repartition(ARRIVALS * splits, *keys).write.parquet(folder)
+    stream = rows.sparkSession.readStream.schema(rows.schema)
+    return stream.option("maxFilesPerTrigger", splits).parquet(folder)
+
+
 @query
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search over an index built from a stream of documents."""
@@ -937,12 +949,7 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_driver_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"), "text"
     )
-    docs.repartition(3, "document_id").write.parquet(f"{root}/incoming")
-    stream = (
-        spark.readStream.schema(docs.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{root}/incoming")
-    )
+    stream = _arriving(docs, docs.rdd.getNumPartitions(), f"{root}/incoming", "document_id")
     index_stream(stream, root, f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
     hits = search_stored(spark, root, _benchmark_queries(spark, sf_dir))
     return hits.select("query_id", "rank", "chunk_id", "score")
@@ -968,13 +975,9 @@ def _updated_index(spark: SparkSession, sf_dir: str) -> str:
         {"document_id": F.concat(F.lit("old"), "document_id"), "version": F.lit(1)}
     )
     gone = withdrawn.withColumns({"version": F.lit(2), "deleted": F.lit(True)})
-    sent = final.unionByName(draft).unionByName(withdrawn).unionByName(gone)
-    sent.repartition(3).write.parquet(f"{root}/incoming")
-    stream = (
-        spark.readStream.schema(spark.read.parquet(f"{root}/incoming").schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{root}/incoming")
-    )
+    sent = [final, draft, withdrawn, gone]
+    splits = len(sent) * docs.rdd.getNumPartitions()
+    stream = _arriving(reduce(DataFrame.unionByName, sent), splits, f"{root}/incoming")
     index_stream(
         stream, root, f"{root}/checkpoint", {"availableNow": True},
         attributes=("relative_path", "document_type", "vendor_name", "region"),
