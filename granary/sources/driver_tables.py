@@ -20,6 +20,8 @@ from granary.constants import BASELINE, FISCAL_MONTHS, PLAN_YEAR, Q4_PUSH
 from granary.schemas import columns_of
 from granary.sources.tables import PlanningTables
 
+#: Sold lines per task where prices and scenarios multiply them.
+LINES_PER_TASK = 250_000
 AS_OF = "2024-09-01 00:00:00"
 EARLIER = "2024-06-01 00:00:00"
 
@@ -268,13 +270,19 @@ def demand_forecast_versions(
     """Monthly sales scaled by each scenario's factors.
 
     The sales are summed before they meet the prices, so that a best-seller
-    reaches the join as a few rows per task; the rules are a fixed array.
+    reaches the join as a few rows per task; the rules are a fixed array. The
+    sums are small when shuffled and large in an aggregate's memory, so their
+    partitions follow the number of lines, not the shuffled bytes.
     """
+    lines = lineitem.count()  # Parquet footers alone are read
+    parallel = lineitem.sparkSession.sparkContext.defaultParallelism
+    parts = max(parallel, -(-lines // LINES_PER_TASK))
     prices = part.selectExpr(
         "p_partkey AS product_id", "CAST(p_retailprice AS DECIMAL(18,4)) AS unit_revenue"
     )
     rows = (
         monthly_sales(lineitem, supplier)
+        .repartition(parts, "product_id")
         .join(prices, "product_id")
         .selectExpr("*", f"explode({DEMAND_RULES}) AS rule")
         .selectExpr(

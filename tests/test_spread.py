@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary import registry
+from granary.sources import driver_tables as driver
 
 
 def test_arriving_documents_are_many_files_in_three_batches(spark, tmp_path):
@@ -22,3 +23,18 @@ def test_arriving_documents_are_many_files_in_three_batches(spark, tmp_path):
     assert len(batches) == registry.ARRIVALS
     assert sorted(i for ids in batches for i in ids) == list(range(1000))
     assert max(map(len, batches)) < 500
+
+
+def test_forecasts_are_spread_by_the_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(driver, "LINES_PER_TASK", 50)
+    lineitem = spark.range(2000).selectExpr(
+        "id AS l_orderkey", "id % 400 AS l_partkey", "id % 10 AS l_suppkey", "2.0D AS l_quantity",
+        "TIMESTAMP_NTZ'2024-01-15 00:00:00' AS l_shipdate",
+    )
+    supplier = spark.range(10).selectExpr("id AS s_suppkey", "CAST(id % 5 AS INT) AS s_nationkey")
+    part = spark.range(400).selectExpr("id AS p_partkey", "3.0D AS p_retailprice")
+    found = driver.demand_forecast_versions(lineitem, supplier, part)
+    parts = found.select(F.spark_partition_id().alias("part"), "product_id", "forecast_quantity", "scenario_id")
+    sizes = parts.groupBy("part").agg(F.countDistinct("product_id").alias("products")).collect()
+    assert len(sizes) > 30 and sum(r.products for r in sizes) == 400
+    assert parts.where("scenario_id = 1").agg(F.sum("forecast_quantity")).first()[0] == 4000
