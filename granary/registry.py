@@ -919,15 +919,12 @@ def stream_kpis_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The KPI table that follows inserts, updates and deletes of every base table."""
     root = scratch_path(spark, "kpi-changes")
     for changes in _base_changes(driver_tables(spark, sf_dir)):
-        changes.coalesce(1).write.mode("append").parquet(f"{root}/incoming")
-    stream = (
-        spark.readStream.schema(spark.read.parquet(f"{root}/incoming").schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{root}/incoming")
-    )
-    kpi_deltas.change_stream(
-        stream, root, f"{root}/checkpoint", {"availableNow": True}
-    ).awaitTermination()
+        # What has landed since the last run of the stream is one batch, in any number of files.
+        changes.write.mode("append").parquet(f"{root}/incoming")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{root}/incoming")
+        kpi_deltas.change_stream(
+            stream, root, f"{root}/checkpoint", {"availableNow": True}
+        ).awaitTermination()
     return present(kpi_deltas.read_followed_kpis(spark, root, as_of()))
 
 
