@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary import registry
+from granary.plans import quality
 from granary.sources import driver_tables as driver
 
 
@@ -38,3 +41,20 @@ def test_forecasts_are_spread_by_the_number_of_lines(spark, monkeypatch):
     sizes = parts.groupBy("part").agg(F.countDistinct("product_id").alias("products")).collect()
     assert len(sizes) > 30 and sum(r.products for r in sizes) == 400
     assert parts.where("scenario_id = 1").agg(F.sum("forecast_quantity")).first()[0] == 4000
+
+
+def test_golden_checks_of_forecasts_shuffle_no_forecast_again(spark, capsys):
+    lineitem = spark.range(100).selectExpr(
+        "id AS l_orderkey", "id % 20 AS l_partkey", "id % 10 AS l_suppkey", "2.0D AS l_quantity",
+        "TIMESTAMP_NTZ'2024-01-15 00:00:00' AS l_shipdate",
+    )
+    supplier = spark.range(10).selectExpr("id AS s_suppkey", "CAST(id % 5 AS INT) AS s_nationkey")
+    part = spark.range(20).selectExpr("id AS p_partkey", "3.0D AS p_retailprice")
+    rows = driver.demand_forecast_versions(lineitem, supplier, part).select(
+        "product_id", "site_id", "forecast_quantity"
+    )
+    compared = quality.row_differences(rows, rows)
+    assert compared.isEmpty()
+    compared.explain()
+    shuffled = re.findall(r"hashpartitioning\((.*?)\)", capsys.readouterr().out)
+    assert shuffled and not any("forecast_quantity" in keys for keys in shuffled)
