@@ -673,12 +673,12 @@ def ingest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage(folder: str, table: str, rows: DataFrame) -> None:
-    """A table as two text files whose headers differ in order and case."""
+    """A table as two compressed text files whose headers differ in order and case."""
     key = F.col(next(iter(ATOMIC[table])))
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in ATOMIC[table]])
     turned = [F.col(c).alias(c.upper()) for c in reversed(text.columns)]
     for name, part in (("a", text.where(key % 2 == 0)), ("b", text.where(key % 2 != 0).select(*turned))):
-        part.write.option("header", True).option("escape", '"').csv(
+        part.write.option("header", True).option("escape", '"').option("compression", "snappy").csv(
             f"{folder}/{name}_{RAW_FILES[table]}"
         )
 

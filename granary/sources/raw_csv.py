@@ -17,18 +17,25 @@ METADATA_DDL = ", ".join(f"{n} {k}" for n, k in zip(RAW_METADATA, _METADATA_TYPE
 _BAD = "_corrupt_record"
 
 
-def _headers(spark: SparkSession, pattern: str | list[str]) -> list[tuple[list[str], list[str]]]:
-    """Column names and paths of the files that match, one entry per header.
+def _first_lines(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """``path, header``: the first line of every file that matches and isn't empty.
 
-    First lines are found by one aggregate over the first split of each file.
+    Lines are looked for in the first split of each file: once for their place
+    alone, which an aggregate holds as a number, and once for their text.
     """
     lines = spark.read.text(pattern).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
         "value",
-    )
-    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    ).where("start = 0")
+    places = lines.groupBy("path").agg(F.min("line").alias("line"))  # one row per file
+    return lines.join(F.broadcast(places), ["path", "line"]).select("path", F.col("value").alias("header"))
+
+
+def _headers(spark: SparkSession, pattern: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """Column names and paths of the files that match, one entry per header."""
+    first = _first_lines(spark, pattern)
     groups = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return [
         (spark.read.option("header", True).option("escape", '"').csv(row["paths"][0]).columns, row["paths"])

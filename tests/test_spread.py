@@ -6,9 +6,15 @@ import re
 
 from pyspark.sql import functions as F
 
+from conftest import SF_DIR, table
+
 from granary import registry
-from granary.plans import quality
+from granary.constants import DEFAULT_STORAGE_RATE
+from granary.functions.numbers import dec, storage_cost
+from granary.plans import mart, quality
 from granary.sources import driver_tables as driver
+from granary.sources import raw_csv
+from granary.sources.tables import PlanningTables
 
 
 def test_arriving_documents_are_many_files_in_three_batches(spark, tmp_path):
@@ -58,3 +64,30 @@ def test_golden_checks_of_forecasts_shuffle_no_forecast_again(spark, capsys):
     compared.explain()
     shuffled = re.findall(r"hashpartitioning\((.*?)\)", capsys.readouterr().out)
     assert shuffled and not any("forecast_quantity" in keys for keys in shuffled)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_text_is_compressed_and_read_whole(spark, tmp_path):
+    rows = table(spark, "site", [{"site_id": k, "site_code": f"S-{k}", "site_name": 'a "b", c'} for k in range(1, 6)])
+    registry._stage(str(tmp_path), "site", rows)
+    files = [p for p in tmp_path.rglob("part-*")]
+    assert files and all(p.name.endswith(".csv.snappy") for p in files)
+    raw = raw_csv.load_raw(spark, str(tmp_path), "site")
+    assert sorted((r.site_id, r.site_code, r.site_name) for r in raw.collect()) == [
+        (str(k), f"S-{k}", 'a "b", c') for k in range(1, 6)
+    ]
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    for name, header in (("a", "z,y"), ("b", "b,a"), ("c", "z,y")):
+        (tmp_path / f"{name}_x.csv").write_text(header + "\n" + "0,0\n" * 50)
+    (tmp_path / "d_x.csv").write_text("")
+    found = raw_csv._headers(spark, f"{tmp_path}/*x.csv")
+    assert [(c, [p[-7:] for p in paths]) for c, paths in found] == [
+        (["b", "a"], ["b_x.csv"]), (["z", "y"], ["a_x.csv", "c_x.csv"])
+    ]
+    plan = _plan(raw_csv._first_lines(spark, f"{tmp_path}/*x.csv"))
+    assert "SortAggregate" not in plan and "Sort " not in plan
