@@ -199,7 +199,7 @@ over_tables("submit_version_receipt", lambda t: _submit(t).receipt)
 @query
 def submit_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The write-back fed with JSON arrays of one or two elements, some of them null."""
-    t = driver_tables(spark, sf_dir)
+    t = driver_tables(spark, sf_dir, store_sales=True)
     line = F.struct(
         F.col("l_partkey").alias("PRODUCT_ID"),
         (F.col("l_suppkey") % 25).alias("SITE_ID"),
@@ -470,7 +470,7 @@ over_tables("expectations", quality.run_expectations, expectations=EXPECTATIONS)
 @query
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All declared constraints, on tables with some broken rows mixed in."""
-    t = driver_tables(spark, sf_dir)
+    t = driver_tables(spark, sf_dir, store_sales=True)
     forecasts = t.demand_forecast_versions
     broken = forecasts.where(F.col("site_id") == 3).withColumns(
         {
@@ -486,7 +486,7 @@ def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def golden_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result against itself, against a changed copy, and without a target."""
-    t = driver_tables(spark, sf_dir)
+    t = driver_tables(spark, sf_dir, store_sales=True)
     rows = t.demand_forecast_versions.select("product_id", "site_id", "forecast_quantity")
     changed = rows.withColumn(
         "forecast_quantity",
@@ -504,7 +504,7 @@ def golden_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def golden_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden and verified queries against stored results, one altered, one never stored."""
-    t = driver_tables(spark, sf_dir)
+    t = driver_tables(spark, sf_dir, store_sales=True)
     named = {
         "warehousing_cost_by_scenario_october": metrics.warehousing_cost_october(t),
         "margin_impact_q4_push": metrics.margin_percentages(t),
@@ -757,7 +757,7 @@ QUERIES["ingest_inventory"] = _ingest("inventory_balance", "scale0")
 
 def _stage_all(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_path(spark, "stage")
-    t = driver_tables(spark, sf_dir)
+    t = driver_tables(spark, sf_dir, store_sales=True)
     for table in RAW_FILES:
         _stage(folder, table, _current(t, table))
     return folder
@@ -870,7 +870,7 @@ def stream_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_kpis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The KPI table of every scenario: one is submitted anew, then all rates rise."""
     root = scratch_path(spark, "kpis")
-    t = driver_tables(spark, sf_dir)
+    t = driver_tables(spark, sf_dir, store_sales=True)
     refresh_all_kpis(spark, t, root, as_of())
     pushed = _submission_stream(spark, sf_dir).where(F.col("scenario_id") == 2)
     kpi_stream(
@@ -918,7 +918,7 @@ def _base_changes(t: PlanningTables) -> list[DataFrame]:
 def stream_kpis_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The KPI table that follows inserts, updates and deletes of every base table."""
     root = scratch_path(spark, "kpi-changes")
-    for changes in _base_changes(driver_tables(spark, sf_dir)):
+    for changes in _base_changes(driver_tables(spark, sf_dir, store_sales=True)):
         # What has landed since the last run of the stream is one batch, in any number of files.
         changes.write.mode("append").parquet(f"{root}/incoming")
         stream = spark.readStream.schema(changes.schema).parquet(f"{root}/incoming")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.constants import BASELINE, FISCAL_MONTHS, PLAN_YEAR, Q4_PUSH
+from granary.operators.durable import written
 from granary.schemas import columns_of
 from granary.sources.tables import PlanningTables
 
@@ -265,7 +266,7 @@ def monthly_sales(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 def demand_forecast_versions(
-    lineitem: DataFrame, supplier: DataFrame, part: DataFrame
+    lineitem: DataFrame, supplier: DataFrame, part: DataFrame, store_sales: bool = False
 ) -> DataFrame:
     """Monthly sales scaled by each scenario's factors.
 
@@ -273,6 +274,8 @@ def demand_forecast_versions(
     reaches the join as a few rows per task; the rules are a fixed array. The
     sums are small when shuffled and large in an aggregate's memory, so their
     partitions follow the number of lines, not the shuffled bytes.
+    ``store_sales`` writes the sums to the shared folder, so that whoever reads
+    the forecasts several times sums the line items once.
     """
     lines = lineitem.count()  # Parquet footers alone are read
     parallel = lineitem.sparkSession.sparkContext.defaultParallelism
@@ -280,9 +283,11 @@ def demand_forecast_versions(
     prices = part.selectExpr(
         "p_partkey AS product_id", "CAST(p_retailprice AS DECIMAL(18,4)) AS unit_revenue"
     )
+    sales = monthly_sales(lineitem, supplier)
+    if store_sales:
+        sales = written(sales, "sales")
     rows = (
-        monthly_sales(lineitem, supplier)
-        .repartition(parts, "product_id")
+        sales.repartition(parts, "product_id")
         .join(prices, "product_id")
         .selectExpr("*", f"explode({DEMAND_RULES}) AS rule")
         .selectExpr(
@@ -328,8 +333,11 @@ def inventory_balance(part: DataFrame) -> DataFrame:
     return _shape(rows, "inventory_balance")
 
 
-def driver_tables(spark: SparkSession, sf_dir: str) -> PlanningTables:
-    """All nine planning tables as lazy DataFrames over the given Parquet."""
+def driver_tables(spark: SparkSession, sf_dir: str, store_sales: bool = False) -> PlanningTables:
+    """All nine planning tables as lazy DataFrames over the given Parquet.
+
+    ``store_sales`` is for queries that read the forecasts more than once.
+    """
 
     @cache
     def read(name: str) -> DataFrame:
@@ -343,7 +351,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> PlanningTables:
         warehouse_zone=lambda: warehouse_zone(read("nation")),
         scenario_definition=lambda: scenario_definition(spark, read("region")),
         demand_forecast_versions=lambda: demand_forecast_versions(
-            read("lineitem"), read("supplier"), read("part")
+            read("lineitem"), read("supplier"), read("part"), store_sales
         ),
         logistics_cost_fact=lambda: logistics_cost_fact(read("nation")),
         inventory_balance=lambda: inventory_balance(read("part")),

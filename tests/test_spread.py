@@ -91,3 +91,26 @@ def test_headers_are_found_without_sorting_lines(spark, tmp_path):
     ]
     plan = _plan(raw_csv._first_lines(spark, f"{tmp_path}/*x.csv"))
     assert "SortAggregate" not in plan and "Sort " not in plan
+
+
+def test_stored_sales_are_summed_once_and_give_the_same_forecasts(spark):
+    once = driver.driver_tables(spark, SF_DIR).demand_forecast_versions
+    stored = driver.driver_tables(spark, SF_DIR, store_sales=True).demand_forecast_versions
+    assert "l_quantity" in _plan(once) and "l_quantity" not in _plan(stored)
+    assert stored.count() and quality.row_differences(stored, once).isEmpty()
+
+
+def test_queries_that_read_forecasts_often_sum_the_lines_once(spark, monkeypatch):
+    sums, monthly = [], driver.monthly_sales
+
+    def counted(lineitem, supplier):
+        sums.append(1)
+        return monthly(lineitem, supplier)
+
+    asked, stored = driver.monthly_sales, []
+    monkeypatch.setattr(driver, "monthly_sales", counted)
+    monkeypatch.setattr(driver, "written", lambda df, name, keep=driver.written: stored.append(name) or keep(df, name))
+    for name in ("constraint_report", "golden_checks"):
+        plan = _plan(registry.QUERIES[name](spark, SF_DIR))
+        assert "l_quantity" not in plan
+    assert len(sums) == 2 and stored == ["sales", "sales"] and asked is monthly
