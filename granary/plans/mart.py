@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from granary.plans.lines import (
 from granary.sources.tables import PlanningTables
 
 _RATE = "storage_cost_per_pallet_per_day"
+#: Rates of a site that the KPI table prices in one line.
+RATES_IN_ROW = 4
 
 COMPARISON_COLUMNS = (
     "scenario_id",
@@ -87,28 +91,32 @@ def scenario_kpis(
 ) -> DataFrame:
     """Headline figures per scenario, in one pass over the forecasts.
 
-    The rates of a site are an array in its one row, and the storage cost is
-    summed inside the line, so that no line repeats per rate.
+    The rates of a site lie side by side in a row, and the storage cost is summed
+    inside the line, so that a line repeats only once per ``RATES_IN_ROW`` rates.
     """
     default = dec(DEFAULT_STORAGE_RATE)
+    place = F.row_number().over(Window.partitionBy("site_id").orderBy(_RATE)) - 1
     rates = (
         cost_profile(t.logistics_cost_fact, (_RATE,), cost_grain)
-        .withColumn(_RATE, F.coalesce(F.col(_RATE), default))
-        .groupBy("site_id")
+        .withColumns({_RATE: F.coalesce(F.col(_RATE), default), "_row": F.floor(place / RATES_IN_ROW)})
+        .groupBy("site_id", "_row")
         .agg(
             F.collect_list(F.struct(F.col(_RATE).alias("rate"), "copies")).alias("_rates"),
             F.sum("copies").alias("copies"),
         )
+        .drop("_row")
     )
     quantity = F.col("forecast_quantity")
 
-    def add(total: Column, r: Column) -> Column:
-        return (total + storage_cost(quantity, r["rate"]) * r["copies"]).cast("decimal(38,2)")
+    def cost(k: int) -> Column:
+        """Of the row's rate at a place; the default where a site has none."""
+        r = F.get("_rates", F.lit(k))
+        absent = F.lit(0) if k else storage_cost(quantity, default)
+        known = storage_cost(quantity, r["rate"]) * r["copies"]
+        return F.when(r.isNull(), absent.cast("decimal(38,2)")).otherwise(known.cast("decimal(38,2)"))
 
-    none = F.lit("0").cast("decimal(38,2)")
-    stored = F.coalesce(
-        F.aggregate("_rates", none, add), storage_cost(quantity, default).cast("decimal(38,2)")
-    )
+    # Written out, for a lambda over the array would not be compiled.
+    stored = reduce(lambda x, y: (x + y).cast("decimal(38,2)"), map(cost, range(RATES_IN_ROW)))
     sums = (
         dimension_lines(t)
         .join(rates, "site_id", "left")

@@ -114,3 +114,30 @@ def test_queries_that_read_forecasts_often_sum_the_lines_once(spark, monkeypatch
         plan = _plan(registry.QUERIES[name](spark, SF_DIR))
         assert "l_quantity" not in plan
     assert len(sums) == 2 and stored == ["sales", "sales"] and asked is monthly
+
+
+def test_kpis_price_any_number_of_rates_in_compiled_code(spark):
+    rates = [f"{k}.0{k}" for k in range(1, 10)] + ["3.03", None]
+    dimensions = {
+        "scenario_definition": [{"scenario_id": 1, "scenario_code": "BASELINE", "scenario_name": None}],
+        "product": [{"product_id": 1, "unit_cost": "2"}],
+        "product_category": [],
+        "site": [{"site_id": s} for s in (1, 2)],
+        "logistics_cost_fact": [
+            {"logistics_cost_id": k, "site_id": 1, "storage_cost_per_pallet_per_day": r} for k, r in enumerate(rates)
+        ],
+        "demand_forecast_versions": [
+            {"demand_forecast_id": k, "scenario_id": 1, "product_id": 1, "site_id": s, "forecast_quantity": q,
+             "total_revenue": "7"}
+            for k, (s, q) in enumerate([(1, "10.3333"), (1, "-0.0050"), (2, "3.7"), (1, None)])
+        ],
+    }
+    t = PlanningTables(**{name: table(spark, name, body) for name, body in dimensions.items()})
+    kpis = mart.scenario_kpis(t, as_of=driver.as_of())
+    assert "lambda" not in _plan(kpis)
+    rate = F.coalesce("storage_cost_per_pallet_per_day", dec(DEFAULT_STORAGE_RATE))
+    wanted = mart.scenario_comparison(t).select(
+        F.sum(storage_cost(F.col("forecast_quantity"), rate)), F.sum("forecast_quantity"), F.sum("total_revenue")
+    ).first()
+    found = kpis.select("total_warehousing_cost", "total_forecast_quantity", "total_forecasted_revenue").first()
+    assert tuple(found) == tuple(wanted)
