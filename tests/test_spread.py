@@ -141,3 +141,15 @@ def test_kpis_price_any_number_of_rates_in_compiled_code(spark):
     ).first()
     found = kpis.select("total_warehousing_cost", "total_forecast_quantity", "total_forecasted_revenue").first()
     assert tuple(found) == tuple(wanted)
+
+
+def test_submitted_json_is_parsed_once(spark, monkeypatch):
+    stored = []
+
+    def keep(df, name, write=registry.written):
+        stored.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(registry, "written", keep)
+    assert registry.QUERIES["submit_json_payload"](spark, SF_DIR).count()
+    assert stored == ["updates"]
