@@ -247,10 +247,19 @@ def scenario_definition(spark: SparkSession, region: DataFrame) -> DataFrame:
     return _shape(rows, "scenario_definition")
 
 
+def line_tasks(lineitem: DataFrame) -> int:
+    """Tasks for work whose memory follows the number of lines, not the shuffled bytes."""
+    lines = lineitem.count()  # Parquet footers alone are read
+    return max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-lines // LINES_PER_TASK))
+
+
 def monthly_sales(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """Units sold per product, nation and fiscal month (July to December).
 
-    Every line item counts: January to June fall on July to December too.
+    Every line item counts: January to June fall on July to December too. Few lines
+    share a product, nation and month, so sums of an input split or of coalesced
+    partitions would hold nearly a row per line: the lines are spread by product
+    first, and each task sums its own.
     """
     return (
         lineitem.join(supplier, F.expr("l_suppkey = s_suppkey"))
@@ -260,6 +269,7 @@ def monthly_sales(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
             "(month(l_shipdate) - 1) % 6 + 7 AS m",
             "CAST(l_quantity AS DECIMAL(8,2)) AS sold",
         )
+        .repartition(line_tasks(lineitem), "product_id")
         .groupBy("product_id", "site_id", "m")
         .agg(F.expr("CAST(sum(sold) AS DECIMAL(14,2)) AS units"))
     )
@@ -271,24 +281,19 @@ def demand_forecast_versions(
     """Monthly sales scaled by each scenario's factors.
 
     The sales are summed before they meet the prices, so that a best-seller
-    reaches the join as a few rows per task; the rules are a fixed array. The
-    sums are small when shuffled and large in an aggregate's memory, so their
-    partitions follow the number of lines, not the shuffled bytes.
-    ``store_sales`` writes the sums to the shared folder, so that whoever reads
-    the forecasts several times sums the line items once.
+    reaches the join as a few rows per task; the rules are a fixed array. They
+    stay where they were summed, by product. ``store_sales`` writes the sums to
+    the shared folder, so that whoever reads the forecasts several times sums
+    the line items once; read back, they are spread by product again.
     """
-    lines = lineitem.count()  # Parquet footers alone are read
-    parallel = lineitem.sparkSession.sparkContext.defaultParallelism
-    parts = max(parallel, -(-lines // LINES_PER_TASK))
     prices = part.selectExpr(
         "p_partkey AS product_id", "CAST(p_retailprice AS DECIMAL(18,4)) AS unit_revenue"
     )
     sales = monthly_sales(lineitem, supplier)
     if store_sales:
-        sales = written(sales, "sales")
+        sales = written(sales, "sales").repartition(line_tasks(lineitem), "product_id")
     rows = (
-        sales.repartition(parts, "product_id")
-        .join(prices, "product_id")
+        sales.join(prices, "product_id")
         .selectExpr("*", f"explode({DEMAND_RULES}) AS rule")
         .selectExpr(
             "((product_id * 32 + site_id) * 16 + m) * 4 + rule.place AS demand_forecast_id",

@@ -49,6 +49,24 @@ def test_forecasts_are_spread_by_the_number_of_lines(spark, monkeypatch):
     assert parts.where("scenario_id = 1").agg(F.sum("forecast_quantity")).first()[0] == 4000
 
 
+def test_sales_are_summed_where_the_lines_of_a_product_lie(spark, monkeypatch, capsys):
+    monkeypatch.setattr(driver, "LINES_PER_TASK", 50)
+    lineitem = spark.range(2000).selectExpr(
+        "id AS l_orderkey", "nullif(id % 400, 7) AS l_partkey", "nullif(id % 10, 3) AS l_suppkey",
+        "if(id = 11, NULL, 2.0D) AS l_quantity", "TIMESTAMP_NTZ'2024-01-15 00:00:00' AS l_shipdate",
+    )
+    supplier = spark.range(10).selectExpr("id AS s_suppkey", "nullif(CAST(id % 5 AS INT), 4) AS s_nationkey")
+    sales = driver.monthly_sales(lineitem, supplier)
+    placed = sales.select(F.spark_partition_id().alias("part"), "product_id").distinct().collect()
+    assert len({r.part for r in placed}) > 30 and len(placed) == len({r.product_id for r in placed}) == 360
+    found = {(r.product_id, r.site_id, r.m): r.units for r in sales.collect()}
+    assert found[(None, 2, 7)] == 10 and found[(9, None, 7)] == 10 and found[(11, 1, 7)] == 8
+    part = spark.range(400).selectExpr("id AS p_partkey", "3.0D AS p_retailprice")
+    driver.demand_forecast_versions(lineitem, supplier, part).explain()
+    shuffled = re.findall(r"hashpartitioning\((product_id.*?)\)", capsys.readouterr().out)
+    assert len(shuffled) == 1 and "site_id" not in shuffled[0]
+
+
 def test_golden_checks_of_forecasts_shuffle_no_forecast_again(spark, capsys):
     lineitem = spark.range(100).selectExpr(
         "id AS l_orderkey", "id % 20 AS l_partkey", "id % 10 AS l_suppkey", "2.0D AS l_quantity",
