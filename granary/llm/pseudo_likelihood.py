@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ class WordIds:
     """
 
     def __init__(self) -> None:
-        self.memory: dict[bytes, int] = {}
+        self.memory = _Places()
         self.keys = np.empty(1 << 12, dtype=np.int64)
 
     def __call__(self, data: bytes | None) -> np.ndarray:
@@ -50,26 +51,32 @@ class WordIds:
 
     def places(self, data: bytes | None) -> np.ndarray:
         """Places of a text's words in the memory, for as long as it isn't cleared."""
-        words = (data or b"").lower().split()
-        places = list(map(self.memory.get, words))
-        if None in places:
-            first, fresh = len(self.memory), []
-            for k, known in enumerate(places):
-                if known is None:
-                    places[k] = at = self.memory.setdefault(words[k], len(self.memory))
-                    if at == first + len(fresh):
-                        fresh.append(word_key(words[k]))
-            self.keys = lengthened(self.keys, first + len(fresh))
-            self.keys[first : first + len(fresh)] = np.array(fresh, dtype=np.uint64).view(np.int64)
-        return np.array(places, dtype=np.int64)
+        words, first = (data or b"").lower().split(), len(self.memory)
+        places = np.fromiter(map(self.memory.__getitem__, words), dtype=np.int64, count=len(words))
+        fresh = len(self.memory) - first
+        if fresh:
+            new = list(islice(reversed(self.memory), fresh))[::-1]
+            self.keys = lengthened(self.keys, first + fresh)
+            self.keys[first : first + fresh] = word_keys(new).view(np.int64)
+        return places
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         return (self.keys[places] & (PAD - 1)).astype(np.int32)
 
 
-def word_key(word: bytes) -> int:
-    """Unsigned 64 bits of a word: 52 of XXH3, and its id."""
-    return xxhash.xxh3_64_intdigest(word) >> 12 << 12 | zlib.crc32(word) % PAD
+class _Places(dict):
+    """Places of words, a new one for a word not met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Unsigned 64 bits of each word: 52 of XXH3, and its id."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    ids = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) % np.uint64(PAD)
+    return hashes >> np.uint64(12) << np.uint64(12) | ids
 
 
 def lengthened(values: np.ndarray, least: int) -> np.ndarray:
@@ -86,6 +93,7 @@ class Network:
     flat: np.ndarray
 
     def __post_init__(self) -> None:
+        self._rooms: dict[str, np.ndarray] = {}
         at = 0
         for name, shape in _SHAPES.items():
             size = int(np.prod(shape))
@@ -106,9 +114,13 @@ class Network:
         return net
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = self.embed[context].reshape(len(context), -1)
-        inner = np.empty((len(context), HIDDEN + 1), dtype=np.float32)
-        inner[:, :HIDDEN] = np.tanh(seen @ self.into + self.bias)
+        n = len(context)
+        seen = self._room("seen", n, 2 * REACH * EMBEDDING)
+        np.take(self.embed, context, axis=0, out=seen.reshape(n, 2 * REACH, EMBEDDING), mode="clip")
+        sums = np.matmul(seen, self.into, out=self._room("sums", n, HIDDEN))
+        sums += self.bias
+        inner = self._room("inner", n, HIDDEN + 1)
+        inner[:, :HIDDEN] = np.tanh(sums, out=sums)
         inner[:, HIDDEN] = 1
         return seen, inner
 
@@ -116,10 +128,8 @@ class Network:
         """log p(target | both sides) of each row."""
         order, klass, member, runs = _by_class(target)
         _, inner = self.hidden(context[order])
-        sure = _log_softmax(inner @ self.klass)[np.arange(len(order)), klass]
-        for first, end in runs:
-            logits = _log_softmax(inner[first:end] @ self.member[klass[first]])
-            sure[first:end] += logits[np.arange(end - first), member[first:end]]
+        sure = _log_share(self._class_logits(inner), klass)
+        sure += _log_share(self._member_logits(inner, klass, runs), member)
         found = np.empty(len(order))
         found[order] = sure
         return found
@@ -128,40 +138,81 @@ class Network:
         """Of the mean negative log probability."""
         out = Network(np.zeros_like(self.flat))
         order, klass, member, runs = _by_class(target)
-        context, n = context[order], np.float32(len(order))
+        context, n = context[order], len(order)
         seen, inner = self.hidden(context)
-        error = _softmax(inner @ self.klass)
-        error[np.arange(len(order)), klass] -= 1
-        error /= n
-        out.klass[:] = inner.T @ error
-        back = error @ self.klass.T
+        error = _error(self._class_logits(inner), klass)
+        np.matmul(inner.T, error, out=out.klass)
+        back = np.matmul(error, self.klass.T, out=self._room("back", n, HIDDEN + 1))
+        error = _error(self._member_logits(inner, klass, runs), member)
         for first, end in runs:
-            own, weights = inner[first:end], self.member[klass[first]]
-            error = _softmax(own @ weights)
-            error[np.arange(end - first), member[first:end]] -= 1
-            error /= n
-            out.member[klass[first]] = own.T @ error
-            back[first:end] += error @ weights.T
-        back = back[:, :HIDDEN] * (1 - inner[:, :HIDDEN] ** 2)
+            own = error[first:end]
+            np.matmul(inner[first:end].T, own, out=out.member[klass[first]])
+            back[first:end] += own @ self.member[klass[first]].T
+        slope = np.square(inner[:, :HIDDEN], out=self._room("sums", n, HIDDEN))
+        np.subtract(1, slope, out=slope)
+        back = np.multiply(back[:, :HIDDEN], slope, out=slope)
         out.into[:], out.bias[:] = seen.T @ back, back.sum(axis=0)
         words, places = context.reshape(-1), np.argsort(context.astype(np.uint16), axis=None, kind="stable")
-        firsts = np.flatnonzero(np.diff(words[places], prepend=-1))
-        steps = (back @ self.into.T).reshape(-1, EMBEDDING)[places]
-        out.embed[words[places][firsts]] = np.add.reduceat(steps, firsts, axis=0)
+        words = words[places]
+        firsts = np.flatnonzero(np.diff(words, prepend=-1))
+        steps = np.matmul(back, self.into.T, out=seen).reshape(-1, EMBEDDING)
+        sorted_steps = self._room("steps", len(steps), EMBEDDING)
+        np.take(steps, places, axis=0, out=sorted_steps, mode="clip")
+        out.embed[words[firsts]] = np.add.reduceat(sorted_steps, firsts, axis=0)
         return out
 
+    def _class_logits(self, inner: np.ndarray) -> np.ndarray:
+        return np.matmul(inner, self.klass, out=self._room("logits", len(inner), SIDE))
+
+    def _member_logits(self, inner: np.ndarray, klass: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
+        logits = self._room("logits", len(inner), SIDE)
+        for first, end in runs:
+            np.matmul(inner[first:end], self.member[klass[first]], out=logits[first:end])
+        return logits
+
+    def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Memory kept from batch to batch; fresh pages cost more than what is computed in them."""
+        have = self._rooms.get(name)
+        if have is None or len(have) < rows:
+            have = self._rooms[name] = np.empty((rows, columns), dtype=np.float32)
+        return have[:rows]
+
+
+#: Rows whose logits stay in a core's own cache.
+_ROWS = 2048
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
+def _shifted(logits: np.ndarray) -> np.ndarray:
+    """The logits less each row's largest, in place."""
+    most = logits
+    for half in (SIDE // 2, SIDE // 4, SIDE // 8):
+        most = np.maximum(most[:, :half], most[:, half:])
+    logits -= most.max(axis=1, keepdims=True)
+    return logits
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    shares = np.exp(logits - logits.max(axis=1, keepdims=True))
-    shares /= shares.sum(axis=1, keepdims=True)
+
+def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one column of each row; the logits are overwritten."""
+    shares = np.empty(len(logits), dtype=np.float32)
+    for at in range(0, len(logits), _ROWS):
+        part = _shifted(logits[at : at + _ROWS])
+        own = part[np.arange(len(part)), chosen[at : at + _ROWS]]
+        shares[at : at + _ROWS] = own - np.log(np.exp(part, out=part).sum(axis=1))
     return shares
 
 
+def _error(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Gradient of the rows' mean loss by their logits, in place."""
+    n = np.float32(len(logits))
+    for at in range(0, len(logits), _ROWS):
+        part = _shifted(logits[at : at + _ROWS])
+        np.exp(part, out=part)
+        part /= part.sum(axis=1, keepdims=True)
+        part[np.arange(len(part)), chosen[at : at + _ROWS]] -= 1
+        part /= n
+    return logits
+
+
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """An order that brings classes together, with classes, members and runs in it."""
     order = np.argsort((target // SIDE).astype(np.uint8), kind="stable")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from granary.llm.page_text import best_path, host_paths, page_texts, parse, text_under
 from granary.llm.pseudo_likelihood import PAD, Network, WordIds, fitted, pseudo_likelihood, score, train, windows
@@ -215,6 +216,32 @@ def test_probabilities_sum_to_one():
     assert np.exp(net.log_probabilities(context, np.arange(PAD))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_batches_share_memory_and_not_values():
+    random = np.random.default_rng(1)
+    large = random.integers(0, PAD, (5000, 4)), random.integers(0, PAD, 5000)
+    small = large[0][:3], large[1][:3]
+    net, plain = Network.fresh(), Network.fresh()
+    net.gradient(*large)
+    rooms = {name: room.ctypes.data for name, room in net._rooms.items()}
+    assert np.array_equal(net.gradient(*small).flat, plain.gradient(*small).flat)
+    sure = net.log_probabilities(*large)
+    assert {name: room.ctypes.data for name, room in net._rooms.items()} == rooms
+    logits = net.hidden(large[0])[1].astype(np.float64) @ net.klass
+    wanted = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    own = np.einsum("nh,nhm->nm", net.hidden(large[0])[1].astype(np.float64), net.member[large[1] // 64])
+    within = own - np.log(np.exp(own).sum(axis=1, keepdims=True))
+    rows = np.arange(5000)
+    assert sure == pytest.approx(wanted[rows, large[1] // 64] + within[rows, large[1] % 64], abs=1e-4)
+
+
+def test_places_of_words_are_their_order_of_meeting():
+    words = WordIds()
+    assert words.places(b"b A b\ta  c").tolist() == [0, 1, 0, 1, 2]
+    assert words.places(None).tolist() == [] and words.places(b"c d").tolist() == [2, 3]
+    known = [(int(xxhash.xxh3_64_intdigest(w)) >> 12 << 12 | zlib.crc32(w) % PAD) for w in (b"b", b"a", b"c", b"d")]
+    assert words.keys[:4].view(np.uint64).tolist() == known
+
+
 def test_windows_see_both_sides_of_their_own_text_only():
     long = [k % 4001 for k in range(20_000)]
     found = [(tuple(c), t, o) for cs, ts, os in windows([[7, 8], [], long, [9]]) for c, t, o in zip(cs, ts, os)]
