@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,20 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in part.columns))
 
 
+def slices_of(
+    batches: Iterable[pa.RecordBatch], column: str, rows: int = 4096, most: int = 1 << 23
+) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, of at most ``most`` bytes in a binary column or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64)
+        at = before = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, before + most, side="right"))
+            end = min(max(end, at + 1), at + rows)
+            yield batch.slice(at, end - at)
+            at, before = end, ends[end - 1]
+
+
 def in_runs(items: Iterable, size_of: Callable[[object], int], most: int) -> Iterator[list]:
     """Runs of consecutive items, each closed when its sizes reach ``most``."""
     kept, size = [], 0

@@ -9,11 +9,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ready_workers, rows_of, stored, text_bytes, to_batches
+from granary.llm.common import ready_workers, slices_of, stored, text_bytes
 
 #: Words on each side that a prediction sees.
 REACH = 2
@@ -51,7 +52,15 @@ class WordIds:
 
     def places(self, data: bytes | None) -> np.ndarray:
         """Places of a text's words in the memory, for as long as it isn't cleared."""
-        words, first = (data or b"").lower().split(), len(self.memory)
+        return self._known((data or b"").lower().split())
+
+    def places_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the texts' distinct words, all words as numbers of these, and each text's word count."""
+        words, numbers, sizes = distinct_words(texts)
+        return self._known(words), numbers, sizes
+
+    def _known(self, words: list[bytes]) -> np.ndarray:
+        first = len(self.memory)
         places = np.fromiter(map(self.memory.__getitem__, words), dtype=np.int64, count=len(words))
         fresh = len(self.memory) - first
         if fresh:
@@ -72,6 +81,29 @@ class _Places(dict):
         return at
 
 
+def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``words, numbers, sizes`` of binary texts, words as ``lower().split()`` of bytes has them.
+
+    ``numbers`` are the places in ``words`` of all words in turn, ``sizes`` the words of each text.
+    """
+    texts = texts.fill_null(b"")
+    texts = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    found = coded.dictionary
+    words = pa.Array.from_buffers(pa.binary(), len(found), found.buffers(), offset=found.offset)
+    words = words.to_numpy(zero_copy_only=False).tolist()
+    numbers, sizes = coded.indices.to_numpy(), split.value_lengths().to_numpy()
+    if b"" in words:  # beside white space at either end of a text
+        empty = words.index(b"")
+        full = numbers != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+        numbers = numbers[full]
+        numbers = numbers - (numbers > empty)
+        del words[empty]
+    return words, numbers, sizes
+
+
 def word_keys(words: list[bytes]) -> np.ndarray:
     """Unsigned 64 bits of each word: 52 of XXH3, and its id."""
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
@@ -120,7 +152,7 @@ class Network:
         sums = np.matmul(seen, self.into, out=self._room("sums", n, HIDDEN))
         sums += self.bias
         inner = self._room("inner", n, HIDDEN + 1)
-        inner[:, :HIDDEN] = np.tanh(sums, out=sums)
+        np.tanh(sums, out=inner[:, :HIDDEN])
         inner[:, HIDDEN] = 1
         return seen, inner
 
@@ -144,10 +176,12 @@ class Network:
         np.matmul(inner.T, error, out=out.klass)
         back = np.matmul(error, self.klass.T, out=self._room("back", n, HIDDEN + 1))
         error = _error(self._member_logits(inner, klass, runs), member)
+        within = self._room("within", n, HIDDEN + 1)
         for first, end in runs:
             own = error[first:end]
             np.matmul(inner[first:end].T, own, out=out.member[klass[first]])
-            back[first:end] += own @ self.member[klass[first]].T
+            np.matmul(own, self.member[klass[first]].T, out=within[first:end])
+        back += within
         slope = np.square(inner[:, :HIDDEN], out=self._room("sums", n, HIDDEN))
         np.subtract(1, slope, out=slope)
         back = np.multiply(back[:, :HIDDEN], slope, out=slope)
@@ -184,10 +218,7 @@ _ROWS = 2048
 
 def _shifted(logits: np.ndarray) -> np.ndarray:
     """The logits less each row's largest, in place."""
-    most = logits
-    for half in (SIDE // 2, SIDE // 4, SIDE // 8):
-        most = np.maximum(most[:, :half], most[:, half:])
-    logits -= most.max(axis=1, keepdims=True)
+    logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
@@ -230,7 +261,7 @@ def windows(texts: Iterable[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray
     pad = np.full(REACH, PAD, dtype=np.int32)
     parts, numbers, size = [pad], [], 0
     for number, ids in enumerate(texts):
-        parts += (np.array(ids, dtype=np.int32), pad)
+        parts += (np.asarray(ids, dtype=np.int32), pad)
         numbers.append(number)
         size += len(ids)
         if size >= BATCH:
@@ -239,6 +270,12 @@ def windows(texts: Iterable[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray
     yield from _cut(parts, numbers)
 
 
+def _parts(values: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Consecutive parts of ``values``, of the given sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return (values[first:end] for first, end in zip([0, *ends], ends))
+
+
 def _cut(parts: list[np.ndarray], numbers: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ids = np.concatenate(parts)
     owner = np.repeat(np.array(numbers, dtype=np.int32), [len(x) for x in parts[1::2]])
@@ -286,13 +323,13 @@ def fitted(docs: DataFrame, rounds: int = 1, seed: int = 0) -> tuple[np.ndarray,
 
             def texts() -> Iterator[np.ndarray]:
                 nonlocal counts
-                for _, data in rows_of(batches):
+                for batch in slices_of(batches, "text"):
                     if len(words.memory) > _MEMORY:
                         give()
-                    places = words.places(data)
+                    places, numbers, sizes = words.places_of(batch.column("text"))
                     counts = lengthened(counts, len(words.memory))
-                    np.add.at(counts, places, 1)
-                    yield words.ids(places)
+                    counts[places] += np.bincount(numbers, minlength=len(places))
+                    yield from _parts(words.ids(places)[numbers], sizes)
 
             for context, target, _ in windows(texts()):
                 step = net.gradient(context, target).flat
@@ -355,9 +392,9 @@ def head_and_totals(words: DataFrame, most: int = HEAD) -> tuple[DataFrame, np.n
     return repeated.where(F.col("level") < least).select("word", "n"), keys[order], counts[order], totals
 
 
-_SCORES = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("tail", pa.list_(pa.int64()))]
-)
+_SCORES = ["doc_id", "n_tokens", "log_likelihood", "tail"]
+#: Texts whose windows make batches of their own when scored.
+_TOGETHER = 128
 
 
 def score(docs: DataFrame, weights: np.ndarray, words: DataFrame | None = None, head: int = HEAD) -> DataFrame:
@@ -396,24 +433,27 @@ def score(docs: DataFrame, weights: np.ndarray, words: DataFrame | None = None,
             shares[done:size] = np.where(met, logs[at], 0) - spread[fresh & (PAD - 1)]
             common[done:size], done = met, size
 
-        def scored() -> Iterator[tuple]:
-            nonlocal done
-            rows = rows_of(batches)
-            while group := [row for _, row in zip(range(128), rows)]:
-                if len(words.memory) > _MEMORY:
-                    words.memory.clear()
-                    done = 0
-                places = [words.places(data) for _, data in group]
-                sums, rare = np.zeros(len(group)), [[]] * len(group)
-                for context, target, owner in windows(map(words.ids, places)):
-                    sums += np.bincount(owner, net.log_probabilities(context, target), len(group))
-                if len(known) > 1:
-                    look_up()
-                    sums += [shares[p].sum() for p in places]
-                    rare = [words.keys[p[~common[p]]] for p in places]
-                yield from ((doc_id, len(p), float(s), r) for (doc_id, _), p, s, r in zip(group, places, sums, rare))
-
-        return to_batches(scored(), _SCORES)
+        for batch in slices_of(batches, "text"):
+            if len(words.memory) > _MEMORY:
+                words.memory.clear()
+                done = 0
+            places, numbers, sizes = words.places_of(batch.column("text"))
+            sums, n = np.zeros(len(sizes)), np.zeros(len(sizes) + 1, dtype=np.int32)
+            texts = _parts(words.ids(places)[numbers], sizes)
+            for at in range(0, len(sizes), _TOGETHER):
+                own = sums[at : at + _TOGETHER]
+                for context, target, owner in windows(islice(texts, len(own))):
+                    own += np.bincount(owner, net.log_probabilities(context, target), len(own))
+            rare = np.empty(0, dtype=np.int64)
+            if len(known) > 1:
+                look_up()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sums += np.bincount(owner, shares[places][numbers], len(sizes))
+                tails = ~common[places][numbers]
+                rare = words.keys[places][numbers[tails]]
+                np.cumsum(np.bincount(owner[tails], minlength=len(sizes)), out=n[1:])
+            scores = [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(sums), pa.ListArray.from_arrays(pa.array(n), pa.array(rare))]
+            yield pa.RecordBatch.from_arrays(scores, _SCORES)
 
     found = text_bytes(docs).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, log_likelihood double, tail array<bigint>"

@@ -7,9 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from granary.llm.common import slices_of
 from granary.llm.page_text import best_path, host_paths, page_texts, parse, text_under
 from granary.llm.pseudo_likelihood import PAD, Network, WordIds, fitted, pseudo_likelihood, score, train, windows
 from granary.llm.sharding import Node, even_tree, place, shard_documents, with_region
@@ -242,6 +244,26 @@ def test_places_of_words_are_their_order_of_meeting():
     assert words.keys[:4].view(np.uint64).tolist() == known
 
 
+ODD_TEXTS = [b" a B\tb\x0b\x0cA  ", None, b"", b"  ", b"\xff\xfe \xc3( x\x1cy\x85z\xa0q", "É é\u3000A\nb".encode(), b"b" * 300]
+
+
+@pytest.mark.parametrize("texts", [ODD_TEXTS, ODD_TEXTS[1:4], [None], []])
+def test_words_of_a_batch_are_looked_up_once(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array([b"before", *texts * 3], pa.binary()).slice(1)], ["text"])
+    words, asked = WordIds(), []
+    words.memory = type("Asked", (dict,), {"__getitem__": lambda self, w: asked.append(w) or self.setdefault(w, len(self))})()
+    found = []
+    for part in slices_of([batch], "text", rows=5, most=60):
+        first = len(asked)
+        places, numbers, sizes = words.places_of(part.column("text"))
+        assert len(set(asked[first:])) == len(asked) - first == len(places)
+        found += [places[numbers][end - n : end].tolist() for n, end in zip(sizes, np.cumsum(sizes))]
+    plain = WordIds()
+    assert found == [plain.places(t).tolist() for t in texts * 3]
+    assert list(words.memory) == list(plain.memory)
+    assert words.keys[: len(words.memory)].tolist() == plain.keys[: len(words.memory)].tolist()
+
+
 def test_windows_see_both_sides_of_their_own_text_only():
     long = [k % 4001 for k in range(20_000)]
     found = [(tuple(c), t, o) for cs, ts, os in windows([[7, 8], [], long, [9]]) for c, t, o in zip(cs, ts, os)]
