@@ -954,6 +954,33 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 
+def _land(changes: DataFrame, turn: int, folder: str) -> None:
+    """Add to the folder what arrives in one turn of all that is sent about each document.
+
+    A document is sent as a draft and in its final form, an old one comes and is
+    withdrawn. Each of the four comes in a turn drawn by itself, so versions meet
+    in a batch or arrive late. Texts are multiplied as they are written, behind
+    the one shuffle that spread the documents.
+    """
+    sent = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(n) for n, v in zip(("old", "version", "deleted"), form)])
+            for form in ((False, 2, False), (False, 1, False), (True, 1, False), (True, 2, True))
+        ]
+    )
+    drawn = F.xxhash64("document_id", F.col("_sent.old"), F.col("_sent.version"))
+    due = F.pmod(drawn, F.lit(ARRIVALS)) == turn
+    draft = ~F.col("_sent.old") & (F.col("_sent.version") == 1)
+    changes.select("*", F.explode(sent).alias("_sent")).where(due).select(
+        F.when(F.col("_sent.old"), F.concat(F.lit("old"), "document_id"))
+        .otherwise(F.col("document_id")).alias("document_id"),
+        "_sent.version", "_sent.deleted", "relative_path",
+        F.when(draft, F.concat_ws(" ", F.lit("draft"), "text", "text"))
+        .otherwise(F.col("text")).alias("text"),
+        "document_type", "vendor_name", "region",
+    ).write.mode("append").option("compression", "zstd").parquet(folder)
+
+
 def _updated_index(spark: SparkSession, sf_dir: str) -> str:
     """An index of all documents, each sent first as a draft, and of withdrawn ones."""
     root = scratch_path(spark, "search")
@@ -961,26 +988,19 @@ def _updated_index(spark: SparkSession, sf_dir: str) -> str:
         "document_id", "document_type", "vendor_name", "region"
     )
     docs = _documents(spark, sf_dir).select("document_id", "relative_path", "text")
-    final = docs.join(about, "document_id", "left").select(
-        F.col("document_id").cast("string").alias("document_id"),
-        F.lit(2).alias("version"),
-        F.lit(False).alias("deleted"),
-        "relative_path", "text", "document_type", "vendor_name", "region",
-    )
-    draft = final.withColumns(
-        {"version": F.lit(1), "text": F.concat_ws(" ", F.lit("draft"), "text", "text")}
-    )
-    withdrawn = final.withColumns(
-        {"document_id": F.concat(F.lit("old"), "document_id"), "version": F.lit(1)}
-    )
-    gone = withdrawn.withColumns({"version": F.lit(2), "deleted": F.lit(True)})
-    sent = [final, draft, withdrawn, gone]
-    splits = len(sent) * docs.rdd.getNumPartitions()
-    stream = _arriving(reduce(DataFrame.unionByName, sent), splits, f"{root}/incoming")
-    index_stream(
-        stream, root, f"{root}/checkpoint", {"availableNow": True},
-        attributes=("relative_path", "document_type", "vendor_name", "region"),
-    ).awaitTermination()
+    spread = docs.repartition(4 * docs.rdd.getNumPartitions(), "document_id")
+    known = spread.join(about, "document_id", "left")
+    known = known.withColumn("document_id", F.col("document_id").cast("string"))
+    changes = written(known, "changes", "zstd")
+    for turn in range(ARRIVALS):
+        # What has landed since the last run of the stream is one batch, in any number of files.
+        _land(changes, turn, f"{root}/incoming")
+        sent = spark.read.parquet(f"{root}/incoming").schema
+        stream = spark.readStream.schema(sent).option("cleanSource", "delete")
+        index_stream(
+            stream.parquet(f"{root}/incoming"), root, f"{root}/checkpoint", {"availableNow": True},
+            attributes=("relative_path", "document_type", "vendor_name", "region"),
+        ).awaitTermination()
     return root
 
 

@@ -5,6 +5,11 @@ batch is replayed: the versions that arrived, a few bytes each, and the chunks
 with text, attributes and term counts. Which version of a document is live is
 derived: the highest ``version``, then the latest batch. A change therefore
 rewrites nothing; :func:`compact_index` drops what is no longer live.
+
+Texts of documents that come several times in a batch are shuffled, to find the
+row that counts; others are indexed where they lie, as a :class:`Sieve` tells.
+Another tells whether a chunk is live where it lies, with the few stale versions
+that slip through.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from granary.operators.durable import written
+from granary.operators.durable import shuffles_released, written
+from granary.operators.sieve import Sieve
 from granary.plans.documents import chunk_documents
 from granary.plans.search import MAX_RESULTS, best_chunks, index_chunks
 from granary.streaming.versions import start
@@ -29,20 +35,25 @@ _INDEX = (
 )
 
 
-def _arrivals(batch: DataFrame, batch_id: int, attributes: Sequence[str]) -> DataFrame:
-    """One row per document of a batch: its highest version, then the greatest text."""
+def _sent(batch: DataFrame, batch_id: int, attributes: Sequence[str]) -> DataFrame:
+    """The rows of a batch with every column; a deleted document needs no text."""
 
     def given(name: str, default: Column) -> Column:
         return F.coalesce(F.col(name), default) if name in batch.columns else default
 
     pairs = [part for a in attributes for part in (F.lit(a), F.col(a).cast("string"))]
-    rows = batch.select(
+    deleted = given("deleted", F.lit(False))
+    return batch.select(
         F.col("document_id").cast("string").alias("document_id"),
         given("version", F.lit(batch_id)).cast("bigint").alias("version"),
-        given("deleted", F.lit(False)).alias("deleted"),
-        "text",
+        deleted.alias("deleted"),
+        F.when(~deleted, F.col("text")).alias("text"),
         F.create_map(*pairs).cast("map<string,string>").alias("attributes"),
     )
+
+
+def _arrivals(rows: DataFrame) -> DataFrame:
+    """One row per document: its highest version, then the greatest text."""
     place = F.struct("version", "deleted", "text")
     return (
         rows.groupBy("document_id")
@@ -65,17 +76,30 @@ def index_batch(
     common counter. The versions are written last: a batch that failed between
     the two tables has chunks that no version names.
     """
-    arrived = _arrivals(batch, batch_id, attributes)
+    rows = _sent(batch, batch_id, attributes)
+    # The version that counts is told without the texts.
+    known = written(
+        rows.groupBy("document_id")
+        .agg(F.max(F.struct("version", "deleted")).alias("_row"), F.count("*").alias("_rows"))
+        .select("document_id", "_row.*", "_rows"),
+        "sent",
+    )
+    marked = Sieve(known.where("_rows > 1"), ["document_id"]).marked(rows, "_repeated")
+    once = marked.where(~F.col("_repeated")).drop("_repeated")
+    arrived = once.unionByName(_arrivals(marked.where("_repeated").drop("_repeated")))
     chunks = chunk_documents(arrived.where(~F.col("deleted")), mode, target_tokens)
     key = F.concat_ws("#", "document_id", "chunk_index")
     index = index_chunks(
         chunks.withColumn("chunk_id", key),
         "document_id", "version", "chunk_id", "chunk_text", "attributes",
     )
-    index.write.mode("overwrite").parquet(f"{root}/index/batch_id={batch_id}")
-    arrived.select("document_id", "version", "deleted").write.mode("overwrite").parquet(
-        f"{root}/versions/batch_id={batch_id}"
-    )
+    with shuffles_released(batch.sparkSession):
+        _store(index, f"{root}/index/batch_id={batch_id}")
+        _store(known.drop("_rows"), f"{root}/versions/batch_id={batch_id}")
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def index_stream(
@@ -114,21 +138,42 @@ def _live(versions: DataFrame) -> DataFrame:
     )
 
 
-def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """The live chunks: document, chunk id, text, attributes and term counts.
+_PLACE = ("document_id", "batch_id")
 
-    Only the versions, a few bytes each, are grouped. The chunks meet the
-    superseded versions alone, which :func:`compact_index` keeps few, and
-    adaptive execution broadcasts them by their measured size.
-    """
-    versions = _versions(spark, root)
-    stale = (
-        versions.join(_live(versions), "document_id")
-        .where(~F.col("batch_id").eqNullSafe(F.col("live")))
-        .select("document_id", "batch_id")
-    )
-    index = spark.read.schema(_INDEX).parquet(f"{root}/index")
-    return index.join(stale, ["document_id", "batch_id"], "left_anti").drop("batch_id", "version")
+
+class _InForce:
+    """Tells live chunks where they lie: only versions, a few bytes each, are shuffled."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        versions = _versions(spark, root)
+        known = _live(versions)
+        live = known.where("live IS NOT NULL").withColumnRenamed("live", "batch_id")
+        self._live = Sieve(written(live, "live"), _PLACE)
+        stale = versions.join(known, "document_id").where(
+            ~F.col("batch_id").eqNullSafe(F.col("live"))
+        )
+        slipped = self._live.marked(stale.select(*_PLACE), "_maybe").where("_maybe")
+        # One in many: adaptive execution broadcasts them by their measured size.
+        self._slipped = written(slipped.drop("_maybe"), "slipped")
+        # One number per batch that has versions.
+        self.batches = [r[0] for r in versions.select("batch_id").distinct().collect()]
+
+    def of(self, index: DataFrame, unnamed: bool) -> DataFrame:
+        """The live rows, with ``unnamed`` also those that no version can name."""
+        other = F.col("document_id").isNull() | ~F.col("batch_id").isin(self.batches)
+        marked = self._live.marked(index, "_maybe")
+        kept = marked.where(F.col("_maybe") | other) if unnamed else marked.where(F.col("_maybe") & ~other)
+        return kept.drop("_maybe").join(self._slipped, list(_PLACE), "left_anti")
+
+
+def _index(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_INDEX).parquet(f"{root}/index")
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    """The live chunks: document, chunk id, text, attributes and term counts."""
+    live = _InForce(spark, root).of(_index(spark, root), unnamed=True)
+    return live.drop("batch_id", "version")
 
 
 def compact_index(spark: SparkSession, root: str, target: str) -> None:
