@@ -189,12 +189,10 @@ def compact_index(spark: SparkSession, root: str, target: str) -> None:
     kept = versions.groupBy("document_id").agg(
         F.max("version").alias("version"), F.max_by("deleted", newest).alias("deleted")
     )
-    live = _live(versions).where("live IS NOT NULL").withColumnRenamed("live", "batch_id")
-    index = spark.read.schema(_INDEX).parquet(f"{root}/index")
-    index.join(live, ["document_id", "batch_id"], "left_semi").drop("batch_id").write.parquet(
-        f"{target}/index/batch_id={last}"
-    )
-    kept.write.parquet(f"{target}/versions/batch_id={last}")
+    live = _InForce(spark, root).of(_index(spark, root), unnamed=False).drop("batch_id")
+    with shuffles_released(spark):
+        live.write.option("compression", "zstd").parquet(f"{target}/index/batch_id={last}")
+        kept.write.option("compression", "zstd").parquet(f"{target}/versions/batch_id={last}")
 
 
 def search_stored(
