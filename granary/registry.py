@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.numbers import dec, present, safe_number
 from granary.operators.current import current_rows, scd2_upsert
-from granary.operators.durable import scratch_path, written
+from granary.operators.durable import scratch_path, shuffles_released, written
 from granary.operators.keys import dense_ids, next_id
 from granary.plans import (
     build_plan,
@@ -922,10 +921,11 @@ def stream_kpis_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "kpi-changes")
     for changes in _base_changes(driver_tables(spark, sf_dir, store_sales=True)):
         # What has landed since the last run of the stream is one batch, in any number of files.
-        changes.write.mode("append").parquet(f"{root}/incoming")
-        stream = spark.readStream.schema(changes.schema).parquet(f"{root}/incoming")
+        with shuffles_released(spark):
+            changes.write.mode("append").option("compression", "zstd").parquet(f"{root}/incoming")
+        stream = spark.readStream.schema(changes.schema).option("cleanSource", "delete")
         kpi_deltas.change_stream(
-            stream, root, f"{root}/checkpoint", {"availableNow": True}
+            stream.parquet(f"{root}/incoming"), root, f"{root}/checkpoint", {"availableNow": True}
         ).awaitTermination()
     return present(kpi_deltas.read_followed_kpis(spark, root, as_of()))
 

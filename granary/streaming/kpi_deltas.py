@@ -9,7 +9,9 @@ batch adds three products, each with one changed side::
     forecasts now     x products now     x changed sites
 
 The second and third read only the forecast cells of the products and sites that
-changed; unchanged forecasts are not read. Distinct products and sites are
+changed; unchanged forecasts are not read. A product with a side that has no row
+yet is left out. The effects are linear in the number of lines, so cells need not
+be summed before, and are stored as sums by product and by site. Distinct products and sites are
 counted by their multiplicities, which a batch changes for its own pairs alone.
 Changes commute, so batches may come in any order.
 """
@@ -25,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from granary.constants import DEFAULT_STORAGE_RATE
 from granary.functions.numbers import dec, storage_cost
 from granary.operators.current import current_rows, current_versions
-from granary.operators.durable import written
+from granary.operators.durable import shuffles_released, written
 from granary.plans.mart import KPI_KEYS, kpi_columns
 from granary.sources.tables import PlanningTables
 from granary.streaming.signed import MERGE_AT, SignedTable
@@ -112,11 +114,14 @@ def _bucket(column: str) -> Column:
 
 
 def touched_cells(spark: SparkSession, root: str, before: int, ids: DataFrame, key: str) -> DataFrame:
-    """Forecast cells of the given products or sites; files of other buckets stay closed."""
+    """Forecast cells of the given products or sites; files of other buckets stay closed.
+
+    A cell may come as several rows, one for each batch that changed it.
+    """
     bucket = key.replace("_id", "_bucket")
     met = [r[0] for r in ids.select(_bucket(key)).distinct().collect()]  # at most BUCKETS numbers
     cells = CELLS.rows(spark, root, before, F.col(bucket).isin(met))
-    return CELLS.summed(cells.join(ids.select(key).distinct(), key, "left_semi"))
+    return cells.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def _profile(sites: DataFrame, rates: DataFrame) -> DataFrame:
@@ -131,8 +136,12 @@ def _profile(sites: DataFrame, rates: DataFrame) -> DataFrame:
 
 def _effects(cells: DataFrame, products: DataFrame, profile: DataFrame) -> DataFrame:
     """What cells x products x sites add to every scenario, product and site."""
-    per_site = profile.groupBy("site_id").agg(
-        F.collect_list(F.struct("rate", "w")).alias("_rates"), F.sum("w").alias("_w")
+    # Stored, few sites are known to be few, and no cell is shuffled to meet them.
+    per_site = written(
+        profile.groupBy("site_id").agg(
+            F.collect_list(F.struct("rate", "w")).alias("_rates"), F.sum("w").alias("_w")
+        ),
+        "profile",
     )
     quantity = F.col("quantity")
     k = F.col("n") * F.col("_p")
@@ -188,11 +197,18 @@ def apply_changes(batch: DataFrame, batch_id: int, root: str, merge_at: int = ME
     Applying a batch again gives the same folders. The totals are written last;
     readers take the batches whose totals are complete.
     """
+    with shuffles_released(batch.sparkSession):
+        _apply(batch, batch_id, root, merge_at)
+
+
+def _apply(batch: DataFrame, batch_id: int, root: str, merge_at: int) -> None:
     spark = batch.sparkSession
     for table in _ALL:
         table.merge(spark, root, batch_id, merge_at)
     path = f"{root}/changes/batch={batch_id}"
-    batch.select(*[F.col(n).cast(kind) for n, kind in CHANGE.items()]).write.mode("overwrite").parquet(path)
+    batch.select(*[F.col(n).cast(kind) for n, kind in CHANGE.items()]).write.mode("overwrite").option(
+        "compression", "zstd"
+    ).parquet(path)
     changes = spark.read.schema(", ".join(f"{n} {k}" for n, k in CHANGE.items())).parquet(path)
 
     kinds = {r[0] for r in changes.select("kind").distinct().collect()}  # one row per base table at most
@@ -208,16 +224,19 @@ def apply_changes(batch: DataFrame, batch_id: int, root: str, merge_at: int = ME
     def own(table: SignedTable) -> DataFrame:
         return table.own(spark, root, batch_id)
 
+    def begun(table: SignedTable, before: int) -> bool:
+        return bool(table.folders(spark, root, before))
+
     terms = []
-    if "demand_forecast_versions" in kinds:
+    if "demand_forecast_versions" in kinds and begun(PRODUCTS, old) and begun(SITES, old):
         profile = _profile(state(SITES, old), state(RATES, old))
         terms.append(_effects(own(CELLS), state(PRODUCTS, old), profile))
-    if "product" in kinds:
+    if "product" in kinds and begun(CELLS, new) and begun(SITES, old):
         profile = _profile(state(SITES, old), state(RATES, old))
         cells = touched_cells(spark, root, new, own(PRODUCTS), "product_id")
         terms.append(_effects(cells, own(PRODUCTS), profile))
     met = [own(table).select("site_id") for table in (SITES, RATES) if _KEPT[table] in kinds]
-    if met:
+    if met and begun(CELLS, new) and begun(PRODUCTS, new):
         ids = reduce(DataFrame.union, met).distinct()
         before, after = (
             _profile(state(SITES, at).join(ids, "site_id", "left_semi"), state(RATES, at)) for at in (old, new)
@@ -228,21 +247,24 @@ def apply_changes(batch: DataFrame, batch_id: int, root: str, merge_at: int = ME
         )
         cells = touched_cells(spark, root, new, ids, "site_id")
         terms.append(_effects(cells, state(PRODUCTS, new), moved))
-    if not terms:  # scenarios alone, or nothing
+    if not terms:  # scenarios alone, or nothing to multiply
         TOTALS.add(spark.createDataFrame([], TOTALS.schema), root, batch_id)
         return
+    sums = [F.sum(n).cast(kind).alias(n) for n, kind in _SUMS.items()]
+    by = ["scenario_id", "product_id"], ["scenario_id", "site_id"]
     effects = written(
         reduce(DataFrame.unionAll, terms)
-        .groupBy("scenario_id", "product_id", "site_id")
-        .agg(*[F.sum(n).cast(kind).alias(n) for n, kind in _SUMS.items()]),
-        "effects",
+        .groupingSets(by, "scenario_id", "product_id", "site_id").agg(*sums),
+        "effects", "zstd",
     )
-    BY_PRODUCT.add(effects, root, batch_id)
-    BY_SITE.add(effects, root, batch_id)
+    # Every effect has a product and a site: the other one is null in its sum.
+    by_product = effects.where("product_id IS NOT NULL")
+    BY_PRODUCT.add(by_product, root, batch_id)
+    BY_SITE.add(effects.where("site_id IS NOT NULL"), root, batch_id)
     counts = _appeared(BY_PRODUCT, spark, root, batch_id, "product_count").join(
         _appeared(BY_SITE, spark, root, batch_id, "site_count"), "scenario_id", "full"
     )
-    totals = effects.groupBy("scenario_id").agg(*[F.sum(n).alias(n) for n in _SUMS])
+    totals = by_product.groupBy("scenario_id").agg(*[F.sum(n).alias(n) for n in _SUMS])
     TOTALS.add(totals.join(counts, "scenario_id", "left"), root, batch_id)
 
 

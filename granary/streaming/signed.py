@@ -13,13 +13,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.durable import shuffles_released
+
 #: Folders above the last merged one at which the next merge is due.
 MERGE_AT = 8
+#: So many tasks more deal a bucket out to one part more.
+TASKS_PER_PART = 16
 
 
 @dataclass(frozen=True, eq=False)
 class SignedTable:
-    """Sums by key. ``buckets`` names the keys that also part the files."""
+    """Sums by key. ``buckets`` names the keys that also part the files.
+
+    Rows of such a table are summed where their files are written, so that they
+    are shuffled once; the rows of one folder come from a few tasks.
+    """
 
     name: str
     keys: dict[str, str]
@@ -32,18 +40,25 @@ class SignedTable:
 
     def summed(self, rows: DataFrame) -> DataFrame:
         """One row per key whose sums aren't all zero; a null adds nothing."""
-        found = rows.groupBy(*self.keys).agg(
+        keys = list(self.keys)
+        if self.buckets:
+            tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            part = F.pmod(F.xxhash64(*keys), F.lit(max(1, tasks // TASKS_PER_PART)))
+            rows = rows.withColumn("_part", part).repartition(*self.buckets, "_part")
+            keys.append("_part")
+        found = rows.groupBy(*keys).agg(
             *[F.coalesce(F.sum(n), F.lit(0)).cast(kind).alias(n) for n, kind in self.sums.items()]
         )
         changed = F.lit(False)
         for n in self.sums:
             changed = changed | (F.col(n) != 0)
-        return found.where(changed)
+        return found.where(changed).select(*self.keys, *self.sums)
 
     def _write(self, rows: DataFrame, path: str) -> None:
-        if self.buckets:
-            rows = rows.hint("rebalance", *self.buckets)
-        rows.write.mode("overwrite").partitionBy(*self.buckets).parquet(path)
+        with shuffles_released(rows.sparkSession):
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy(
+                *self.buckets
+            ).parquet(path)
 
     def folder(self, root: str, batch_id: int) -> str:
         """Where the changes of a batch lie."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary import registry
 from granary.operators.durable import shuffles_released, written
 from granary.operators.sieve import Sieve
+from granary.streaming import kpi_deltas as deltas
 from granary.streaming import search_index as index_jobs
 
 
@@ -115,3 +118,45 @@ def test_a_text_sent_once_is_indexed_where_it_lies(spark, tmp_path, monkeypatch)
     found = {r[0]: r[1] for r in index_jobs.read_index(spark, root).select("document_id", "chunk_text").collect()}
     assert len(found) == 399 and found["5"] == "five" and found["6"] == "six b" and "7" not in found
     assert found["399"].startswith("words ")
+
+
+def _lines(spark, count, products):
+    return spark.range(count).selectExpr(
+        "1L AS scenario_id", f"id % {products} AS product_id", "id % 25 AS site_id", "CAST(id % 7 AS decimal(18,4)) AS quantity",
+        "1L AS n", "CAST(2 AS decimal(38,2)) AS revenue", "1L AS n_revenue",
+    ).withColumns({"product_bucket": deltas._bucket("product_id"), "site_bucket": deltas._bucket("site_id")})
+
+
+def test_cells_are_summed_where_their_files_are_written(spark, tmp_path):
+    root, lines = str(tmp_path / "kpis"), _lines(spark, 7000, 40)
+    plan = deltas.CELLS.summed(lines)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert [[c.split("#")[0].strip() for c in m.split(",")][:3] for m in moved] == [["product_bucket", "site_bucket", "_part"]]
+    kept = _shuffle_files(spark)
+    deltas.CELLS.add(lines, root, 0)
+    assert _shuffle_files(spark) <= kept
+    cells = deltas.CELLS.rows(spark, root, 1)
+    assert cells.agg(F.sum("n"), F.sum("revenue")).first() == (7000, 14000)
+    assert cells.count() == lines.select("product_id", "site_id", "quantity").distinct().count() == 1400
+
+
+def test_effects_are_kept_by_product_and_by_site(spark, tables, tmp_path, monkeypatch):
+    """A side without rows has no product of its own, and no line is stored as an effect."""
+    root, made, stored = str(tmp_path / "kpis"), [], []
+    effects, write = deltas._effects, deltas.written
+    monkeypatch.setattr(deltas, "_effects", lambda *sides: made.append(1) or effects(*sides))
+    monkeypatch.setattr(deltas, "written", lambda rows, *name: stored.append(write(rows, *name)) or stored[-1])
+    line = tables.demand_forecast_versions.where("demand_forecast_id = 1")
+    many = spark.range(300).join(line.withColumn("site_id", F.lit(None).cast("bigint"))).selectExpr(
+        "*", "CAST(id % 5 + 1 AS bigint) AS place"
+    ).withColumns({"site_id": F.col("place"), "forecast_quantity": F.col("id").cast("decimal(18,4)")}).drop("id", "place")
+    nothing = line.withColumn("scenario_id", F.lit(None).cast("bigint"))
+    t = tables.with_(demand_forecast_versions=many.unionByName(nothing))
+    deltas.apply_changes(deltas.all_rows(t), 0, root)
+    assert len(made) == 1
+    profile, sums = stored
+    assert profile.count() == 5
+    # Five sites and a product, with a scenario and with none.
+    assert sums.count() == 8 and sums.where("scenario_id = 1 AND site_id IS NOT NULL").count() == 5
+    assert not deltas.touched_cells(spark, root, 1, spark.range(9).selectExpr("id AS site_id"), "site_id").isEmpty()
+    assert [r[0] for r in deltas.read_followed_kpis(spark, root).select("site_count").collect()] == [5]
